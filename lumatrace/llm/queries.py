@@ -6,21 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from lumatrace.llm.bpe import round_trip
 from lumatrace.llm.common import table
+from lumatrace.llm.embed_dedup import embedding_duplicates
 from lumatrace.llm.exact_dedup import exact_duplicates
 from lumatrace.llm.minhash import near_duplicates
+from lumatrace.llm.packing import pack
+from lumatrace.llm.pii import surrogate_text
+from lumatrace.llm.quality import score_quality
+from lumatrace.llm.token_counts import count_tokens
+from lumatrace.llm.url_filter import judge_urls
+
+#: Stands in for a secret that a real run reads from its own key store.
+PII_KEY = b"example key: replace in production"
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs every document by its token count, as op2 has it."""
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(counted.select("doc_id", "n_tokens"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its surrogates in place: doc_id, text, n_entities, changed."""
+    out = surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
+    return out.withColumn("changed", F.col("n_entities") > 0)
+
+
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_pii_surrogates, op9_quality_votes, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
