@@ -13,6 +13,7 @@ from lumatrace.llm.bpe import round_trip
 from lumatrace.llm.common import table
 from lumatrace.llm.embed_dedup import embedding_duplicates
 from lumatrace.llm.exact_dedup import exact_duplicates
+from lumatrace.llm.lm_score import score_corpus
 from lumatrace.llm.minhash import near_duplicates
 from lumatrace.llm.packing import pack
 from lumatrace.llm.pii import surrogate_text
@@ -42,6 +43,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -65,7 +70,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_pii_surrogates, op9_quality_votes, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_lm_scores, op6_url_filter, op7_embedding_near_dedup, op8_pii_surrogates, op9_quality_votes, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
