@@ -9,10 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from lumatrace.llm.common import utf8
+from lumatrace.llm.common import PairTable, in_chunks, merge_pairs, splitter, utf8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,7 +31,7 @@ class MonoidBpe:
     #: Pieces up to this many bytes are merged directly.
     LEAF = 24
     #: Remembered pieces and pairs; both are forgotten beyond this, so that memory stays bounded.
-    MOST = 250_000
+    MOST = 600_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -40,26 +39,16 @@ class MonoidBpe:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.agreed: dict[tuple[int, int], bool] = {}
+        self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.pairs = {ranks[t[:i]] << 20 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.same = range(len(self.vocabulary))
+        self.table = PairTable(self.byte, self.pairs, self.same)
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first among equals."""
         if len(piece) > 4 * self.LEAF:
             return self._merge_long(piece)
-        get, parts = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
-        far = 1 << 60
-        pair = [get(piece[i : i + 2], far) for i in range(len(piece) - 1)]
-        while pair:
-            low = min(pair)
-            if low == far:
-                break
-            i = pair.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = get(parts[i] + parts[i + 1], far)
-            if i:
-                pair[i - 1] = get(parts[i - 1] + parts[i], far)
-        return [self.ranks[p] for p in parts]
+        return merge_pairs([self.byte[b] for b in piece], self.pairs, self.same)
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """As merge(), with a heap over linked parts: for windows that had to grow."""
@@ -134,6 +123,24 @@ class Pieces(dict):
     def __init__(self, bpe: MonoidBpe):
         self.bpe = bpe
 
+    def learn(self, matches: set[str]) -> None:
+        """Encode the matches that are new together: leaves of up to LEAF bytes at once, then joined up the tree."""
+        if len(self) >= self.bpe.MOST:
+            self.clear()
+        new = [m.encode() for m in matches if m not in self]
+        rest = []
+        for b in new:
+            if (whole := self.bpe.ranks.get(b)) is not None:
+                self[b.decode()] = np.array([whole], "<u4").tobytes()
+            elif len(b) <= self.bpe.LEAF:
+                rest.append(b)
+        rest.sort(key=len)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
+            ids, size = self.bpe.table.merge(part)
+            for b, row, n in zip(part, ids.astype("<u4"), size.tolist(), strict=True):
+                self[b.decode()] = row[:n].tobytes()
+
     def __missing__(self, match: str) -> bytes:
         if len(self) >= self.bpe.MOST:
             self.clear()
@@ -146,7 +153,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = Pieces(MonoidBpe(read_ranks(path))), regex.compile(pattern).findall
+        pieces, split = Pieces(MonoidBpe(read_ranks(path))), splitter(pattern)
         for batch in batches:
             ids = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t.as_py().decode()))), "<i4") for t in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
@@ -178,13 +185,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = MonoidBpe(read_ranks(path))
-        pieces, split = Pieces(bpe), regex.compile(pattern).findall
+        pieces, split = Pieces(bpe), splitter(pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column("body"):
-                ids = b"".join(map(pieces.__getitem__, split(text.as_py().decode())))
-                back = bpe.decode(np.frombuffer(ids, "<u4").tolist())
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+            bodies, rows = batch.column("body").to_pylist(), []
+            for start, stop in in_chunks(bodies):
+                cut = [split(b.decode()) for b in bodies[start:stop]]
+                pieces.learn({m for matches in cut for m in matches})
+                for matches in cut:
+                    ids = b"".join(map(pieces.__getitem__, matches))
+                    back = bpe.decode(np.frombuffer(ids, "<u4").tolist())
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(3))], schema=schema)
 
     return docs.select("doc_id", utf8("text").alias("body")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,10 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from lumatrace.llm.common import utf8
+from lumatrace.llm.common import PairTable, in_chunks, merge_pairs, splitter, utf8
 
 
 def _byte_letters() -> dict[str, int]:
@@ -19,11 +18,15 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
 
 
-class Counter:
-    """Counts tokens of a byte-level BPE file (.json): merges, added tokens, and the words proven whole."""
+#: A word's entry is its number of tokens, plus this if the shortcut counted it.
+_WHOLE = 1 << 40
+
+
+class Counter(dict):
+    """word -> entry. Counts tokens of a byte-level BPE file (.json): merges, added tokens, and the words proven whole."""
 
     #: Remembered words; forgotten beyond this, so that memory stays bounded.
-    MOST = 300_000
+    MOST = 1_000_000
 
     def __init__(self, path: str, whole: frozenset[str] | None = None):
         with open(path, encoding="utf-8") as f:
@@ -33,33 +36,30 @@ class Counter:
         self.vocabulary = {raw(s): i for s, i in model["vocab"].items() if all(c in letters for c in s)}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.order = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        # Merges by numbers: bytes are 0 to 255, and what the i-th merge makes is the number of its string.
+        number = {bytes([b]): b for b in range(256)}
+        self.made = [number.setdefault(a + b, 256 + i) for i, (a, b) in enumerate(self.order)]
+        self.ranks = {number[a] << 20 | number[b]: i for i, (a, b) in enumerate(self.order)}
+        self.table = PairTable(list(range(256)), self.ranks, self.made)
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.whole = self.prove() if whole is None else whole
-        self.known: dict[str, int] = {}
-
-    def merge(self, word: bytes) -> list[bytes]:
-        parts, order, far = [word[i : i + 1] for i in range(len(word))], self.order.get, 1 << 60
-        ranks = [order(p, far) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == far:
-                break
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = order((parts[i], parts[i + 1]), far)
-            if i:
-                ranks[i - 1] = order((parts[i - 1], parts[i]), far)
-        return parts
-
-    def merge_long(self, word: bytes) -> list[bytes]:
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.update(dict.fromkeys(self.whole, 1 + _WHOLE))
+
+    def merge(self, word: bytes) -> int:
+        """The number of tokens that the merges leave of a word."""
+        return len(merge_pairs(list(word), self.ranks, self.made))
+
+    def merge_long(self, word: bytes) -> int:
         """As merge(), pass by pass: each pass joins the best pair wherever it occurs, for words of many bytes."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while True:
             seen = {p for p in zip(parts, parts[1:], strict=False) if p in self.order}
             if not seen:
-                return parts
+                return len(parts)
             a, b = min(seen, key=self.order.__getitem__)
             out, i = [], 0
             while i < len(parts):
@@ -75,22 +75,34 @@ class Counter:
         """The vocabulary's strings that its merges turn into that one token; each is merged once, before any text is read."""
         out = []
         for token in self.vocabulary:
-            if self.merge(token) == [token]:
+            if self.merge(token) == 1:
                 try:
                     out.append(token.decode())
                 except UnicodeDecodeError:
                     continue
         return frozenset(out)
 
-    def word(self, w: str) -> int:
-        n = self.known.get(w)
-        if n is None:
-            if len(self.known) >= self.MOST:
-                self.known.clear()
-            b = w.encode()
-            n = self.known[w] = len(self.merge(b) if len(b) <= 256 else self.merge_long(b))
+    def learn(self, words: set[str]) -> None:
+        """Merge the words that are new and short together."""
+        if len(self) >= self.MOST:
+            self._start()
+        new = sorted((b for w in words if w not in self and len(b := w.encode()) <= PairTable.LONGEST), key=len)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.update(zip((b.decode() for b in part), self.table.merge(part)[1].tolist(), strict=True))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self._start()
+        b = word.encode()
+        n = self[word] = self.merge(b) if len(b) <= 256 else self.merge_long(b)
         return n
 
+    def count(self, words: list[str]) -> tuple[int, int]:
+        """(tokens, those that the shortcut counted)."""
+        direct, all_but = divmod(sum(map(self.__getitem__, words)), _WHOLE)
+        return all_but, direct
+
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), n_whole.
@@ -104,24 +116,23 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_whole", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, split = Counter(path, whole.value), regex.compile(pattern).findall
-        is_whole, word = counter.whole.__contains__, counter.word
+        counter, split = Counter(path, whole.value), splitter(pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column("body"):
-                body = text.as_py()
-                segments, n = [body.decode()], 0
-                for special in counter.added:
-                    cut = [p for s in segments for p in s.split(special)]
-                    n, segments = n + len(cut) - len(segments), cut
-                direct = 0
-                for s in segments:
-                    words = split(s)
-                    rest = [w for w in words if not is_whole(w)]
-                    direct += len(words) - len(rest)
-                    n += sum(map(word, rest))
-                n += direct
-                rows.append((len(body), n, n > limit, direct))
+            bodies, rows = batch.column("body").to_pylist(), []
+            for start, stop in in_chunks(bodies):
+                cut = []
+                for body in bodies[start:stop]:
+                    segments = [body.decode()]
+                    for special in counter.added:
+                        segments = [p for s in segments for p in s.split(special)]
+                    cut.append([split(s) for s in segments])
+                counter.learn({w for segments in cut for words in segments for w in words})
+                for body, segments in zip(bodies[start:stop], cut, strict=True):
+                    n, direct = len(segments) - 1, 0
+                    for words in segments:
+                        tokens, shortcut = counter.count(words)
+                        n, direct = n + tokens, direct + shortcut
+                    rows.append((len(body), n, n > limit, direct))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(4))], schema=schema)
 
     return docs.select("doc_id", utf8("text").alias("body")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_whole long")
