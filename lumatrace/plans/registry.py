@@ -232,6 +232,15 @@ SELECT dataset, trace_id, frame, round(donor, 4) AS donor, round(acceptor, 4) AS
 register("f13_nonlinear_filter", _haran_sql())(lambda s, d: rounded(seq.nonlinear_filter(A.event_traces(s, d), (4, 8)).select(*KEYS, "frame", "donor", "acceptor", "fret"), 4))
 register("f14_sampling", q(EV, "SELECT dataset, max(CASE WHEN frame = 2 THEN time_ms END) - max(CASE WHEN frame = 1 THEN time_ms END) AS sampling_ms FROM pts GROUP BY dataset"))(lambda s, d: seq.sampling(A.event_traces(s, d)))
 
+def _acceptor_bleached(s: SparkSession, d: str) -> DataFrame:
+    """The acceptor goes out at three tenths of each trace, the donor at six."""
+    n = F.max("frame").over(seq.whole())
+    df = A.lineitem_traces(s, d).withColumn("__n", n)
+    gone, lit = F.col("frame") > F.floor(0.6 * F.col("__n")), F.col("frame") <= F.floor(0.3 * F.col("__n"))
+    df = df.withColumn("acceptor", F.when(gone, 0.0).when(lit, 300 + F.col("acceptor")).otherwise(20 + F.col("acceptor"))).withColumn("donor", F.when(gone, 0.0).otherwise(500 + F.col("donor")))
+    return A.with_fret(df.drop("__n"))
+
+
 # --- corrections -----------------------------------------------------------------------------------------------------
 
 register("g1_background", "WITH " + BL + ",\n" + LIFE + """,
@@ -251,12 +260,14 @@ register("g4_correct_crosstalk", q(EV, "SELECT dataset, trace_id, frame, round(C
     lambda s, d: correct.correct_crosstalk(A.event_traces(s, d), 0.05).select(*KEYS, "frame", "fret")
 )
 register("g5_gamma_by_trace", "WITH " + BL + """,
-c AS (SELECT *, fret >= 0.2 AS hi, CASE WHEN lag(fret >= 0.2) OVER w IS NOT DISTINCT FROM (fret >= 0.2) AND frame > 1 THEN 0 ELSE 1 END AS ch FROM bl WINDOW w AS (PARTITION BY trace_id ORDER BY frame)),
+gb AS (SELECT dataset, trace_id, frame, CASE WHEN frame > floor(0.6 * len) THEN 0 ELSE 500 + donor END AS donor, CASE WHEN frame > floor(0.6 * len) THEN 0 WHEN frame <= floor(0.3 * len) THEN 300 + acceptor ELSE 20 + acceptor END AS acceptor FROM li),
+gf AS (SELECT *, round(coalesce(acceptor / nullif(donor + acceptor, 0), 0), 6) AS fret FROM gb),
+c AS (SELECT *, fret >= 0.2 AS hi, CASE WHEN lag(fret >= 0.2) OVER w IS NOT DISTINCT FROM (fret >= 0.2) AND frame > 1 THEN 0 ELSE 1 END AS ch FROM gf WINDOW w AS (PARTITION BY trace_id ORDER BY frame)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY trace_id ORDER BY frame) AS run FROM c), l AS (SELECT *, hi AND count(*) OVER (PARTITION BY trace_id, run) > 5 AS lit FROM r),
 e AS (SELECT *, max(CASE WHEN lit THEN frame END) OVER t AS a, max(CASE WHEN fret <> 0 THEN frame END) OVER t AS d FROM l WINDOW t AS (PARTITION BY trace_id)),
 g AS (SELECT dataset, trace_id, (avg(donor) FILTER (frame > a) - avg(donor) FILTER (frame < a)) / nullif(avg(acceptor) FILTER (frame < a) - avg(acceptor) FILTER (frame > a), 0) AS gamma FROM e
   WHERE a > 21 AND d - a > 21 AND frame BETWEEN a - 21 AND d - 1 GROUP BY ALL HAVING count(*) FILTER (fret = 0 OR (frame > a AND fret > 0.2)) = 0)
-SELECT dataset, trace_id, round(gamma, 6) AS gamma FROM g WHERE gamma > 0 AND gamma < 10""")(lambda s, d: correct.gamma_by_trace(_bl(s, d)))
+SELECT dataset, trace_id, round(gamma, 6) AS gamma FROM g WHERE gamma > 0 AND gamma < 10""")(lambda s, d: correct.gamma_by_trace(_acceptor_bleached(s, d)))
 register("g6_correct_gamma", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(1.3 * acceptor / nullif(donor + 1.3 * acceptor, 0), 0) END, 6) AS fret FROM pts"))(lambda s, d: correct.correct_gamma(A.event_traces(s, d), 1.3).select(*KEYS, "frame", "fret"))
 register("g8_direct_excitation", "WITH " + EV + """, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame DESC) AS k FROM pts WHERE fret <> 0),
 m AS (SELECT trace_id, avg(fret) AS m, count(*) AS n FROM k WHERE k <= 6 GROUP BY trace_id),
@@ -280,7 +291,7 @@ a AS (SELECT *, lead(state) OVER w AS s1, lead(state, 2) OVER w AS s2, lag(state
 k AS (SELECT dataset, trace_id, dwell_no, state, n_frames + CASE WHEN s1 = 1 AND s2 IS NOT NULL THEN n1 // 2 ELSE 0 END + CASE WHEN p1 = 1 AND p2 IS NOT NULL THEN q1 - q1 // 2 ELSE 0 END AS n_frames,
   start_frame - CASE WHEN p1 = 1 AND p2 IS NOT NULL THEN q1 - q1 // 2 ELSE 0 END AS start_frame FROM a WHERE state <> 1),
 c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) = state THEN 0 ELSE 1 END AS ch FROM k), r AS (SELECT *, sum(ch) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS run FROM c)
-SELECT dataset, trace_id, CAST(run AS INTEGER) AS dwell_no, state, min(start_frame) AS start_frame, sum(n_frames) AS n_frames FROM r GROUP BY dataset, trace_id, run, state""")(lambda s, d: dwell.remove_blinks(_dw(s, d)))
+SELECT dataset, trace_id, CAST(run AS INTEGER) AS dwell_no, state, min(start_frame) AS start_frame, CAST(sum(n_frames) AS BIGINT) AS n_frames FROM r GROUP BY dataset, trace_id, run, state""")(lambda s, d: dwell.remove_blinks(_dw(s, d)))
 SURV = DW + """,
 sn AS (SELECT dataset, state, n_frames, count(*) AS k FROM dw GROUP BY ALL), sg AS (SELECT DISTINCT dataset, state, unnest(generate_series(0, (SELECT max(n_frames) FROM dw))) AS n_frames FROM sn),
 sf AS (SELECT dataset, state, sg.n_frames, coalesce(k, 0) AS k FROM sg LEFT JOIN sn USING (dataset, state, n_frames)),
@@ -389,6 +400,102 @@ def _states():
     return states
 
 
+# --- unions, joins, comparisons --------------------------------------------------------------------------------------
+
+def _half(s: SparkSession, d: str, odd: bool) -> DataFrame:
+    return A.vector_traces(s, d).filter((F.col("dataset").cast("int") % 2 == 1) == odd).select(*KEYS, "frame", "time_ms", "donor", "acceptor", "fret")
+
+
+register("d1_combine", "WITH " + EMB + """, k AS (SELECT DISTINCT CAST(dataset AS INTEGER) % 2 AS part, dataset, trace_id FROM emb), r AS (SELECT part, dataset, trace_id, row_number() OVER (ORDER BY part, dataset, trace_id) AS id FROM k)
+SELECT 'both' AS dataset, id AS trace_id, frame, fret FROM emb JOIN r USING (dataset, trace_id)""")(lambda s, d: combine.combine([_half(s, d, False), _half(s, d, True)], "both").select(*KEYS, "frame", "fret"))
+register("d3_append", q(EMB, "SELECT dataset, count(*) AS n, count(CASE WHEN CAST(dataset AS INTEGER) % 2 = 0 THEN donor END) AS with_donor FROM embt GROUP BY dataset"))(
+    lambda s, d: combine.append(_half(s, d, False), _half(s, d, True).drop("donor")).groupBy("dataset").agg(F.count("*").alias("n"), F.count("donor").alias("with_donor"))
+)
+register("d4_traces_with_states", q(IDL, "SELECT dataset, trace_id, frame, fret, CASE WHEN trace_id % 2 = 0 THEN state ELSE 0 END AS state FROM idl"))(
+    lambda s, d: combine.with_states(A.event_traces(s, d), _idl(s, d).filter("trace_id % 2 = 0")).select(*KEYS, "frame", "fret", "state")
+)
+register("d5_compare_states", "WITH " + IDL + """, sl AS (SELECT trace_id, CAST(ceil(frame / 2.0) AS INTEGER) AS f, max(state) AS slow FROM idl GROUP BY ALL), la AS (SELECT trace_id, max(f) AS last FROM sl WHERE slow > 1 GROUP BY trace_id)
+SELECT i.dataset, round(avg(CASE WHEN state = slow THEN 1.0 ELSE 0 END), 6) AS accuracy, count(*) AS n FROM idl i JOIN sl ON sl.trace_id = i.trace_id AND sl.f = ceil(frame / 2.0) JOIN la ON la.trace_id = i.trace_id WHERE f <= last GROUP BY i.dataset""")(
+    lambda s, d: combine.compare_states(_idl(s, d).groupBy(*KEYS, F.ceil(F.col("frame") / 2).cast("int").alias("frame")).agg(F.max("state").alias("state")), _idl(s, d), 2)
+)
+register("d6_near_pairs", q(POS, "SELECT a.dataset, a.trace_id AS id, b.trace_id AS other, round(sqrt((a.donor_x - b.donor_x) ** 2 + (a.donor_y - b.donor_y) ** 2), 6) AS d FROM pos a JOIN pos b ON a.trace_id <> b.trace_id WHERE sqrt((a.donor_x - b.donor_x) ** 2 + (a.donor_y - b.donor_y) ** 2) <= 60"))(
+    lambda s, d: combine.near_pairs(_places(s, d), 60.0, ["dataset"])
+)
+register("d10_largest_dataset", q(EMB, "SELECT dataset, count(DISTINCT trace_id) AS n_traces, round(count(DISTINCT trace_id) / max(count(DISTINCT trace_id)) OVER (), 6) AS of_largest FROM emb GROUP BY dataset"))(lambda s, d: combine.largest_dataset(A.vector_traces(s, d)))
+register("d11_nearest_state", "WITH " + IDL + """, m AS (SELECT dataset, trace_id, state, avg(fret) AS mean FROM idl WHERE state > 0 GROUP BY ALL), e AS (SELECT * FROM (VALUES (1, 0.05), (2, 0.2), (3, 0.45), (4, 0.8)) v(s, v)),
+c AS (SELECT *, row_number() OVER (PARTITION BY trace_id, state ORDER BY round(abs(mean - v), 9), s) AS k FROM m, e) SELECT dataset, trace_id, state, s AS new_state FROM c WHERE k = 1""")(
+    lambda s, d: combine.nearest_state(_idl(s, d).filter("state > 0").groupBy(*KEYS, "state").agg(F.avg("fret").alias("mean")), s.createDataFrame([(1, 0.05), (2, 0.2), (3, 0.45), (4, 0.8)], "ens_state int, ens_mean double"))
+)
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    return A.positioned(A.event_traces(s, d)).select("dataset", F.col("trace_id").alias("id"), F.col("donor_x").alias("x"), F.col("donor_y").alias("y"))
+
+
+# --- pixels ----------------------------------------------------------------------------------------------------------
+
+IMG = PIX + ", img AS (SELECT movie, channel, y, x, avg(intensity) AS v FROM px WHERE frame <= 10 GROUP BY ALL)"
+
+
+def _image(s: SparkSession, d: str) -> DataFrame:
+    return pixels.stack_average(A.vector_pixels(s, d))
+
+
+def _peaks(s: SparkSession, d: str) -> DataFrame:
+    found = pixels.pick_peaks(_image(s, d), 1020.0, 0)
+    return found.withColumn("mol_id", F.row_number().over(Window.partitionBy("movie", "channel").orderBy("y", "x")))
+
+
+PK = IMG + """, nb AS (SELECT *, lag(v) OVER r AS l, lead(v) OVER r AS e, lag(v) OVER c AS u, lead(v) OVER c AS w, max(x) OVER m AS mx FROM img WINDOW r AS (PARTITION BY movie, channel, y ORDER BY x), c AS (PARTITION BY movie, channel, x ORDER BY y), m AS (PARTITION BY movie, channel)),
+pk0 AS (SELECT * FROM nb WHERE v > 1020 AND coalesce(v > l, true) AND coalesce(v > u, true) AND coalesce(v >= e, true) AND coalesce(v >= w, true)),
+pk AS (SELECT movie, channel, x, y, v, row_number() OVER (PARTITION BY movie, channel ORDER BY y, x) AS mol_id FROM pk0),
+hood AS (SELECT p.movie, p.channel, p.mol_id, i.x, i.y, i.v FROM pk p JOIN img i ON i.movie = p.movie AND i.channel = p.channel AND abs(i.x - p.x) <= 1 AND abs(i.y - p.y) <= 1),
+win AS (SELECT *, row_number() OVER (PARTITION BY movie, channel, mol_id ORDER BY v DESC, x, y) AS k FROM hood)"""
+register("k1_split_channels", q(PIX, "SELECT movie, CAST(floor(y / 4) * 2 + floor(x / 4) + 1 AS INTEGER) AS channel, y % 4 AS y, x % 4 AS x, round(avg(intensity), 6) AS v FROM px GROUP BY ALL"))(
+    lambda s, d: pixels.split_channels(A.vector_pixels(s, d), 4, 4, 2).groupBy("movie", "channel", "y", "x").agg(F.avg("intensity").alias("v"))
+)
+register("k2_stack_average", q(IMG, "SELECT movie, channel, y, x, round(v, 6) AS intensity FROM img"))(_image)
+register("k3_block_background", "WITH " + IMG + """, b AS (SELECT *, y // 4 AS "by", x // 4 AS bx FROM img), r AS (SELECT *, row_number() OVER (PARTITION BY movie, channel, "by", bx ORDER BY v, y, x) AS k, count(*) OVER (PARTITION BY movie, channel, "by", bx) AS n FROM b)
+SELECT movie, channel, "by", bx, round(v, 6) AS background FROM r WHERE k = greatest(1, floor(0.167 * n))""")(lambda s, d: pixels.block_background(_image(s, d), 4))
+register("k4_background_noise", "WITH " + PIX + """, l AS (SELECT *, max(frame) OVER (PARTITION BY movie) AS last FROM px), i AS (SELECT movie, y, x, sum(intensity) / count(DISTINCT frame) AS v FROM l WHERE frame BETWEEN last - 11 AND last - 1 GROUP BY ALL),
+q AS (SELECT *, quantile_cont(v, 0.75) OVER (PARTITION BY movie) AS lim FROM i) SELECT movie, round(stddev_samp(v), 6) AS noise FROM q WHERE v <= lim GROUP BY movie""")(lambda s, d: pixels.background_noise(A.vector_pixels(s, d)))
+register("k5_pick_peaks", q(PK, "SELECT movie, channel, x, y, round(v, 6) AS intensity FROM pk"))(lambda s, d: pixels.pick_peaks(_image(s, d), 1020.0, 0))
+register("k6_centroids", "WITH " + PK + """, w AS (SELECT *, v - min(v) OVER (PARTITION BY movie, channel, mol_id) AS wt FROM hood) SELECT movie, channel, mol_id, round(sum(x * wt) / nullif(sum(wt), 0), 6) AS cx, round(sum(y * wt) / nullif(sum(wt), 0), 6) AS cy FROM w GROUP BY ALL""")(lambda s, d: pixels.centroids(_image(s, d), _peaks(s, d)))
+register("k8_move_peaks", q(PK, "SELECT movie, mol_id, 2 AS channel, CAST(floor(x - 3.5 + 1.2 + 3.5 + 0.5) AS INTEGER) AS x, CAST(floor(y - 3.5 - 0.4 + 3.5 + 0.5) AS INTEGER) AS y FROM pk WHERE channel = 1 AND floor(x + 1.7) BETWEEN 1 AND 6 AND floor(y + 0.1) BETWEEN 1 AND 6"))(
+    lambda s, d: pixels.move_peaks(_peaks(s, d).filter("channel = 1"), (1, 0, 1.2, 0, 1, -0.4), 2, 8, 8, 1)
+)
+register("k10_weber_contrast", q(IMG, "SELECT movie, channel, round((avg(v) FILTER (v > 1000) - avg(v) FILTER (v <= 1000)) / nullif(avg(v) FILTER (v <= 1000), 0), 6) AS contrast FROM img GROUP BY ALL"))(lambda s, d: pixels.weber_contrast(_image(s, d), 1000.0))
+register("k12_integration_windows", q(PK, "SELECT movie, channel, mol_id, x, y, k FROM win WHERE k <= 4"))(lambda s, d: pixels.integration_windows(_image(s, d), _peaks(s, d), 1, 4))
+register("k13_window_metrics", "WITH " + PK + """, u AS (SELECT movie, channel, x, y, count(*) AS c FROM win WHERE k <= 4 GROUP BY ALL), a AS (SELECT movie, channel, count(*) FILTER (c > 1) / count(*) AS reused FROM u GROUP BY ALL),
+e AS (SELECT movie, channel, mol_id, sum(v) FILTER (k <= 4) / nullif(sum(v), 0) AS e FROM win GROUP BY ALL), b AS (SELECT movie, channel, avg(e) AS efficiency FROM e GROUP BY ALL) SELECT movie, channel, round(reused, 6) AS reused, round(efficiency, 6) AS efficiency FROM a JOIN b USING (movie, channel)""")(lambda s, d: pixels.window_metrics(_image(s, d), _peaks(s, d), 1, 4))
+register("k14_integrate", q(PK, "SELECT p.movie, mol_id, frame, p.channel, round(sum(intensity), 4) AS value FROM px p JOIN win w ON w.movie = p.movie AND w.channel = p.channel AND w.x = p.x AND w.y = p.y AND k <= 4 GROUP BY ALL"))(
+    lambda s, d: rounded(pixels.integrate(A.vector_pixels(s, d), pixels.integration_windows(_image(s, d), _peaks(s, d), 1, 4)), 4)
+)
+register("k15_demultiplex", q(EV, "SELECT a.dataset, a.trace_id, CAST((a.frame - 1) // 2 + 1 AS INTEGER) AS frame, round(a.donor, 6) AS donor, a.acceptor, b.acceptor AS acceptor_direct FROM pts a JOIN pts b ON b.trace_id = a.trace_id AND b.frame = a.frame + 1 WHERE a.frame % 2 = 1"))(lambda s, d: pixels.demultiplex(A.event_traces(s, d)))
+register("k16_extract")(lambda s, d: pixels.extract(A.vector_pixels(s, d), 1020.0))
+register("k17_particles_by_frame", "WITH " + PIX + """, nb AS (SELECT *, intensity AS v, lag(intensity) OVER r AS l, lead(intensity) OVER r AS e, lag(intensity) OVER c AS u, lead(intensity) OVER c AS w FROM px WINDOW r AS (PARTITION BY movie, frame, channel, y ORDER BY x), c AS (PARTITION BY movie, frame, channel, x ORDER BY y))
+SELECT movie, frame, channel, count(*) AS n FROM nb WHERE v > 1100 AND coalesce(v > l, true) AND coalesce(v > u, true) AND coalesce(v >= e, true) AND coalesce(v >= w, true) GROUP BY ALL""")(lambda s, d: pixels.particles_by_frame(A.vector_pixels(s, d), 1100.0))
+register("k18_in_polygon", q(POS, "SELECT dataset, trace_id AS id FROM pos WHERE donor_y >= 100 AND donor_y < 900 AND donor_x > 50 AND donor_x < 50 + (donor_y - 100) * (850 - 50) / 800.0"))(lambda s, d: pixels.in_polygon(_places(s, d), [(50.0, 100.0), (850.0, 900.0), (50.0, 900.0)]).select("dataset", "id"))
+register("k19_beam", "WITH " + PIX + """, i AS (SELECT movie, y, x, avg(intensity) AS v FROM px WHERE frame <= 100 GROUP BY ALL), q AS (SELECT *, quantile_cont(v, 0.05) OVER (PARTITION BY movie) AS lim FROM i), b AS (SELECT movie, avg(v) AS b FROM q WHERE v <= lim GROUP BY movie),
+w AS (SELECT movie, x, y, v - b AS w FROM i JOIN b USING (movie)) SELECT movie, round(sum(w * x) / sum(w), 6) AS cx, round(sum(w * y) / sum(w), 6) AS cy, round(stddev_samp(w) / avg(w), 6) AS spread FROM w GROUP BY movie""")(lambda s, d: pixels.beam_statistics(A.vector_pixels(s, d)))
+
+# --- kernels: no SQL twin; tests hold them against plain versions -----------------------------------------------------
+
+
+def _three():
+    from lumatrace.operators.kernels import Model
+
+    return Model.of([0.05, 0.25, 0.6], 0.1)
+
+
+register("h1_viterbi")(lambda s, d: _states().assign(A.event_traces(s, d), _three()))
+register("h3_fit_each")(lambda s, d: _states().states_of(_states().fit_each(A.event_traces(s, d), _three())))
+register("h4_fit_jointly")(lambda s, d: _states().fit_jointly(A.event_traces(s, d), _three(), rounds=5)[1])
+register("h6_baum_welch")(lambda s, d: _states().idealize(A.event_traces(s, d), _states().baum_welch(A.event_traces(s, d), _three(), rounds=5)[0], "viterbi"))
+register("h7_donor_alive")(lambda s, d: _states().donor_alive(_bl(s, d)).select(*KEYS, "frame", "alive"))
+register("h11_ensemble_model")(lambda s, d: _states().ensemble_model(_states().fit_each(A.event_traces(s, d), _three())))
+
+
 def picked_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fret histogram of the traces that pass loose criteria."""
     points = _bl(spark, sf_dir)

@@ -31,8 +31,8 @@ POS = """pos AS (SELECT DISTINCT 'events' AS dataset, user_id AS trace_id, CAST(
     '/day' || (user_id % 5) || '/movie.rawtraces#' || user_id AS ids FROM events)"""
 
 PIX = """px0 AS (SELECT CAST(label AS VARCHAR) AS movie, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS frame, embedding FROM embeddings),
-px1 AS (SELECT movie, frame, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS at FROM px0),
-px AS (SELECT movie, frame, CASE WHEN at % 8 < 4 THEN 1 ELSE 2 END AS channel, CAST(at // 8 AS INTEGER) AS y, CAST(at % 8 AS INTEGER) AS x, round(1000 * (1 + CAST(v AS DOUBLE)), 4) AS intensity FROM px1)"""
+px1 AS (SELECT movie, frame, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS cell FROM px0),
+px AS (SELECT movie, frame, CASE WHEN cell % 8 < 4 THEN 1 ELSE 2 END AS channel, CAST(cell // 8 AS INTEGER) AS y, CAST(cell % 8 AS INTEGER) AS x, round(1000 * (1 + CAST(v AS DOUBLE)), 4) AS intensity FROM px1)"""
 
 LIFE = """lm AS (SELECT *, median(total) OVER (PARTITION BY trace_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS med FROM blt),
 lg AS (SELECT *, coalesce((lead(med) OVER w - lag(med) OVER w) / 2, lead(med) OVER w - med, med - lag(med) OVER w, 0) AS g FROM lm WINDOW w AS (PARTITION BY trace_id ORDER BY frame)),
