@@ -19,6 +19,10 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Odd-sketch estimates carry sampling error; pairs within this much below the threshold still get the exact check.
 MARGIN = 0.15
+#: Keys with up to this many rows compare their components pair by pair; larger ones in blocks.
+SMALL_KEY = 32
+#: Shingles that one block of a large key's members holds.
+BLOCK_SHINGLES = 200_000
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +100,76 @@ def _confirm(percent: int):
     return run
 
 
+def _across_blocks(percent: int):
+    """Two blocks of members (rep, part, odd, shingles) -> a link for every two of their parts that hold one.
+
+    Sketches are compared all at once; only what they leave is intersected, against the other block's sets together.
+    """
+    most = most_differing_bits(percent / 100 - MARGIN)
+
+    def links(one: list[dict], two: list[dict]) -> Iterator[tuple[int, int]]:
+        a, b = (np.array([m["odd"] for m in side], np.int64).view(np.uint64) for side in (one, two))
+        sets = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (one, two)]
+        size = np.array([len(x) for x in sets[1]])
+        owner, every = np.repeat(np.arange(len(two)), size), np.concatenate(sets[1])
+        parts = np.array([m["part"] for m in two])
+        joined: dict[int, int] = {}
+
+        def root(p: int) -> int:
+            while p in joined:
+                p = joined[p]
+            return p
+
+        for i, m in enumerate(one):
+            near = np.bitwise_count(a[i][None, :] ^ b).sum(axis=1) <= most
+            near &= (100 * np.minimum(size, len(sets[0][i])) >= percent * np.maximum(size, len(sets[0][i]))) & (parts != m["part"])
+            near[near] = [root(int(p)) != root(m["part"]) for p in parts[near]]
+            if not near.any():
+                continue
+            s = sets[0][i]
+            rows = near[owner]
+            values, whose = every[rows], owner[rows]
+            hit = s[np.minimum(np.searchsorted(s, values), len(s) - 1)] == values
+            common = np.bincount(whose, hit, len(two)).astype(np.int64)
+            for j in np.flatnonzero(near & (100 * common >= percent * (size + len(s) - common))):
+                if (p := root(int(parts[j]))) != (q := root(m["part"])):
+                    joined[p] = q
+                    yield m["rep"], two[j]["rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                found = list(links(one.as_py(), two.as_py()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(map(min, found), pa.int64()), pa.array(map(max, found), pa.int64())], names=["src", "dst"])
+
+    return run
+
+
+def _large_keys(placed: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between components within large keys. placed: (key, rep, part) of those keys.
+
+    Members that large keys connect are dealt into blocks of bounded size, by component; small components share blocks.
+    Only blocks of different components (or shared ones) meet, so what one large component holds is never compared
+    within itself, no pair of members is ever a row, and no task holds more than two blocks.
+    """
+    hub = placed.groupBy("key").agg(F.min("rep").alias("hub"))
+    group = connected_components(placed.join(hub, "key").select(F.col("hub").alias("src"), F.col("rep").alias("dst")))
+    members = placed.select("rep", "part").distinct().join(group.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("component", "grp")
+    members = materialize(members, "large")
+    sets = keep_by_id(texts, members.select(F.col("rep").alias("doc_id")), "left_semi").mapInArrow(_sets(n), "doc_id long, shingles binary")
+    whole = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
+    whole = materialize(whole.withColumn("weight", F.octet_length("shingles") / 8), "large_sets")
+    heavy = whole.groupBy("grp", "part").agg(F.sum("weight").alias("w")).withColumn("own", F.when(F.col("w") >= BLOCK_SHINGLES // 4, F.col("part")).otherwise(-1))
+    lots = heavy.groupBy("grp", "own").agg(F.ceil(F.sum("w") / BLOCK_SHINGLES).alias("lots"))
+    dealt = whole.join(heavy.select("grp", "part", "own"), ["grp", "part"]).join(lots, ["grp", "own"])
+    blocks = dealt.withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots"))).groupBy("grp", "own", "lot").agg(F.collect_list(F.struct("rep", "part", "odd", "shingles")).alias("one"))
+    blocks = materialize(blocks, "blocks")
+    other = blocks.select("grp", F.col("own").alias("own2"), F.col("lot").alias("lot2"), F.col("one").alias("two"))
+    meet = (F.col("own") < F.col("own2")) | ((F.col("own") == -1) & (F.col("own2") == -1) & (F.col("lot") <= F.col("lot2")))
+    return blocks.join(other, "grp").filter(meet).select("one", "two").repartition(blocks.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_across_blocks(percent), "src long, dst long")
+
+
 def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Candidate pairs (src, dst) -> confirmed links: odd sketches first, then the full sets of what is left."""
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
@@ -120,7 +194,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     linked with nothing; so is a row without doc_id, whose component_id is null and which is kept. Texts with the
     same set form one class and only its smallest id takes part in the search, so that exact copies cost one
     aggregation. Classes that share a band key are compared with two hubs of that key, never all with all; what
-    hubs leave in different components within a key is then compared across those components alone.
+    hubs leave in different components within a key is then compared across those components alone, in small keys pair
+    by pair, in large ones block by block.
     """
     texts = docs.select("doc_id", utf8("text").alias("body"))
     signed = materialize(texts.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_digest binary, bands array<long>, odd array<long>"), "signatures")
@@ -137,12 +212,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     # Within a key, compare across the components that are left; pairs that the stars have judged are not judged again.
     placed = members.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
-    placed = materialize(placed.join(split, "key", "left_semi"), "placed")
-    other = placed.select("key", F.col("rep").alias("other"), F.col("part").alias("other_part"))
-    across = placed.join(other, "key").filter("part < other_part").select(*_ordered("rep", "other")).distinct()
+    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p != q").select("key", "n")
+    placed = materialize(placed.join(split, "key"), "placed")
+    small = placed.filter(F.col("n") <= SMALL_KEY)
+    other = small.select("key", F.col("rep").alias("other"), F.col("part").alias("other_part"))
+    across = small.join(other, "key").filter("part < other_part").select(*_ordered("rep", "other")).distinct()
     across = across.join(stars, ["src", "dst"], "left_anti")
-    more = materialize(_verify(across, sketches, texts, shingle_words, percent), "links")
+    more = _verify(across, sketches, texts, shingle_words, percent)
+    large = placed.filter(F.col("n") > SMALL_KEY).select("key", "rep", "part")
+    if large.limit(1).count():
+        more = more.union(_large_keys(large, sketches, texts, shingle_words, percent))
+    more = materialize(more, "links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
 
