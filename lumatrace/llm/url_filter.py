@@ -80,7 +80,7 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEED_WORD
     word). Learning: distinct hosts with a seed among their words are examples of block, all others of allow; their
     words and the words of their paths are counted, by class, over all pages, add-one smoothed. Only columns page_id,
     url and html (if there) are read; null or odd urls have an empty host and path, no words, the prior's score, and
-    are allowed. Repeated rows are judged alike.
+    are allowed. Words of one or two letters, numbers and a few parts of any host name don't count. Repeated rows are judged alike.
     """
     host, path = host_and_path()
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -104,10 +104,11 @@ def judge_urls(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEED_WORD
     own = hosts.select("host").distinct().select("host", F.posexplode(F.split("host", r"[.\-_:]")).alias("at", "label")).join(split, "label").select("host", F.explode("words").alias("word"))
     own = materialize(own, "host_words")
     shared = ["www", "m", "blog", "com", "org", "net"]  # parts of names that say nothing about content
-    own_said = own.filter(~F.col("word").isin(shared))
+    telling = (F.length("word") >= 3) & ~F.col("word").isin(shared)  # shorter ones are languages and the like
+    own_said = own.filter(telling)
     marked = own_said.join(F.broadcast(seed_table), "word", "left_semi").select("host").distinct().withColumn("bad", F.lit(1))
     classes = hosts.select("host").distinct().filter("host != ''").join(marked, "host", "left").select("host", F.coalesce("bad", F.lit(0)).alias("bad"))
-    tokens = own_said.select("host", "word").union(hosts.select("host", F.explode(_pieces(F.col("path"))).alias("word")).filter("not word rlike '^[0-9]+$'"))
+    tokens = own_said.select("host", "word").union(hosts.select("host", F.explode(_pieces(F.col("path"))).alias("word")).filter(telling & ~F.col("word").rlike("^[0-9]+$")))
     seen = tokens.join(classes, "host").groupBy("word").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("a"))
     seen = materialize(seen, "token_counts")
     total_b, total_a, v = seen.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
