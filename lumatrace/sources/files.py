@@ -180,7 +180,8 @@ def concatenated(pixels: DataFrame, movie: str) -> DataFrame:
 
 def selection_list(spark: SparkSession, path: str) -> DataFrame:
     """trace_id of each number in a space-separated text file."""
-    return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).cast("long").alias("trace_id")).filter("trace_id is not null")
+    words = spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("word")).filter(F.col("word").rlike("^[0-9]+$"))
+    return words.select(F.col("word").cast("long").alias("trace_id"))
 
 
 def wide_text(points: DataFrame, columns: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
