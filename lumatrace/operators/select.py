@@ -150,3 +150,46 @@ def labelled(traces: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 def not_done(inputs: DataFrame, done: DataFrame, key: str = "dataset") -> DataFrame:
     return inputs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def below_order_statistic(stats: DataFrame, column: str, share: float = 0.99) -> DataFrame:
+    """Rows whose statistic is below the dataset's sorted value at `share` of its length."""
+    ranked = stats.groupBy("dataset").agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").alias("__lim"))
+    return stats.join(F.broadcast(ranked), "dataset").filter(F.col(column) < F.col("__lim")).drop("__lim")
+
+
+def dye_filter(stats: DataFrame, events: DataFrame, most_background: float, least_snr: float = 10.0) -> DataFrame:
+    """Single dyes: low background, intensity and noise ratio below their 99th percentiles, no overlap, and a number of
+    transitions (events: keys, events) above 0 and below mean plus two standard deviations."""
+    calm = below_order_statistic(below_order_statistic(stats.filter((F.col("bg") < most_background) & (F.col("overlap") == 0)), "t"), "snr_s").filter(F.col("snr") > least_snr)
+    df = calm.join(events.select(*KEYS, "events"), KEYS)
+    m = df.groupBy("dataset").agg((F.avg("events") + 2 * F.stddev_samp("events")).alias("__lim"))
+    return df.join(F.broadcast(m), "dataset").filter((F.col("events") > 0) & (F.col("events") < F.col("__lim"))).drop("__lim")
+
+
+def fit_circles(edges: DataFrame, by: list[str], samples: int = 200, within: float = 12.0, least: int = 10, radius: tuple[float, float] = (205.0, 280.0)) -> DataFrame:
+    """The circle through three edge points (by, id, x, y) with the most points near it: (by, cx, cy, r, inliers).
+
+    Triples are drawn by hash: every sample number picks, of each group's points, the three with the least hashes. The
+    edge points of one field are few; samples are a fixed number.
+    """
+    draws = edges.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("h", F.xxhash64("id", "s"))
+    three = draws.groupBy(*by, "s").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x", "y"))), 1, 3).alias("p")).filter(F.size("p") == 3)
+    x1, y1, x2, y2, x3, y3 = (F.col("p")[i][c] for i in range(3) for c in ("x", "y"))
+    d = 2 * (x1 * (y2 - y3) + x2 * (y3 - y1) + x3 * (y1 - y2))
+    s1, s2, s3 = x1 * x1 + y1 * y1, x2 * x2 + y2 * y2, x3 * x3 + y3 * y3
+    circles = three.select(*by, "s", F.try_divide(s1 * (y2 - y3) + s2 * (y3 - y1) + s3 * (y1 - y2), d).alias("cx"), F.try_divide(s1 * (x3 - x2) + s2 * (x1 - x3) + s3 * (x2 - x1), d).alias("cy"), x1.alias("x1"), y1.alias("y1"))
+    circles = circles.withColumn("r", F.hypot(F.col("x1") - F.col("cx"), F.col("y1") - F.col("cy"))).filter(F.col("r").between(*radius)).drop("x1", "y1")
+    near = F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r")) <= within
+    scored = edges.join(circles, by).groupBy(*by, "s", "cx", "cy", "r").agg(F.count_if(near).alias("inliers")).filter(F.col("inliers") >= least)
+    return scored.groupBy(*by).agg(F.max_by(F.struct("cx", "cy", "r", "inliers"), F.struct("inliers", -F.col("s"))).alias("c")).select(*by, "c.*")
+
+
+def spot_edges(places: DataFrame, cell: float = 16.0, least: int = 1) -> DataFrame:
+    """Grid cells that hold molecules beside one that holds none, as edge points: (dataset, id, x, y)."""
+    cx, cy = F.floor(F.col("donor_x") / cell), F.floor(F.col("donor_y") / cell)
+    full = places.groupBy("dataset", cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    sides = full.select("dataset", "cx", "cy", F.explode(steps).alias("s")).select("dataset", F.col("cx").alias("ox"), F.col("cy").alias("oy"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    open_ = sides.join(full.select("dataset", "cx", "cy"), ["dataset", "cx", "cy"], "left_anti").select("dataset", F.col("ox").alias("cx"), F.col("oy").alias("cy")).distinct()
+    return open_.select("dataset", (F.col("cx") * 100_000 + F.col("cy")).cast("long").alias("id"), ((F.col("cx") + 0.5) * cell).alias("x"), ((F.col("cy") + 0.5) * cell).alias("y"))

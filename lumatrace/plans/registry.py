@@ -12,6 +12,7 @@ from lumatrace.operators import combine, correct, dwell, ensemble, pixels, proje
 from lumatrace.plans.sql import BL, DW, EMB, EV, IDL, LIFE, PIX, POS, STAT_NAMES, STATS, q
 from lumatrace.schema import CRITERIA, KEYS
 from lumatrace.sources import adapters as A
+from lumatrace.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,6 +497,82 @@ register("h7_donor_alive")(lambda s, d: _states().donor_alive(_bl(s, d)).select(
 register("h11_ensemble_model")(lambda s, d: _states().ensemble_model(_states().fit_each(A.event_traces(s, d), _three())))
 
 
+# --- exports, joins with companions, further corrections and filters --------------------------------------------------
+
+register("a9_companions", """WITH t AS (SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN 'a' || vec_id || '.traces' ELSE 'a' || vec_id || '.rawtraces' END AS path, vec_id FROM embeddings)
+SELECT path, CASE WHEN vec_id % 3 = 0 THEN 'a' || vec_id || '.qub.dwt' WHEN vec_id % 5 = 0 THEN 'a' || vec_id || '.dwt' END AS dwell_path FROM t""")(lambda s, d: _companions(s, d))
+register("a11_wide_text", q(EV, """SELECT frame, round(max(CASE WHEN trace_id = 1 THEN donor END), 6) AS "1_donor", max(CASE WHEN trace_id = 1 THEN fret END) AS "1_fret", round(max(CASE WHEN trace_id = 2 THEN donor END), 6) AS "2_donor", max(CASE WHEN trace_id = 2 THEN fret END) AS "2_fret"
+FROM pts WHERE trace_id IN (1, 2) GROUP BY frame"""))(lambda s, d: files.wide_text(A.event_traces(s, d).filter("trace_id in (1, 2)"), ("donor", "fret")))
+register("a12_clipped_lines", q(EV, "SELECT trace_id, frame, CAST(CAST(round(greatest(-0.5, least(1, fret)) * 1000000) AS BIGINT) AS VARCHAR) AS line FROM pts WHERE fret > 0.001"))(
+    lambda s, d: A.event_traces(s, d).filter("fret > 0.001").select("trace_id", "frame", F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.0), F.col("fret"))) * 1_000_000).cast("long").cast("string").alias("line"))
+)
+register("a16_selection_list", q(POS, "SELECT dataset, trace_id FROM pos WHERE trace_id IN (1, 3, 4)"))(lambda s, d: A.positioned(A.event_traces(s, d)).join(s.createDataFrame([(1,), (3,), (4,)], "trace_id long"), "trace_id", "left_semi").select(*KEYS))
+register("c12_dye_filter", "WITH " + STATS + """, e AS (SELECT *, CASE WHEN lag(fret >= 0.3) OVER (PARTITION BY trace_id ORDER BY frame) <> (fret >= 0.3) THEN 1 ELSE 0 END AS x FROM bl), ev AS (SELECT trace_id, sum(x) AS events FROM e GROUP BY trace_id),
+s1 AS (SELECT * FROM stats WHERE bg < 100 AND overlap = 0), s2 AS (SELECT * FROM s1 WHERE t < (SELECT quantile_disc(t, 0.99) FROM s1)), s3 AS (SELECT * FROM s2 WHERE snr_s < (SELECT quantile_disc(snr_s, 0.99) FROM s2) AND snr > 1),
+f AS (SELECT * FROM s3 JOIN ev USING (trace_id)) SELECT dataset, trace_id, CAST(events AS BIGINT) AS events FROM f WHERE events > 0 AND events < (SELECT avg(events) + 2 * stddev_samp(events) FROM f)""")(lambda s, d: _dyes(s, d))
+register("c14_review_bins", q(EV, "SELECT bin, dataset, trace_id, frame FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0)) b(bin, r) ON trace_id % 3 = r WHERE frame <= 5"))(
+    lambda s, d: A.event_traces(s, d).filter("frame <= 5").withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0)], "bin string, r long")), "r").select("bin", *KEYS, "frame")
+)
+register("c19_not_done", q(EMB, "SELECT DISTINCT dataset FROM emb WHERE dataset NOT IN ('1', '2', '3')"))(lambda s, d: select.not_done(A.vector_traces(s, d).select("dataset").distinct(), s.createDataFrame([("1",), ("2",), ("3",)], "dataset string")))
+register("c18_fit_circles")(lambda s, d: select.fit_circles(select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0), ["dataset"], 100, 60.0, 3, (100.0, 900.0)))
+register("k20_spot_edges", "WITH " + POS + """, c AS (SELECT DISTINCT CAST(floor(donor_x / 64) AS BIGINT) AS cx, CAST(floor(donor_y / 64) AS BIGINT) AS cy FROM pos)
+SELECT 'events' AS dataset, cx * 100000 + cy AS id, (cx + 0.5) * 64 AS x, (cy + 0.5) * 64 AS y FROM c a WHERE (SELECT count(*) FROM c b WHERE abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1) < 4""")(lambda s, d: select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0))
+register("d2_combine_states", "WITH " + IDL + """, m AS (SELECT dataset, trace_id, max(frame) AS mx FROM idl GROUP BY ALL)
+SELECT dataset, trace_id, frame, state FROM idl WHERE frame <= 40 UNION ALL SELECT dataset, trace_id, CAST(f AS INTEGER), 0 FROM (SELECT *, unnest(generate_series(mx + 1, 40)) AS f FROM m WHERE mx < 40)""")(
+    lambda s, d: combine.with_states(_idl(s, d).select(*KEYS).distinct().withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(40)))), _idl(s, d)).select(*KEYS, "frame", "state")
+)
+register("d7_closest", "WITH " + POS + """, c AS (SELECT a.dataset, a.trace_id AS id, b.donor_x AS tx, b.donor_y AS ty, sqrt((a.donor_x + 5 - b.donor_x) ** 2 + (a.donor_y - 3 - b.donor_y) ** 2) AS d FROM pos a JOIN pos b ON sqrt((a.donor_x + 5 - b.donor_x) ** 2 + (a.donor_y - 3 - b.donor_y) ** 2) <= 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tx, ty) AS k FROM c) SELECT dataset, id, tx, ty, round(d, 6) AS d FROM r WHERE k = 1""")(
+    lambda s, d: pixels.closest(_places(s, d).withColumns({"x": F.col("x") + 5, "y": F.col("y") - 3}), _places(s, d), 30.0, ["dataset"]).select("dataset", "id", "tx", "ty", "d")
+)
+register("d9_parameter_lookup", "WITH " + EV + ", " + POS + " SELECT p.dataset, p.trace_id, frame, round(acceptor - donor_x / 10000 * donor, 6) AS acceptor FROM pts p JOIN pos USING (trace_id)")(
+    lambda s, d: A.event_traces(s, d).join(A.positioned(A.event_traces(s, d)).select(*KEYS, "donor_x"), KEYS).select(*KEYS, "frame", (F.col("acceptor") - F.col("donor_x") / 10000 * F.col("donor")).alias("acceptor"))
+)
+register("f11_dwell_covariance", "WITH " + DW + """, c AS (SELECT dataset, trace_id, dwell_no, n_frames - avg(n_frames) OVER (PARTITION BY trace_id) AS x FROM dw), l AS (SELECT unnest(generate_series(0, 5)) AS lag),
+p AS (SELECT a.dataset, a.trace_id, CAST(lag AS INTEGER) AS lag, sum(a.x * b.x) AS s FROM c a, l, c b WHERE a.trace_id = b.trace_id AND b.dwell_no = a.dwell_no + lag GROUP BY ALL)
+SELECT dataset, trace_id, lag, round(s / nullif(max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY trace_id), 0), 6) AS value FROM p""")(lambda s, d: seq.autocovariance(_dw(s, d).withColumn("n_frames", F.col("n_frames").cast("double")), "dwell_no", "n_frames", 5))
+register("g7_scale_acceptor", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(0.8 * acceptor / nullif(1.1 * donor + 0.8 * acceptor, 0), 0) END, 6) AS fret FROM pts"))(
+    lambda s, d: correct.recompute_fret(correct.rescale(A.event_traces(s, d), {}, {"donor": 1.1, "acceptor": 0.8})).select(*KEYS, "frame", "fret")
+)
+register("g9_flat_field")(lambda s, d: s.createDataFrame([tuple(correct.flat_field(_bl(s, d), _bl_places(s, d)))], "c0 double, cx double, cy double, cxx double, cxy double, cyy double"))
+register("g10_apply_flat_field", "WITH " + EV + ", " + POS + """, r AS (SELECT p.*, acceptor / (1 + 0.2 * donor_x / 1000 - 0.1 * donor_y / 1000 + 0.05 * (donor_x / 1000) * (donor_y / 1000)) AS a FROM pts p JOIN pos USING (trace_id))
+SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(a / nullif(donor + a, 0), 0) END, 6) AS fret FROM r""")(
+    lambda s, d: correct.apply_flat_field(A.event_traces(s, d), A.positioned(A.event_traces(s, d)), [1.0, 0.2, -0.1, 0.0, 0.05, 0.0]).select(*KEYS, "frame", "fret")
+)
+register("g12_reviewed_adjustments", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN trace_id % 4 = 0 THEN acceptor * 1.2 ELSE acceptor END, 6) AS acceptor FROM pts"))(
+    lambda s, d: A.event_traces(s, d).withColumn("adjusted", F.col("trace_id") % 4 == 0).select(*KEYS, "frame", F.when(F.col("adjusted"), F.col("acceptor") * 1.2).otherwise(F.col("acceptor")).alias("acceptor"))
+)
+register("i3_with_empty", q(DW, "SELECT p.dataset, p.trace_id, count(state) AS n FROM (SELECT DISTINCT dataset, trace_id FROM pts) p LEFT JOIN (SELECT * FROM dw WHERE state = 3) USING (dataset, trace_id) GROUP BY ALL"))(
+    lambda s, d: dwell.with_empty(_dw(s, d).filter("state = 3"), A.event_traces(s, d).select(*KEYS).distinct()).groupBy(*KEYS).agg(F.count("state").alias("n"))
+)
+register("j8_fluorescence_correlation", "WITH " + EV + """, o AS (SELECT *, fret > 0.01 AS hi FROM pts WHERE frame <= 100), a AS (SELECT *, hi AND coalesce(lag(hi) OVER w, true) AND coalesce(lead(hi) OVER w, true) AS alive FROM o WINDOW w AS (PARTITION BY trace_id ORDER BY frame)),
+k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame) AS i, count(*) OVER (PARTITION BY trace_id) AS n FROM a WHERE alive), c AS (SELECT trace_id, i, donor - avg(donor) OVER t AS a, acceptor - avg(acceptor) OVER t AS b FROM k WHERE n >= 40 WINDOW t AS (PARTITION BY trace_id)),
+m AS (SELECT trace_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM c GROUP BY trace_id), l AS (SELECT unnest(generate_series(0, 10)) AS lag), p AS (SELECT y.trace_id, CAST(lag AS INTEGER) AS lag, sum(x.a * y.b) AS s FROM c y, l, c x WHERE x.trace_id = y.trace_id AND x.i = y.i + lag GROUP BY ALL)
+SELECT 'events' AS dataset, lag, round(avg(s / nullif(norm, 0)), 6) AS value, count(s / nullif(norm, 0)) AS n FROM p JOIN m USING (trace_id) GROUP BY lag""")(lambda s, d: ensemble.fluorescence_correlation(A.event_traces(s, d), 0.01, 100, 40, 10))
+register("u4_common_prefix", q(POS, "SELECT DISTINCT split_part(ids, '#', 1) AS path, split_part(split_part(ids, '#', 1), '/', 3) AS file FROM pos"))(
+    lambda s, d: A.positioned(A.event_traces(s, d)).select(F.split_part("ids", F.lit("#"), F.lit(1)).alias("path")).distinct().withColumn("file", F.split_part("path", F.lit("/"), F.lit(3)))
+)
+
+
+def _companions(s: SparkSession, d: str) -> DataFrame:
+    ids = s.read.parquet(f"{d.rstrip('/')}/embeddings.parquet").select("vec_id").distinct()
+    n = F.col("vec_id")
+    name = lambda end: F.concat(F.lit("a"), n, F.lit(end))
+    traces = ids.select(F.when(n % 2 == 0, name(".traces")).otherwise(name(".rawtraces")).alias("path"))
+    found = ids.filter(n % 3 == 0).select(name(".qub.dwt").alias("path")).union(ids.filter(n % 5 == 0).select(name(".dwt")))
+    return files.with_companions(traces, found)
+
+
+def _dyes(s: SparkSession, d: str) -> DataFrame:
+    changed = F.lag(F.col("fret") >= 0.3).over(seq.by_frame()) != (F.col("fret") >= 0.3)
+    events = _bl(s, d).withColumn("x", F.coalesce(changed.cast("int"), F.lit(0))).groupBy(*KEYS).agg(F.sum("x").alias("events"))
+    return select.dye_filter(stats.trace_stats(_bl(s, d)), events, 100.0, 1.0).select(*KEYS, "events")
+
+
+def _bl_places(s: SparkSession, d: str) -> DataFrame:
+    return A.positioned(_bl(s, d))
+
+
 def picked_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fret histogram of the traces that pass loose criteria."""
     points = _bl(spark, sf_dir)
