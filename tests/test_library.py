@@ -234,3 +234,33 @@ def test_delivery_and_summary(spark):
     s = pipelines.summary(df, out["states"], 40.0)
     assert abs(s["contour"].filter("frame = 1").agg(F.sum("share")).first()[0] - 1) < 1e-9
     assert isinstance(s["rates"].toPandas(), pd.DataFrame)
+
+
+def test_circle_through_edge_points(spark):
+    rng = np.random.default_rng(9)
+    a = rng.random(40) * 2 * np.pi
+    rows = [("d", i, 500 + 240 * float(np.cos(t)), 480 + 240 * float(np.sin(t))) for i, t in enumerate(a)] + [("d", 100 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((12, 2)) * 1000)]
+    got = select.fit_circles(spark.createDataFrame(rows, "dataset string, id long, x double, y double"), ["dataset"], 200).first()
+    assert abs(got.cx - 500) < 3 and abs(got.cy - 480) < 3 and abs(got.r - 240) < 3 and got.inliers >= 40
+
+
+def test_flat_field_is_recovered(spark):
+    rng, c = np.random.default_rng(10), [1.0, 0.3, -0.2, 0.1, 0.05, -0.1]
+    xy = rng.random((80, 2)) * 1000
+    r = [c[0] + c[1] * x + c[2] * y + c[3] * x * x + c[4] * x * y + c[5] * y * y for x, y in xy / 1000]
+    df = spark.createDataFrame([("d", i, k + 1, 100.0, 100.0 * float(v), float(v / (1 + v))) for i, v in enumerate(r) for k in range(25)], "dataset string, trace_id long, frame int, donor double, acceptor double, fret double")
+    places = spark.createDataFrame([("d", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "dataset string, trace_id long, donor_x double, donor_y double")
+    assert np.allclose(np.array(correct.flat_field(df, places)) * np.mean(r), c, atol=1e-6)
+
+
+def test_extraction(spark):
+    rows = []
+    for f in range(1, 13):
+        for y in range(9):
+            for x in range(18):
+                v = 10.0
+                if (x, y) in ((4, 4), (13, 4)):
+                    v = 100.0 if x < 9 else 60.0 + f
+                rows.append(("m", f, 1 if x < 9 else 2, y, x, v))
+    got = pixels.extract(spark.createDataFrame(rows, "movie string, frame int, channel int, y int, x int, intensity double"), 50.0, 1, 4, 2).orderBy("frame").toPandas()
+    assert len(got) == 12 and got["donor"].tolist() == [130.0] * 12 and got["acceptor"].tolist() == [90.0 + f for f in range(1, 13)]
