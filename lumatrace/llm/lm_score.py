@@ -196,8 +196,9 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     kept = words.filter("n > 1").select("key", "n")
     table = None
     if repeated <= BROADCAST_WORDS:
-        own = kept.toPandas()
-        table = _Counts(own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64))
+        own = kept.toArrow()
+        table = _Counts(own["key"].to_numpy(), own["n"].to_numpy())
+        del own
     else:
         texts = _with_counts(texts, kept)
     sent = spark.sparkContext.broadcast((frequent, dense, table))
