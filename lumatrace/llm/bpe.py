@@ -31,7 +31,7 @@ class MonoidBpe:
     #: Pieces up to this many bytes are merged directly.
     LEAF = 24
     #: Remembered pieces and pairs; both are forgotten beyond this, so that memory stays bounded.
-    MOST = 600_000
+    MOST = 400_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks

@@ -26,7 +26,7 @@ class Counter(dict):
     """word -> entry. Counts tokens of a byte-level BPE file (.json): merges, added tokens, and the words proven whole."""
 
     #: Remembered words; forgotten beyond this, so that memory stays bounded.
-    MOST = 1_000_000
+    MOST = 600_000
 
     def __init__(self, path: str, whole: frozenset[str] | None = None):
         with open(path, encoding="utf-8") as f:
