@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: NN-descent over tight balls of vectors, an audit of its recall, and exact threshold links."""
+"""Near-duplicate embeddings: tight balls of vectors, all pairs of balls that may link, and exact threshold links."""
 
 from __future__ import annotations
 
@@ -7,19 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumatrace.llm.common import materialize
 from lumatrace.llm.graph import connected_components
 
-#: Neighbours that a list starts with, tables of the first guess, rows of a block compared with each other.
-NEIGHBOURS, TABLES, BLOCK = 8, 8, 192
+#: Pivots that balls are dealt to, bytes of one block's vectors in single precision, rows compared with a block at once.
+PIVOTS, BLOCK_BYTES, STRIP = 1000, 8 << 20, 512
 #: Rounds in which balls that different codes parted are merged again.
 MERGES = 5
 #: Angles are computed to about 1e-8; bounds built on them leave this much.
 SLACK = 1e-6
-AUDIT_ROWS, AUDIT_RECALL, MOST_ROUNDS = 500, 0.97, 6
 
 
 def _planes(dim: int, table: int, bits: int) -> np.ndarray:
@@ -166,146 +165,91 @@ def _balls(units: DataFrame, close: float) -> tuple[DataFrame, DataFrame]:
     return members.select("vec_id", "rep"), materialize(units.select(F.col("vec_id").alias("rep"), "dim", "v").join(sizes, "rep"), "reps")
 
 
-def _floors(reach: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Least cosine at which two balls may hold a link; reach: half the threshold's angle plus the ball's radius."""
-    return np.cos(np.minimum(np.pi, reach[:, None] + other[None, :] + SLACK)) - 1e-5
+def _floors(reach: np.ndarray, other: np.ndarray, dim: int) -> np.ndarray:
+    """Least cosine at which two balls may hold a link, less the rounding of single precision; reach: half the threshold's angle plus the ball's radius."""
+    return np.cos(np.minimum(np.pi, reach[:, None] + other[None, :] + SLACK)) - max(1e-5, 1.2e-7 * dim)
 
 
-def _top(ids: np.ndarray, reach: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Of a block's cosine matrix: each row's k best others, and all others that may link."""
-    np.fill_diagonal(cosine, -2)
-    k = min(k, len(ids) - 1)
-    near = cosine >= _floors(reach, reach)
-    keep = near.copy()
-    np.put_along_axis(keep, np.argpartition(-cosine, k - 1, axis=1)[:, :k], True, axis=1)
-    keep &= cosine > -2
-    r, c = np.nonzero(keep)
-    return ids[r], ids[c], cosine[r, c], near[r, c]
+_PLACED = "rep long, cell int, reach double, span double, v binary"
 
 
-_EDGE = "u long, w long, c double, near boolean"
+def _place(pivots: dict[int, tuple[int, np.ndarray]], alone: dict[int, int]):
+    """Each ball to the cell of its nearest pivot; span: the angle from there within which a partner's pivot's span must come."""
 
-
-def _edge_table(parts: list[tuple]) -> pa.Table:
-    kinds = (np.int64, np.int64, np.float64, bool)
-    return pa.table({n: (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, t)).astype(t) for i, (n, t) in enumerate(zip("u w c near".split(), kinds, strict=True))})
-
-
-def _deal(tables: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, ids, reach = batch.column("dim").to_numpy(), batch.column("rep").to_numpy(), batch.column("reach").to_numpy()
+            dims, reach = batch.column("dim").to_numpy(), batch.column("reach").to_numpy()
+            cell, span = np.zeros(len(batch), np.int32), np.full(len(batch), 2 * np.pi)
             for rows in _by_dim(dims):
-                x = _matrix(batch.column("v"), rows)
-                short = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
-                for t in tables:
-                    key = (np.int64(t) << 40) + (np.int64(x.shape[1] % 4096) << 28) + _codes(x, t, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[rows]), pa.array(reach[rows]), short], names=["key", "rep", "reach", "v"])
+                d = int(dims[rows[0]])
+                if d in pivots:
+                    first, vectors = pivots[d]
+                    x = _matrix(batch.column("v"), rows)
+                    best = (x @ vectors.T).argmax(axis=1)
+                    cell[rows], span[rows] = first + best, _angles(x, vectors[best]) + reach[rows]
+                else:
+                    cell[rows] = alone[d]
+            short = [np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(cell), pa.array(reach), pa.array(span), pa.array(short, pa.binary())], names=["rep", "cell", "reach", "span", "v"])
 
     return run
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Within each key, in blocks of rows that project alike: every row's best others of its block."""
-    keys, ids, reach = (table.column(c).to_numpy() for c in ("key", "rep", "reach"))
-    sizes, out = np.array([len(b) for b in table.column("v").to_pylist()]), []
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        x = _matrix(table.column("v"), rows, np.float32)
-        side = x @ _planes(x.shape[1], 999, 1)[:, 0].astype(np.float32)
-        order = np.lexsort((ids[rows], side, keys[rows]))
-        for part in np.split(order, np.flatnonzero(np.diff(keys[rows][order])) + 1):
-            for i in range(0, len(part), BLOCK):
-                p = part[i : i + BLOCK]
-                if len(p) > 1:
-                    out.append(_top(ids[rows[p]], reach[rows[p]], x[p] @ x[p].T, NEIGHBOURS))
-    return _edge_table(out)
-
-
-def _local_join(table: pa.Table) -> pa.Table:
-    """At each node, its neighbours meet: pairs that would enter either one's list, or that may link."""
-    table = table.sort_by("at")
-    at, ids, worst, reach = (table.column(c).to_numpy() for c in ("at", "rep", "worst", "reach"))
-    values, out = table.column("v").to_pylist(), []
-    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
-        if len(part) > 1:
-            x = np.frombuffer(b"".join([values[i] for i in part]), np.float32).reshape(len(part), -1)
-            c = x @ x.T
-            np.fill_diagonal(c, -2)
-            near = c >= _floors(reach[part], reach[part])
-            r, s = np.nonzero((c > worst[part][:, None] + 1e-6) | near)
-            keep = c[r, s] > -2
-            r, s = r[keep], s[keep]
-            out.append((ids[part[r]], ids[part[s]], c[r, s], near[r, s]))
-    return _edge_table(out)
-
-
-def _best(edges: DataFrame) -> DataFrame:
-    """Each node's NEIGHBOURS best; a list whose entries may all link grows until it holds every one that may."""
-    each = edges.groupBy("u", "w").agg(F.max("c").alias("c"), F.max("near").alias("near"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), "w"))
-    return each.withColumn("rank", rank).filter((F.col("rank") <= NEIGHBOURS) | F.col("near"))
-
-
-def _round(graph: DataFrame, reps: DataFrame, number: int, shards: int) -> DataFrame:
-    """One NN-descent step: forward and reverse neighbours of every node meet there. Long lists send a share by turns."""
-    worst = graph.groupBy("u").agg(F.min(F.when(F.col("rank") <= NEIGHBOURS, F.col("c"))).alias("worst"))
-    nodes = reps.withColumnRenamed("rep", "u").join(worst, "u", "left").select(F.col("u").alias("rep"), "v", "reach", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    both = graph.select(F.col("u").alias("at"), F.col("w").alias("rep")).union(graph.select(F.col("w").alias("at"), F.col("u").alias("rep"))).distinct()
-    turn = F.row_number().over(Window.partitionBy("at").orderBy(F.xxhash64("at", "rep", F.lit(number))))
-    both = both.withColumn("turn", turn).filter(F.col("turn") <= 2 * NEIGHBOURS).select("at", "rep")
-    met = both.join(nodes, "rep").select("at", "rep", "worst", "reach", "v", F.pmod(F.xxhash64("at"), F.lit(shards)).alias("shard"))
-    return met.groupBy("shard").applyInArrow(_local_join, _EDGE)
-
-
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        short = [np.frombuffer(v, np.float64).astype(np.float32).tobytes() for v in batch.column("v").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("reach"), pa.array(short, pa.binary())], names=["rep", "reach", "v"])
+def _meet(table: pa.Table) -> pa.Table:
+    """All pairs of balls of two blocks (or of one block with itself) that may hold a link."""
+    block, ids, reach = (table.column(c).to_numpy() for c in ("block", "rep", "reach"))
+    x = _matrix(table.column("v"), kind=np.float32)
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    us, ws = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(left), STRIP):
+        rows = left[i : i + STRIP]
+        r, s = np.nonzero(x[rows] @ x[right].T >= _floors(reach[rows], reach[right], x.shape[1]))
+        u, w = ids[rows[r]], ids[right[s]]
+        keep = u < w if block.min() == block.max() else u != w
+        us.append(u[keep])
+        ws.append(w[keep])
+    u, w = np.concatenate(us), np.concatenate(ws)
+    return pa.table({"u": np.minimum(u, w), "w": np.maximum(u, w)})
 
 
 def _search(reps: DataFrame) -> DataFrame:
-    """Pairs (u, w), u < w, of balls that may hold a link, found by NN-descent until the audit is content."""
-    spark, n = reps.sparkSession, reps.count()
-    bits, shards = max(1, _bits(n) - 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2000)
-    nodes = reps.select("rep", "dim", "reach", "v")
-    short = materialize(reps.select("rep", "reach", "v").mapInArrow(_shorten, "rep long, reach double, v binary"), "short")
-    asked = nodes.orderBy(F.xxhash64("rep")).limit(AUDIT_ROWS).collect()  # bounded by AUDIT_ROWS
-    groups = [[r for r in asked if r.dim == d] for d in {r.dim for r in asked}]
-    sent = spark.sparkContext.broadcast([(g[0].dim, np.array([r.rep for r in g]), np.array([r.reach for r in g]), np.stack([np.frombuffer(r.v) for r in g])) for g in groups])
-
-    def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, dims, ids, far = [], batch.column("dim").to_numpy(), batch.column("rep").to_numpy(), batch.column("reach").to_numpy()
-            for dim, own, reach, x in sent.value:
-                rows = np.flatnonzero(dims == dim)
-                if len(rows):
-                    c = x @ _matrix(batch.column("v"), rows).T
-                    r, s = np.nonzero(c >= _floors(reach, far[rows]) + 2e-5)
-                    keep = own[r] != ids[rows[s]]
-                    parts.append((own[r[keep]], ids[rows[s[keep]]], c[r, s][keep], np.ones(keep.sum(), bool)))
-            yield from _edge_table(parts).to_batches()
-
-    truth = materialize(nodes.mapInArrow(against_all, _EDGE), "truth")
-    wanted = truth.count()
-
-    def dealt(tables: list[int]) -> DataFrame:
-        keyed = nodes.mapInArrow(_deal(tables, bits), "key long, rep long, reach double, v binary")
-        return keyed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards * 4))).groupBy("shard").applyInArrow(_blocks, _EDGE)
-
-    graph, links = materialize(_best(dealt(list(range(1, TABLES + 1)))), "graph"), -1
-    for number in range(MOST_ROUNDS):
-        more = graph.select("u", "w", "c", "near").union(_round(graph, short, number, shards))
-        if number > 1:  # the audit was not content with descent alone: new tables
-            more = more.union(dealt(list(range(1 + TABLES * (number - 1), 1 + TABLES * number))))
-        graph = materialize(_best(more), "graph")
-        pairs = graph.filter("near").select("u", "w")
-        now = pairs.count()
-        found = truth.join(pairs.union(pairs.select("w", "u")).distinct(), ["u", "w"], "left_semi").count()
-        if found >= AUDIT_RECALL * wanted and now <= 1.01 * max(links, 0) + 10:
-            break
-        links = now
-    return pairs.union(truth.select("u", "w")).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
+    """All pairs (u, w), u < w, of balls that may hold a link: none is left out.
+
+    Balls are dealt to the cells of pivots. Two cells meet unless the triangle inequality rules out every link between
+    them; a cell of any size is cut into blocks, and every two blocks of cells that meet are compared in one task.
+    """
+    spark = reps.sparkSession
+    counts = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    n = sum(counts.values())
+    if not n:
+        return reps.select(F.col("rep").alias("u"), F.col("rep").alias("w"))
+    most = max(1024, min(BLOCK_BYTES // (4 * max(counts)), n // 16))
+    sample = reps.select("rep", "dim", "v").orderBy(F.xxhash64("rep"), "rep").limit(min(PIVOTS, max(16, n // most))).collect()  # bounded by PIVOTS
+    pivots, cells = {}, 0
+    for d in sorted({r["dim"] for r in sample}):
+        x = np.stack([np.frombuffer(r["v"]) for r in sample if r["dim"] == d])
+        pivots[d] = (cells, x)
+        cells += len(x)
+    alone = {d: cells + i for i, d in enumerate(sorted(set(counts) - set(pivots)))}
+    placed = materialize(reps.select("rep", "dim", "reach", "v").mapInArrow(_place(pivots, alone), _PLACED), "cells")
+    found = {r["cell"]: (r["n"], r["span"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("span").alias("span")).collect()}
+    blocks, start, at = {}, {}, 0
+    for c in sorted(found):
+        blocks[c], start[c] = math.ceil(found[c][0] / most), at
+        at += blocks[c]
+    meet = [(c, c) for c in alone.values()]
+    for d, (first, x) in pivots.items():
+        own = np.array([c for c in range(first, first + len(x)) if c in found])
+        spans = np.array([found[c][1] for c in own])
+        apart = 2 * np.arcsin(np.clip(np.sqrt(np.maximum(0, 2 - 2 * (x[own - first] @ x[own - first].T))) / 2, 0, 1))
+        i, j = np.nonzero(apart <= spans[:, None] + spans[None, :] + 2 * SLACK)
+        meet += [(int(c), int(e)) for c, e in zip(own[i], own[j], strict=True)] + [(int(c), int(c)) for c in own]
+    meet = sorted(set(meet))
+    partners = spark.createDataFrame(pa.table({"cell": pa.array([c for c, _ in meet], pa.int32()), "own_start": [start[c] for c, _ in meet], "own_n": [blocks[c] for c, _ in meet], "start": [start[e] for _, e in meet], "n": [blocks[e] for _, e in meet]}))
+    dealt = placed.join(F.broadcast(partners), "cell").withColumn("block", F.col("own_start") + F.pmod(F.xxhash64("rep"), F.col("own_n")))
+    dealt = dealt.select("rep", "reach", "v", "block", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("rep", "reach", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return dealt.groupBy("lo", "hi").applyInArrow(_meet, "u long, w long")
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +275,9 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFra
 
     Vectors first gather in balls so tight that all members of one link; a group of copies of any size so becomes one
     node, and links between balls are counted by size where the triangle inequality proves all of them (or none), else
-    checked member by member. NN-descent runs over the balls; a random AUDIT_ROWS of them are compared with all, and it
-    goes on, with new tables, until AUDIT_RECALL of their links are found or MOST_ROUNDS is reached. Links that the
-    audit itself saw are kept too. Every reported link has its exact cosine at or above the threshold.
+    checked member by member. Balls are dealt to pivots; any two cells that the triangle inequality does not part are
+    compared in full, block against block. The result is exact: no link at or above the threshold is missed. Where the
+    pivots part little (vectors spread evenly), the cost is quadratic in the number of balls.
     """
     theta = math.acos(threshold)
     units = materialize(vectors.select("vec_id", "embedding").mapInArrow(_units, "vec_id long, dim int, v binary"), "units")

@@ -240,6 +240,31 @@ def test_embeddings(spark):
         assert tuple(got.loc[i]) == (0, i, True)
 
 
+
+def _links(spark, x):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embed_dedup.embedding_duplicates(rows).toPandas().sort_values("vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return got, near
+
+
+def test_embeddings_of_a_loose_cloud_are_exact(spark):
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(64)
+    cloud = one / np.linalg.norm(one) + rng.standard_normal((1500, 64)) * 0.0253  # about 16 degrees from each other
+    lone = rng.standard_normal((400, 64))
+    pairs = lone[:100] + rng.standard_normal((100, 64)) * 0.2
+    got, near = _links(spark, np.concatenate([cloud, lone, pairs]))
+    assert 0.5 < near[:1500, :1500].mean() < 1
+    assert (got.n_links.to_numpy() == near.sum(axis=1)).all()
+    part = np.arange(len(near))
+    for _ in range(20):
+        part = np.array([min(part[i], part[near[i]].min(initial=part[i])) for i in range(len(part))])
+    assert (got.component_id.to_numpy() == part).all() and (got.kept.to_numpy() == (part == np.arange(len(part)))).all()
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, b) for b in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
