@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +44,7 @@ _TRIGGER = re.compile(r"[0-9@]|PRIVATE KEY|(?i:password|passwd|pwd|secret|token|
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every entity, in order, without overlaps."""
+    """(start, end, kind) of every entity, in order, without overlaps; kind mention: a name found elsewhere in the text."""
     if not _TRIGGER.search(text):
         return []
     taken: list[tuple[int, int, str]] = []
@@ -50,12 +53,53 @@ def find(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span("v") if "v" in finder.groupindex else m.span()
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
+    for value in _mentions(text, taken):
+        for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text):
+            if all(m.end() <= x or m.start() >= y for x, y, _ in taken):
+                taken.append((*m.span(), "mention"))
     return sorted(taken)
 
 
+def _mentions(text: str, taken: list[tuple[int, int, str]]) -> list[str]:
+    """Names found after titles, and their parts of two letters or more, longest first: what a bare mention may look like."""
+    names = {text[a:b] for a, b, kind in taken if kind == "name"}
+    parts = {p for n in names for p in n.split(" ") if len(p) > 1}
+    return sorted(names | parts, key=lambda v: (-len(v), v))
+
+
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "ÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"]
 _HEX = "0123456789abcdef"
 _OF = {c: a for a in _ALPHABETS for c in a}
+#: Common letters of further scripts and languages, so that surrogates of usual words are made of usual letters.
+_COMMON = [
+    "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏΪΫ", "ąćęłńśźżčďěňřšťůžğışőűășțāēģīķļņūėįųľĺŕđðþøæœß", "ĄĆĘŁŃŚŹŻČĎĚŇŘŠŤŮŽĞİŞŐŰĂȘȚĀĒĢĪĶĻŅŪĖĮŲĽĹŔĐÐÞØÆŒẞŸ", "ёіїєґў", "ЁІЇЄҐЎ",
+    "ابتثجحخدذرزسشصضطظعغفقكلمنهويءآأؤإئةى", "אבגדהוזחטיכךלמםנןסעפףצץקרשת", "".join(map(chr, range(0x4E00, 0x9FA6))), "".join(map(chr, range(0xAC00, 0xD7A4))), "".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x30A1, 0x30FB))),
+]
+_OF |= {c: a for a in _COMMON for c in a}
+
+
+@functools.cache
+def _rest() -> dict[str, str]:
+    """Every other letter or number of Unicode -> all of its script (first word of its name) and category; loners pooled."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        kind = unicodedata.category(c)
+        if kind[0] in "LN" and c not in _OF:
+            groups.setdefault((unicodedata.name(c, kind).split()[0], kind), []).append(c)
+    pooled: dict[str, list[str]] = {}
+    for (_, kind), members in [g for g in groups.items() if len(g[1]) == 1]:
+        pooled.setdefault(kind[0], []).extend(members)
+    lists = [m for m in groups.values() if len(m) > 1] + list(pooled.values())
+    return {c: a for a in map("".join, lists) for c in a}
+
+
+def _alphabet(c: str) -> str | None:
+    """The closed alphabet in which a letter or number is replaced; None for other characters."""
+    return _OF.get(c) or (_rest().get(c) if ord(c) > 127 and unicodedata.category(c)[0] in "LN" else None)
+
+
+_SHAPES = {a: str(i) for i, a in enumerate(_ALPHABETS)}
+_LISTED = {n: names for names in NAMES.values() for n in names}
 
 
 class Surrogates:
@@ -82,12 +126,12 @@ class Surrogates:
 
     def shaped(self, value: str, label: str) -> str:
         """Every letter and digit is replaced within its own alphabet; everything else, and the length, stays."""
-        alphabets = [_HEX if label == "hex" and c in _HEX else _OF.get(c) for c in value]
+        alphabets = [_HEX if label == "hex" and c in _HEX else _alphabet(c) for c in value]
         n, size = 0, 1
         for c, a in zip(value, alphabets, strict=True):
             if a:
                 n, size = n * len(a) + a.index(c), size * len(a)
-        shape = "".join("." if not a else str(_ALPHABETS.index(a)) if a in _ALPHABETS else "h" for a in alphabets)
+        shape = "".join("." if not a else "h" if a is _HEX else _SHAPES.get(a) or f"[{a[0]}]" for a in alphabets)
         n = self._moved(n, size, f"{label}:{shape}")
         out = []
         for c, a in zip(reversed(value), reversed(alphabets), strict=True):
@@ -101,6 +145,13 @@ class Surrogates:
         """permute(), composed with a shift of its one fixed orbit: never the original where there is a choice."""
         if size <= 1:
             return n
+        if size % 2 and n in (0, size - 1):  # the last of an odd number has no neighbour: if fixed, it changes places with 0
+            last = self.permute(size - 1, size, label)
+            if last == size - 1:
+                return last if n == 0 else self._paired(0, size, label)
+        return self._paired(n, size, label)
+
+    def _paired(self, n: int, size: int, label: str) -> int:
         got = self.permute(n, size, label)
         # A fixed point takes the image of its cyclic successor among the fixed points' images: here, its own image is
         # swapped with that of its neighbour n ^ 1, which keeps the map a bijection.
@@ -117,16 +168,21 @@ class Surrogates:
         new = digits[0] + self.shaped(digits[1:-1], f"card{digits[0]}{step}")
         return new + str((body(new) + step) % 10)
 
-    def name(self, value: str, title: str) -> str:
-        gender = next((g for g, ts in TITLES.items() if title in ts), "")
-        out = []
-        for i, part in enumerate(value.split(" ")):
-            listed = next((names for (_, g), names in NAMES.items() if part in names and g == (gender or g)), None) if i == 0 else None
-            out.append(listed[self._moved(listed.index(part), len(listed), "name" + listed[0])] if listed else self.shaped(part, "name"))
-        return " ".join(out)
-
-    def of(self, kind: str, value: str, before: str = "") -> str:
-        """The surrogate of a found value; before is the text ahead of it (a title tells the gender)."""
+    def name(self, value: str) -> str:
+        """Each part by itself, so that a part alone gets the same surrogate: listed names in their list, others outside all lists."""
+        return " ".join(self._part(part) for part in value.split(" "))
+
+    def _part(self, part: str) -> str:
+        if part in _LISTED:
+            names = _LISTED[part]
+            return names[self._moved(names.index(part), len(names), "name" + names[0])]
+        out = self.shaped(part, "name")
+        while out in _LISTED:  # walked on until outside the lists, which keeps the map a bijection
+            out = self.shaped(out, "name")
+        return out
+
+    def of(self, kind: str, value: str) -> str:
+        """The surrogate of a found value."""
         if kind == "email":
             user, _, host = value.partition("@")
             return f"{self.shaped(user, 'email@' + host.lower())}@{host}"
@@ -139,8 +195,8 @@ class Surrogates:
         if kind == "phone":
             keep = re.match(r"\+[0-9]{1,3}(?=[ .-])|", value).end()
             return value[:keep] + self.shaped(value[keep:], "phone" + value[:keep])
-        if kind == "name":
-            return self.name(value, (re.findall(r"(\w+)\.? $", before) or [""])[-1])
+        if kind in ("name", "mention"):
+            return self.name(value)
         if kind == "private_key":
             head, foot = value.index("\n") if "\n" in value else value.index("-----", 5) + 5, value.rindex("-----END")
             return value[:head] + self.shaped(value[head:foot], kind) + value[foot:]
@@ -159,7 +215,7 @@ def _entities(column: str, key: bytes):
             for text in batch.column(column):
                 body = text.as_py() or ""
                 for a, b, kind in find(body):
-                    rows.add((kind, body[a:b], made.of(kind, body[a:b], body[max(0, a - 12) : a])))
+                    rows.add(("name" if kind == "mention" else kind, body[a:b], made.of(kind, body[a:b])))
             rows = list(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
 
@@ -174,8 +230,10 @@ def entities(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates that stand for more than one original of their kind, or for themselves, or that break coreference."""
     shared = found.groupBy("kind", "surrogate").agg(F.countDistinct("original").alias("n")).filter("n > 1").select("kind", "surrogate", F.lit("shared").alias("fault"))
-    same = found.filter(F.col("original") == F.col("surrogate")).select("kind", "surrogate", F.lit("unchanged").alias("fault"))
-    torn = found.groupBy("kind", "original").agg(F.countDistinct("surrogate").alias("n"), F.min("surrogate").alias("surrogate")).filter("n > 1 and kind != 'name'").select("kind", "surrogate", F.lit("torn").alias("fault"))
+    # What is replaced of an e-mail address is the user, of a key its body; without a letter or number there is no choice.
+    open_part = F.when(F.col("kind") == "email", F.substring_index("original", "@", 1)).when(F.col("kind") == "private_key", F.regexp_replace("original", "-----[A-Z ]*-----", "")).otherwise(F.col("original"))
+    same = found.filter((F.col("original") == F.col("surrogate")) & open_part.rlike(r"[\p{L}\p{N}]")).select("kind", "surrogate", F.lit("unchanged").alias("fault"))
+    torn = found.groupBy("kind", "original").agg(F.countDistinct("surrogate").alias("n"), F.min("surrogate").alias("surrogate")).filter("n > 1").select("kind", "surrogate", F.lit("torn").alias("fault"))
     return shared.unionByName(same).unionByName(torn)
 
 
@@ -183,36 +241,39 @@ def _replace(names: list[str], column: str, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
         for batch in batches:
-            texts, counts = [], []
+            texts, counts, changed = [], [], []
             for text in batch.column(column):
                 body = text.as_py()
                 found = find(body) if body else []
                 out, at = [], 0
                 for a, b, kind in found:
-                    out += [body[at:a], made.of(kind, body[a:b], body[max(0, a - 12) : a])]
+                    out += [body[at:a], made.of(kind, body[a:b])]
                     at = b
                 texts.append("".join([*out, body[at:]]) if found else body)
-                counts.append(len(found))
+                counts.append(sum(kind != "mention" for _, _, kind in found))
+                changed.append(texts[-1] != body)
             columns = [pa.array(texts, pa.string()) if n == column else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "__found"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(changed, pa.bool_())], names=[*names, "__found", "__changed"])
 
     return run
 
 
-def surrogate_text(docs: DataFrame, key: bytes, column: str = "text", count: str | None = None, check: bool = True) -> DataFrame:
-    """docs with every detected entity in `column` replaced; other columns unchanged; `count` names an added count column.
+def surrogate_text(docs: DataFrame, key: bytes, column: str = "text", count: str | None = None, check: bool = True, changed: str | None = None) -> DataFrame:
+    """docs with every detected entity in `column` replaced; other columns unchanged; `count` and `changed` name added columns: entities
+    that the patterns find (bare mentions of a name are not counted again), and whether the text differs.
 
     Null stays null and empty stays empty. Repeated rows and repeated entities get the same surrogate everywhere, as it
-    depends on key and value only (names: and on the title's gender). Distinctness holds by construction, each kind and
+    depends on key and value only; a name found after a title is replaced, whole or in parts, wherever its text holds it. Distinctness holds by construction, each kind and
     format being mapped by a permutation; with `check`, the distinct entities of the corpus are also audited by two
-    aggregations, and a collision raises ValueError. Nothing is gathered but the first collision found.
+    aggregations; a collision, an entity left as it was or one with two surrogates raises ValueError. Nothing is gathered
+    but the first fault found.
     """
     if check:
-        fault = collisions(materialize(entities(docs, key, column), "entities")).filter("fault != 'unchanged'").limit(1).collect()
+        fault = collisions(materialize(entities(docs, key, column), "entities")).limit(1).collect()
         if fault:
             raise ValueError(f"surrogates collide: {fault[0].asDict()}")
     inner = [f"c{i}" for i in range(len(docs.columns))]
     at = inner[docs.columns.index(column)]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
-    out = docs.toDF(*inner).mapInArrow(_replace(inner, at, key), f"{kinds}, __found long")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)], *([F.col("__found").alias(count)] if count else []))
+    out = docs.toDF(*inner).mapInArrow(_replace(inner, at, key), f"{kinds}, __found long, __changed boolean")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)], *([F.col("__found").alias(count)] if count else []), *([F.col("__changed").alias(changed)] if changed else []))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from lumatrace.llm.bpe import round_trip
 from lumatrace.llm.common import table
@@ -57,8 +56,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its surrogates in place: doc_id, text, n_entities, changed."""
-    out = surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities")
-    return out.withColumn("changed", F.col("n_entities") > 0)
+    return surrogate_text(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count="n_entities", changed="changed")
 
 
 def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,33 @@ def test_surrogates_are_distinct_and_keyed(spark):
     assert found.count() == 120 and pii.collisions(found).filter("fault != 'unchanged'").count() == 0
 
 
+
+def test_surrogates_of_every_script(spark):
+    names = ["Παπαδόπουλος", "Łęśćż", "Şğış", "Øßæ", "Ёёї", "محمد", "王小明", "שרה", "김철수", "Ǝǝ"]
+    texts = [f"Mr {n} and x. Then {n} left; write to {n}@mail.example.com now" for n in names] + ["Mr John Papas came. Papas and John stayed. Mrs Maria; Dr Maria", "_@x.org"]
+    made = pii.surrogate_text(docs(spark, texts), b"k", count="found", changed="changed").orderBy("doc_id").collect()
+    for n, r in zip(names, made, strict=False):
+        assert n not in r.text and r.found == 2 and r.changed
+        new = re.search(r"Mr (\w+) and x. Then (\w+) left", r.text)
+        assert new[1] == new[2] and len(new[1]) == len(n)
+    assert "Papas" not in made[-2].text and "John" not in made[-2].text and made[-2].found == 3
+    first, last = re.match(r"Mr (\w+) (\w+) came", made[-2].text).groups()
+    assert f"{last} and {first} stayed" in made[-2].text
+    assert (made[-1].found, made[-1].changed, made[-1].text) == (1, False, "_@x.org")
+    assert pii.collisions(pii.entities(docs(spark, texts), b"k")).count() == 0
+
+
+def test_surrogates_never_stay():
+    s = pii.Surrogates(b"k")
+    for size in range(2, 40):
+        for label in "abcdef":
+            moved = [s._moved(i, size, label) for i in range(size)]
+            assert sorted(moved) == list(range(size)) and all(i != m for i, m in enumerate(moved))
+    assert all(c != s.shaped(c, "x") for c in "ßёŁąИя王محあ한ǝ٣")
+    listed = pii._ALPHABETS + pii._COMMON
+    assert sum(map(len, listed)) == len(set("".join(listed))) and min(map(len, pii._rest().values())) > 1
+
+
 # --- 9: quality ------------------------------------------------------------------------------------------------------
 
 
