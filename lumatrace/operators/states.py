@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,6 +112,8 @@ def fit_jointly(points: DataFrame, model: Model, channel: str = "fret", rounds:
             if abs(ll - last) < tolerance:
                 break
             last = ll
+        else:
+            warnings.warn(f"segmental k-means stopped after {rounds} rounds without converging", stacklevel=2)
         return model, assign(points, model, channel)
     finally:
         base.unpersist()
@@ -147,6 +150,8 @@ def baum_welch(points: DataFrame, model: Model, channel: str = "fret", rounds: i
             model = Model(g1 / max(g1.sum(), 1e-12), m.mu if m.fix_mu else m.mu + mean, m.sigma if m.fix_sigma else sigma, xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-12), m.fix_mu, m.fix_sigma)
             if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance:
                 break
+        else:
+            warnings.warn(f"Baum-Welch stopped after {rounds} rounds without converging", stacklevel=2)
         return model, history
     finally:
         base.unpersist()

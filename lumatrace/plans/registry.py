@@ -491,8 +491,8 @@ def _three():
 
 register("h1_viterbi")(lambda s, d: _states().assign(A.event_traces(s, d), _three()))
 register("h3_fit_each")(lambda s, d: _states().states_of(_states().fit_each(A.event_traces(s, d), _three())))
-register("h4_fit_jointly")(lambda s, d: _states().fit_jointly(A.event_traces(s, d), _three(), rounds=5)[1])
-register("h6_baum_welch")(lambda s, d: _states().idealize(A.event_traces(s, d), _states().baum_welch(A.event_traces(s, d), _three(), rounds=5)[0], "viterbi"))
+register("h4_fit_jointly")(lambda s, d: _states().fit_jointly(A.event_traces(s, d), _three(), rounds=100)[1])
+register("h6_baum_welch")(lambda s, d: _states().idealize(A.event_traces(s, d), _states().baum_welch(A.event_traces(s, d), _three(), rounds=200)[0], "viterbi"))
 register("h7_donor_alive")(lambda s, d: _states().donor_alive(_bl(s, d)).select(*KEYS, "frame", "alive"))
 register("h11_ensemble_model")(lambda s, d: _states().ensemble_model(_states().fit_each(A.event_traces(s, d), _three())))
 

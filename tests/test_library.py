@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
 from lumatrace.operators import combine, correct, dwell, pixels, project, select, states, stats
-from lumatrace.operators.kernels import Model, forward_backward, segmental_kmeans, viterbi
-from lumatrace.plans import pipelines
+from lumatrace.operators.kernels import Model, forward_backward, segmental_kmeans, usable, viterbi
+from lumatrace.plans import pipelines, registry
 from lumatrace.schema import KEYS
-from lumatrace.sources import files
+from lumatrace.sources import adapters, files
 from lumatrace.streaming import ingest
+from tests.conftest import SF
 
 
 def points(spark, traces: dict[int, list[float]], dataset: str = "d"):
@@ -264,3 +265,56 @@ def test_extraction(spark):
                 rows.append(("m", f, 1 if x < 9 else 2, y, x, v))
     got = pixels.extract(spark.createDataFrame(rows, "movie string, frame int, channel int, y int, x int, intensity double"), 50.0, 1, 4, 2).orderBy("frame").toPandas()
     assert len(got) == 12 and got["donor"].tolist() == [130.0] * 12 and got["acceptor"].tolist() == [90.0 + f for f in range(1, 13)]
+
+
+# --- registered queries do the whole job -------------------------------------------------------------------------------
+
+
+def _joined(spark):
+    rows = adapters.event_traces(spark, SF).select("trace_id", "frame", "fret").toPandas().sort_values(["trace_id", "frame"])
+    return {int(t): g.fret.fillna(0).to_numpy() for t, g in rows.groupby("trace_id")}
+
+
+def _agree(spark, name, model, traces):
+    got = registry.QUERIES[name](spark, SF).toPandas().sort_values(["trace_id", "frame"])
+    want = np.concatenate([viterbi(x, model)[0] for _, x in sorted(traces.items())])
+    assert len(got) == len(want) and (got.state.to_numpy() == want).all()
+
+
+def test_h6_runs_to_convergence_or_the_reference_limit(spark):
+    traces, m, history = _joined(spark), registry._three(), []
+    while len(history) < 200 and (len(history) < 2 or abs(history[-1] - history[-2]) > 1e-5):
+        sums = [r for x in traces.values() if (r := forward_backward(np.clip(x, -0.5, 1.5), m))]
+        total = {k: sum(r[k] for r in sums) for k in ("ll", "g1", "xi", "g", "gx", "gxx")}
+        history.append(total["ll"] / len(traces))
+        mu = total["gx"] / total["g"]
+        sigma = np.maximum(0.01, np.sqrt(np.maximum(0, total["gxx"] / total["g"] - mu**2)))
+        m = Model(total["g1"] / total["g1"].sum(), mu, sigma, total["xi"] / total["xi"].sum(axis=1, keepdims=True))
+    assert len(history) > 5
+    print("h6 rounds", len(history), "last change", history[-1] - history[-2])
+    _agree(spark, "h6_baum_welch", m, traces)
+
+
+def test_h4_runs_to_convergence(spark):
+    traces, m, last, rounds = _joined(spark), registry._three(), -np.inf, 0
+    while True:
+        k, p0, a, xs, ss, ll = 3, np.full(3, 0.01), 0.01 * np.eye(3), [], [], 0.0
+        for x in traces.values():
+            s, one = viterbi(x, m)
+            n = usable(x)
+            if n > 1:
+                s, ll = s[:n] - 1, ll + one * n
+                p0[s[0]] += 1
+                np.add.at(a, (s[:-1], s[1:]), 1)
+                xs.append(x[:n])
+                ss.append(s)
+        x, s = np.concatenate(xs), np.concatenate(ss)
+        mu = np.array([x[s == i].mean() if (s == i).any() else m.mu[i] for i in range(k)])
+        sigma = np.array([max(0.01, x[s == i].std(ddof=1)) if (s == i).sum() > 1 else m.sigma[i] for i in range(k)])
+        m, rounds = Model(p0 / p0.sum(), mu, sigma, a / a.sum(axis=1, keepdims=True)), rounds + 1
+        if abs(ll / len(x) - last) < 1e-4:
+            break
+        last = ll / len(x)
+        assert rounds < 100
+    assert rounds > 5
+    _agree(spark, "h4_fit_jointly", m, traces)
