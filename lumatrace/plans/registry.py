@@ -503,6 +503,9 @@ register("a9_companions", """WITH t AS (SELECT DISTINCT CASE WHEN vec_id % 2 = 0
 SELECT path, CASE WHEN vec_id % 3 = 0 THEN 'a' || vec_id || '.qub.dwt' WHEN vec_id % 5 = 0 THEN 'a' || vec_id || '.dwt' END AS dwell_path FROM t""")(lambda s, d: _companions(s, d))
 register("a11_wide_text", q(EV, """SELECT frame, round(max(CASE WHEN trace_id = 1 THEN donor END), 6) AS "1_donor", max(CASE WHEN trace_id = 1 THEN fret END) AS "1_fret", round(max(CASE WHEN trace_id = 2 THEN donor END), 6) AS "2_donor", max(CASE WHEN trace_id = 2 THEN fret END) AS "2_fret"
 FROM pts WHERE trace_id IN (1, 2) GROUP BY frame"""))(lambda s, d: files.wide_text(A.event_traces(s, d).filter("trace_id in (1, 2)"), ("donor", "fret")))
+register("a11_text_lines", q(IDL, """SELECT dataset, CAST(floor((trace_id - 1) / 100.0) AS BIGINT) AS part, trace_id, frame, time_ms / 1000 AS time_s, fret, round(coalesce(avg(CASE WHEN state > 0 THEN fret END) OVER (PARTITION BY trace_id, greatest(1, state)), 0.05), 6) AS idl, round(donor, 6) AS donor, acceptor FROM idl"""))(
+    lambda s, d: files.text_lines(_idl(s, d), (0.05, 0.25, 0.6))
+)
 register("a12_clipped_lines", q(EV, "SELECT trace_id, frame, CAST(CAST(round(greatest(-0.5, least(1, fret)) * 1000000) AS BIGINT) AS VARCHAR) AS line FROM pts WHERE fret > 0.001"))(
     lambda s, d: A.event_traces(s, d).filter("fret > 0.001").select("trace_id", "frame", F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.0), F.col("fret"))) * 1_000_000).cast("long").cast("string").alias("line"))
 )

@@ -188,3 +188,15 @@ def wide_text(points: DataFrame, columns: tuple[str, ...] = ("donor", "acceptor"
     """One row for each frame, a column for each trace and channel, for one dataset of few traces."""
     wide = points.groupBy("frame").pivot("trace_id").agg(*[F.first(c).alias(c) for c in columns])
     return wide.orderBy("frame")
+
+
+def text_lines(points: DataFrame, mu: tuple[float, ...], block: int = 100, columns: tuple[str, ...] = ("donor", "acceptor")) -> DataFrame:
+    """Text export of any number of traces, a line for each trace and frame; part: a range of `block` trace ids, to partition files by.
+
+    idl is the trace's mean fret over the frames of the line's state, or that state's `mu` if it has none; state 0 counts as 1.
+    """
+    state = F.greatest(F.lit(1), F.col("state"))
+    mean = F.avg(F.when(F.col("state") > 0, F.col("fret"))).over(Window.partitionBy("dataset", "trace_id", state))
+    idl = F.coalesce(mean, F.element_at(F.array(*[F.lit(float(m)) for m in mu]), state))
+    part = F.floor((F.col("trace_id") - 1) / block)
+    return points.select("dataset", part.alias("part"), "trace_id", "frame", (F.col("time_ms") / 1000).alias("time_s"), "fret", idl.alias("idl"), *columns)

@@ -318,3 +318,11 @@ def test_h4_runs_to_convergence(spark):
         assert rounds < 100
     assert rounds > 5
     _agree(spark, "h4_fit_jointly", m, traces)
+
+
+def test_exports_hold_every_trace_and_frame(spark):
+    traces = _joined(spark)
+    frames = sum(map(len, traces.values()))
+    for name in ("a11_text_lines",):
+        out = registry.QUERIES[name](spark, SF).select("trace_id", "frame").distinct()
+        assert out.count() == frames and out.select("trace_id").distinct().count() == len(traces)
