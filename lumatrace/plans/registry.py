@@ -516,6 +516,9 @@ f AS (SELECT * FROM s3 JOIN ev USING (trace_id)) SELECT dataset, trace_id, CAST(
 register("c14_review_bins", q(EV, "SELECT bin, dataset, trace_id, frame FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0)) b(bin, r) ON trace_id % 3 = r WHERE frame <= 5"))(
     lambda s, d: A.event_traces(s, d).filter("frame <= 5").withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0)], "bin string, r long")), "r").select("bin", *KEYS, "frame")
 )
+register("c14_whole_bins", q(EV, "SELECT bin, dataset, trace_id, frame, donor, acceptor, fret FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0), ('rest', 2)) b(bin, r) ON trace_id % 3 = r"))(
+    lambda s, d: A.event_traces(s, d).withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0), ("rest", 2)], "bin string, r long")), "r").select("bin", *KEYS, "frame", "donor", "acceptor", "fret")
+)
 register("c19_not_done", q(EMB, "SELECT DISTINCT dataset FROM emb WHERE dataset NOT IN ('1', '2', '3')"))(lambda s, d: select.not_done(A.vector_traces(s, d).select("dataset").distinct(), s.createDataFrame([("1",), ("2",), ("3",)], "dataset string")))
 register("c18_fit_circles")(lambda s, d: select.fit_circles(select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0), ["dataset"], 100, 60.0, 3, (100.0, 900.0)))
 register("k20_spot_edges", "WITH " + POS + """, c AS (SELECT DISTINCT CAST(floor(donor_x / 64) AS BIGINT) AS cx, CAST(floor(donor_y / 64) AS BIGINT) AS cy FROM pos)

@@ -323,6 +323,6 @@ def test_h4_runs_to_convergence(spark):
 def test_exports_hold_every_trace_and_frame(spark):
     traces = _joined(spark)
     frames = sum(map(len, traces.values()))
-    for name in ("a11_text_lines",):
+    for name in ("a11_text_lines", "c14_whole_bins"):
         out = registry.QUERIES[name](spark, SF).select("trace_id", "frame").distinct()
         assert out.count() == frames and out.select("trace_id").distinct().count() == len(traces)
