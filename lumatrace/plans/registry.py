@@ -520,7 +520,7 @@ register("c14_whole_bins", q(EV, "SELECT bin, dataset, trace_id, frame, donor, a
     lambda s, d: A.event_traces(s, d).withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0), ("rest", 2)], "bin string, r long")), "r").select("bin", *KEYS, "frame", "donor", "acceptor", "fret")
 )
 register("c19_not_done", q(EMB, "SELECT DISTINCT dataset FROM emb WHERE dataset NOT IN ('1', '2', '3')"))(lambda s, d: select.not_done(A.vector_traces(s, d).select("dataset").distinct(), s.createDataFrame([("1",), ("2",), ("3",)], "dataset string")))
-register("c18_fit_circles")(lambda s, d: select.fit_circles(select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0), ["dataset"], 100, 60.0, 3, (100.0, 900.0)))
+register("c18_fit_circles")(lambda s, d: select.fit_circles(select.spot_edges(A.positioned(A.event_traces(s, d)), 16.0), ["dataset"], 1000, 12.0, 10, (205.0, 280.0)))
 register("k20_spot_edges", "WITH " + POS + """, c AS (SELECT DISTINCT CAST(floor(donor_x / 64) AS BIGINT) AS cx, CAST(floor(donor_y / 64) AS BIGINT) AS cy FROM pos)
 SELECT 'events' AS dataset, cx * 100000 + cy AS id, (cx + 0.5) * 64 AS x, (cy + 0.5) * 64 AS y FROM c a WHERE (SELECT count(*) FROM c b WHERE abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1) < 4""")(lambda s, d: select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0))
 register("d2_combine_states", "WITH " + IDL + """, m AS (SELECT dataset, trace_id, max(frame) AS mx FROM idl GROUP BY ALL)

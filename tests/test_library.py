@@ -326,3 +326,11 @@ def test_exports_hold_every_trace_and_frame(spark):
     for name in ("a11_text_lines", "c14_whole_bins"):
         out = registry.QUERIES[name](spark, SF).select("trace_id", "frame").distinct()
         assert out.count() == frames and out.select("trace_id").distinct().count() == len(traces)
+
+
+def test_c18_finds_a_ring_as_closely_as_the_reference(spark, monkeypatch):
+    angle = np.linspace(0, 2 * np.pi, 800, endpoint=False)
+    rows = [("d", i, float(500 + 240 * np.cos(t)), float(480 + 240 * np.sin(t))) for i, t in enumerate(angle)]
+    monkeypatch.setattr(registry.A, "positioned", lambda points: spark.createDataFrame(rows, "dataset string, trace_id long, donor_x double, donor_y double"))
+    got = registry.QUERIES["c18_fit_circles"](spark, SF).first()
+    assert abs(got.cx - 500) < 4 and abs(got.cy - 480) < 4 and abs(got.r - 240) < 4 and got.inliers >= 80
