@@ -21,8 +21,10 @@ SKETCH_BITS = 512
 MARGIN = 0.15
 #: Keys with up to this many rows compare their components pair by pair; larger ones in blocks.
 SMALL_KEY = 32
-#: Shingles that one block of a large key's members holds.
-BLOCK_SHINGLES = 200_000
+#: Shingles that one block of a large key's members holds (8 bytes each).
+BLOCK_SHINGLES = 500_000
+#: Rounds in which members that are still apart are offered one hub each, before the rest is compared across components.
+HUB_TURNS = 2
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def _sets(n: int):
         words = WordHash()
         for batch in batches:
             sets = pa.array([shingle_set(x.as_py(), n, words).tobytes() for x in batch.column("body")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], names=["rep", "shingles"])
 
     return run
 
@@ -100,19 +102,21 @@ def _confirm(percent: int):
     return run
 
 
-def _across_blocks(percent: int):
-    """Two blocks of members (rep, part, odd, shingles) -> a link for every two of their parts that hold one.
+def _meet(percent: int):
+    """Members of two blocks of one key (side 0 and 1; or of one block, side 0 alone) -> a link for every two parts that hold one.
 
     Sketches are compared all at once; only what they leave is intersected, against the other block's sets together.
     """
     most = most_differing_bits(percent / 100 - MARGIN)
 
-    def links(one: list[dict], two: list[dict]) -> Iterator[tuple[int, int]]:
-        a, b = (np.array([m["odd"] for m in side], np.int64).view(np.uint64) for side in (one, two))
-        sets = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (one, two)]
-        size = np.array([len(x) for x in sets[1]])
-        owner, every = np.repeat(np.arange(len(two)), size), np.concatenate(sets[1])
-        parts = np.array([m["part"] for m in two])
+    def run(table: pa.Table) -> pa.Table:
+        side, rep, part = (table.column(c).to_numpy() for c in ("side", "rep", "part"))
+        odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        size = np.array([len(sets[i]) for i in right])
+        owner, every = np.repeat(np.arange(len(right)), size), np.concatenate([sets[i] for i in right])
         joined: dict[int, int] = {}
 
         def root(p: int) -> int:
@@ -120,108 +124,120 @@ def _across_blocks(percent: int):
                 p = joined[p]
             return p
 
-        for i, m in enumerate(one):
-            near = np.bitwise_count(a[i][None, :] ^ b).sum(axis=1) <= most
-            near &= (100 * np.minimum(size, len(sets[0][i])) >= percent * np.maximum(size, len(sets[0][i]))) & (parts != m["part"])
-            near[near] = [root(int(p)) != root(m["part"]) for p in parts[near]]
+        found = []
+        for i in left:
+            s = sets[i]
+            near = (part[right] != part[i]) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s)))
+            near[near] = np.bitwise_count(odd[i][None, :] ^ odd[right[near]]).sum(axis=1) <= most
+            near[near] = [root(int(p)) != root(int(part[i])) for p in part[right[near]]]
             if not near.any():
                 continue
-            s = sets[0][i]
             rows = near[owner]
             values, whose = every[rows], owner[rows]
             hit = s[np.minimum(np.searchsorted(s, values), len(s) - 1)] == values
-            common = np.bincount(whose, hit, len(two)).astype(np.int64)
-            for j in np.flatnonzero(near & (100 * common >= percent * (size + len(s) - common))):
-                if (p := root(int(parts[j]))) != (q := root(m["part"])):
+            common = np.bincount(whose, hit, len(right)).astype(np.int64)
+            for j in right[np.flatnonzero(near & (100 * common >= percent * (size + len(s) - common)))]:
+                if (p := root(int(part[j]))) != (q := root(int(part[i]))):
                     joined[p] = q
-                    yield m["rep"], two[j]["rep"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                found = list(links(one.as_py(), two.as_py()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(map(min, found), pa.int64()), pa.array(map(max, found), pa.int64())], names=["src", "dst"])
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"src": pa.array([f[0] for f in found], pa.int64()), "dst": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def _large_keys(placed: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between components within large keys. placed: (key, rep, part) of those keys.
+def _large_keys(placed: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links between components within large keys. placed: (key, rep, part) of those keys; whole: (rep, odd, shingles).
 
-    Members that large keys connect are dealt into blocks of bounded size, by component; small components share blocks.
-    Only blocks of different components (or shared ones) meet, so what one large component holds is never compared
-    within itself, no pair of members is ever a row, and no task holds more than two blocks.
+    Each key's members are dealt into blocks of bounded size, by component; small components share blocks. Only blocks of
+    different components (or shared ones) meet, so what one large component holds is never compared within itself, no
+    pair of members is ever a row, and no task holds more than two blocks.
     """
-    hub = placed.groupBy("key").agg(F.min("rep").alias("hub"))
-    group = connected_components(placed.join(hub, "key").select(F.col("hub").alias("src"), F.col("rep").alias("dst")))
-    members = placed.select("rep", "part").distinct().join(group.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("component", "grp")
-    members = materialize(members, "large")
-    sets = keep_by_id(texts, members.select(F.col("rep").alias("doc_id")), "left_semi").mapInArrow(_sets(n), "doc_id long, shingles binary")
-    whole = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
-    whole = materialize(whole.withColumn("weight", F.octet_length("shingles") / 8), "large_sets")
-    heavy = whole.groupBy("grp", "part").agg(F.sum("weight").alias("w")).withColumn("own", F.when(F.col("w") >= BLOCK_SHINGLES // 4, F.col("part")).otherwise(-1))
-    lots = heavy.groupBy("grp", "own").agg(F.ceil(F.sum("w") / BLOCK_SHINGLES).alias("lots"))
-    dealt = whole.join(heavy.select("grp", "part", "own"), ["grp", "part"]).join(lots, ["grp", "own"])
-    blocks = dealt.withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots"))).groupBy("grp", "own", "lot").agg(F.collect_list(F.struct("rep", "part", "odd", "shingles")).alias("one"))
-    blocks = materialize(blocks, "blocks")
-    other = blocks.select("grp", F.col("own").alias("own2"), F.col("lot").alias("lot2"), F.col("one").alias("two"))
+    weigh = whole.select("rep", (F.octet_length("shingles") / 8).alias("weight"))
+    placed = materialize(placed.join(weigh, "rep"), "large")
+    heavy = placed.groupBy("key", "part").agg(F.sum("weight").alias("w")).withColumn("own", F.when(F.col("w") >= BLOCK_SHINGLES // 4, F.col("part")).otherwise(-1))
+    lots = heavy.groupBy("key", "own").agg(F.ceil(F.sum("w") / BLOCK_SHINGLES).alias("lots"))
+    dealt = placed.join(heavy.select("key", "part", "own"), ["key", "part"]).join(lots, ["key", "own"]).withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots")))
+    dealt = materialize(dealt.select("key", "rep", "part", "own", "lot"), "dealt")
+    blocks = dealt.select("key", "own", "lot").distinct()
     meet = (F.col("own") < F.col("own2")) | ((F.col("own") == -1) & (F.col("own2") == -1) & (F.col("lot") <= F.col("lot2")))
-    return blocks.join(other, "grp").filter(meet).select("one", "two").repartition(blocks.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(_across_blocks(percent), "src long, dst long")
+    pairs = materialize(blocks.join(blocks.toDF("key", "own2", "lot2"), "key").filter(meet).withColumn("task", F.xxhash64("key", "own", "lot", "own2", "lot2")), "block_pairs")
+    one = dealt.join(pairs.select("key", "own", "lot", "task"), ["key", "own", "lot"]).select("task", "rep", "part", F.lit(0).alias("side"))
+    other = pairs.filter("own != own2 or lot != lot2").select("key", F.col("own2").alias("own"), F.col("lot2").alias("lot"), "task")
+    two = dealt.join(other, ["key", "own", "lot"]).select("task", "rep", "part", F.lit(1).alias("side"))
+    return one.union(two).join(whole, "rep").groupBy("task").applyInArrow(_meet(percent), "src long, dst long")
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (src, dst) -> confirmed links: odd sketches first, then the full sets of what is left."""
     differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    a, b = (sketches.select(F.col("doc_id").alias(k), F.col("odd").alias(v)) for k, v in (("src", "x"), ("dst", "y")))
+    a, b = (whole.select(F.col("rep").alias(k), F.col("odd").alias(v)) for k, v in (("src", "x"), ("dst", "y")))
     near = pairs.join(a, "src").join(b, "dst").filter(differ <= most_differing_bits(percent / 100 - MARGIN)).select("src", "dst")
-    near = materialize(near, "near")
-    ids = near.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = keep_by_id(texts, ids, "left_semi").mapInArrow(_sets(n), "doc_id long, shingles binary")
-    sets = materialize(sets, "sets")
-    both = near.join(sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("set_b")), "dst").join(sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("set_a")), "src")
-    return both.mapInArrow(_confirm(percent), "src long, dst long")
+    a, b = (whole.select(F.col("rep").alias(k), F.col("shingles").alias(v)) for k, v in (("src", "set_a"), ("dst", "set_b")))
+    return materialize(near, "near").join(b, "dst").join(a, "src").mapInArrow(_confirm(percent), "src long, dst long")
 
 
 def _ordered(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, rep, part, n) of the keys whose n members are in more than one component."""
+    placed = materialize(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "placed")
+    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p != q").select("key", "n")
+    return placed.join(materialize(split, "split"), "key")
+
+
+def _offers(placed: DataFrame, turn: int) -> DataFrame:
+    """One pair at most for each member: with the hub of one of its keys that is in another component.
+
+    A key's hub is its smallest id in the first turn, later one drawn by hash. Of its keys' hubs a member takes the
+    smallest (later: one drawn by hash), so the pairs of a cluster of any size and of all its keys are at most its members.
+    """
+    order = F.col("rep") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
+    hubs = materialize(placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("rep").alias("hub"), F.col("part").alias("hub_part"))).alias("h")).select("key", "h.hub", "h.hub_part"), "hubs")
+    apart = placed.join(hubs, "key").filter("hub_part != part")
+    choice = F.col("hub") if turn == 0 else F.xxhash64("rep", "hub", F.lit(turn))
+    return apart.groupBy("rep").agg(F.min(F.struct(choice.alias("order"), F.col("hub"))).alias("h")).select(*_ordered("rep", "h.hub")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (smallest linked id), kept (it is that id).
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest linked id), kept (it is that id).
 
     docs needs doc_id (distinct) and text; other columns are ignored. A null or blank text has no shingles and is
-    linked with nothing; so is a row without doc_id, whose component_id is null and which is kept. Texts with the
-    same set form one class and only its smallest id takes part in the search, so that exact copies cost one
-    aggregation. Classes that share a band key are compared with two hubs of that key, never all with all; what
-    hubs leave in different components within a key is then compared across those components alone, in small keys pair
-    by pair, in large ones block by block.
+    linked with nothing; so is a row without doc_id, whose component_id is null and which is kept. Where a doc_id is
+    repeated, each row is placed by its own text. Texts with the same set form one class and only its smallest id takes
+    part in the search, so that exact copies cost one aggregation. Of classes that share a band key, each is first
+    compared with one hub, never all with all; those still apart are offered another hub; what hubs leave in different
+    components within a key is then compared across those components alone, in small keys pair by pair, in large ones
+    block by block. An empty table gives no rows.
     """
     texts = docs.select("doc_id", utf8("text").alias("body"))
     signed = materialize(texts.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, set_digest binary, bands array<long>, odd array<long>"), "signatures")
     own = signed.filter("set_digest is not null and doc_id is not null")
-    reps = own.groupBy("set_digest").agg(F.min("doc_id").alias("rep"))
-    first = own.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n"), *(f(F.col("rep").bitwiseXOR(F.col("key"))).alias(name) for f, name in ((F.min, "low"), (F.max, "high")))).filter("n > 1")
-    members = materialize(members.join(shared.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("hub_a"), F.col("high").bitwiseXOR(F.col("key")).alias("hub_b")), "key"), "members")
-    sketches = first.select("doc_id", "odd")
-    stars = members.select(F.explode(F.array("hub_a", "hub_b")).alias("hub"), "rep").filter("hub != rep").select(*_ordered("hub", "rep")).distinct()
-    links = materialize(_verify(stars, sketches, texts, shingle_words, percent), "links")
-    parts = connected_components(links)
-
-    # Within a key, compare across the components that are left; pairs that the stars have judged are not judged again.
-    placed = members.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).filter("p != q").select("key", "n")
-    placed = materialize(placed.join(split, "key"), "placed")
+    reps = materialize(own.groupBy("set_digest").agg(F.min("doc_id").alias("rep")), "classes")
+    first = own.join(reps, "set_digest").filter("doc_id = rep")
+    keys = materialize(first.select(F.explode("bands").alias("key"), "rep").distinct(), "keys")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    members = materialize(keys.join(shared, "key", "left_semi"), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = keep_by_id(texts, wanted, "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles binary")
+    whole = materialize(sets.join(first.select("rep", "odd"), "rep"), "sets")
+
+    parts = members.sparkSession.createDataFrame([], "node long, component long")
+    links, placed = None, members.select("key", "rep", F.col("rep").alias("part"))
+    for turn in range(HUB_TURNS):
+        new = materialize(_verify(_offers(placed, turn), whole, percent), "links")
+        links = new if links is None else links.union(new)
+        parts = connected_components(links)
+        placed = materialize(_placed(members, parts), "placed")
+
     small = placed.filter(F.col("n") <= SMALL_KEY)
     other = small.select("key", F.col("rep").alias("other"), F.col("part").alias("other_part"))
     across = small.join(other, "key").filter("part < other_part").select(*_ordered("rep", "other")).distinct()
-    across = across.join(stars, ["src", "dst"], "left_anti")
-    more = _verify(across, sketches, texts, shingle_words, percent)
+    more = _verify(across, whole, percent)
     large = placed.filter(F.col("n") > SMALL_KEY).select("key", "rep", "part")
     if large.limit(1).count():
-        more = more.union(_large_keys(large, sketches, texts, shingle_words, percent))
+        more = more.union(_large_keys(large, whole, percent))
     more = materialize(more, "links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
