@@ -29,18 +29,21 @@ TITLES = {"f": "Mrs Ms Miss Frau Señora Madame Mme Sra".split(), "m": "Mr Herr
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<v>[A-Z0-9]{16})(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|pk_live_|npm_|hf_|AIza)(?P<v>[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])",
+    "jwt": r"(?<![A-Za-z0-9_.-])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])",
     "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9_\-./+]{8,})",
     "email": r"(?<![\w.+-])(?P<v>[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?<![\w.])(?P<v>[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3})(?![\w])",
     "ssn": r"(?<![\w-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])",
-    "phone": r"(?<![\w.])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4})(?![\w])",
+    "phone": r"(?<![\w.])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![-/])[2-9][0-9]{2}(?P<gap>[-. ])[0-9]{3}(?P=gap)[0-9]{4}(?!-))(?![\w])",
     "ipv4": r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?![\w]|\.[0-9])",
+    "ipv6": r"(?<![\w:.])(?P<v>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.[0-9])",
     "name": r"(?<!\w)(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.? (?P<v>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)(?!\w)",
 }
 _FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS.items()]
 #: A text without any of these holds nothing that the patterns find.
-_TRIGGER = re.compile(r"[0-9@]|PRIVATE KEY|(?i:password|passwd|pwd|secret|token|key)|\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b")
+_TRIGGER = re.compile(r"[0-9@]|PRIVATE KEY|eyJ|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk[-_]|_live_|npm_|hf_|AIza)|(?i:password|passwd|pwd|secret|token|key)|\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b")
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -51,6 +54,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind, finder in _FINDERS:
         for m in finder.finditer(text):
             a, b = m.span("v") if "v" in finder.groupindex else m.span()
+            if kind == "card" and text[a:b].isdigit() and not _checks(text[a:b]):
+                continue  # sixteen digits in a row that no card can have
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
     for value in _mentions(text, taken):
@@ -60,6 +65,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+def _check_digit(body: str) -> int:
+    """The digit that makes a card number of `body` valid."""
+    return (sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body))) * 9) % 10
+
+
+def _checks(digits: str) -> bool:
+    return _check_digit(digits[:-1]) == int(digits[-1])
+
+
 def _mentions(text: str, taken: list[tuple[int, int, str]]) -> list[str]:
     """Names found after titles, and their parts of two letters or more, longest first: what a bare mention may look like."""
     names = {text[a:b] for a, b, kind in taken if kind == "name"}
@@ -68,7 +82,9 @@ def _mentions(text: str, taken: list[tuple[int, int, str]]) -> list[str]:
 
 
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "ÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"]
-_HEX = "0123456789abcdef"
+#: Secrets of lower-case hex digits stay such; in IPv6 addresses digits and the letters a to f keep apart.
+_HEX_OF = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
+_GROUP_OF = {c: a for a in ("abcdef", "ABCDEF") for c in a}
 _OF = {c: a for a in _ALPHABETS for c in a}
 #: Common letters of further scripts and languages, so that surrogates of usual words are made of usual letters.
 _COMMON = [
@@ -98,7 +114,7 @@ def _alphabet(c: str) -> str | None:
     return _OF.get(c) or (_rest().get(c) if ord(c) > 127 and unicodedata.category(c)[0] in "LN" else None)
 
 
-_SHAPES = {a: str(i) for i, a in enumerate(_ALPHABETS)}
+_SHAPES = {a: str(i) for i, a in enumerate(_ALPHABETS)} | {"0123456789abcdef": "h", "abcdef": "f", "ABCDEF": "F"}
 _LISTED = {n: names for names in NAMES.values() for n in names}
 
 
@@ -108,6 +124,11 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
 
+    def _stream(self, label: str, width: int) -> int:
+        """`width` keyed pseudo-random bytes as a number: as many as a half needs, however long the value is."""
+        seed = hmac.new(self.key, label.encode(), hashlib.sha256).digest()
+        return int.from_bytes(seed if width <= 32 else hashlib.shake_256(seed).digest(width), "big")
+
     def permute(self, number: int, size: int, label: str) -> int:
         """A keyed bijection of range(size): a Feistel network over a square that holds it, walked until back inside."""
         if size <= 1:
@@ -115,23 +136,24 @@ class Surrogates:
         side = max(2, int(size**0.5) if size < 1 << 52 else 1 << (size.bit_length() + 1) // 2)
         while side * side < size:
             side += 1
+        width = side.bit_length() // 8 + 9  # 64 bits more than a half has, so that the remainder is even to 2^-64
         while True:
             a, b = divmod(number, side)
             for i in range(6):
-                mac = hmac.new(self.key, f"{label}/{size}/{i}/{b}".encode(), hashlib.sha256).digest()
-                a, b = b, (a + int.from_bytes(mac, "big")) % side
+                a, b = b, (a + self._stream(f"{label}/{size:x}/{i}/{b:x}", width)) % side
             number = a * side + b
             if number < size:
                 return number
 
     def shaped(self, value: str, label: str) -> str:
         """Every letter and digit is replaced within its own alphabet; everything else, and the length, stays."""
-        alphabets = [_HEX if label == "hex" and c in _HEX else _alphabet(c) for c in value]
+        own = {"hex": _HEX_OF, "ipv6": _GROUP_OF}.get(label, {})
+        alphabets = [own.get(c) or _alphabet(c) for c in value]
         n, size = 0, 1
         for c, a in zip(value, alphabets, strict=True):
             if a:
                 n, size = n * len(a) + a.index(c), size * len(a)
-        shape = "".join("." if not a else "h" if a is _HEX else _SHAPES.get(a) or f"[{a[0]}]" for a in alphabets)
+        shape = "".join("." if not a else _SHAPES.get(a) or f"[{a[0]}]" for a in alphabets)
         n = self._moved(n, size, f"{label}:{shape}")
         out = []
         for c, a in zip(reversed(value), reversed(alphabets), strict=True):
@@ -163,10 +185,9 @@ class Surrogates:
 
     def card(self, digits: str) -> str:
         """The issuer's first digit stays; a valid check digit stays valid, an invalid one invalid."""
-        body = lambda s: (sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(s))) * 9) % 10
-        step = (int(digits[-1]) - body(digits[:-1])) % 10
+        step = (int(digits[-1]) - _check_digit(digits[:-1])) % 10
         new = digits[0] + self.shaped(digits[1:-1], f"card{digits[0]}{step}")
-        return new + str((body(new) + step) % 10)
+        return new + str((_check_digit(new) + step) % 10)
 
     def name(self, value: str) -> str:
         """Each part by itself, so that a part alone gets the same surrogate: listed names in their list, others outside all lists."""
@@ -202,29 +223,55 @@ class Surrogates:
             return value[:head] + self.shaped(value[head:foot], kind) + value[foot:]
         if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
             return self.shaped(value, "hex")
+        if kind == "jwt":  # the first letters of head and body say what it is: they stay
+            return ".".join(p[:3] + self.shaped(p[3:], f"jwt{i}") if i < 2 else self.shaped(p, "jwt2") for i, p in enumerate(value.split(".")))
         return self.shaped(value, kind)
 
 
-def _entities(column: str, key: bytes):
-    schema = pa.schema([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())])
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
+
+
+def _replace(names: list[str], column: str, key: bytes):
+    """Rows with their texts replaced, the entities found (count, distinct triples) and whether the text differs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
         for batch in batches:
-            rows = set()
+            texts, counts, changed, entities = [], [], [], []
             for text in batch.column(column):
-                body = text.as_py() or ""
-                for a, b, kind in find(body):
-                    rows.add(("name" if kind == "mention" else kind, body[a:b], made.of(kind, body[a:b])))
-            rows = list(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], schema=schema)
+                body = text.as_py()
+                found = find(body) if body else []
+                out, at, own = [], 0, set()
+                for a, b, kind in found:
+                    new = made.of(kind, body[a:b])
+                    own.add(("name" if kind == "mention" else kind, body[a:b], new))
+                    out += [body[at:a], new]
+                    at = b
+                texts.append("".join([*out, body[at:]]) if found else body)
+                counts.append(sum(kind != "mention" for _, _, kind in found))
+                changed.append(texts[-1] != body)
+                entities.append([dict(zip(("kind", "original", "surrogate"), e, strict=True)) for e in sorted(own)])
+            columns = [pa.array(texts, pa.string()) if n == column else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(changed, pa.bool_()), pa.array(entities, _FOUND)], names=[*names, "__found", "__changed", "__entities"])
 
     return run
 
 
+def _replaced(docs: DataFrame, key: bytes, column: str) -> DataFrame:
+    """docs with columns c0, c1, ..., their text replaced, and __found, __changed, __entities."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
+    added = "__found long, __changed boolean, __entities array<struct<kind: string, original: string, surrogate: string>>"
+    return docs.toDF(*inner).mapInArrow(_replace(inner, inner[docs.columns.index(column)], key), f"{kinds}, {added}")
+
+
+def _distinct(replaced: DataFrame) -> DataFrame:
+    return replaced.select(F.explode("__entities").alias("e")).select("e.kind", "e.original", "e.surrogate").distinct()
+
+
 def entities(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
     """The distinct (kind, original, surrogate) of a corpus."""
-    return docs.select(F.col(column).alias("__text")).mapInArrow(_entities("__text", key), "kind string, original string, surrogate string").distinct()
+    return _distinct(_replaced(docs.select(column), key, column))
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -237,43 +284,23 @@ def collisions(found: DataFrame) -> DataFrame:
     return shared.unionByName(same).unionByName(torn)
 
 
-def _replace(names: list[str], column: str, key: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key)
-        for batch in batches:
-            texts, counts, changed = [], [], []
-            for text in batch.column(column):
-                body = text.as_py()
-                found = find(body) if body else []
-                out, at = [], 0
-                for a, b, kind in found:
-                    out += [body[at:a], made.of(kind, body[a:b])]
-                    at = b
-                texts.append("".join([*out, body[at:]]) if found else body)
-                counts.append(sum(kind != "mention" for _, _, kind in found))
-                changed.append(texts[-1] != body)
-            columns = [pa.array(texts, pa.string()) if n == column else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(changed, pa.bool_())], names=[*names, "__found", "__changed"])
-
-    return run
-
-
 def surrogate_text(docs: DataFrame, key: bytes, column: str = "text", count: str | None = None, check: bool = True, changed: str | None = None) -> DataFrame:
     """docs with every detected entity in `column` replaced; other columns unchanged; `count` and `changed` name added columns: entities
     that the patterns find (bare mentions of a name are not counted again), and whether the text differs.
 
     Null stays null and empty stays empty. Repeated rows and repeated entities get the same surrogate everywhere, as it
-    depends on key and value only; a name found after a title is replaced, whole or in parts, wherever its text holds it. Distinctness holds by construction, each kind and
-    format being mapped by a permutation; with `check`, the distinct entities of the corpus are also audited by two
-    aggregations; a collision, an entity left as it was or one with two surrogates raises ValueError. Nothing is gathered
-    but the first fault found.
+    depends on key and value only; a name found after a title is replaced, whole or in parts, wherever its text holds it.
+    Where two finds overlap, the kind listed first in PATTERNS is replaced and the other one's rest stays. Distinctness
+    holds by construction, each kind and format being mapped by a permutation; with `check`, the replaced texts and what
+    was found in them are written to the shared folder by one pass, and the distinct entities of the corpus are audited
+    by two aggregations: a collision, an entity left as it was or one with two surrogates raises ValueError. Nothing is
+    gathered but the first fault found.
     """
+    out = _replaced(docs, key, column)
     if check:
-        fault = collisions(materialize(entities(docs, key, column), "entities")).limit(1).collect()
+        out = materialize(out, "surrogates")
+        fault = collisions(_distinct(out)).limit(1).collect()
         if fault:
             raise ValueError(f"surrogates collide: {fault[0].asDict()}")
-    inner = [f"c{i}" for i in range(len(docs.columns))]
-    at = inner[docs.columns.index(column)]
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
-    out = docs.toDF(*inner).mapInArrow(_replace(inner, at, key), f"{kinds}, __found long, __changed boolean")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)], *([F.col("__found").alias(count)] if count else []), *([F.col("__changed").alias(changed)] if changed else []))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*kept, *([F.col("__found").alias(count)] if count else []), *([F.col("__changed").alias(changed)] if changed else []))
