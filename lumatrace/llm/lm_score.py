@@ -76,8 +76,8 @@ _ROW_SCHEMA = pa.schema([("part", pa.int32()), ("grp", pa.int64()), ("docs", pa.
 def _explode_pass(sent, parts: int, total: int, distinct: int):
     """Each group of texts -> a row of its own (part -1) and a row of its pairs for each partition of the pair counts.
 
-    A pair is sent once for each text with the times it occurs there and, in thousandths, what its log score gains if
-    the pair turns out to occur in another text: minus the history's log count, minus the backed-off score.
+    A pair is sent once for each text with the times it occurs there and, in single precision, what its log score gains
+    if the pair turns out to occur in another text: minus the history's log count, minus the backed-off score.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +104,17 @@ def _explode_pass(sent, parts: int, total: int, distinct: int):
                         continue
                     p, first, times = np.unique(ngram_hashes(w, 2), return_index=True, return_counts=True)
                     missed = math.log(BACKOFF) + single[first + 1]
-                    gain = np.round(1000 * (-np.log(np.maximum(left[inverse[first]], 1)) - missed)).astype(np.int64)
+                    gain = -np.log(np.maximum(left[inverse[first]], 1)) - missed
                     score = float(single[0] + (times * missed).sum())
                     a, b = _place(frequent, w[first].view(np.uint64)), _place(frequent, w[first + 1])
                     both = a[1] & b[1]
                     other = dense[a[0][both], b[0][both]] - times[both]
                     seen = other > 0
-                    score += float((times[both][seen] * (np.log(other[seen]) + gain[both][seen] / 1000)).sum())
+                    score += float((times[both][seen] * (np.log(other[seen]) + gain[both][seen])).sum())
                     hits[-1] = int(times[both][seen].sum())
                     base.append(score)
                     p, times, gain = p[~both], times[~both], gain[~both]
-                    out.append((p, np.clip(gain, -32768, 32767).astype(np.int16), times.astype(np.uint32), np.full(len(p), d, np.uint16)))
+                    out.append((p, gain.astype(np.float32), times.astype(np.uint32), np.full(len(p), d, np.uint16)))
                 grp = xxhash.xxh64_intdigest(repr((ids, n_words)).encode()) >> 1
                 rows = [(-1, grp, ids, n_words, base, hits, None, None, None, None)]
                 if out:
@@ -140,12 +140,12 @@ def _join_counts(table: pa.Table) -> pa.Table:
         return table.select(_SUM_SCHEMA.names)
     grp = table.column("grp").to_pylist()
     get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    hashes, gains, times, docs = get("hash", np.uint64), get("gain", np.int16), get("times", np.uint32), get("doc", np.uint16)
+    hashes, gains, times, docs = get("hash", np.uint64), get("gain", np.float32), get("times", np.uint32), get("doc", np.uint16)
     t = np.concatenate(times).astype(np.int64)
     _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     other = np.bincount(inverse, t).astype(np.int64)[inverse] - t
     seen = other > 0
-    gain = np.where(seen, t * (np.log(np.maximum(other, 1)) + np.concatenate(gains) / 1000), 0.0)
+    gain = np.where(seen, t * (np.log(np.maximum(other, 1)) + np.concatenate(gains)), 0.0)
     hit, rows, at = np.where(seen, t, 0), [], 0
     for g, d in zip(grp, docs, strict=True):
         own = slice(at, at + len(d))
@@ -174,7 +174,7 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Counts come from all rows of docs; from what a text is scored with, its
     own words are taken off (else every pair would have been seen). A word after another scores log(pair / history) if the
     pair occurs in another text, else log(BACKOFF) plus its own score, log((count + 1) / (words + distinct words + 1)); the
-    first word has its own score. The step from one to the other is kept in thousandths.
+    first word has its own score. The step from one to the other travels in single precision (seven digits).
 
     docs needs doc_id and text; other columns are ignored. Texts that are null or blank have 0 words, log_score 0 and a
     null score; a null doc_id is passed on; repeated rows count as texts of their own. An empty table gives no rows.

@@ -178,7 +178,7 @@ def test_lm_scores(spark, monkeypatch, broadcast):
             score += math.log(c / (one[x[k - 1]] - own1[x[k - 1]])) if c else alone + (math.log(0.4) if k else 0)
             seen += c > 0
         assert (got[i].n_words, got[i].n_pairs_seen) == (len(x), seen)
-        assert abs(got[i].log_score - score) <= 5e-4 * max(1, len(x)) + 1e-6
+        assert abs(got[i].log_score - score) <= 1e-6 * max(1, len(x)) + 1e-6
         assert (got[i].score is None) == (not x)
     assert lm_score.score_corpus(docs(spark, [])).count() == 0
 
