@@ -148,12 +148,23 @@ class Pieces(dict):
         return out
 
 
+#: One memory of pieces a vocabulary file and Python worker, for all tasks that the worker runs.
+_KEPT: dict[str, Pieces] = {}
+
+
+def _pieces(path: str) -> Pieces:
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Pieces(MonoidBpe(read_ranks(path)))
+    return _KEPT[path]
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int), for each whole text: every match of pattern is encoded by itself; null counts as empty."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = Pieces(MonoidBpe(read_ranks(path))), splitter(pattern)
+        pieces, split = _pieces(path), splitter(pattern)
         for batch in batches:
             ids = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t.as_py().decode()))), "<i4") for t in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
@@ -166,7 +177,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = MonoidBpe(read_ranks(path))
+        bpe = _pieces(path).bpe
         for batch in batches:
             out = [bpe.decode(x.as_py() or []) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], schema=schema)
@@ -184,8 +195,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = MonoidBpe(read_ranks(path))
-        pieces, split = Pieces(bpe), splitter(pattern)
+        pieces, split = _pieces(path), splitter(pattern)
+        bpe = pieces.bpe
         for batch in batches:
             bodies, rows = batch.column("body").to_pylist(), []
             for start, stop in in_chunks(bodies):

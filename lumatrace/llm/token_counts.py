@@ -26,7 +26,7 @@ class Counter(dict):
     """word -> entry. Counts tokens of a byte-level BPE file (.json): merges, added tokens, and the words proven whole."""
 
     #: Remembered words; forgotten beyond this, so that memory stays bounded.
-    MOST = 600_000
+    MOST = 400_000
 
     def __init__(self, path: str, whole: frozenset[str] | None = None):
         with open(path, encoding="utf-8") as f:
@@ -104,6 +104,17 @@ class Counter(dict):
         return all_but, direct
 
 
+#: One counter a vocabulary file and Python worker: tasks that a worker runs one after another share what it has learned.
+_KEPT: dict[str, Counter] = {}
+
+
+def _counter(path: str, whole: frozenset[str]) -> Counter:
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Counter(path, whole)
+    return _KEPT[path]
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), n_whole.
 
@@ -116,7 +127,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024) ->
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_whole", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, split = Counter(path, whole.value), splitter(pattern)
+        counter, split = _counter(path, whole.value), splitter(pattern)
         for batch in batches:
             bodies, rows = batch.column("body").to_pylist(), []
             for start, stop in in_chunks(bodies):
