@@ -88,13 +88,13 @@ def with_lifetime(df: DataFrame, c: str = "total", name: str = "lifetime", tau:
     return df.withColumn(name, F.coalesce(F.greatest(F.lit(2), last), F.col("__len"))).drop("__med", "__grad", "__clean", "__limit", "__len")
 
 
-def with_donor_alive(df: DataFrame, c: str = "total", name: str = "alive") -> DataFrame:
-    """False from the lifetime on, and where c is within four standard deviations of the background after it."""
+def with_donor_alive(df: DataFrame, c: str = "total", name: str = "alive", blink_std: float = CONSTANTS.blink_std) -> DataFrame:
+    """False from the lifetime on, and where c is within `blink_std` standard deviations of the background after it."""
     t = whole()
     df = with_lifetime(df, c, "__lt")
     tail = F.when(F.col("frame").between(F.col("__lt") + 5, F.col("__lt") + 5 + CONSTANTS.background_frames), F.col(c))
     df = df.withColumn("__n", F.count(tail).over(t)).withColumn("__sd", std1_over(tail, t))
-    dark = (F.col("__n") >= 10) & (F.col(c) <= CONSTANTS.blink_std * F.col("__sd"))
+    dark = (F.col("__n") >= 10) & (F.col(c) <= blink_std * F.col("__sd"))
     return df.withColumn(name, (F.col("frame") < F.col("__lt")) & ~F.coalesce(dark, F.lit(False))).drop("__lt", "__n", "__sd")
 
 

@@ -34,6 +34,28 @@ def with_states(points: DataFrame, idl: DataFrame) -> DataFrame:
     return points.join(idl.select(*KEYS, "frame", "state"), [*KEYS, "frame"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
 
 
+def combine_states(points: list[DataFrame], idls: list[DataFrame], name: str, mode: str = "truncate") -> DataFrame:
+    """combine() of datasets with their states: frames that have none, and those that extend a trace, get 0."""
+    marked = [with_states(p, i) for p, i in zip(points, idls, strict=True)]
+    if mode == "truncate":
+        return combine(marked, name)
+    ends = [m.groupBy(*KEYS).agg(F.max("frame").alias("__end")) for m in marked]
+    out = combine([m.join(e, KEYS) for m, e in zip(marked, ends, strict=True)], name, mode)
+    return out.withColumn("state", F.when(F.col("frame") <= F.col("__end"), F.col("state")).otherwise(0)).drop("__end")
+
+
+def average_models(models: DataFrame) -> DataFrame:
+    """One model (state, mu, sigma) from those of several datasets (dataset, state, mu, sigma [, sampling_ms]).
+
+    Null throughout where the datasets differ in their number of states or in sampling: then there is nothing to average.
+    """
+    extra = ["sampling_ms"] if "sampling_ms" in models.columns else []
+    sizes = models.groupBy("dataset", *extra).agg(F.count("*").alias("n"))
+    agree = sizes.agg((F.countDistinct("n", *extra) == 1).alias("agree"))
+    mean = models.groupBy("state").agg(F.avg("mu").alias("mu"), F.avg("sigma").alias("sigma"))
+    return mean.crossJoin(F.broadcast(agree)).select("state", *[F.when(F.col("agree"), F.col(c)).alias(c) for c in ("mu", "sigma")])
+
+
 def same_sampling(a: DataFrame, b: DataFrame) -> DataFrame:
     """Datasets whose sampling intervals (dataset, sampling_ms) differ."""
     return a.join(b.withColumnRenamed("sampling_ms", "other_ms"), "dataset").filter(F.abs(F.col("sampling_ms") - F.col("other_ms")) > 1e-9)
@@ -74,4 +96,6 @@ def largest_dataset(points: DataFrame) -> DataFrame:
 def nearest_state(own: DataFrame, ensemble: DataFrame) -> DataFrame:
     """own (keys, state, mean) relabelled by the ensemble (ens_state, ens_mean) with the closest mean; the first on ties."""
     best = F.min(F.struct(F.round(F.abs(F.col("mean") - F.col("ens_mean")), 9).alias("d"), "ens_state"))
-    return own.crossJoin(F.broadcast(ensemble)).groupBy(*KEYS, "state").agg(best.alias("b")).select(*KEYS, "state", F.col("b.ens_state").alias("new_state"))
+    # The ensemble has a row for each state (and dataset, if it names them).
+    both = own.join(F.broadcast(ensemble), "dataset") if "dataset" in ensemble.columns else own.crossJoin(F.broadcast(ensemble))
+    return both.groupBy(*KEYS, "state").agg(best.alias("b")).select(*KEYS, "state", F.col("b.ens_state").alias("new_state"))

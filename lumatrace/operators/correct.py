@@ -80,13 +80,38 @@ def ensemble_value(values: DataFrame, column: str, low: float, step: float, bins
     return center if centers[0] <= center <= centers[-1] and np.isfinite(width) else median
 
 
-def correct_crosstalk(points: DataFrame, value: float | None = None) -> DataFrame:
-    k = ensemble_value(crosstalk_by_trace(points), "crosstalk", -0.1, 0.01, 36) if value is None else value
+def correct_crosstalk(points: DataFrame, value: float | None = None, use_median: bool = False) -> DataFrame:
+    """Crosstalk taken off the acceptor, fret anew; without a value it is estimated from the traces (one job)."""
+    k = ensemble_value(crosstalk_by_trace(points), "crosstalk", -0.1, 0.01, 36, use_median) if value is None else value
     return recompute_fret(rescale(points, {("donor", "acceptor"): k or 0.0}, {}))
 
 
-def correct_gamma(points: DataFrame, value: float | None = None) -> DataFrame:
-    k = ensemble_value(gamma_by_trace(points), "gamma", 0.0, 0.1, 101) if value is None else value
+def correct_by_parameters(points: DataFrame, traces: DataFrame) -> DataFrame:
+    """Each trace's own crosstalk and scale (traces: keys, crosstalk, scale; null counts as 0 and 1) applied, fret anew."""
+    own = traces.select(*KEYS, F.coalesce("crosstalk", F.lit(0.0)).alias("__c"), F.coalesce("scale", F.lit(1.0)).alias("__s"))
+    df = points.join(own, KEYS, "left")
+    value = (F.col("acceptor") - F.coalesce("__c", F.lit(0.0)) * F.col("donor")) * F.coalesce("__s", F.lit(1.0))
+    return recompute_fret(df.withColumn("acceptor", value)).drop("__c", "__s")
+
+
+def apply_reviewed(points: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """Reviewed adjustments (keys, adjusted, background_donor, background_acceptor, crosstalk, gamma) of flagged traces; others stay.
+
+    The baselines are taken off first, then crosstalk, then the acceptor is scaled; nulls change nothing.
+    """
+    names = ("background_donor", "background_acceptor", "crosstalk", "gamma")
+    flags = adjustments.filter("adjusted").select(*KEYS, F.lit(True).alias("__flag"), *[F.col(c).alias(f"__{c}") for c in names])
+    df, on = points.join(flags, KEYS, "left"), F.coalesce("__flag", F.lit(False))
+    own = lambda c, default: F.coalesce(f"__{c}", F.lit(default))
+    donor = F.col("donor") - own("background_donor", 0.0)
+    acceptor = (F.col("acceptor") - own("background_acceptor", 0.0) - own("crosstalk", 0.0) * donor) * own("gamma", 1.0)
+    df = df.withColumn("__d", F.when(on, donor).otherwise(F.col("donor"))).withColumn("acceptor", F.when(on, acceptor).otherwise(F.col("acceptor"))).withColumn("donor", F.col("__d"))
+    return recompute_fret(df).drop("__flag", "__d", *[f"__{c}" for c in names])
+
+
+def correct_gamma(points: DataFrame, value: float | None = None, use_median: bool = False) -> DataFrame:
+    """The acceptor scaled by gamma, fret anew; without a value it is estimated from the traces (one job)."""
+    k = ensemble_value(gamma_by_trace(points), "gamma", 0.0, 0.1, 101, use_median) if value is None else value
     return recompute_fret(rescale(points, {}, {"acceptor": k or 1.0}))
 
 

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
+from lumatrace.operators import fits
 from lumatrace.schema import KEYS
 
 
+# Gas constant in kJ/(mol K), Planck's and Boltzmann's in SI units.
+_PHYSICS = (8.314472e-3, 6.62606896e-34, 1.3806504e-23)
+
+
 def to_dwells(idl: DataFrame, *means: str) -> DataFrame:
     """Runs of equal states, those of state 0 left out, numbered; with the mean of each column in `means`."""
     runs = seq.run_id(idl.select(*KEYS, "frame", "state", *means), "state")
@@ -59,11 +64,13 @@ def survival(dwells: DataFrame) -> DataFrame:
     return left.select("dataset", "state", "n_frames", F.try_divide(F.col("left"), F.max(F.when(F.col("n_frames") == 0, F.col("left"))).over(w)).alias("survival"))
 
 
-def log_histogram(dwells: DataFrame, sampling_ms: float, step: float = 0.4, normalize: str = "state") -> DataFrame:
+def log_histogram(dwells: DataFrame, sampling_ms: float, step: float = 0.4, normalize: str = "state", blinks: bool = False) -> DataFrame:
     """Dwells in bins of log time whose edges are whole numbers of frames: (dataset, state, low_frames, value).
 
-    value: counts by bin width, scaled to 1 (off: times the dwells; file: to the file's dwells; time: to its seconds).
+    Dark dwells are removed first unless `blinks`. value: counts by bin width, scaled to 100 for each state (off: to its
+    number of dwells; file: to its percentage of the file's dwells; time: to its dwells for each second of the file).
     """
+    dwells = dwells if blinks else remove_blinks(dwells)
     dt = sampling_ms / 1000
     top = dwells.agg(F.max("n_frames").alias("top"))
     at = F.explode(F.sequence(F.lit(0), F.floor(F.log(F.col("top") * 3.0) / step).cast("int")))
@@ -82,13 +89,18 @@ def log_histogram(dwells: DataFrame, sampling_ms: float, step: float = 0.4, norm
     totals = dwells.groupBy("dataset", "state").agg(F.count("*").alias("n"), F.sum("n_frames").alias("frames"))
     d = Window.partitionBy("dataset")
     totals = totals.withColumn("all", F.sum("n").over(d)).withColumn("seconds", F.sum("frames").over(d) * dt)
-    scale: dict[str, Column] = {"off": F.col("n"), "state": F.lit(1.0), "file": F.col("n") / F.col("all"), "time": F.col("n") / F.col("seconds")}
+    scale: dict[str, Column] = {"off": F.col("n"), "state": F.lit(100.0), "file": 100 * F.col("n") / F.col("all"), "time": F.col("n") / F.col("seconds")}
     return bins.join(totals, ["dataset", "state"]).select("dataset", "state", "low_frames", (F.col("v") / F.sum("v").over(s) * scale[normalize]).alias("value"))
 
 
-def occupancy_by_frame(idl: DataFrame, frames: int = 300) -> DataFrame:
-    """Percent of traces in each state by frame, state 0 left out of the result's rows and of the total."""
-    n = idl.filter((F.col("frame") <= frames) & (F.col("state") > 0)).groupBy("dataset", "frame", "state").agg(F.count("*").alias("n"))
+def _counted(idl: DataFrame, hide_dark: bool) -> DataFrame:
+    """Assigned frames; without the dark class (state 1) unless it is wanted."""
+    return idl.filter("state > 1" if hide_dark else "state > 0")
+
+
+def occupancy_by_frame(idl: DataFrame, frames: int = 300, hide_dark: bool = True) -> DataFrame:
+    """Percent of traces in each state by frame, the dark class (state 1) left out of the rows and of the total unless wanted."""
+    n = _counted(idl, hide_dark).filter(F.col("frame") <= frames).groupBy("dataset", "frame", "state").agg(F.count("*").alias("n"))
     return n.select("dataset", "frame", "state", (100 * F.col("n") / F.sum("n").over(Window.partitionBy("dataset", "frame"))).alias("percent"))
 
 
@@ -96,19 +108,25 @@ def state_frames(idl: DataFrame) -> DataFrame:
     return idl.groupBy(*KEYS, "state").agg(F.count("*").alias("n_frames"))
 
 
-def percent_time(idl: DataFrame, by: list[str] | None = None, truncate: int | None = None, hide_zero: bool = True) -> DataFrame:
-    """Percent of all assigned time in each state, by dataset (or other columns)."""
+def percent_time(idl: DataFrame, by: list[str] | None = None, truncate: int | None = None, hide_dark: bool = True) -> DataFrame:
+    """Percent of the time in each state, by dataset (or other columns); the dark class (state 1) does not count unless wanted."""
     by = by or ["dataset"]
     part = idl if truncate is None else idl.filter(F.col("frame") <= truncate)
-    part = part.filter("state > 0") if hide_zero else part
-    n = part.groupBy(*by, "state").agg(F.count("*").alias("n"))
+    n = _counted(part, hide_dark).groupBy(*by, "state").agg(F.count("*").alias("n"))
     return n.select(*by, "state", (100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by))).alias("percent"))
 
 
+def percent_time_by_day(idl: DataFrame, places: DataFrame, hide_dark: bool = True) -> DataFrame:
+    """Standard deviation over acquisition days (places: keys, day) of percent_time(): (state, sd)."""
+    daily = percent_time(idl.join(places.select(*KEYS, "day"), KEYS), ["day"], hide_dark=hide_dark)
+    return daily.groupBy("state").agg(F.stddev_samp("percent").alias("sd"))
+
+
 def transition_events(idl: DataFrame, truncate: int | None = None) -> DataFrame:
-    """By trace, dark frames (state 1 and 0) removed and the rest closed up: events (runs less one) and frames."""
-    part = idl.filter("state > 1") if truncate is None else idl.filter((F.col("state") > 1) & (F.col("frame") <= truncate))
+    """By trace, dark frames (state 1 and 0) removed, the rest closed up, then cut: events (runs less one) and frames."""
     w = seq.by_frame()
+    part = idl.filter("state > 1")
+    part = part if truncate is None else part.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= truncate)
     changed = F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(0))
     return part.withColumn("changed", changed).groupBy(*KEYS).agg(F.sum("changed").alias("events"), F.count("*").alias("n_frames"))
 
@@ -129,14 +147,28 @@ def dwell_matrix(dwells: DataFrame, states: list[int], sampling_ms: float) -> Da
     return dwells.groupBy(*KEYS).agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n_frames"))) * sampling_ms, F.lit(0.0)).alias(f"state_{s}_ms") for s in states])
 
 
-def autocovariance(dwells: DataFrame, lags: int = 49, least: int = 20) -> DataFrame:
-    """Mean and standard error over traces with more than `least` dwells of the dwells' autocovariance, lags with 3 traces or more."""
+def autocovariance(dwells: DataFrame, state: int, lags: int = 49, least: int = 20) -> DataFrame:
+    """Mean and standard error, over traces with more than `least` dwells in a state, of the autocovariance of those dwells.
+
+    Only the state's own dwells count, one after another. A trace is 0 at the lag of its number of dwells and has no value
+    beyond; lags with fewer than 3 traces are left out: (dataset, lag, mean, sem, n).
+    """
+    own = F.row_number().over(Window.partitionBy(*KEYS).orderBy("dwell_no"))
+    dwells = dwells.filter(F.col("state") == state).withColumn("dwell_no", own)
     long = dwells.withColumn("__n", F.count("*").over(Window.partitionBy(*KEYS))).filter(F.col("__n") > least).withColumn("n_frames", F.col("n_frames").cast("double"))
     each = seq.autocovariance(long, "dwell_no", "n_frames", lags)
+    ends = long.groupBy(*KEYS).agg(F.max("__n").cast("int").alias("lag")).filter(F.col("lag") <= lags)
+    each = each.unionByName(ends.select(*KEYS, "lag", F.lit(0.0).alias("value")))
     out = each.groupBy("dataset", "lag").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"), F.count("value").alias("n"))
     return out.filter("n >= 3")
 
 
+def autocovariance_fit(curve: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """dataset -> y0, a, k of y0 + a exp(-k (lag - 1)) through autocovariance()'s means, lag 0 aside; at most `lags` rows a dataset."""
+    rows = curve.filter("lag > 0").select("dataset", "lag", "mean").toPandas().sort_values("lag")
+    return {d: fits.decay_to_offset(g["lag"].to_numpy(float) - 1, g["mean"].to_numpy(float)) for d, g in rows.groupby("dataset")}
+
+
 def transition_counts(idl: DataFrame, by: list[str]) -> DataFrame:
     """Frame-to-frame steps from state to state, both assigned: (by, src, dst, n)."""
     nxt = F.lead("state").over(seq.by_frame())
@@ -186,11 +218,30 @@ def survival_before(dwells: DataFrame) -> DataFrame:
     return n.select("dataset", "src", "dst", "n_frames", (1 - F.sum("k").over(p.orderBy("n_frames")) / F.sum("k").over(p)).alias("survival"))
 
 
-def exponential_lifetime(dwells: DataFrame, sampling_ms: float, floor: float = 0.01) -> DataFrame:
-    """Time constant of each state by a straight line through the logarithm of the survival above `floor`: (dataset, state, tau, r2)."""
-    s = survival(dwells).filter(F.col("survival") > floor)
-    line = s.groupBy("dataset", "state").agg(F.regr_slope(F.log("survival"), F.col("n_frames") * sampling_ms / 1000).alias("slope"), F.regr_r2(F.log("survival"), F.col("n_frames") * sampling_ms / 1000).alias("r2"))
-    return line.select("dataset", "state", F.try_divide(F.lit(-1.0), F.col("slope")).alias("tau"), "r2")
+def exponential_lifetime(dwells: DataFrame, sampling_ms: float, floor: float = 0.01, blinks: bool = False) -> DataFrame:
+    """Time constant in seconds of each state: (dataset, state, a, tau, r2), r2 adjusted.
+
+    a exp(-t / tau) by least squares through the survival curve up to its last value above `floor`; dark dwells are
+    removed first unless `blinks`. Each curve has a point for each frame, however many dwells it stands for.
+    """
+    s = survival(dwells if blinks else remove_blinks(dwells))
+    last = F.max(F.when(F.col("survival") > floor, F.col("n_frames"))).over(Window.partitionBy("dataset", "state"))
+    s = s.withColumn("__last", last).filter(F.col("n_frames") <= F.col("__last")).withColumn("t", F.col("n_frames") * sampling_ms / 1000)
+    return fits.exponential_fits(s, ["dataset", "state"], "t", "survival")
+
+
+def total_lifetime_curves(dwells: DataFrame, on_state: int) -> DataFrame:
+    """Survival of the on times, the off times and each trace's total on time: (dataset, kind, n_frames, survival)."""
+    on = F.col("state") == on_state
+    single = dwells.select("dataset", F.when(on, "on").otherwise("off").alias("state"), "n_frames")
+    total = dwells.filter(on).groupBy(*KEYS).agg(F.sum("n_frames").cast("int").alias("n_frames")).select("dataset", F.lit("total on").alias("state"), "n_frames")
+    return survival(single.unionByName(total)).withColumnRenamed("state", "kind")
+
+
+def total_lifetime_report(dwells: DataFrame, on_state: int, sampling_ms: float) -> dict[str, DataFrame]:
+    """summary: blinking(), in seconds; curves: total_lifetime_curves() with their time in seconds (t)."""
+    curves = total_lifetime_curves(dwells, on_state)
+    return {"summary": blinking(dwells, on_state, sampling_ms), "curves": curves.withColumn("t", F.col("n_frames") * sampling_ms / 1000)}
 
 
 def transition_density(idl: DataFrame, sampling_ms: float, low: float = -0.1, step: float = 0.03, bins: int = 44, normalize: str = "total time", hide_blinks: bool = False, truncate: int | None = None) -> DataFrame:
@@ -232,21 +283,56 @@ def time_to_state(dwells: DataFrame, n_traces: DataFrame, state: int = 3, second
     return n.select("dataset", "start_frame", (F.sum("k").over(Window.partitionBy("dataset").orderBy("start_frame")) / F.col("n_traces")).alias("reached"))
 
 
-def energy_landscape(rates: DataFrame, kelvin: float = 298.15) -> DataFrame:
+def energy_landscape(rates: DataFrame, kelvin: float = 298.0) -> DataFrame:
     """Barrier of each transition in kJ/mol from its rate in 1/s: (dataset, src, dst, barrier)."""
-    # Gas, Planck and Boltzmann constants in SI units.
-    gas, planck, boltzmann = 8.314462618e-3, 6.62607015e-34, 1.380649e-23
+    gas, planck, boltzmann = _PHYSICS
     return rates.filter("k > 0").select("dataset", "src", "dst", (-gas * kelvin * F.log(F.col("k") * planck / (boltzmann * kelvin))).alias("barrier"))
 
 
-def bootstrap_percent(idl: DataFrame, resamples: int = 100) -> DataFrame:
-    """Standard error of percent_time() over traces, by Poisson(1) weights that a hash of trace and resample draws."""
-    n = state_frames(idl.filter("state > 0"))
-    draws = n.select(*KEYS).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+def well_energies(percent: DataFrame, reference: int, kelvin: float = 298.0) -> DataFrame:
+    """Free energy of each state against a reference state, in kJ/mol, from percent_time(): (dataset, state, energy)."""
+    ref = percent.filter(F.col("state") == reference).select("dataset", F.col("percent").alias("__ref"))
+    return percent.join(ref, "dataset").select("dataset", "state", (-_PHYSICS[0] * kelvin * F.log(F.col("percent") / F.col("__ref"))).alias("energy"))
+
+
+def energy_path(rates: DataFrame, percent: DataFrame, order: list[int], kelvin: float = 298.0) -> DataFrame:
+    """The landscape along a cycle of states, the first being the reference: (dataset, step, src, dst, well, peak).
+
+    peak: the transition state between src and dst, the average of what is reached from either side, each side's barrier
+    less its well. Steps without both rates have no peak.
+    """
+    wells, barriers = well_energies(percent, order[0], kelvin), energy_landscape(rates, kelvin)
+    steps = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(a).alias("src"), F.lit(b).alias("dst")) for i, (a, b) in enumerate(zip(order, order[1:] + order[:1], strict=True))])
+    path = percent.select("dataset").distinct().select("dataset", F.explode(steps).alias("s")).select("dataset", "s.*")
+    well = lambda at, name: wells.select("dataset", F.col("state").alias(at), F.col("energy").alias(name))
+    path = path.join(well("src", "well"), ["dataset", "src"], "left").join(well("dst", "__w2"), ["dataset", "dst"], "left")
+    path = path.join(barriers.withColumnRenamed("barrier", "__b1"), ["dataset", "src", "dst"], "left").join(barriers.select("dataset", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("barrier").alias("__b2")), ["dataset", "src", "dst"], "left")
+    return path.select("dataset", "step", "src", "dst", "well", ((F.col("__b1") - F.col("well") + F.col("__b2") - F.col("__w2")) / 2).alias("peak"))
+
+
+def bootstrap_draws(traces: DataFrame, resamples: int) -> DataFrame:
+    """(keys, b, w): how often resample b draws a trace, by Poisson(1) from a hash of both; draws of 0 are left out."""
+    draws = traces.select(*KEYS).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     # A linear congruence, so that SQL twins can draw the same numbers.
     u = ((F.col("trace_id") * 7919 + F.col("b") * 104_729 + 12_345) * 48_271 % 2_147_483_647) / 2_147_483_647.0
     limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    w = draws.withColumn("w", weight).filter("w > 0").join(n, KEYS).groupBy("dataset", "b", "state").agg(F.sum(F.col("w") * F.col("n_frames")).alias("x"))
+    return draws.withColumn("w", weight).filter("w > 0")
+
+
+def bootstrap_se(each: DataFrame, statistic: Column, resamples: int = 1000) -> DataFrame:
+    """Standard error over traces of any statistic that is an expression of sums: (dataset, se).
+
+    each: keys and columns to sum; statistic: an expression of those columns' (weighted) sums, such as F.col("events") / F.col("seconds").
+    """
+    columns = [c for c in each.columns if c not in KEYS]
+    sums = bootstrap_draws(each, resamples).join(each, KEYS).groupBy("dataset", "b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+    return sums.select("dataset", statistic.alias("__s")).groupBy("dataset").agg(F.stddev_samp("__s").alias("se"))
+
+
+def bootstrap_percent(idl: DataFrame, resamples: int = 1000, hide_dark: bool = True) -> DataFrame:
+    """Standard error of percent_time() over traces, by bootstrap_draws()."""
+    n = state_frames(_counted(idl, hide_dark))
+    w = bootstrap_draws(n, resamples).join(n, KEYS).groupBy("dataset", "b", "state").agg(F.sum(F.col("w") * F.col("n_frames")).alias("x"))
     p = w.select("dataset", "state", "b", (100 * F.col("x") / F.sum("x").over(Window.partitionBy("dataset", "b"))).alias("percent"))
     return p.groupBy("dataset", "state").agg(F.stddev_samp("percent").alias("se"))

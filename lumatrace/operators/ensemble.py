@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
+from lumatrace.operators import fits
 from lumatrace.operators.dwell import to_dwells
 from lumatrace.schema import KEYS
 
@@ -84,6 +85,23 @@ def simple_post_sync(points: DataFrame, threshold: float, before: int = 5, total
     return grid.join(points.select(*KEYS, "frame", "fret"), [*KEYS, "frame"], "left").select(*KEYS, F.col("new").alias("frame"), F.coalesce("fret", F.lit(0.0)).alias("fret"))
 
 
+def percent_with_fret(stats: DataFrame, least: float = 0.2) -> DataFrame:
+    """Percent of each dataset's traces whose mean fret is above `least`."""
+    return stats.groupBy("dataset").agg((100 * F.count_if(F.col("avg_fret") > least) / F.count("*")).alias("percent"))
+
+
+def over_datasets(values: DataFrame, column: str) -> DataFrame:
+    """Mean and standard deviation of a column over datasets, and how many there are."""
+    return values.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.count(column).alias("n"))
+
+
+def photobleaching(stats: DataFrame, bins: int = 40) -> dict[str, DataFrame]:
+    """curves: lifetime_curves() of donor and acceptor (kind); summary: mean intensity t, and each curve's time constant in bins."""
+    curves = lifetime_curves(stats, "donorlife", bins).withColumn("kind", F.lit("donor")).unionByName(lifetime_curves(stats, "acclife", bins).withColumn("kind", F.lit("acceptor")))
+    taus = fits.exponential_fits(curves, ["dataset", "kind"], "bin", "left").groupBy("dataset").agg(*[F.max(F.when(F.col("kind") == k, F.col("tau"))).alias(f"{k}_tau") for k in ("donor", "acceptor")])
+    return {"curves": curves, "summary": stats.groupBy("dataset").agg(F.avg("t").alias("mean_t")).join(taus, "dataset")}
+
+
 def lifetime_curves(stats: DataFrame, column: str, bins: int = 40) -> DataFrame:
     """One less the cumulative share of traces by a statistic, on `bins` bins up to its greatest value: (dataset, bin, left)."""
     top = stats.agg(F.max(column).alias("top"))

@@ -40,31 +40,40 @@ def total_intensity(points: DataFrame) -> Column:
     return sum((F.coalesce(c, F.lit(0.0)) for c in ("donor", "donor2", "acceptor", "acceptor2") if c in points.columns), F.lit(0.0))
 
 
-def fret_two(points: DataFrame, zero: str = "threshold") -> DataFrame:
-    """fret = acceptor / total, 0 where undefined and, unless zero is "off", where the donor is dark."""
+def with_alive(points: DataFrame, zero: str = "threshold") -> DataFrame:
+    """total and alive (kept if there): by threshold, by segmental k-means (skm), or until bleaching alone (off)."""
     df = points.withColumn("total", total_intensity(points))
-    value = F.coalesce(F.try_divide(F.col("acceptor"), F.col("total")), F.lit(0.0))
-    if zero != "off":
-        df = seq.with_donor_alive(df) if "alive" not in df.columns else df
-        value = F.when(F.col("alive"), value).otherwise(0.0)
-    return df.withColumn("fret", value)
+    if "alive" in df.columns:
+        return df
+    if zero == "skm":
+        from lumatrace.operators import states  # it builds on this module
+
+        return states.donor_alive(df)
+    return seq.with_donor_alive(df, blink_std=0.0) if zero == "off" else seq.with_donor_alive(df)
+
+
+def fret_two(points: DataFrame, zero: str = "threshold") -> DataFrame:
+    """fret = acceptor / total, 0 where undefined and where the donor is dark as with_alive() has it."""
+    df = with_alive(points, zero)
+    return df.withColumn("fret", F.when(F.col("alive"), F.coalesce(F.try_divide(F.col("acceptor"), F.col("total")), F.lit(0.0))).otherwise(0.0))
 
 
-def fret_three(points: DataFrame, geometry: str) -> DataFrame:
-    """fret and fret2 of donor, acceptor and acceptor2: tandem3, independent3, or acceptor/total. Undefined values are 0.
+def fret_three(points: DataFrame, geometry: str, zero: str = "threshold") -> DataFrame:
+    """fret and fret2 of donor, acceptor and acceptor2: tandem3, independent3, or acceptor/total.
 
-    tandem3 also sets fret2 to 0 where fret is under 0.2, and from the end of the last run of more than 5 frames with fret
-    of 0.25 or more.
+    Undefined values are 0, and so are both where the donor is dark as with_alive() has it. tandem3 also sets fret2 to 0
+    where fret is under 0.2 and, if there is a run of more than 5 frames with fret of 0.25 or more, from the end of the last.
     """
     d, a, b = F.col("donor"), F.col("acceptor"), F.col("acceptor2")
     total = d + a + b
     pairs = {"tandem3": ((a + b) / 1, total, b, a + b), "independent3": (a, a + d, b, b + d), "acceptor/total": (a, total, b, total)}[geometry]
     ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
-    df = points.withColumn("fret", ratio(*pairs[:2])).withColumn("fret2", ratio(*pairs[2:]))
+    alive = F.col("alive")
+    df = with_alive(points, zero).withColumn("fret", F.when(alive, ratio(*pairs[:2])).otherwise(0.0)).withColumn("fret2", F.when(alive, ratio(*pairs[2:])).otherwise(0.0))
     if geometry == "tandem3":
         df = seq.long_runs(df.withColumn("__high", F.col("fret") >= 0.25), "__high", "__lit")
         end = F.max(F.when(F.col("__lit"), F.col("frame"))).over(seq.whole())
-        df = df.withColumn("fret2", F.when((F.col("fret") < 0.2) | (F.col("frame") >= F.coalesce(end, F.lit(1))), 0.0).otherwise(F.col("fret2"))).drop("__high", "__lit")
+        df = df.withColumn("fret2", F.when((F.col("fret") < 0.2) | F.coalesce(F.col("frame") >= end, F.lit(False)), 0.0).otherwise(F.col("fret2"))).drop("__high", "__lit")
     return df
 
 
@@ -128,6 +137,48 @@ def with_ids(traces: DataFrame, path: Column | str) -> DataFrame:
     return traces.withColumn("ids", F.concat(where, F.lit("#"), F.row_number().over(Window.partitionBy("dataset").orderBy("trace_id"))))
 
 
+def live_frames(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
+    """Frames with fret alone, numbered anew from 1 within each trace (n)."""
+    return points.filter("fret != 0").select(*KEYS, F.row_number().over(seq.by_frame()).alias("n"), *channels)
+
+
+def zero_when_dark(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor")) -> DataFrame:
+    """The channels set to 0 in frames without fret; all frames stay."""
+    return points.withColumns({c: F.when(F.col("fret") == 0, 0.0).otherwise(F.col(c)) for c in channels})
+
+
+def suffixed(path: Column, suffix: str, extension: str | None = None) -> Column:
+    """A file's path with a suffix after its base name, its last extension kept or exchanged."""
+    own = F.regexp_extract(path, r"(\.[^./\\]*)$", 1) if extension is None else F.lit(extension)
+    return F.concat(F.regexp_replace(path, r"\.[^./\\]*$", ""), F.lit(suffix), own)
+
+
+def trim_titles(files: DataFrame) -> DataFrame:
+    """path -> (path, title): base names without extension, and without the words that all have in common at either end.
+
+    A word starts at every character that is no letter or digit; underscores are blanks. Files alike throughout are
+    numbered; a title with nothing left is a dash. Only two numbers about all files are sent to the tasks.
+    """
+    base = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"\.[^.]*$", "")
+    title = F.trim(F.translate(base, "_", " "))
+    words = F.concat(F.array(F.regexp_extract(title, "^[A-Za-z0-9]*", 0)), F.regexp_extract_all(title, F.lit("([^A-Za-z0-9][A-Za-z0-9]*)"), 1))
+    df = files.select("path", title.alias("whole"), words.alias("w"))
+    df = df.crossJoin(F.broadcast(df.agg(F.max(F.size("w")).alias("most"), F.count("*").alias("files"))))
+
+    def alike(word: Column) -> DataFrame:
+        """The number of words, counted from one end, that are the same in all files."""
+        cells = df.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("most")))).withColumn("word", F.coalesce(word, F.lit("")))
+        seen = cells.groupBy("at").agg(F.max("most").alias("most"), F.countDistinct("word").alias("n"))
+        return F.broadcast(seen.agg(F.coalesce(F.min(F.when(F.col("n") > 1, F.col("at"))) - 1, F.max("most")).alias("same")))
+
+    df = df.crossJoin(alike(F.try_element_at("w", F.col("at"))).withColumnRenamed("same", "lead"))
+    df = df.withColumn("w", F.slice("w", F.col("lead") + 1, F.greatest(F.lit(0), F.size("w") - F.col("lead"))))
+    df = df.crossJoin(alike(F.try_element_at("w", -F.col("at"))).withColumnRenamed("same", "tail"))
+    inner = F.trim(F.array_join(F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - F.col("tail"))), ""))
+    number = F.row_number().over(Window.orderBy("path"))  # a row for each file
+    return df.select("path", F.when(F.col("files") < 2, F.col("whole")).when(F.col("lead") >= F.col("most"), number.cast("string")).when(inner == "", "-").otherwise(inner).alias("title"))
+
+
 def check_traces(points: DataFrame) -> dict[str, int]:
     """Counts of broken rules: missing keys, repeated frames, gaps, unequal lengths within a dataset."""
     each = points.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("frame").alias("top"), F.countDistinct("frame").alias("distinct"), F.count_if(F.col("frame").isNull()).alias("null_frames"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
@@ -21,6 +23,11 @@ def criteria_predicate(criteria: dict[str, float | None]) -> Column:
     return out
 
 
+def criteria_from(spark: SparkSession, path: str) -> dict[str, float | None]:
+    """Criteria from a JSON file: {"min_snr": 8, "max_bg": null, ...}."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def pick(stats: DataFrame, criteria: dict[str, float | None]) -> DataFrame:
     return stats.filter(criteria_predicate(criteria))
 
@@ -42,34 +49,36 @@ def gaussian_center(centers: np.ndarray, counts: np.ndarray, steps: int = 50) ->
 
 
 def within_sigma(stats: DataFrame, k: float, column: str = "t", bins: int = 51) -> DataFrame:
-    """Traces whose intensity lies within k widths of the peak of a Gaussian fitted to its histogram (values above 0)."""
-    positive = stats.filter(F.col(column) > 0)
-    lo, hi = positive.agg(F.min(column), F.max(column)).first()
-    if lo is None or hi == lo:
-        return positive
-    step = (hi - lo) / bins
-    rows = positive.groupBy(seq.bin_of(F.col(column), lo + step / 2, step, bins).alias("b")).count().collect()  # at most `bins`
+    """Traces whose intensity lies within k widths of the peak of a Gaussian fitted to its histogram.
+
+    The histogram holds values above 0 in bins centred on 0 to the greatest value; any trace may then be picked.
+    """
+    top = stats.agg(F.max(column)).first()[0]
+    if top is None or top <= 0:
+        return stats.limit(0)
+    step = top / (bins - 1)
+    rows = stats.filter(F.col(column) > 0).groupBy(seq.bin_of(F.col(column), 0.0, step, bins).alias("b")).count().collect()  # at most `bins`
     counts = np.zeros(bins)
     for r in rows:
         counts[r.b - 1] = r["count"]
-    b, c = gaussian_center(lo + step * (np.arange(bins) + 0.5), counts)
-    return positive.filter(F.abs(F.col(column) - b) < k * c)
+    b, c = gaussian_center(step * np.arange(bins), counts / counts.sum())
+    return stats.filter(F.abs(F.col(column) - b) < k * c)
 
 
 def keep_percent(traces: DataFrame, percent: float, seed: int = 0) -> DataFrame:
-    """The floor of p percent of the traces, drawn by a hash; the same for any partitioning.
+    """The floor of p percent of the traces, drawn by a hash of their keys; the same for any partitioning.
 
     Hashes are cut into 4096 ranges and counted; whole ranges below the limit pass, and only the limit's own is ordered.
     """
-    h = (F.col("trace_id") * 48_271 + F.lit(seed) * 7919 + 11) % 2_147_483_647
-    df = traces.withColumn("__h", h).withColumn("__r", F.floor(F.col("__h") / 524_288).cast("int"))
+    h = F.md5(F.concat_ws("#", *KEYS, F.lit(seed)))
+    df = traces.withColumn("__h", h).withColumn("__r", F.substring("__h", 1, 3))
     counts = df.groupBy("__r").agg(F.count("*").alias("n"))  # at most 4096 rows
     total = F.sum("n").over(Window.partitionBy())
     limit = F.floor(total * percent / 100)
     before = F.sum("n").over(Window.orderBy("__r")) - F.col("n")
     plan = counts.select("__r", before.alias("__before"), limit.alias("__limit"))
     df = df.join(F.broadcast(plan), "__r").filter(F.col("__before") < F.col("__limit"))
-    rank = F.row_number().over(Window.partitionBy("__r").orderBy("__h", "trace_id"))
+    rank = F.row_number().over(Window.partitionBy("__r").orderBy("__h", *KEYS))
     return df.withColumn("__k", rank).filter(F.col("__before") + F.col("__k") <= F.col("__limit")).drop("__h", "__r", "__before", "__limit", "__k")
 
 
@@ -144,6 +153,29 @@ def in_circles(places: DataFrame, circles: DataFrame) -> DataFrame:
     return places.join(F.broadcast(circles), hit).drop("cx", "cy", "r")
 
 
+def without(traces: DataFrame, picked: DataFrame) -> DataFrame:
+    """The inverted selection: traces that were not picked."""
+    return traces.join(picked.select(*KEYS), KEYS, "left_anti")
+
+
+def flagged(traces: DataFrame, excluded: DataFrame | None = None, everything: bool = False) -> DataFrame:
+    """traces with `included`: false for those in `excluded`; for all (everything) or none where no table is given."""
+    if excluded is None:
+        return traces.withColumn("included", F.lit(not everything))
+    marks = excluded.select(*KEYS).distinct().withColumn("__out", F.lit(True))
+    return traces.join(marks, KEYS, "left").withColumn("included", F.col("__out").isNull()).drop("__out")
+
+
+def review_bins(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """All frames of each labelled trace (labels: keys, bin), once for each bin it is in."""
+    return points.join(labels.select(*KEYS, "bin").distinct(), KEYS)
+
+
+def save_review_bins(points: DataFrame, labels: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """review_bins() as Parquet, a folder for each bin, traces in order."""
+    review_bins(points, labels).repartition("bin", *KEYS).sortWithinPartitions("bin", *KEYS, "frame").write.mode(mode).partitionBy("bin").parquet(path)
+
+
 def labelled(traces: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return traces.join(labels.filter(F.col("bin") == name).select(*KEYS), KEYS, "left_semi")
 

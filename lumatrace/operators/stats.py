@@ -31,7 +31,9 @@ def trace_stats(points: DataFrame) -> DataFrame:
     df = df.withColumn("drop", F.col("__grad") <= F.col("mean_g") - c.overlap_std * F.col("sd_g"))
     event = F.col("drop") & ~F.lag("drop").over(seq.by_frame()) & (F.col("frame") > 5) & (F.col("frame") <= F.col("lt"))
     before = F.min(F.when(F.col("frame") >= 2, F.col("__med"))).over(seq.rows(Window.unboundedPreceding, -1))
-    after = F.max(F.when(F.col("frame") <= F.col("lt"), F.col("__med"))).over(seq.rows(1, Window.unboundedFollowing))
+    # What follows a frame, as a running maximum from the trace's end: a frame that only grows is summed up once.
+    later = Window.partitionBy(*KEYS).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.max(F.when(F.col("frame") <= F.col("lt"), F.col("__med"))).over(later)
     df = df.withColumn("event", F.coalesce(event, F.lit(False))).withColumn("apart", F.coalesce(after < before, F.lit(False)))
     df = df.withColumn("last_event", F.max(F.when(F.col("event"), F.col("frame"))).over(t))
     df = df.withColumn("early", F.col("event") & F.col("apart") & (F.col("frame") < F.col("last_event")))

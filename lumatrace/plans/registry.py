@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
 from lumatrace.operators import combine, correct, dwell, ensemble, pixels, project, select, stats
 from lumatrace.plans.sql import BL, DW, EMB, EV, IDL, LIFE, PIX, POS, STAT_NAMES, STATS, q
-from lumatrace.schema import CRITERIA, KEYS
+from lumatrace.schema import KEYS
+from lumatrace.session import work_dir
 from lumatrace.sources import adapters as A
 from lumatrace.sources import files
 
@@ -57,14 +59,18 @@ register("a3_size_catalog", q(EV, "SELECT dataset, count(DISTINCT trace_id) AS n
 register("a4_read_subset", q(EV, "SELECT dataset, trace_id, frame, round(fret, 6) AS fret FROM pts WHERE trace_id IN (2, 3, 999999999)"))(
     lambda s, d: project.subset(A.event_traces(s, d), [2, 3, 999_999_999]).select(*KEYS, "frame", "fret")
 )
-register("a13_live_frames", q(EV, "SELECT dataset, trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY frame) AS n, fret FROM pts WHERE fret <> 0"))(
-    lambda s, d: A.event_traces(s, d).filter("fret != 0").select(*KEYS, F.row_number().over(seq.by_frame()).alias("n"), "fret")
+register("a13_live_frames", q(EV, "SELECT dataset, trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY frame) AS n, round(donor, 6) AS donor, acceptor, fret FROM pts WHERE fret <> 0"))(
+    lambda s, d: project.live_frames(A.event_traces(s, d))
 )
-register("a14_rank_levels", "WITH " + EV + """,
-lv AS (SELECT dataset, trace_id, frame, CASE WHEN round(fret, 1) < 0.1 THEN 0 ELSE round(fret, 1) END AS level FROM pts)
-SELECT dataset, trace_id, frame, dense_rank() OVER (PARTITION BY trace_id ORDER BY level) AS state FROM lv""")(
-    lambda s, d: A.event_traces(s, d).withColumn("level", F.when(F.round("fret", 1) < 0.1, 0.0).otherwise(F.round("fret", 1))).select(*KEYS, "frame", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("level")).alias("state"))
+register("a13_zero_when_dark", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE donor END, 6) AS donor, CASE WHEN fret = 0 THEN 0 ELSE acceptor END AS acceptor FROM pts"))(
+    lambda s, d: project.zero_when_dark(A.event_traces(s, d)).select(*KEYS, "frame", "donor", "acceptor")
 )
+RANK = EV + """,
+lv AS (SELECT dataset, trace_id, frame, CASE WHEN round(fret, 1) < 0.1 THEN 0 ELSE round(fret, 1) END AS level FROM pts),
+rk AS (SELECT dataset, trace_id, frame, dense_rank() OVER (PARTITION BY trace_id ORDER BY level) AS state FROM lv)"""
+register("a14_rank_levels", q(RANK, "SELECT dataset, trace_id, frame, state FROM rk"))(lambda s, d: files.ranked_path(_fitted(s, d)))
+register("a14_ranked_dwells", "WITH " + RANK + """, rc AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY trace_id ORDER BY frame) = state THEN 0 ELSE 1 END AS c FROM rk), rr AS (SELECT *, sum(c) OVER (PARTITION BY trace_id ORDER BY frame) AS run FROM rc)
+SELECT dataset, trace_id, CAST(run AS INTEGER) AS dwell_no, state, min(frame) AS start_frame, count(*) AS n_frames FROM rr GROUP BY dataset, trace_id, run, state""")(lambda s, d: dwell.to_dwells(files.ranked_path(_fitted(s, d))))
 register("b1_subset", q(EV, "SELECT dataset, trace_id, frame, donor FROM pts WHERE trace_id BETWEEN 1 AND 5 AND frame BETWEEN 3 AND 12"))(
     lambda s, d: project.subset(A.event_traces(s, d), [1, 2, 3, 4, 5], (3, 12)).select(*KEYS, "frame", "donor")
 )
@@ -83,22 +89,25 @@ register("b4_resize", q(EV, "SELECT dataset, trace_id, count(*) AS n FROM pts WH
 register("b6_total_intensity", q(EV, "SELECT dataset, trace_id, frame, round(total, 6) AS total FROM pts"))(
     lambda s, d: A.event_traces(s, d).select(*KEYS, "frame", project.total_intensity(A.event_traces(s, d)).alias("total"))
 )
-ALIVE = BL + ",\n" + LIFE + """,
+AL = """,
 al0 AS (SELECT *, CASE WHEN frame BETWEEN lifetime + 5 AND lifetime + 105 THEN total END AS tail FROM lf),
 al1 AS (SELECT *, count(tail) OVER t AS nt, CASE WHEN count(tail) OVER t = 1 THEN 0 ELSE stddev_samp(tail) OVER t END AS st FROM al0 WINDOW t AS (PARTITION BY trace_id)),
 al AS (SELECT *, frame < lifetime AND NOT coalesce(nt >= 10 AND total <= 4 * st, false) AS alive FROM al1)"""
+ALIVE = BL + ",\n" + LIFE + AL
 register("b7_fret_two_color", q(ALIVE, "SELECT dataset, trace_id, frame, round(CASE WHEN alive THEN coalesce(acceptor / nullif(total, 0), 0) ELSE 0 END, 6) AS fret FROM al"))(
     lambda s, d: project.fret_two(_bl(s, d)).select(*KEYS, "frame", "fret")
 )
-register("b8_fret_three_color", "WITH " + EV + """,
-th AS (SELECT *, (acceptor * 3) % 50 AS acceptor2 FROM pts),
-f AS (SELECT *, coalesce((acceptor + acceptor2) / nullif(donor + acceptor + acceptor2, 0), 0) AS f1, coalesce(acceptor2 / nullif(acceptor + acceptor2, 0), 0) AS f2 FROM th),
+register("b8_fret_three_color", "WITH " + BL.replace("blt AS (SELECT *, donor + acceptor AS total FROM bl)", "blt AS (SELECT *, 0.25 * acceptor AS acceptor2, donor + acceptor + 0.25 * acceptor AS total FROM bl)") + ",\n" + LIFE + AL + """,
+f AS (SELECT *, CASE WHEN alive THEN coalesce((acceptor + acceptor2) / nullif(total, 0), 0) ELSE 0 END AS f1, CASE WHEN alive THEN coalesce(acceptor2 / nullif(acceptor + acceptor2, 0), 0) ELSE 0 END AS f2 FROM al),
 c AS (SELECT *, f1 >= 0.25 AS hi, CASE WHEN lag(f1 >= 0.25) OVER w IS NOT DISTINCT FROM (f1 >= 0.25) AND frame > 1 THEN 0 ELSE 1 END AS ch FROM f WINDOW w AS (PARTITION BY trace_id ORDER BY frame)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY trace_id ORDER BY frame) AS run FROM c),
 l AS (SELECT *, hi AND count(*) OVER (PARTITION BY trace_id, run) > 5 AS lit FROM r),
 e AS (SELECT *, max(CASE WHEN lit THEN frame END) OVER (PARTITION BY trace_id) AS last FROM l)
-SELECT dataset, trace_id, frame, round(f1, 6) AS fret, round(CASE WHEN f1 < 0.2 OR frame >= coalesce(last, 1) THEN 0 ELSE f2 END, 6) AS fret2 FROM e""")(
-    lambda s, d: project.fret_three(A.event_traces(s, d).withColumn("acceptor2", (F.col("acceptor") * 3) % 50), "tandem3").select(*KEYS, "frame", "fret", "fret2")
+SELECT dataset, trace_id, frame, round(f1, 6) AS fret, round(CASE WHEN f1 < 0.2 OR coalesce(frame >= last, false) THEN 0 ELSE f2 END, 6) AS fret2 FROM e""")(
+    lambda s, d: project.fret_three(_bl(s, d).withColumn("acceptor2", 0.25 * F.col("acceptor")), "tandem3").select(*KEYS, "frame", "fret", "fret2")
+)
+register("b7_fret_zero_off", q(ALIVE.replace("total <= 4 * st", "total <= 0 * st"), "SELECT dataset, trace_id, frame, round(CASE WHEN alive THEN coalesce(acceptor / nullif(total, 0), 0) ELSE 0 END, 6) AS fret FROM al"))(
+    lambda s, d: project.fret_two(_bl(s, d), "off").select(*KEYS, "frame", "fret")
 )
 register("b9_stoichiometry", q(ALIVE, "SELECT dataset, trace_id, frame, round(CASE WHEN alive THEN total / nullif(total + 50, 0) END, 6) AS stoichiometry FROM al"))(
     lambda s, d: project.stoichiometry(seq.with_donor_alive(_blt(s, d)).withColumn("acceptor_direct", F.lit(50.0))).select(*KEYS, "frame", "stoichiometry")
@@ -144,7 +153,7 @@ def _joined(parts: list[DataFrame]) -> DataFrame:
 LOOSE = {"eq_overlap": 0, "min_snr": 1, "max_ncross": 20, "min_acclife": 2}
 register("c1_pick", q(STATS, "SELECT dataset, trace_id FROM stats WHERE overlap = 0 AND snr > 1 AND ncross < 20 AND acclife > 2"))(lambda s, d: select.pick(stats.trace_stats(_bl(s, d)), LOOSE).select(*KEYS))
 register("c2_within_sigma")(lambda s, d: select.within_sigma(stats.trace_stats(_bl(s, d)), 2.0).select(*KEYS, "t"))
-register("c3_keep_percent", q(POS, """SELECT dataset, trace_id FROM (SELECT *, row_number() OVER (ORDER BY (trace_id * 48271 + 11) % 2147483647, trace_id) AS k, count(*) OVER () AS n FROM pos) WHERE k <= floor(n * 30 / 100)"""))(
+register("c3_keep_percent", q(POS, """SELECT dataset, trace_id FROM (SELECT *, row_number() OVER (ORDER BY md5(dataset || '#' || trace_id || '#0'), dataset, trace_id) AS k, count(*) OVER () AS n FROM pos) WHERE k <= floor(n * 30 / 100)"""))(
     lambda s, d: select.keep_percent(A.positioned(A.event_traces(s, d)), 30).select(*KEYS)
 )
 register("c4_center_quadrant", q(POS, "SELECT dataset, trace_id FROM (SELECT *, max(donor_x) OVER () AS mx, max(donor_y) OVER () AS my FROM pos) WHERE donor_x > mx / 4 AND donor_x < 3 * mx / 4 AND donor_y > my / 4 AND donor_y < 3 * my / 4"))(
@@ -165,10 +174,15 @@ register("c9_by_state_means", "WITH " + IDL + """,
 m AS (SELECT dataset, trace_id, state, avg(fret) AS m FROM idl WHERE frame <= 1000 AND state > 0 GROUP BY ALL), md AS (SELECT state, median(m) AS mid FROM m GROUP BY state)
 SELECT dataset, trace_id FROM m JOIN md USING (state) GROUP BY ALL HAVING bool_and(abs(m - mid) <= 0.12)""")(lambda s, d: select.by_state_means(_idl(s, d)))
 register("c10_productive", q(DW, "SELECT dataset, trace_id, bool_or(state = 3 AND n_frames >= 2) AS productive FROM dw GROUP BY ALL"))(lambda s, d: select.productive(_dw(s, d), 3, 2))
-register("c11_representative", "WITH " + STATS + """, a AS (SELECT *, avg(t) OVER () AS mt, stddev_samp(t) OVER () AS st, avg(donorlife) OVER () AS ml, median(bg) OVER () AS mb FROM stats)
-SELECT dataset, trace_id FROM a WHERE abs(t - mt) < 0.2 * st AND abs(donorlife - ml) < 0.1 * ml AND bg < 2 * mb AND overlap = 0""")(lambda s, d: select.representative(stats.trace_stats(_bl(s, d))).select(*KEYS))
+register("c11_representative", "WITH " + STATS + """, g AS (SELECT * REPLACE (CASE WHEN trace_id % 3 = 0 THEN 'double' ELSE 'single' END AS dataset) FROM stats), a AS (SELECT *, avg(t) OVER d AS mt, stddev_samp(t) OVER d AS st, avg(donorlife) OVER d AS ml, median(bg) OVER d AS mb FROM g WINDOW d AS (PARTITION BY dataset))
+SELECT dataset, trace_id FROM a WHERE abs(t - mt) < 0.2 * st AND abs(donorlife - ml) < 0.1 * ml AND bg < 2 * mb AND overlap = 0""")(
+    lambda s, d: select.representative(stats.trace_stats(_bl(s, d)).withColumn("dataset", F.when(F.col("trace_id") % 3 == 0, "double").otherwise("single"))).select(*KEYS)
+)
 register("c13_invert_selection", q(STATS, "SELECT DISTINCT dataset, trace_id FROM bl WHERE trace_id NOT IN (SELECT trace_id FROM stats WHERE t > 1000)"))(
-    lambda s, d: _bl(s, d).select(*KEYS).distinct().join(stats.trace_stats(_bl(s, d)).filter("t > 1000").select(*KEYS), KEYS, "left_anti")
+    lambda s, d: select.without(_bl(s, d).select(*KEYS).distinct(), stats.trace_stats(_bl(s, d)).filter("t > 1000"))
+)
+register("c13_included", q(STATS, "SELECT dataset, trace_id, NOT coalesce(t > 1000, false) AS included FROM stats"))(
+    lambda s, d: select.flagged(_bl(s, d).select(*KEYS).distinct(), stats.trace_stats(_bl(s, d)).filter("t > 1000"))
 )
 register("c15_by_day", q(POS, "SELECT regexp_extract(ids, '^(.*[/\\\\])', 1) AS day, count(*) AS n FROM pos GROUP BY 1"))(lambda s, d: select.by_day(A.positioned(A.event_traces(s, d))).groupBy("day").agg(F.count("*").alias("n")))
 register("c16_printed_spots", "WITH " + POS + """, k AS (SELECT *, CASE WHEN donor_x <= 576 AND donor_y <= 576 THEN 'A' WHEN donor_x > 576 AND donor_y <= 576 THEN 'B' WHEN donor_x <= 576 THEN 'C' ELSE 'D' END AS quadrant FROM pos),
@@ -182,6 +196,13 @@ register("c17_in_circles", q(POS, """SELECT dataset, trace_id, quadrant FROM pos
 
 _stat_sql = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in STAT_NAMES)
 register("e1_trace_stats", q(STATS, f"SELECT dataset, trace_id, {_stat_sql} FROM stats"))(lambda s, d: stats.trace_stats(_bl(s, d)))
+register("e16_three_color_stats", q(STATS + """,
+h1 AS (SELECT *, coalesce(frame <= lt, false) AND round(1 - fret, 6) >= 0.08 AS h, round(1 - fret, 6) AS fret2 FROM n2), h2 AS (SELECT *, CASE WHEN lag(h) OVER (PARTITION BY trace_id ORDER BY frame) = h THEN 0 ELSE 1 END AS c FROM h1),
+h3 AS (SELECT *, sum(c) OVER (PARTITION BY trace_id ORDER BY frame) AS r2 FROM h2), h4 AS (SELECT *, h AND count(*) OVER (PARTITION BY trace_id, r2) > 5 AS lit2 FROM h3),
+h5 AS (SELECT dataset, trace_id, max(lt) AS lt, count(*) FILTER (lit2) AS n, avg(fret2) FILTER (lit2) AS m, max(fret2) FILTER (frame <= lt) AS x FROM h4 GROUP BY dataset, trace_id)""",
+    "SELECT dataset, trace_id, CASE WHEN lt > 1 THEN CAST(n AS DOUBLE) ELSE 0.0 END AS fret2_lifetime, round(CASE WHEN lt > 1 AND n > 1 THEN m ELSE 0.0 END, 6) AS avg_fret2, CASE WHEN lt > 1 THEN x ELSE 0.0 END AS max_fret2 FROM h5"))(
+    lambda s, d: stats.trace_stats(_bl(s, d).withColumn("acceptor2", F.lit(0.0)).withColumn("fret2", F.round(1 - F.col("fret"), 6))).select(*KEYS, "fret2_lifetime", "avg_fret2", "max_fret2")
+)
 register("e23_stat_distribution", "WITH " + STATS + """, x AS (SELECT t AS x FROM stats WHERE t IS NOT NULL), l AS (SELECT avg(x) AS mean, count(*) AS n, (max(x) - min(x)) / 40 AS step, min(x) + (max(x) - min(x)) / 80 AS low FROM x)
 SELECT CAST(least(40, greatest(1, ceil(round(coalesce((x - low) / nullif(step, 0), 0) + 0.5, 6)))) AS INTEGER) AS bin, round(100.0 * count(*) / any_value(n), 6) AS percent,
   round(any_value(low) + (CAST(least(40, greatest(1, ceil(round(coalesce((x - low) / nullif(step, 0), 0) + 0.5, 6)))) AS INTEGER) - 1) * any_value(step), 6) AS center, round(any_value(mean), 6) AS mean FROM x, l GROUP BY bin""")(
@@ -207,22 +228,22 @@ register("f7_erode", q(EV, "SELECT dataset, trace_id, frame, fret >= 0.1 AND coa
 register("f8_lifetime", q(BL + ",\n" + LIFE, "SELECT dataset, trace_id, CAST(max(lifetime) AS INTEGER) AS lifetime FROM lf GROUP BY ALL"))(lambda s, d: seq.with_lifetime(_blt(s, d)).groupBy(*KEYS).agg(F.max("lifetime").cast("int").alias("lifetime")))
 register("f9_donor_alive", q(ALIVE, "SELECT dataset, trace_id, frame, alive FROM al"))(lambda s, d: seq.with_donor_alive(_blt(s, d)).select(*KEYS, "frame", "alive"))
 register("f12_cross_correlation", "WITH " + EV + """, c AS (SELECT *, donor - avg(donor) OVER t AS a, acceptor - avg(acceptor) OVER t AS b FROM pts WINDOW t AS (PARTITION BY trace_id)),
-n AS (SELECT trace_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM c GROUP BY trace_id), l AS (SELECT unnest(generate_series(0, 10)) AS lag),
+n AS (SELECT trace_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM c GROUP BY trace_id), l AS (SELECT unnest(generate_series(0, 50)) AS lag),
 p AS (SELECT y.dataset, y.trace_id, CAST(lag AS INTEGER) AS lag, sum(x.a * y.b) AS s FROM c y, l, c x WHERE x.trace_id = y.trace_id AND x.frame = y.frame + lag GROUP BY ALL)
-SELECT dataset, trace_id, lag, round(s / nullif(norm, 0), 6) AS value FROM p JOIN n USING (trace_id)""")(lambda s, d: seq.cross_correlation(A.event_traces(s, d), "donor", "acceptor", 10))
+SELECT dataset, trace_id, lag, round(s / nullif(norm, 0), 6) AS value FROM p JOIN n USING (trace_id)""")(lambda s, d: seq.cross_correlation(A.event_traces(s, d), "donor", "acceptor", 50))
 
 
 def _haran_sql() -> str:
     # Base columns, then per predictor: means, residuals, weights.
     cols1, cols2, cols3 = [], [], []
-    for n in (4, 8):
+    for n in (4, 8, 16, 32, 64):
         for side, span, look in (("b", f"{n} PRECEDING AND 1 PRECEDING", "9 PRECEDING AND CURRENT ROW"), ("f", f"1 FOLLOWING AND {n} FOLLOWING", "CURRENT ROW AND 9 FOLLOWING")):
             k = f"{side}{n}"
             w = f"OVER (PARTITION BY trace_id ORDER BY frame ROWS BETWEEN {span})"
             cols1 += [f"avg(donor) {w} AS {k}d", f"avg(acceptor) {w} AS {k}a"]
             cols2.append(f"(donor - {k}d) ** 2 + (acceptor - {k}a) ** 2 AS {k}r")
             cols3.append(f"CASE WHEN {k}d IS NULL THEN 0 ELSE coalesce(1.0 / nullif(pow(sum({k}r) OVER (PARTITION BY trace_id ORDER BY frame ROWS BETWEEN {look}), 5), 0), 0) END AS {k}w")
-    ks = ["b4", "f4", "b8", "f8"]
+    ks = [f"{side}{n}" for n in (4, 8, 16, 32, 64) for side in "bf"]
     w = " + ".join(f"{k}w" for k in ks)
     mean = lambda c: "(" + " + ".join(f"{k}w * coalesce({k}{c}, 0)" for k in ks) + f") / nullif({w}, 0)"
     return f"""WITH {EV}, h1 AS (SELECT *, {", ".join(cols1)} FROM pts), h2 AS (SELECT *, {", ".join(cols2)} FROM h1), h3 AS (SELECT *, {", ".join(cols3)} FROM h2),
@@ -230,7 +251,7 @@ h4 AS (SELECT dataset, trace_id, frame, fret AS f0, coalesce({mean("d")}, donor)
 SELECT dataset, trace_id, frame, round(donor, 4) AS donor, round(acceptor, 4) AS acceptor, round(CASE WHEN f0 = 0 THEN 0 ELSE coalesce(acceptor / nullif(donor + acceptor, 0), 0) END, 4) AS fret FROM h4"""
 
 
-register("f13_nonlinear_filter", _haran_sql())(lambda s, d: rounded(seq.nonlinear_filter(A.event_traces(s, d), (4, 8)).select(*KEYS, "frame", "donor", "acceptor", "fret"), 4))
+register("f13_nonlinear_filter", _haran_sql())(lambda s, d: rounded(seq.nonlinear_filter(A.event_traces(s, d)).select(*KEYS, "frame", "donor", "acceptor", "fret"), 4))
 register("f14_sampling", q(EV, "SELECT dataset, max(CASE WHEN frame = 2 THEN time_ms END) - max(CASE WHEN frame = 1 THEN time_ms END) AS sampling_ms FROM pts GROUP BY dataset"))(lambda s, d: seq.sampling(A.event_traces(s, d)))
 
 def _acceptor_bleached(s: SparkSession, d: str) -> DataFrame:
@@ -270,6 +291,11 @@ g AS (SELECT dataset, trace_id, (avg(donor) FILTER (frame > a) - avg(donor) FILT
   WHERE a > 21 AND d - a > 21 AND frame BETWEEN a - 21 AND d - 1 GROUP BY ALL HAVING count(*) FILTER (fret = 0 OR (frame > a AND fret > 0.2)) = 0)
 SELECT dataset, trace_id, round(gamma, 6) AS gamma FROM g WHERE gamma > 0 AND gamma < 10""")(lambda s, d: correct.gamma_by_trace(_acceptor_bleached(s, d)))
 register("g6_correct_gamma", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(1.3 * acceptor / nullif(donor + 1.3 * acceptor, 0), 0) END, 6) AS fret FROM pts"))(lambda s, d: correct.correct_gamma(A.event_traces(s, d), 1.3).select(*KEYS, "frame", "fret"))
+register("g4_estimated", q(CT + ", md AS (SELECT coalesce(median(crosstalk), 0) AS k FROM ct WHERE crosstalk > -0.1 AND crosstalk < 0.25)", "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce((acceptor - k * donor) / nullif(donor + acceptor - k * donor, 0), 0) END, 6) AS fret FROM pts, md"))(
+    lambda s, d: correct.correct_crosstalk(A.event_traces(s, d), use_median=True).select(*KEYS, "frame", "fret")
+)
+register("g6_estimated", ORACLES["g5_gamma_by_trace"].rsplit("SELECT dataset, trace_id, round(gamma", 1)[0].rstrip() + """, md AS (SELECT coalesce(median(gamma), 1) AS k FROM g WHERE gamma > 0 AND gamma < 10)
+SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(k * acceptor / nullif(donor + k * acceptor, 0), 0) END, 6) AS fret FROM gf, md""")(lambda s, d: correct.correct_gamma(_acceptor_bleached(s, d), use_median=True).select(*KEYS, "frame", "fret"))
 register("g8_direct_excitation", "WITH " + EV + """, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame DESC) AS k FROM pts WHERE fret <> 0),
 m AS (SELECT trace_id, avg(fret) AS m, count(*) AS n FROM k WHERE k <= 6 GROUP BY trace_id),
 a AS (SELECT p.*, acceptor - CASE WHEN n > 5 AND m < 0.075 THEN 0.06 * total ELSE 0 END AS a2 FROM pts p LEFT JOIN m USING (trace_id))
@@ -293,32 +319,50 @@ k AS (SELECT dataset, trace_id, dwell_no, state, n_frames + CASE WHEN s1 = 1 AND
   start_frame - CASE WHEN p1 = 1 AND p2 IS NOT NULL THEN q1 - q1 // 2 ELSE 0 END AS start_frame FROM a WHERE state <> 1),
 c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) = state THEN 0 ELSE 1 END AS ch FROM k), r AS (SELECT *, sum(ch) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS run FROM c)
 SELECT dataset, trace_id, CAST(run AS INTEGER) AS dwell_no, state, min(start_frame) AS start_frame, CAST(sum(n_frames) AS BIGINT) AS n_frames FROM r GROUP BY dataset, trace_id, run, state""")(lambda s, d: dwell.remove_blinks(_dw(s, d)))
-SURV = DW + """,
+NB = DW + """,
+nb_a AS (SELECT *, lead(state) OVER w AS s1, lead(state, 2) OVER w AS s2, lag(state) OVER w AS p1, lag(state, 2) OVER w AS p2, lead(n_frames) OVER w AS n1, lag(n_frames) OVER w AS q1 FROM dw WINDOW w AS (PARTITION BY trace_id ORDER BY dwell_no)),
+nb_k AS (SELECT dataset, trace_id, dwell_no, state, n_frames + CASE WHEN s1 = 1 AND s2 IS NOT NULL THEN n1 // 2 ELSE 0 END + CASE WHEN p1 = 1 AND p2 IS NOT NULL THEN q1 - q1 // 2 ELSE 0 END AS n_frames FROM nb_a WHERE state <> 1),
+nb_c AS (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) = state THEN 0 ELSE 1 END AS ch FROM nb_k), nb_r AS (SELECT *, sum(ch) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS run FROM nb_c),
+nb AS (SELECT dataset, trace_id, state, CAST(sum(n_frames) AS BIGINT) AS n_frames FROM nb_r GROUP BY dataset, trace_id, run, state)"""
+SURV_OF = """,
 sn AS (SELECT dataset, state, n_frames, count(*) AS k FROM dw GROUP BY ALL), sg AS (SELECT DISTINCT dataset, state, unnest(generate_series(0, (SELECT max(n_frames) FROM dw))) AS n_frames FROM sn),
 sf AS (SELECT dataset, state, sg.n_frames, coalesce(k, 0) AS k FROM sg LEFT JOIN sn USING (dataset, state, n_frames)),
 sl AS (SELECT *, sum(k) OVER (PARTITION BY state) - sum(k) OVER (PARTITION BY state ORDER BY n_frames) AS l FROM sf),
 surv AS (SELECT dataset, state, n_frames, l / max(CASE WHEN n_frames = 0 THEN l END) OVER (PARTITION BY state) AS survival FROM sl)"""
+SURV = DW + SURV_OF
 register("i6_survival", q(SURV, "SELECT dataset, state, CAST(n_frames AS INTEGER) AS n_frames, round(survival, 6) AS survival FROM surv"))(lambda s, d: dwell.survival(_dw(s, d)))
-register("i7_log_histogram", "WITH " + DW + """,
-ex AS (SELECT exp(unnest(generate_series(0, CAST(floor(ln((SELECT max(n_frames) FROM dw) * 3.0) / 0.4) AS BIGINT))) * 0.4) AS e),
+register("i7_log_histogram", "WITH " + NB + """,
+ex AS (SELECT exp(unnest(generate_series(0, CAST(floor(ln((SELECT max(n_frames) FROM nb) * 3.0) / 0.4) AS BIGINT))) * 0.4) AS e),
 ed AS (SELECT DISTINCT CAST(CASE WHEN ln(e) - ln(floor(e)) <= ln(floor(e) + 1) - ln(e) THEN floor(e) ELSE floor(e) + 1 END AS BIGINT) AS low_frames FROM ex),
 eh AS (SELECT low_frames, lead(low_frames) OVER (ORDER BY low_frames) AS hi FROM ed), ew AS (SELECT *, ln(hi / low_frames) AS width FROM eh),
-bn AS (SELECT dataset, state, low_frames, count(*) / any_value(width) AS v FROM dw JOIN ew ON n_frames >= low_frames AND n_frames < hi GROUP BY ALL),
-tt AS (SELECT state, count(*) AS n FROM dw GROUP BY state)
-SELECT dataset, state, low_frames, round(v / sum(v) OVER (PARTITION BY state), 6) AS value FROM bn""")(lambda s, d: dwell.log_histogram(_dw(s, d), 40.0))
-register("i9_exponential_lifetime", q(SURV, "SELECT dataset, state, round(-1 / nullif(regr_slope(ln(survival), n_frames * 0.04), 0), 6) AS tau, round(regr_r2(ln(survival), n_frames * 0.04), 6) AS r2 FROM surv WHERE survival > 0.01 GROUP BY dataset, state"))(lambda s, d: dwell.exponential_lifetime(_dw(s, d), 40.0))
-register("i10_occupancy", q(IDL, "SELECT dataset, frame, state, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY frame), 6) AS percent FROM idl WHERE frame <= 300 AND state > 0 GROUP BY dataset, frame, state"))(lambda s, d: dwell.occupancy_by_frame(_idl(s, d)))
-register("i11_percent_time", q(IDL, "SELECT dataset, state, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM idl WHERE state > 0 GROUP BY dataset, state"))(lambda s, d: dwell.percent_time(_idl(s, d)))
+bn AS (SELECT dataset, state, low_frames, count(*) / any_value(width) AS v FROM nb JOIN ew ON n_frames >= low_frames AND n_frames < hi GROUP BY ALL),
+tt AS (SELECT state, count(*) AS n FROM nb GROUP BY state)
+SELECT dataset, state, low_frames, round(100 * v / sum(v) OVER (PARTITION BY state), 6) AS value FROM bn""")(lambda s, d: dwell.log_histogram(_dw(s, d), 40.0))
+register("i9_exponential_lifetime", "WITH RECURSIVE " + NB + SURV_OF.replace("FROM dw", "FROM nb") + """,
+lp AS (SELECT *, max(CASE WHEN survival > 0.01 THEN n_frames END) OVER (PARTITION BY state) AS last FROM surv), xy AS (SELECT dataset, state, n_frames * 0.04 AS x, survival AS y FROM lp WHERE n_frames <= last),
+it AS (SELECT dataset, state, 0 AS k, CAST(1 AS DOUBLE) AS a, -1 / (avg(n_frames) * 0.04) AS b FROM nb GROUP BY dataset, state
+  UNION ALL SELECT dataset, state, k + 1, a + (s22 * g1 - s12 * g2) / (s11 * s22 - s12 * s12), b + (s11 * g2 - s12 * g1) / (s11 * s22 - s12 * s12) FROM (
+    SELECT i.dataset, i.state, i.k, i.a, i.b, sum(exp(2 * b * x)) AS s11, sum(a * x * exp(2 * b * x)) AS s12, sum(a * a * x * x * exp(2 * b * x)) AS s22, sum(exp(b * x) * (y - a * exp(b * x))) AS g1, sum(a * x * exp(b * x) * (y - a * exp(b * x))) AS g2
+    FROM it i JOIN xy USING (dataset, state) WHERE i.k < 60 GROUP BY ALL) z),
+en AS (SELECT it.dataset, it.state, any_value(a) AS a, any_value(b) AS b, sum((y - a * exp(b * x)) ** 2) AS sse, var_pop(y) * count(*) AS sst, count(*) AS n FROM it JOIN xy USING (dataset, state) WHERE k = 60 GROUP BY it.dataset, it.state)
+SELECT dataset, state, round(a, 5) AS a, round(-1 / b, 5) AS tau, round(1 - sse / sst * (n - 1) / (n - 2), 5) AS r2 FROM en""")(lambda s, d: rounded(dwell.exponential_lifetime(_dw(s, d), 40.0), 5))
+register("i25_total_lifetime", q(DW + """,
+nb AS (SELECT dataset, CASE WHEN state = 2 THEN 'on' ELSE 'off' END AS state, n_frames FROM dw UNION ALL SELECT dataset, 'total on', CAST(sum(n_frames) AS BIGINT) FROM dw WHERE state = 2 GROUP BY dataset, trace_id)""" + SURV_OF.replace("FROM dw", "FROM nb"),
+    "SELECT dataset, state AS kind, CAST(n_frames AS INTEGER) AS n_frames, round(survival, 6) AS survival, round(n_frames * 0.04, 6) AS t FROM surv"))(lambda s, d: dwell.total_lifetime_report(_dw(s, d), 2, 40.0)["curves"])
+register("i10_occupancy", q(IDL, "SELECT dataset, frame, state, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY frame), 6) AS percent FROM idl WHERE frame <= 300 AND state > 1 GROUP BY dataset, frame, state"))(lambda s, d: dwell.occupancy_by_frame(_idl(s, d)))
+register("i11_percent_time", q(IDL, "SELECT dataset, state, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM idl WHERE state > 1 GROUP BY dataset, state"))(lambda s, d: dwell.percent_time(_idl(s, d)))
 register("i12_transitions_per_second", "WITH " + IDL + """, l AS (SELECT *, lag(state) OVER (PARTITION BY trace_id ORDER BY frame) AS p FROM idl WHERE state > 1)
 SELECT dataset, round(count(*) FILTER (p <> state) / (count(*) * 0.04), 6) AS per_second FROM l GROUP BY dataset""")(lambda s, d: dwell.transitions_per_second(_idl(s, d), 40.0))
+register("i12_truncated", "WITH " + IDL + """, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame) AS k FROM idl WHERE state > 1), l AS (SELECT *, lag(state) OVER (PARTITION BY trace_id ORDER BY frame) AS p FROM k WHERE k <= 10)
+SELECT dataset, round(count(*) FILTER (p <> state) / (count(*) * 0.04), 6) AS per_second FROM l GROUP BY dataset""")(lambda s, d: dwell.transitions_per_second(_idl(s, d), 40.0, 10))
 register("i13_equilibrium", "WITH " + DW + """, t AS (SELECT dataset, state, sum(n_frames) AS n FROM dw GROUP BY ALL) SELECT a.dataset, a.state AS src, b.state AS dst, round(b.n / a.n, 6) AS k FROM t a, t b WHERE a.state <> b.state""")(lambda s, d: dwell.equilibrium_constants(_dw(s, d)))
 register("i15_dwell_matrix", q(DW, "SELECT dataset, trace_id, coalesce(sum(n_frames) FILTER (state = 1) * 40.0, 0) AS state_1_ms, coalesce(sum(n_frames) FILTER (state = 2) * 40.0, 0) AS state_2_ms, coalesce(sum(n_frames) FILTER (state = 3) * 40.0, 0) AS state_3_ms FROM dw GROUP BY dataset, trace_id"))(
     lambda s, d: dwell.dwell_matrix(_dw(s, d), [1, 2, 3], 40.0)
 )
-register("i16_dwell_autocovariance", "WITH " + DW + """, c AS (SELECT dataset, trace_id, dwell_no, n_frames - avg(n_frames) OVER (PARTITION BY trace_id) AS x, count(*) OVER (PARTITION BY trace_id) AS n FROM dw),
-l AS (SELECT unnest(generate_series(0, 10)) AS lag), p AS (SELECT a.dataset, a.trace_id, lag, sum(a.x * b.x) AS s FROM c a, l, c b WHERE a.n > 10 AND a.trace_id = b.trace_id AND b.dwell_no = a.dwell_no + lag GROUP BY ALL),
-v AS (SELECT dataset, lag, s / nullif(max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY trace_id), 0) AS value FROM p)
-SELECT dataset, CAST(lag AS INTEGER) AS lag, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, count(value) AS n FROM v GROUP BY dataset, lag HAVING count(value) >= 3""")(lambda s, d: dwell.autocovariance(_dw(s, d), 10, 10))
+register("i16_dwell_autocovariance", "WITH " + DW + """, o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY dwell_no) AS k FROM dw WHERE state = 3), c AS (SELECT dataset, trace_id, k, n_frames - avg(n_frames) OVER (PARTITION BY trace_id) AS x, count(*) OVER (PARTITION BY trace_id) AS n FROM o),
+l AS (SELECT unnest(generate_series(0, 49)) AS lag), p AS (SELECT a.dataset, a.trace_id, lag, sum(a.x * b.x) AS s FROM c a, l, c b WHERE a.n > 20 AND a.trace_id = b.trace_id AND b.k = a.k + lag GROUP BY ALL),
+v AS (SELECT dataset, lag, s / nullif(max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY trace_id), 0) AS value FROM p UNION ALL SELECT DISTINCT ON (trace_id) dataset, n, CAST(0 AS DOUBLE) FROM c WHERE n > 20 AND n <= 49)
+SELECT dataset, CAST(lag AS INTEGER) AS lag, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem, count(value) AS n FROM v GROUP BY dataset, lag HAVING count(value) >= 3""")(lambda s, d: dwell.autocovariance(_dw(s, d), 3))
 register("h2_threshold_states", "WITH " + EV + """, m AS (SELECT *, (sum(fret) OVER w + (3 - count(*) OVER w) * first_value(fret) OVER (PARTITION BY trace_id ORDER BY frame)) / 3 AS m FROM pts WINDOW w AS (PARTITION BY trace_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 c AS (SELECT *, max(CASE WHEN round(m, 9) > 0.2 THEN frame END) OVER (PARTITION BY trace_id) - 1 AS cut FROM m)
 SELECT dataset, trace_id, frame, CASE WHEN frame > coalesce(cut, 0) THEN 1 WHEN round(m, 9) > 0.4 THEN 3 ELSE 2 END AS state FROM c""")(lambda s, d: _states().by_threshold(A.event_traces(s, d), 0.4).select(*KEYS, "frame", "state"))
@@ -332,14 +376,20 @@ register("i17_rate_histogram", q(RATES, "SELECT src, dst, CAST(least(40, greates
 register("i18_rate_ensemble", q(RATES, "SELECT dataset, src, dst, round(exp(avg(ln(k))), 6) AS k, count(*) AS n FROM rt WHERE n >= 4 GROUP BY dataset, src, dst"))(lambda s, d: dwell.rate_ensemble(_dw(s, d), 40.0))
 register("i19_survival_before", "WITH " + DW + """, nx AS (SELECT *, lead(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS dst FROM dw), n AS (SELECT dataset, state AS src, dst, n_frames, count(*) AS k FROM nx WHERE dst IS NOT NULL GROUP BY ALL)
 SELECT dataset, src, dst, n_frames, round(1 - sum(k) OVER (PARTITION BY src, dst ORDER BY n_frames) / sum(k) OVER (PARTITION BY src, dst), 6) AS survival FROM n""")(lambda s, d: dwell.survival_before(_dw(s, d)))
-register("i20_bootstrap", "WITH " + IDL + """, n AS (SELECT dataset, trace_id, state, count(*) AS n FROM idl WHERE state > 0 GROUP BY ALL), b AS (SELECT unnest(generate_series(1, 100)) AS b),
+register("i20_bootstrap", "WITH " + IDL + """, n AS (SELECT dataset, trace_id, state, count(*) AS n FROM idl WHERE state > 1 GROUP BY ALL), b AS (SELECT unnest(generate_series(1, 1000)) AS b),
 u AS (SELECT *, ((trace_id * 7919 + b * 104729 + 12345) * 48271 % 2147483647) / 2147483647.0 AS u FROM (SELECT DISTINCT dataset, trace_id FROM n), b),
 w AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) + CAST(u >= 0.9999167588507119 AS INT) AS w FROM u),
 x AS (SELECT dataset, b, state, sum(w * n) AS x FROM w JOIN n USING (dataset, trace_id) WHERE w > 0 GROUP BY ALL), p AS (SELECT dataset, state, 100.0 * x / sum(x) OVER (PARTITION BY b) AS p FROM x)
 SELECT dataset, state, round(stddev_samp(p), 6) AS se FROM p GROUP BY dataset, state""")(lambda s, d: dwell.bootstrap_percent(_idl(s, d)))
-register("i21_percent_by_day", "WITH " + IDL + ", " + POS + """, p AS (SELECT split_part(ids, '/', 2) AS day, state, count(*) AS n FROM idl JOIN pos USING (trace_id) WHERE state > 0 GROUP BY ALL), r AS (SELECT state, 100.0 * n / sum(n) OVER (PARTITION BY day) AS p FROM p)
+register("u1_bootstrap_statistic", "WITH " + IDL + """, l AS (SELECT *, lag(state) OVER (PARTITION BY trace_id ORDER BY frame) AS p FROM idl WHERE state > 1), e AS (SELECT dataset, trace_id, count(*) FILTER (p <> state) AS events, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT unnest(generate_series(1, 1000)) AS b),
+u AS (SELECT *, ((trace_id * 7919 + b * 104729 + 12345) * 48271 % 2147483647) / 2147483647.0 AS u FROM e, b),
+w AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) + CAST(u >= 0.9999167588507119 AS INT) AS w FROM u),
+x AS (SELECT dataset, b, sum(w * events) / (sum(w * n) * 0.04) AS x FROM w WHERE w > 0 GROUP BY ALL) SELECT dataset, round(stddev_samp(x), 6) AS se FROM x GROUP BY dataset""")(
+    lambda s, d: dwell.bootstrap_se(dwell.transition_events(_idl(s, d)), F.col("events") / (F.col("n_frames") * 0.04))
+)
+register("i21_percent_by_day", "WITH " + IDL + ", " + POS + """, p AS (SELECT split_part(ids, '/', 2) AS day, state, count(*) AS n FROM idl JOIN pos USING (trace_id) WHERE state > 1 GROUP BY ALL), r AS (SELECT state, 100.0 * n / sum(n) OVER (PARTITION BY day) AS p FROM p)
 SELECT state, round(stddev_samp(p), 6) AS sd FROM r GROUP BY state""")(
-    lambda s, d: dwell.percent_time(_idl(s, d).join(select.by_day(A.positioned(A.event_traces(s, d))).select(*KEYS, "day"), KEYS), ["day"]).groupBy("state").agg(F.stddev_samp("percent").alias("sd"))
+    lambda s, d: dwell.percent_time_by_day(_idl(s, d), select.by_day(A.positioned(A.event_traces(s, d))))
 )
 BIN = "CAST(least(44, greatest(1, ceil(round((round({0}, 6) + 0.1) / 0.03 + 0.5, 6)))) AS INTEGER)"
 register("i22_transition_density", "WITH " + DW + f""", b AS (SELECT *, {BIN.format("mean_fret")} AS a FROM dw), c AS (SELECT *, lag(a) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS p FROM b)
@@ -355,11 +405,22 @@ SELECT dataset, start_frame, round(sum(k) OVER (ORDER BY start_frame) / (SELECT
     lambda s, d: dwell.time_to_state(_dw(s, d), A.event_traces(s, d).groupBy("dataset").agg(F.countDistinct("trace_id").alias("n_traces")), 2, 0.08)
 )
 register("i28_percent_with_fret", q(STATS, "SELECT dataset, round(100.0 * count(*) FILTER (avg_fret > 0.2) / count(*), 6) AS percent FROM stats WHERE overlap = 0 GROUP BY dataset"))(
-    lambda s, d: select.pick(stats.trace_stats(_bl(s, d)), {"eq_overlap": 0}).groupBy("dataset").agg((100 * F.count_if(F.col("avg_fret") > 0.2) / F.count("*")).alias("percent"))
+    lambda s, d: ensemble.percent_with_fret(select.pick(stats.trace_stats(_bl(s, d)), {"eq_overlap": 0}))
+)
+register("i28_over_files", q(STATS, "SELECT round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd, count(p) AS n FROM (SELECT 100.0 * count(*) FILTER (avg_fret > 0.4) / count(*) AS p FROM stats WHERE overlap = 0 GROUP BY trace_id % 4)"))(
+    lambda s, d: ensemble.over_datasets(ensemble.percent_with_fret(select.pick(stats.trace_stats(_bl(s, d)), {"eq_overlap": 0}).withColumn("dataset", (F.col("trace_id") % 4).cast("string")), 0.4), "percent")
 )
 register("i29_energy_landscape", "WITH " + DW + """, nx AS (SELECT *, lead(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS dst FROM dw), qt AS (SELECT dataset, state, count(*) / (sum(n_frames) * 0.04) AS q FROM nx GROUP BY ALL),
 pt AS (SELECT dataset, state, dst, count(*) AS n FROM nx WHERE dst IS NOT NULL GROUP BY ALL), k AS (SELECT dataset, state AS src, dst, q * n / sum(n) OVER (PARTITION BY state) AS k FROM pt JOIN qt USING (dataset, state))
-SELECT dataset, src, dst, round(-8.314462618e-3 * 298.15 * ln(k * 6.62607015e-34 / (1.380649e-23 * 298.15)), 6) AS barrier FROM k""")(lambda s, d: dwell.energy_landscape(dwell.rates(_dw(s, d), 40.0)))
+SELECT dataset, src, dst, round(-8.314472e-3 * 298 * ln(k * 6.62606896e-34 / (1.3806504e-23 * 298)), 6) AS barrier FROM k""")(lambda s, d: dwell.energy_landscape(dwell.rates(_dw(s, d), 40.0)))
+
+register("i29_energy_path", "WITH " + DW + """, nx AS (SELECT *, lead(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS dst FROM dw), qt AS (SELECT state, count(*) / (sum(n_frames) * 0.04) AS q FROM nx GROUP BY ALL),
+pt AS (SELECT state, dst, count(*) AS n FROM nx WHERE dst IS NOT NULL GROUP BY ALL), k AS (SELECT state AS src, dst, q * n / sum(n) OVER (PARTITION BY state) AS k FROM pt JOIN qt USING (state)),
+g AS (SELECT src, dst, -8.314472e-3 * 298 * ln(k * 6.62606896e-34 / (1.3806504e-23 * 298)) AS g FROM k), oc AS (SELECT state, count(*) AS n FROM idl WHERE state > 0 GROUP BY state), w AS (SELECT state, -8.314472e-3 * 298 * ln(n / (SELECT n FROM oc WHERE state = 1)) AS w FROM oc),
+st AS (SELECT * FROM (VALUES (1, 1, 2), (2, 2, 3), (3, 3, 1)) v(step, src, dst))
+SELECT 'events' AS dataset, step, st.src, st.dst, round(a.w, 6) AS well, round((f.g - a.w + r.g - b.w) / 2, 6) AS peak FROM st LEFT JOIN w a ON a.state = st.src LEFT JOIN w b ON b.state = st.dst LEFT JOIN g f ON f.src = st.src AND f.dst = st.dst LEFT JOIN g r ON r.src = st.dst AND r.dst = st.src""")(
+    lambda s, d: dwell.energy_path(dwell.rates(_dw(s, d), 40.0), dwell.percent_time(_idl(s, d), hide_dark=False), [1, 2, 3])
+)
 
 # --- ensembles -------------------------------------------------------------------------------------------------------
 
@@ -501,42 +562,48 @@ register("h11_ensemble_model")(lambda s, d: _states().ensemble_model(_states().f
 
 register("a9_companions", """WITH t AS (SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN 'a' || vec_id || '.traces' ELSE 'a' || vec_id || '.rawtraces' END AS path, vec_id FROM embeddings)
 SELECT path, CASE WHEN vec_id % 3 = 0 THEN 'a' || vec_id || '.qub.dwt' WHEN vec_id % 5 = 0 THEN 'a' || vec_id || '.dwt' END AS dwell_path FROM t""")(lambda s, d: _companions(s, d))
-register("a11_wide_text", q(EV, """SELECT frame, round(max(CASE WHEN trace_id = 1 THEN donor END), 6) AS "1_donor", max(CASE WHEN trace_id = 1 THEN fret END) AS "1_fret", round(max(CASE WHEN trace_id = 2 THEN donor END), 6) AS "2_donor", max(CASE WHEN trace_id = 2 THEN fret END) AS "2_fret"
-FROM pts WHERE trace_id IN (1, 2) GROUP BY frame"""))(lambda s, d: files.wide_text(A.event_traces(s, d).filter("trace_id in (1, 2)"), ("donor", "fret")))
+register("a11_wide_text", q(EV, """SELECT dataset, CAST(floor((trace_id - 1) / 4.0) AS BIGINT) AS part, frame, """ + ", ".join(f'round(max(CASE WHEN (trace_id + 3) % 4 = {i} THEN donor END), 6) AS "{i + 1}_donor", max(CASE WHEN (trace_id + 3) % 4 = {i} THEN fret END) AS "{i + 1}_fret"' for i in range(4)) + " FROM pts GROUP BY ALL"))(
+    lambda s, d: files.wide_blocks(A.event_traces(s, d), 4, ("donor", "fret"))
+)
 register("a11_text_lines", q(IDL, """SELECT dataset, CAST(floor((trace_id - 1) / 100.0) AS BIGINT) AS part, trace_id, frame, time_ms / 1000 AS time_s, fret, round(coalesce(avg(CASE WHEN state > 0 THEN fret END) OVER (PARTITION BY trace_id, greatest(1, state)), 0.05), 6) AS idl, round(donor, 6) AS donor, acceptor FROM idl"""))(
     lambda s, d: files.text_lines(_idl(s, d), (0.05, 0.25, 0.6))
 )
-register("a12_clipped_lines", q(EV, "SELECT trace_id, frame, CAST(CAST(round(greatest(-0.5, least(1, fret)) * 1000000) AS BIGINT) AS VARCHAR) AS line FROM pts WHERE fret > 0.001"))(
-    lambda s, d: A.event_traces(s, d).filter("fret > 0.001").select("trace_id", "frame", F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.0), F.col("fret"))) * 1_000_000).cast("long").cast("string").alias("line"))
+register("a12_clipped_lines", q(EV, "SELECT dataset, trace_id, frame, CAST(CAST(round(greatest(-0.5, least(1, fret)) * 1000000) AS BIGINT) AS VARCHAR) AS line FROM pts WHERE fret > 0.001"))(
+    lambda s, d: files.clipped_lines(A.event_traces(s, d))
 )
-register("a16_selection_list", q(POS, "SELECT dataset, trace_id FROM pos WHERE trace_id IN (1, 3, 4)"))(lambda s, d: A.positioned(A.event_traces(s, d)).join(s.createDataFrame([(1,), (3,), (4,)], "trace_id long"), "trace_id", "left_semi").select(*KEYS))
+register("a16_selection_list", q(POS, "SELECT dataset, trace_id FROM pos WHERE trace_id % 3 = 0"))(lambda s, d: _listed(s, d))
 register("c12_dye_filter", "WITH " + STATS + """, e AS (SELECT *, CASE WHEN lag(fret >= 0.3) OVER (PARTITION BY trace_id ORDER BY frame) <> (fret >= 0.3) THEN 1 ELSE 0 END AS x FROM bl), ev AS (SELECT trace_id, sum(x) AS events FROM e GROUP BY trace_id),
 s1 AS (SELECT * FROM stats WHERE bg < 100 AND overlap = 0), s2 AS (SELECT * FROM s1 WHERE t < (SELECT quantile_disc(t, 0.99) FROM s1)), s3 AS (SELECT * FROM s2 WHERE snr_s < (SELECT quantile_disc(snr_s, 0.99) FROM s2) AND snr > 1),
 f AS (SELECT * FROM s3 JOIN ev USING (trace_id)) SELECT dataset, trace_id, CAST(events AS BIGINT) AS events FROM f WHERE events > 0 AND events < (SELECT avg(events) + 2 * stddev_samp(events) FROM f)""")(lambda s, d: _dyes(s, d))
-register("c14_review_bins", q(EV, "SELECT bin, dataset, trace_id, frame FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0)) b(bin, r) ON trace_id % 3 = r WHERE frame <= 5"))(
-    lambda s, d: A.event_traces(s, d).filter("frame <= 5").withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0)], "bin string, r long")), "r").select("bin", *KEYS, "frame")
-)
-register("c14_whole_bins", q(EV, "SELECT bin, dataset, trace_id, frame, donor, acceptor, fret FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0), ('rest', 2)) b(bin, r) ON trace_id % 3 = r"))(
-    lambda s, d: A.event_traces(s, d).withColumn("r", F.col("trace_id") % 3).join(F.broadcast(s.createDataFrame([("best", 0), ("good", 1), ("good", 0), ("rest", 2)], "bin string, r long")), "r").select("bin", *KEYS, "frame", "donor", "acceptor", "fret")
+BINS = """lab AS (SELECT DISTINCT trace_id, bin FROM pts JOIN (VALUES ('best', 0), ('good', 1), ('good', 0), ('rest', 2)) b(bin, r) ON trace_id % 3 = r)"""
+register("c14_review_bins", q(EV + ", " + BINS, "SELECT bin, dataset, p.trace_id, frame, round(donor, 6) AS donor, acceptor, fret FROM pts p JOIN lab USING (trace_id)"))(
+    lambda s, d: select.review_bins(A.event_traces(s, d), _labels(s, d)).select("bin", *KEYS, "frame", "donor", "acceptor", "fret")
 )
+register("c14_whole_bins", q(EV + ", " + BINS, "SELECT bin, dataset, p.trace_id, frame, round(donor, 6) AS donor, acceptor, fret FROM pts p JOIN lab USING (trace_id)"))(lambda s, d: _saved_bins(s, d))
 register("c19_not_done", q(EMB, "SELECT DISTINCT dataset FROM emb WHERE dataset NOT IN ('1', '2', '3')"))(lambda s, d: select.not_done(A.vector_traces(s, d).select("dataset").distinct(), s.createDataFrame([("1",), ("2",), ("3",)], "dataset string")))
 register("c18_fit_circles")(lambda s, d: select.fit_circles(select.spot_edges(A.positioned(A.event_traces(s, d)), 16.0), ["dataset"], 1000, 12.0, 10, (205.0, 280.0)))
 register("k20_spot_edges", "WITH " + POS + """, c AS (SELECT DISTINCT CAST(floor(donor_x / 64) AS BIGINT) AS cx, CAST(floor(donor_y / 64) AS BIGINT) AS cy FROM pos)
 SELECT 'events' AS dataset, cx * 100000 + cy AS id, (cx + 0.5) * 64 AS x, (cy + 0.5) * 64 AS y FROM c a WHERE (SELECT count(*) FROM c b WHERE abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1) < 4""")(lambda s, d: select.spot_edges(A.positioned(A.event_traces(s, d)), 64.0))
-register("d2_combine_states", "WITH " + IDL + """, m AS (SELECT dataset, trace_id, max(frame) AS mx FROM idl GROUP BY ALL)
-SELECT dataset, trace_id, frame, state FROM idl WHERE frame <= 40 UNION ALL SELECT dataset, trace_id, CAST(f AS INTEGER), 0 FROM (SELECT *, unnest(generate_series(mx + 1, 40)) AS f FROM m WHERE mx < 40)""")(
-    lambda s, d: combine.with_states(_idl(s, d).select(*KEYS).distinct().withColumn("frame", F.explode(F.sequence(F.lit(1), F.lit(40)))), _idl(s, d)).select(*KEYS, "frame", "state")
+register("d2_combine_states", "WITH " + EMB + """, k AS (SELECT DISTINCT CAST(dataset AS INTEGER) % 2 AS part, dataset, trace_id FROM emb), r AS (SELECT part, dataset, trace_id, row_number() OVER (ORDER BY part, dataset, trace_id) AS id FROM k),
+st AS (SELECT *, CASE WHEN frame > coalesce(max(CASE WHEN fret <> 0 THEN frame END) OVER (PARTITION BY dataset, trace_id), 0) THEN 0 ELSE 1 + CAST(fret >= 0.3 AS INTEGER) + CAST(fret >= 0.6 AS INTEGER) END AS state FROM emb)
+SELECT 'both' AS dataset, id AS trace_id, frame, fret, CASE WHEN part = 1 AND frame > 40 THEN 0 ELSE state END AS state FROM st JOIN r USING (dataset, trace_id)""")(
+    lambda s, d: combine.combine_states([_half(s, d, False), _half(s, d, True)], [A.assigned(_half(s, d, False)), A.assigned(_half(s, d, True)).filter("frame <= 40")], "both", "extend").select(*KEYS, "frame", "fret", "state")
+)
+register("d2_average_models", "WITH " + EMB + """, st AS (SELECT dataset, trace_id, frame, fret, 1 + CAST(fret >= 0.45 AS INTEGER) + CAST(fret >= 0.55 AS INTEGER) AS state FROM emb), m AS (SELECT dataset, state, avg(fret) AS mu, stddev_samp(fret) AS sigma FROM st GROUP BY ALL)
+SELECT state, round(avg(mu), 6) AS mu, round(avg(sigma), 6) AS sigma FROM m GROUP BY state""")(
+    lambda s, d: combine.average_models(_states().state_means(A.vector_traces(s, d).withColumn("state", 1 + (F.col("fret") >= 0.45).cast("int") + (F.col("fret") >= 0.55).cast("int"))).toDF("dataset", "state", "mu", "sigma"))
 )
 register("d7_closest", "WITH " + POS + """, c AS (SELECT a.dataset, a.trace_id AS id, b.donor_x AS tx, b.donor_y AS ty, sqrt((a.donor_x + 5 - b.donor_x) ** 2 + (a.donor_y - 3 - b.donor_y) ** 2) AS d FROM pos a JOIN pos b ON sqrt((a.donor_x + 5 - b.donor_x) ** 2 + (a.donor_y - 3 - b.donor_y) ** 2) <= 30),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, tx, ty) AS k FROM c) SELECT dataset, id, tx, ty, round(d, 6) AS d FROM r WHERE k = 1""")(
     lambda s, d: pixels.closest(_places(s, d).withColumns({"x": F.col("x") + 5, "y": F.col("y") - 3}), _places(s, d), 30.0, ["dataset"]).select("dataset", "id", "tx", "ty", "d")
 )
-register("d9_parameter_lookup", "WITH " + EV + ", " + POS + " SELECT p.dataset, p.trace_id, frame, round(acceptor - donor_x / 10000 * donor, 6) AS acceptor FROM pts p JOIN pos USING (trace_id)")(
-    lambda s, d: A.event_traces(s, d).join(A.positioned(A.event_traces(s, d)).select(*KEYS, "donor_x"), KEYS).select(*KEYS, "frame", (F.col("acceptor") - F.col("donor_x") / 10000 * F.col("donor")).alias("acceptor"))
+register("d9_parameter_lookup", "WITH " + EV + ", " + POS + """, j AS (SELECT p.*, (acceptor - donor_x / 10000 * donor) * (1 + donor_y / 10000) AS a FROM pts p JOIN pos USING (trace_id))
+SELECT dataset, trace_id, frame, round(a, 6) AS acceptor, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(a / nullif(donor + a, 0), 0) END, 6) AS fret FROM j""")(
+    lambda s, d: correct.correct_by_parameters(A.event_traces(s, d), A.positioned(A.event_traces(s, d)).select(*KEYS, (F.col("donor_x") / 10000).alias("crosstalk"), (1 + F.col("donor_y") / 10000).alias("scale"))).select(*KEYS, "frame", "acceptor", "fret")
 )
-register("f11_dwell_covariance", "WITH " + DW + """, c AS (SELECT dataset, trace_id, dwell_no, n_frames - avg(n_frames) OVER (PARTITION BY trace_id) AS x FROM dw), l AS (SELECT unnest(generate_series(0, 5)) AS lag),
+register("f11_dwell_covariance", "WITH " + DW + """, c AS (SELECT dataset, trace_id, dwell_no, n_frames - avg(n_frames) OVER (PARTITION BY trace_id) AS x FROM dw), l AS (SELECT unnest(generate_series(0, 50)) AS lag),
 p AS (SELECT a.dataset, a.trace_id, CAST(lag AS INTEGER) AS lag, sum(a.x * b.x) AS s FROM c a, l, c b WHERE a.trace_id = b.trace_id AND b.dwell_no = a.dwell_no + lag GROUP BY ALL)
-SELECT dataset, trace_id, lag, round(s / nullif(max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY trace_id), 0), 6) AS value FROM p""")(lambda s, d: seq.autocovariance(_dw(s, d).withColumn("n_frames", F.col("n_frames").cast("double")), "dwell_no", "n_frames", 5))
+SELECT dataset, trace_id, lag, round(s / nullif(max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY trace_id), 0), 6) AS value FROM p""")(lambda s, d: seq.autocovariance(_dw(s, d).withColumn("n_frames", F.col("n_frames").cast("double")), "dwell_no", "n_frames", 50))
 register("g7_scale_acceptor", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(0.8 * acceptor / nullif(1.1 * donor + 0.8 * acceptor, 0), 0) END, 6) AS fret FROM pts"))(
     lambda s, d: correct.recompute_fret(correct.rescale(A.event_traces(s, d), {}, {"donor": 1.1, "acceptor": 0.8})).select(*KEYS, "frame", "fret")
 )
@@ -545,8 +612,9 @@ register("g10_apply_flat_field", "WITH " + EV + ", " + POS + """, r AS (SELECT p
 SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(a / nullif(donor + a, 0), 0) END, 6) AS fret FROM r""")(
     lambda s, d: correct.apply_flat_field(A.event_traces(s, d), A.positioned(A.event_traces(s, d)), [1.0, 0.2, -0.1, 0.0, 0.05, 0.0]).select(*KEYS, "frame", "fret")
 )
-register("g12_reviewed_adjustments", q(EV, "SELECT dataset, trace_id, frame, round(CASE WHEN trace_id % 4 = 0 THEN acceptor * 1.2 ELSE acceptor END, 6) AS acceptor FROM pts"))(
-    lambda s, d: A.event_traces(s, d).withColumn("adjusted", F.col("trace_id") % 4 == 0).select(*KEYS, "frame", F.when(F.col("adjusted"), F.col("acceptor") * 1.2).otherwise(F.col("acceptor")).alias("acceptor"))
+register("g12_reviewed_adjustments", "WITH " + EV + """, j AS (SELECT *, CASE WHEN trace_id % 4 = 0 THEN donor - 1 ELSE donor END AS d, CASE WHEN trace_id % 4 = 0 THEN (acceptor - 0.5 - 0.05 * (donor - 1)) * 1.2 ELSE acceptor END AS a FROM pts)
+SELECT dataset, trace_id, frame, round(d, 6) AS donor, round(a, 6) AS acceptor, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(a / nullif(d + a, 0), 0) END, 6) AS fret FROM j""")(
+    lambda s, d: correct.apply_reviewed(A.event_traces(s, d), _reviewed(s, d)).select(*KEYS, "frame", "donor", "acceptor", "fret")
 )
 register("i3_with_empty", q(DW, "SELECT p.dataset, p.trace_id, count(state) AS n FROM (SELECT DISTINCT dataset, trace_id FROM pts) p LEFT JOIN (SELECT * FROM dw WHERE state = 3) USING (dataset, trace_id) GROUP BY ALL"))(
     lambda s, d: dwell.with_empty(_dw(s, d).filter("state = 3"), A.event_traces(s, d).select(*KEYS).distinct()).groupBy(*KEYS).agg(F.count("state").alias("n"))
@@ -555,9 +623,96 @@ register("j8_fluorescence_correlation", "WITH " + EV + """, o AS (SELECT *, fret
 k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame) AS i, count(*) OVER (PARTITION BY trace_id) AS n FROM a WHERE alive), c AS (SELECT trace_id, i, donor - avg(donor) OVER t AS a, acceptor - avg(acceptor) OVER t AS b FROM k WHERE n >= 40 WINDOW t AS (PARTITION BY trace_id)),
 m AS (SELECT trace_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM c GROUP BY trace_id), l AS (SELECT unnest(generate_series(0, 10)) AS lag), p AS (SELECT y.trace_id, CAST(lag AS INTEGER) AS lag, sum(x.a * y.b) AS s FROM c y, l, c x WHERE x.trace_id = y.trace_id AND x.i = y.i + lag GROUP BY ALL)
 SELECT 'events' AS dataset, lag, round(avg(s / nullif(norm, 0)), 6) AS value, count(s / nullif(norm, 0)) AS n FROM p JOIN m USING (trace_id) GROUP BY lag""")(lambda s, d: ensemble.fluorescence_correlation(A.event_traces(s, d), 0.01, 100, 40, 10))
-register("u4_common_prefix", q(POS, "SELECT DISTINCT split_part(ids, '#', 1) AS path, split_part(split_part(ids, '#', 1), '/', 3) AS file FROM pos"))(
-    lambda s, d: A.positioned(A.event_traces(s, d)).select(F.split_part("ids", F.lit("#"), F.lit(1)).alias("path")).distinct().withColumn("file", F.split_part("path", F.lit("/"), F.lit(3)))
+register("u4_trim_titles", q(POS, "SELECT DISTINCT '/day' || (trace_id % 5) || '/exp A-' || (trace_id % 7) || '_auto.traces' AS path, '-' || (trace_id % 7) AS title FROM pos"))(lambda s, d: project.trim_titles(_recordings(s, d)))
+register("u4_common_prefix", q(POS, "SELECT DISTINCT split_part(ids, '#', 1) AS path, 'movie' AS file FROM pos"))(
+    lambda s, d: A.positioned(A.event_traces(s, d)).select(F.split_part("ids", F.lit("#"), F.lit(1)).alias("path")).distinct().select("path", project.suffixed(F.regexp_extract("path", "([^/]*)$", 1), "", "").alias("file"))
+)
+register("u5_suffixed", q(POS, "SELECT DISTINCT split_part(ids, '#', 1) AS path, regexp_replace(split_part(ids, '#', 1), '[.]rawtraces$', '') || '_auto.traces' AS picked, regexp_replace(split_part(ids, '#', 1), '[.]rawtraces$', '') || '_gcorr.rawtraces' AS corrected FROM pos"))(
+    lambda s, d: A.positioned(A.event_traces(s, d)).select(F.split_part("ids", F.lit("#"), F.lit(1)).alias("path")).distinct().select("path", project.suffixed(F.col("path"), "_auto", ".traces").alias("picked"), project.suffixed(F.col("path"), "_gcorr").alias("corrected"))
+)
+register("u2_criteria_file", q(STATS, "SELECT dataset, trace_id FROM stats WHERE overlap = 0 AND snr > 1 AND ncross < 20 AND acclife > 2"))(lambda s, d: select.pick(stats.trace_stats(_bl(s, d)), _criteria(s)).select(*KEYS))
+register("a18_statistics_table", q(STATS, f"SELECT dataset, trace_id, {_stat_sql} FROM stats WHERE overlap = 0 AND snr > 1 AND ncross < 20 AND acclife > 2"))(lambda s, d: _statistics_table(s, d))
+register("a20_plot_data", "WITH " + DW + f""", con AS (SELECT dataset, frame, {BIN.format('fret')} AS bin, count(*) / (SELECT count(DISTINCT trace_id) FROM pts) AS share FROM pts GROUP BY ALL),
+b AS (SELECT *, {BIN.format("mean_fret")} AS a FROM dw), c AS (SELECT *, lag(a) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS p FROM b)
+SELECT 'contour' AS name, dataset, frame AS x, bin AS y, round(share, 6) AS value FROM con UNION ALL SELECT 'transitions', dataset, p, a, round(count(*) / (SELECT sum(n_frames) * 0.04 FROM dw), 6) FROM c WHERE p IS NOT NULL GROUP BY ALL""")(lambda s, d: _plot_data(s, d))
+EXPORTED = EMB + ", ex AS (SELECT *, dense_rank() OVER (PARTITION BY dataset ORDER BY trace_id) AS k FROM embt)"
+register("a1_trace_files", q(EXPORTED, "SELECT dataset, k AS trace_id, frame, time_ms, round(CAST(CAST(donor AS FLOAT) AS DOUBLE), 4) AS donor, round(CAST(CAST(fret AS FLOAT) AS DOUBLE), 4) AS fret FROM ex"))(
+    lambda s, d: rounded(files.read_traces(s, _trace_files(s, d)).select(_stem().alias("dataset"), "trace_id", "frame", "time_ms", "donor", "fret"), 4)
 )
+register("a3_file_catalog", q(EXPORTED, "SELECT dataset, CAST(max(k) AS INTEGER) AS n_traces, max(frame) AS n_frames, 3 AS n_channels FROM ex GROUP BY dataset"))(
+    lambda s, d: files.size_catalog(s, _trace_files(s, d)).select(_stem("path").alias("dataset"), "n_traces", "n_frames", F.size("channels").alias("n_channels"))
+)
+register("a6_dwell_files", q(DW, "SELECT dense_rank() OVER (ORDER BY trace_id) AS segment, dwell_no, state, n_frames, CAST(40 AS DOUBLE) AS sampling_ms FROM dw"))(lambda s, d: _dwell_files(s, d))
+
+
+def _fitted(s: SparkSession, d: str) -> DataFrame:
+    return A.event_traces(s, d).withColumn("fret", F.round("fret", 1))
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    """Every trace in a bin, a third of them in two."""
+    bins = F.when(F.col("trace_id") % 3 == 0, F.array(F.lit("best"), F.lit("good"))).when(F.col("trace_id") % 3 == 1, F.array(F.lit("good"))).otherwise(F.array(F.lit("rest")))
+    return A.event_traces(s, d).select(*KEYS).distinct().select(*KEYS, F.explode(bins).alias("bin"))
+
+
+def _saved_bins(s: SparkSession, d: str) -> DataFrame:
+    folder = work_dir(s)
+    select.save_review_bins(A.event_traces(s, d), _labels(s, d), folder)
+    return s.read.parquet(folder).select("bin", *KEYS, "frame", "donor", "acceptor", "fret")
+
+
+def _reviewed(s: SparkSession, d: str) -> DataFrame:
+    traces = A.event_traces(s, d).select(*KEYS).distinct()
+    return traces.withColumns({"adjusted": F.col("trace_id") % 4 == 0, "background_donor": F.lit(1.0), "background_acceptor": F.lit(0.5), "crosstalk": F.lit(0.05), "gamma": F.lit(1.2)})
+
+
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    """The traces of a selection list that is written as text and read back."""
+    places, folder = A.positioned(A.event_traces(s, d)), work_dir(s)
+    numbers = places.filter(F.col("trace_id") % 3 == 0).groupBy(F.floor(F.col("trace_id") / 1000)).agg(F.array_join(F.array_sort(F.collect_list(F.col("trace_id"))).cast("array<string>"), " ").alias("value"))
+    numbers.select("value").write.text(folder)
+    return places.join(files.selection_list(s, folder), "trace_id", "left_semi").select(*KEYS)
+
+
+def _recordings(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("trace_id")
+    return A.positioned(A.event_traces(s, d)).select(F.concat(F.lit("/day"), n % 5, F.lit("/exp A-"), n % 7, F.lit("_auto.traces")).alias("path")).distinct()
+
+
+def _criteria(s: SparkSession) -> dict[str, float | None]:
+    folder = work_dir(s)
+    s.createDataFrame([(json.dumps(LOOSE),)], "value string").coalesce(1).write.text(folder)
+    return select.criteria_from(s, folder)
+
+
+def _statistics_table(s: SparkSession, d: str) -> DataFrame:
+    picked, folder = select.pick(stats.trace_stats(_bl(s, d)), LOOSE), work_dir(s)
+    files.write_table(picked, folder)
+    return files.read_table(s, folder, ", ".join(f"{n} {t}" for n, t in picked.dtypes))
+
+
+def _plot_data(s: SparkSession, d: str) -> DataFrame:
+    folder = work_dir(s)
+    files.write_plot_data({"contour": ensemble.contour(A.event_traces(s, d)), "transitions": dwell.transition_density(_idl(s, d), 40.0)}, folder)
+    read = lambda name: files.read_table(s, f"{folder}/{name}", "dataset string, x int, y int, value double").select(F.lit(name).alias("name"), "dataset", "x", "y", "value")
+    return read("contour").unionByName(read("transitions"))
+
+
+def _stem(column: str = "dataset") -> Column:
+    return F.regexp_extract(column, r"([^/]*)\.[^./]*$", 1)
+
+
+def _trace_files(s: SparkSession, d: str) -> str:
+    folder = work_dir(s)
+    files.save_files(files.export_traces(A.vector_traces(s, d)), folder, ".traces")
+    return folder
+
+
+def _dwell_files(s: SparkSession, d: str) -> DataFrame:
+    folder = work_dir(s)
+    text = files.dwell_text(_dw(s, d), [(0.05, 0.1), (0.25, 0.1), (0.6, 0.1)], 40.0)
+    files.save_files(text.select("dataset", F.col("value").cast("binary").alias("content")), folder, ".dwt")
+    return files.read_dwells(s, folder).select("segment", "dwell_no", "state", "n_frames", "sampling_ms")
 
 
 def _companions(s: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,14 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; in local mode without one, a temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors once a session, for clusters whose workers don't have it installed."""
     app = spark.sparkContext.applicationId

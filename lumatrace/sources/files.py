@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +124,7 @@ def read_dwells(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, segment, dwell_no, state, n_frames, sampling_ms) of dwell-time text files; states from 1, empty segments dropped."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("dataset"), F.posexplode(F.split("value", "Segment:")).alias("at", "part")).filter("at > 0")
     lines = F.split("part", r"\r?\n")
-    head = whole.select("dataset", F.regexp_extract("part", r"^\s*([0-9]+)", 1).cast("int").alias("segment"), F.regexp_extract("part", r"Sampling\(ms\):\s*([0-9.]+)", 1).cast("double").alias("sampling_ms"), F.posexplode(F.slice(lines, 2, 1_000_000)).alias("n", "line"))
+    head = whole.select("dataset", F.regexp_extract("part", r"^\s*([0-9]+)", 1).cast("int").alias("segment"), F.regexp_extract("part", r"Sampling\(ms\):\s*([0-9.]+)", 1).cast("double").alias("sampling_ms"), F.posexplode(F.slice(lines, 2, F.size(lines))).alias("n", "line"))
     cells = F.split(F.trim("line"), r"\s+")
     rows = head.filter(F.col("line").rlike(r"^\s*[0-9]+\s+[0-9.]+")).select("dataset", "segment", "n", "sampling_ms", (cells[0].cast("int") + 1).alias("state"), F.round(cells[1].cast("double") / F.col("sampling_ms")).cast("int").alias("n_frames"))
     return rows.withColumn("dwell_no", F.row_number().over(Window.partitionBy("dataset", "segment").orderBy("n"))).drop("n")
@@ -184,12 +187,65 @@ def selection_list(spark: SparkSession, path: str) -> DataFrame:
     return words.select(F.col("word").cast("long").alias("trace_id"))
 
 
+def clipped_lines(points: DataFrame, channel: str = "fret", low: float = -0.5, high: float = 1.0) -> DataFrame:
+    """(dataset, trace_id, frame, line): one channel of the frames above 0.001 as lines of text, clipped to [low, high], six digits."""
+    value = F.greatest(F.lit(low), F.least(F.lit(high), F.col(channel)))
+    return points.filter(F.col(channel) > 0.001).select(*KEYS, "frame", F.round(value * 1_000_000).cast("long").cast("string").alias("line"))
+
+
+def ranked_path(points: DataFrame, channel: str = "fret", dark: float = 0.1) -> DataFrame:
+    """States (keys, frame, state) from a fitted path: values under `dark` are 0, and a trace's distinct values are numbered upwards."""
+    level = F.when(F.col(channel) < dark, 0.0).otherwise(F.col(channel))
+    return points.withColumn("__level", level).select(*KEYS, "frame", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("__level")).alias("state"))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Tab-separated text with a header: statistics, a row for each picked trace; or the data of a plot."""
+    df.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("sep", "\t").option("header", "true").schema(schema).csv(path)
+
+
+def write_plot_data(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of a summary under its name: contours, histograms, transition densities."""
+    for name, df in tables.items():
+        write_table(df, f"{path}/{name}")
+
+
+def save_files(named: DataFrame, folder: str, extension: str) -> None:
+    """(dataset, content) -> one file each, written by the tasks into a folder that all executors mount."""
+    folder = re.sub("^file:(//)?", "", folder)
+
+    def put(rows: Iterator) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            target = os.path.join(folder, "".join(c if c.isalnum() or c in "-_." else "_" for c in r["dataset"]) + extension)
+            temporary = f"{target}.{uuid.uuid4().hex}"
+            with open(temporary, "wb") as f:
+                f.write(bytes(r["content"]))
+            os.replace(temporary, target)  # a task that runs twice leaves one whole file
+
+    named.select("dataset", "content").foreachPartition(put)
+
+
 def wide_text(points: DataFrame, columns: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
     """One row for each frame, a column for each trace and channel, for one dataset of few traces."""
     wide = points.groupBy("frame").pivot("trace_id").agg(*[F.first(c).alias(c) for c in columns])
     return wide.orderBy("frame")
 
 
+def wide_blocks(points: DataFrame, block: int = 100, columns: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
+    """Wide text of any number of traces: a row for each range of `block` trace ids (part) and frame, a column for each of its traces.
+
+    Columns are named by the trace's place in its part, 1_donor to <block>_fret, so their number is fixed before any data is read.
+    """
+    place = F.pmod(F.col("trace_id") - 1, F.lit(block))
+    cells = [F.max(F.when(place == i, F.col(c))).alias(f"{i + 1}_{c}") for i in range(block) for c in columns]
+    return points.groupBy("dataset", F.floor((F.col("trace_id") - 1) / block).alias("part"), "frame").agg(*cells)
+
+
 def text_lines(points: DataFrame, mu: tuple[float, ...], block: int = 100, columns: tuple[str, ...] = ("donor", "acceptor")) -> DataFrame:
     """Text export of any number of traces, a line for each trace and frame; part: a range of `block` trace ids, to partition files by.
 
