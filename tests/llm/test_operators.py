@@ -215,6 +215,65 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def _plain_split(label: str, cost: dict[str, float]) -> float:
+    """The least cost of any way to cut a label."""
+    if not label:
+        return 0.0
+    return min(_plain_split(label[:i], cost) + cost.get(label[i:], 14.0 * (len(label) - i) if len(label) - i == 1 else math.inf) for i in range(max(0, len(label) - url_filter.LONGEST_WORD), len(label)))
+
+
+def test_segmentation_is_the_cheapest(spark):
+    rng = random.Random(12)
+    counts = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))): rng.randint(1, 900) for _ in range(40)}
+    labels = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 11))) for _ in range(60)}
+    got = url_filter.segment(spark.createDataFrame([(x,) for x in sorted(labels)], "label string"), spark.createDataFrame(list(counts.items()), "word string, n long"))
+    total = float(sum(counts.values()))
+    cost = {w: math.log(total) + 1 - math.log(n) for w, n in counts.items()}
+    rows = got.collect()
+    assert {r.label for r in rows} == labels
+    for r in rows:
+        assert "".join(r.words) == r.label
+        assert abs(sum(cost.get(w, 14.0) for w in r.words) - _plain_split(r.label, cost)) < 1e-9, r
+
+
+def test_url_scores_against_plain_bayes(spark):
+    rng = random.Random(13)
+    good, bad = ["garden", "house", "river", "organic", "library"], ["casino", "poker", "jackpot", "bonus"]
+    hosts = [f"{a}-{b}.net" for a in good for b in good if a != b] + [f"{a}-{b}.net" for a in bad for b in bad if a != b] + ["bonus-royal.net", "organic-farm.net", "free-library.net", "cheap-pills.net", "\u65e5\u672c.net"]
+    urls = [f"http://{h}/{rng.choice(good + bad)}/{i}" for i, h in enumerate(hosts * 2)]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls + urls[:5])), "page_id long, url string"), rules=()).collect()
+    marked = lambda h: bool(set(re.split(r"[.\-_:]", h)) & set(url_filter.SEED_WORDS)) or len(set(re.split(r"[.\-_:]", h)) & set(url_filter.EVERYDAY_SEEDS)) > 1
+    assert marked("cheap-pills.net") and not marked("organic-farm.net") and not marked("free-library.net")
+    host_words = {r.host: [w for w in r.host_words if (len(w) > 2 or not w.isascii()) and w != "net"] for r in got}
+    assert set(host_words["bonus-royal.net"]) == {"bonus", "royal"} and "".join(host_words["\u65e5\u672c.net"]) in ("\u65e5\u672c", "\u672c\u65e5")
+    paths = {(h, p): [w for w in re.split(r"[^a-z0-9]+", p) if len(w) > 2 and not w.isdigit()] for h, p in {(r.host, r.path) for r in got}}
+    chance = {h: float(marked(h)) for h in host_words}
+    for turn in range(url_filter.ROUNDS + 1):
+        b, a = collections.Counter(), collections.Counter()
+        for h, ws in [*host_words.items(), *((h, ws) for (h, _), ws in paths.items())]:
+            for w in ws:
+                b[w] += chance[h]
+                a[w] += 1 - chance[h]
+        v, n = len(set(b) | set(a)), len(chance)
+        prior = math.log((sum(chance.values()) + 1) / (n - sum(chance.values()) + 1))
+        weight = {w: math.log((b[w] + 1) / (sum(b.values()) + v + 1)) - math.log((a[w] + 1) / (sum(a.values()) + v + 1)) for w in a}
+        if turn < url_filter.ROUNDS:
+            chance = {h: 1.0 if marked(h) else 1 / (1 + math.exp(-prior - sum(weight[w] for w in ws))) for h, ws in host_words.items()}
+    for r in got:
+        want = prior + sum(weight[w] for w in host_words[r.host]) + sum(weight[w] for w in paths[r.host, r.path])
+        assert abs(r.score - want) < 1e-5 and r.verdict == ("block" if r.score > 0 else "allow")
+    # Hosts without any seed: those made of words that go with seeds are blocked, those of everyday words are not.
+    said = {r.host: r.verdict for r in got if r.path.split("/")[1] in good}
+    assert all(v == "allow" for h, v in said.items() if h in ("organic-farm.net", "free-library.net", "garden-house.net"))
+
+
+def test_urls_of_any_length_and_repeats(spark):
+    long = "http://www." + "casino-" * 3000 + "x.net/" + "a/" * 20_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "http://river.net/")], "page_id long, url string")
+    got = url_filter.judge_urls(pages).collect()
+    assert len(got) == 4 and len({r.verdict for r in got if r.page_id == 1}) == 1 and {r.host for r in got if r.page_id is None} == {""}
+
+
 # --- 7: embeddings ---------------------------------------------------------------------------------------------------
 
 
