@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +83,7 @@ def _explode_pass(sent, parts: int, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         frequent, dense, table = sent.value
+        task, count = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, len(whole), GROUP):
                 batch = whole.slice(at, GROUP)
@@ -115,7 +116,7 @@ def _explode_pass(sent, parts: int, total: int, distinct: int):
                     base.append(score)
                     p, times, gain = p[~both], times[~both], gain[~both]
                     out.append((p, gain.astype(np.float32), times.astype(np.uint32), np.full(len(p), d, np.uint16)))
-                grp = xxhash.xxh64_intdigest(repr((ids, n_words)).encode()) >> 1
+                grp, count = (task << 32) + count, count + 1
                 rows = [(-1, grp, ids, n_words, base, hits, None, None, None, None)]
                 if out:
                     p, gain, times, doc = (np.concatenate([o[i] for o in out]) for i in range(4))
