@@ -47,7 +47,8 @@ _TRIGGER = re.compile(r"[0-9@]|PRIVATE KEY|eyJ|(?:gh[pousr]_|github_pat_|glpat-|
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every entity, in order, without overlaps; kind mention: a name found elsewhere in the text."""
+    """(start, end, kind) of every entity, in order, without overlaps; kind mention: a name found elsewhere in the text; part: the
+    rest of an entity that another one overlaps."""
     if not _TRIGGER.search(text):
         return []
     taken: list[tuple[int, int, str]] = []
@@ -56,8 +57,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span("v") if "v" in finder.groupindex else m.span()
             if kind == "card" and text[a:b].isdigit() and not _checks(text[a:b]):
                 continue  # sixteen digits in a row that no card can have
-            if all(b <= x or a >= y for x, y, _ in taken):
+            over = sorted((x, y) for x, y, _ in taken if x < b and a < y)
+            if not over:
                 taken.append((a, b, kind))
+                continue
+            for x, y in [*over, (b, b)]:  # what an earlier kind leaves of this find is replaced by itself
+                if a < x and any(c.isalnum() for c in text[a:x]):
+                    taken.append((a, x, "part"))
+                a = max(a, y)
     for value in _mentions(text, taken):
         for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text):
             if all(m.end() <= x or m.start() >= y for x, y, _ in taken):
@@ -248,7 +255,7 @@ def _replace(names: list[str], column: str, key: bytes):
                     out += [body[at:a], new]
                     at = b
                 texts.append("".join([*out, body[at:]]) if found else body)
-                counts.append(sum(kind != "mention" for _, _, kind in found))
+                counts.append(sum(kind not in ("mention", "part") for _, _, kind in found))
                 changed.append(texts[-1] != body)
                 entities.append([dict(zip(("kind", "original", "surrogate"), e, strict=True)) for e in sorted(own)])
             columns = [pa.array(texts, pa.string()) if n == column else batch.column(n) for n in names]
@@ -290,7 +297,8 @@ def surrogate_text(docs: DataFrame, key: bytes, column: str = "text", count: str
 
     Null stays null and empty stays empty. Repeated rows and repeated entities get the same surrogate everywhere, as it
     depends on key and value only; a name found after a title is replaced, whole or in parts, wherever its text holds it.
-    Where two finds overlap, the kind listed first in PATTERNS is replaced and the other one's rest stays. Distinctness
+    Where two finds overlap, the kind listed first in PATTERNS is replaced whole and the other one's rest
+    by itself. Distinctness
     holds by construction, each kind and format being mapped by a permutation; with `check`, the replaced texts and what
     was found in them are written to the shared folder by one pass, and the distinct entities of the corpus are audited
     by two aggregations: a collision, an entity left as it was or one with two surrogates raises ValueError. Nothing is
