@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         parts = connected_components(links.union(more))
 
     rep_part = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("part"))
-    out = signed.join(rep_part, "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("part", "doc_id").alias("component_id"))
+    out = signed.join(rep_part, "set_digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
