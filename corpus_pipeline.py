@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, exact copies, near copies, personal data, packing."""
+"""The corpus pipeline: quality, exact copies, near copies, personal data, packing.
+
+Every stage takes any documents table with doc_id and text: other columns, whatever their names, pass through unchanged up
+to the last stage. Empty tables give empty tables. doc_id should be distinct; a row without one is never dropped.
+"""
 
 from __future__ import annotations
 
@@ -18,27 +22,27 @@ from lumatrace.llm.token_counts import count_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null texts are scored as empty ones, equal texts alike."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
+    """Of equal texts, the one with the largest doc_id; null and empty texts are equal."""
     return keep_last_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    """Of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id; texts without words stay."""
     return keep_one_of_each(docs, shingle_words=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets replaced by surrogates."""
+    """Personal data and secrets replaced by surrogates, equal ones alike everywhere; null texts stay null."""
     return surrogate_text(docs, PII_KEY)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token counts of the final texts, packed into sequences."""
+    """The token counts of the final texts, packed into sequences; texts without tokens have no row, longer ones several."""
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return pack(counted.select("doc_id", "n_tokens"))
 
