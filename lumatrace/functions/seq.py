@@ -85,7 +85,7 @@ def with_lifetime(df: DataFrame, c: str = "total", name: str = "lifetime", tau:
     df = df.withColumn("__clean", F.when(F.abs("__grad") <= limit, F.col("__grad")))
     df = df.withColumn("__limit", F.avg("__clean").over(t) - n_std * std1_over(F.col("__clean"), t)).withColumn("__len", F.max("frame").over(t))
     last = F.max(F.when((F.col("__grad") <= F.col("__limit")) & (F.col("frame") < F.col("__len")), F.col("frame"))).over(t)
-    return df.withColumn(name, F.coalesce(F.greatest(F.lit(2), last), F.col("__len"))).drop("__med", "__grad", "__clean", "__limit", "__len")
+    return df.withColumn("__last", last).withColumn(name, F.when(F.col("__last").isNull(), F.col("__len")).otherwise(F.greatest(F.lit(2), "__last"))).drop("__med", "__grad", "__clean", "__limit", "__len", "__last")
 
 
 def with_donor_alive(df: DataFrame, c: str = "total", name: str = "alive", blink_std: float = CONSTANTS.blink_std) -> DataFrame:

@@ -313,8 +313,8 @@ def energy_path(rates: DataFrame, percent: DataFrame, order: list[int], kelvin:
 def bootstrap_draws(traces: DataFrame, resamples: int) -> DataFrame:
     """(keys, b, w): how often resample b draws a trace, by Poisson(1) from a hash of both; draws of 0 are left out."""
     draws = traces.select(*KEYS).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    # A linear congruence, so that SQL twins can draw the same numbers.
-    u = ((F.col("trace_id") * 7919 + F.col("b") * 104_729 + 12_345) * 48_271 % 2_147_483_647) / 2_147_483_647.0
+    # The first 32 bits of a digest, which SQL twins can draw as well.
+    u = F.conv(F.substring(F.md5(F.concat_ws("#", *KEYS, "b")), 1, 8), 16, 10).cast("long") / 4_294_967_296.0
     limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
     return draws.withColumn("w", weight).filter("w > 0")

@@ -377,12 +377,12 @@ register("i18_rate_ensemble", q(RATES, "SELECT dataset, src, dst, round(exp(avg(
 register("i19_survival_before", "WITH " + DW + """, nx AS (SELECT *, lead(state) OVER (PARTITION BY trace_id ORDER BY dwell_no) AS dst FROM dw), n AS (SELECT dataset, state AS src, dst, n_frames, count(*) AS k FROM nx WHERE dst IS NOT NULL GROUP BY ALL)
 SELECT dataset, src, dst, n_frames, round(1 - sum(k) OVER (PARTITION BY src, dst ORDER BY n_frames) / sum(k) OVER (PARTITION BY src, dst), 6) AS survival FROM n""")(lambda s, d: dwell.survival_before(_dw(s, d)))
 register("i20_bootstrap", "WITH " + IDL + """, n AS (SELECT dataset, trace_id, state, count(*) AS n FROM idl WHERE state > 1 GROUP BY ALL), b AS (SELECT unnest(generate_series(1, 1000)) AS b),
-u AS (SELECT *, ((trace_id * 7919 + b * 104729 + 12345) * 48271 % 2147483647) / 2147483647.0 AS u FROM (SELECT DISTINCT dataset, trace_id FROM n), b),
+u AS (SELECT *, CAST('0x' || substr(md5(dataset || '#' || trace_id || '#' || b), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT DISTINCT dataset, trace_id FROM n), b),
 w AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) + CAST(u >= 0.9999167588507119 AS INT) AS w FROM u),
 x AS (SELECT dataset, b, state, sum(w * n) AS x FROM w JOIN n USING (dataset, trace_id) WHERE w > 0 GROUP BY ALL), p AS (SELECT dataset, state, 100.0 * x / sum(x) OVER (PARTITION BY b) AS p FROM x)
 SELECT dataset, state, round(stddev_samp(p), 6) AS se FROM p GROUP BY dataset, state""")(lambda s, d: dwell.bootstrap_percent(_idl(s, d)))
 register("u1_bootstrap_statistic", "WITH " + IDL + """, l AS (SELECT *, lag(state) OVER (PARTITION BY trace_id ORDER BY frame) AS p FROM idl WHERE state > 1), e AS (SELECT dataset, trace_id, count(*) FILTER (p <> state) AS events, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT unnest(generate_series(1, 1000)) AS b),
-u AS (SELECT *, ((trace_id * 7919 + b * 104729 + 12345) * 48271 % 2147483647) / 2147483647.0 AS u FROM e, b),
+u AS (SELECT *, CAST('0x' || substr(md5(dataset || '#' || trace_id || '#' || b), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM e, b),
 w AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) + CAST(u >= 0.9999167588507119 AS INT) AS w FROM u),
 x AS (SELECT dataset, b, sum(w * events) / (sum(w * n) * 0.04) AS x FROM w WHERE w > 0 GROUP BY ALL) SELECT dataset, round(stddev_samp(x), 6) AS se FROM x GROUP BY dataset""")(
     lambda s, d: dwell.bootstrap_se(dwell.transition_events(_idl(s, d)), F.col("events") / (F.col("n_frames") * 0.04))

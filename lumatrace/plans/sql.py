@@ -39,7 +39,7 @@ lg AS (SELECT *, coalesce((lead(med) OVER w - lag(med) OVER w) / 2, lead(med) OV
 ls AS (SELECT *, avg(g) OVER t AS mg, CASE WHEN count(g) OVER t = 1 THEN 0 ELSE stddev_samp(g) OVER t END AS sg FROM lg WINDOW t AS (PARTITION BY trace_id)),
 lc AS (SELECT *, CASE WHEN abs(g) <= mg + 6 * sg THEN g END AS clean FROM ls),
 ll AS (SELECT *, avg(clean) OVER t - 8 * CASE WHEN count(clean) OVER t = 1 THEN 0 ELSE stddev_samp(clean) OVER t END AS lim FROM lc WINDOW t AS (PARTITION BY trace_id)),
-lf AS (SELECT *, coalesce(greatest(2, max(CASE WHEN g <= lim AND frame < len THEN frame END) OVER t), len) AS lifetime FROM ll WINDOW t AS (PARTITION BY trace_id))"""
+lf AS (SELECT *, CASE WHEN max(CASE WHEN g <= lim AND frame < len THEN frame END) OVER t IS NULL THEN len ELSE greatest(2, max(CASE WHEN g <= lim AND frame < len THEN frame END) OVER t) END AS lifetime FROM ll WINDOW t AS (PARTITION BY trace_id))"""
 
 STATS = BL + """,
 m1 AS (SELECT *, median(total) OVER (PARTITION BY trace_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS med FROM blt),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
-from lumatrace.operators import combine, correct, dwell, pixels, project, select, states, stats
+from lumatrace.operators import combine, correct, dwell, fits, pixels, project, select, states, stats
 from lumatrace.operators.kernels import Model, forward_backward, segmental_kmeans, usable, viterbi
 from lumatrace.plans import pipelines, registry
 from lumatrace.schema import KEYS
@@ -334,3 +334,100 @@ def test_c18_finds_a_ring_as_closely_as_the_reference(spark, monkeypatch):
     monkeypatch.setattr(registry.A, "positioned", lambda points: spark.createDataFrame(rows, "dataset string, trace_id long, donor_x double, donor_y double"))
     got = registry.QUERIES["c18_fit_circles"](spark, SF).first()
     assert abs(got.cx - 500) < 4 and abs(got.cy - 480) < 4 and abs(got.r - 240) < 4 and got.inliers >= 80
+
+
+def test_dark_class_does_not_count(spark):
+    df = idl(spark, {1: [1], 2: [1], 3: [2], 4: [3]})
+    for got in (dwell.occupancy_by_frame(df), dwell.percent_time(df)):
+        assert {r.state: r.percent for r in got.collect()} == {2: 50.0, 3: 50.0}
+    assert {r.state: r.percent for r in dwell.percent_time(df, hide_dark=False).collect()} == {1: 50.0, 2: 25.0, 3: 25.0}
+
+
+def test_three_colors_without_a_long_run_and_with_a_dark_donor(spark):
+    rng = np.random.default_rng(1)
+    rows = [("d", 1, k + 1, 40.0 * k, 78.0, 12.0, 10.0) for k in range(60)]  # fret 0.22 throughout: no run at 0.25
+    rows += [("d", 2, k + 1, 40.0 * k, *((50.0, 30.0, 20.0) if k < 40 else rng.normal(0, 1, 3).tolist())) for k in range(80)]
+    df = spark.createDataFrame([tuple(map(lambda v: float(v) if isinstance(v, (float, np.floating)) else v, r)) for r in rows], "dataset string, trace_id long, frame int, time_ms double, donor double, acceptor double, acceptor2 double")
+    got = {(r.trace_id, r.frame): (r.fret, r.fret2) for r in project.fret_three(df, "tandem3").collect()}
+    assert all(abs(got[1, k][0] - 0.22) < 1e-9 and abs(got[1, k][1] - 10 / 22) < 1e-9 for k in range(1, 55))
+    assert all(got[2, k] == (0, 0) for k in range(45, 81)) and abs(got[2, 10][0] - 0.5) < 1e-9 and abs(got[2, 10][1] - 0.4) < 1e-9
+
+
+def test_dwell_autocovariance_of_one_state(spark):
+    rows, want = [], []
+    for t in range(3):
+        own = [2 + (k * (t + 1)) % 7 for k in range(24)]
+        for k, n in enumerate(own):
+            rows += [("d", t, 2 * k + 1, 2, 1, n), ("d", t, 2 * k + 2, 3, 1, 100 + k)]
+        x = np.array(own) - np.mean(own)
+        want.append([float((x[: len(x) - lag] * x[lag:]).sum() / (x @ x)) for lag in range(25)])
+    df = spark.createDataFrame(rows, "dataset string, trace_id long, dwell_no int, state int, start_frame int, n_frames int")
+    got = {r.lag: (r.mean, r.n) for r in dwell.autocovariance(df, 2).collect()}
+    assert sorted(got) == list(range(25)) and all(abs(got[lag][0] - np.mean([w[lag] for w in want])) < 1e-9 and got[lag][1] == 3 for lag in got)
+    assert dwell.autocovariance(df, 2, least=24).count() == 0
+    y0, a, k = dwell.autocovariance_fit(spark.createDataFrame([("d", lag, 0.005 + 0.4 * float(np.exp(-0.3 * (lag - 1)))) for lag in range(50)], "dataset string, lag int, mean double"))["d"]
+    assert abs(y0 - 0.005) < 1e-6 and abs(a - 0.4) < 1e-6 and abs(k - 0.3) < 1e-6
+
+
+def test_lifetimes_are_fitted(spark):
+    x = np.arange(200) * 0.04
+    a, tau, r2 = fits.exponential(x, 0.9 * np.exp(-x / 1.3))
+    assert abs(a - 0.9) < 1e-6 and abs(tau - 1.3) < 1e-6 and r2 > 1 - 1e-9
+    assert all(np.isnan(v) for v in fits.exponential(x[:1], x[:1]))
+    y = np.exp(-x / 0.8) + np.random.default_rng(2).normal(0, 0.02, len(x))
+    _, tau, _ = fits.exponential(x, y)
+    grid = np.linspace(0.5, 1.2, 7001)
+    e = np.exp(-x[None, :] / grid[:, None])
+    best = (e @ y / (e * e).sum(axis=1))[:, None] * e
+    assert abs(tau - grid[((y - best) ** 2).sum(axis=1).argmin()]) < 2e-4
+
+
+def test_log_histogram_is_in_percent(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("d", 1, k + 1, 2 + k % 2, 1, int(n)) for k, n in enumerate(rng.integers(1, 40, 300))], "dataset string, trace_id long, dwell_no int, state int, start_frame int, n_frames int")
+    total = lambda how: {r.state: round(r.v, 6) for r in dwell.log_histogram(df, 40.0, normalize=how).groupBy("state").agg(F.sum("value").alias("v")).collect()}
+    assert total("state") == {2: 100.0, 3: 100.0} and total("file") == {2: 50.0, 3: 50.0} and total("off") == {2: 150.0, 3: 150.0}
+
+
+def test_transitions_close_up_before_they_are_cut(spark):
+    df = idl(spark, {1: [2, 1, 1, 3, 2, 3]})
+    row = dwell.transition_events(df, 3).collect()[0]
+    assert (row.events, row.n_frames) == (2, 3)
+
+
+def test_titles(spark):
+    titles = lambda *paths: {r.path: r.title for r in project.trim_titles(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert titles("/a/run_1 low_auto.traces", "/b/run_1 high_auto.traces") == {"/a/run_1 low_auto.traces": "low", "/b/run_1 high_auto.traces": "high"}
+    assert titles("/a/one_two.txt") == {"/a/one_two.txt": "one two"}
+    assert titles("/a/x.txt", "/b/x.txt") == {"/a/x.txt": "1", "/b/x.txt": "2"}
+    assert titles("a b.txt", "a c b.txt") == {"a b.txt": "-", "a c b.txt": "c"}
+
+
+def test_ensemble_value_and_within_sigma(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([("d", i, float(v)) for i, v in enumerate(rng.normal(0.12, 0.02, 4000))], "dataset string, trace_id long, k double")
+    assert abs(correct.ensemble_value(df, "k", -0.1, 0.01, 36) - 0.12) < 0.002
+    assert abs(correct.ensemble_value(df, "k", -0.1, 0.01, 36, use_median=True) - 0.12) < 0.002
+    st = spark.createDataFrame([(i, float(v)) for i, v in enumerate([*rng.normal(500, 40, 3000), -5.0, 0.0, 900.0])], "trace_id long, t double")
+    kept = {r.trace_id for r in select.within_sigma(st, 2.0).collect()}
+    assert len(kept) > 2950 and not {3000, 3001, 3002} & kept
+
+
+def test_bootstrap_of_any_statistic(spark):
+    rng = np.random.default_rng(5)
+    x = rng.poisson(20, 400)
+    each = spark.createDataFrame([("d", i, int(v), 10) for i, v in enumerate(x)], "dataset string, trace_id long, events int, seconds int")
+    se = dwell.bootstrap_se(each, F.col("events") / F.col("seconds"), 400).collect()[0].se
+    assert abs(se - x.std() / 10 / np.sqrt(len(x))) < 0.25 * se
+
+
+def test_donor_alive_and_ensemble_model(spark):
+    rng = np.random.default_rng(6)
+    level = [1000.0] * 30 + [0.0] * 10 + [1000.0] * 30 + [0.0] * 40
+    rows = [("d", i, k + 1, 40.0 * k, float(v / 2 + rng.normal(0, 20)), float(v / 2 + rng.normal(0, 20)), 0.5) for i in range(4) for k, v in enumerate(level)]
+    df = spark.createDataFrame(rows, "dataset string, trace_id long, frame int, time_ms double, donor double, acceptor double, fret double")
+    alive = states.donor_alive(df).groupBy("frame").agg(F.sum(F.col("alive").cast("int")).alias("n")).orderBy("frame").toPandas().n.to_numpy()
+    assert (alive[2:28] == 4).all() and (alive[31:39] == 0).all() and (alive[72:] == 0).all()
+    two = points(spark, {i: [0.2] * 40 + [0.7] * 40 for i in range(3)}).withColumn("fret", F.col("fret") + F.rand(1) * 0.02 - 0.01)
+    model = {r.state: r.mu for r in states.ensemble_model(states.fit_each(two, Model.of([0.3, 0.6], 0.1))).collect()}
+    assert abs(model[1] - 0.2) < 0.01 and abs(model[2] - 0.7) < 0.01
