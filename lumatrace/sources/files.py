@@ -6,6 +6,7 @@ import os
 import re
 import struct
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,6 +133,8 @@ def read_dwells(spark: SparkSession, path: str) -> DataFrame:
 
 def dwell_text(dwells: DataFrame, model: list[tuple[float, float]], sampling_ms: float) -> DataFrame:
     """(dataset, value): each dataset's dwells as the text of one dwell-time file."""
+    if any(b[0] <= a[0] for a, b in zip(model, model[1:], strict=False)):
+        warnings.warn("the model's means don't increase: state numbers may not follow fret", stacklevel=2)
     tail = " ".join(f"{m:g} {s:g}" for m, s in model)
     each = dwells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dwell_no", "state", "start_frame", "n_frames"))).alias("d"))
     line = lambda r: F.format_string("%d\t%d", r["state"] - 1, F.round(r["n_frames"] * sampling_ms).cast("long"))
