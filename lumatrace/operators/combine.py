@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumatrace.functions import ranks
 from lumatrace.operators import project
 from lumatrace.schema import KEYS
 
@@ -18,8 +19,7 @@ def combine(parts: list[DataFrame], name: str, mode: str = "truncate") -> DataFr
     ids = both.select("__part", "dataset", "trace_id").distinct()
     counts = ids.groupBy("__part", "dataset").agg(F.count("*").alias("n"))  # a row for each dataset
     start = counts.select("__part", "dataset", (F.sum("n").over(Window.orderBy("__part", "dataset")) - F.col("n")).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("__part", "dataset").orderBy("trace_id"))
-    ids = ids.withColumn("__k", rank).join(F.broadcast(start), ["__part", "dataset"]).select("__part", "dataset", "trace_id", (F.col("__start") + F.col("__k")).alias("__id"))
+    ids = ranks.numbered(ids, ["__part", "dataset"], "trace_id", "__k").join(F.broadcast(start), ["__part", "dataset"]).select("__part", "dataset", "trace_id", (F.col("__start") + F.col("__k")).alias("__id"))
     out = both.join(ids, ["__part", "dataset", "trace_id"]).withColumn("dataset", F.lit(name)).withColumn("trace_id", F.col("__id")).drop("__part", "__id")
     return project.resize(out, "min" if mode == "truncate" else "max").select(*common)
 

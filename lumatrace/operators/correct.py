@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumatrace.functions import seq
+from lumatrace.functions import ranks, seq
 from lumatrace.operators.select import gaussian_center
 from lumatrace.schema import CONSTANTS, KEYS
 
@@ -69,7 +69,8 @@ def gamma_by_trace(points: DataFrame, low: float = 0.0, high: float = 10.0) -> D
 
 def ensemble_value(values: DataFrame, column: str, low: float, step: float, bins: int, use_median: bool = False) -> float | None:
     """One value of the ensemble: the centre of a Gaussian fitted to the histogram, or the median."""
-    median = values.agg(F.percentile(column, 0.5)).first()[0]
+    found = ranks.percentile(values, [], column, 0.5, "median").first()
+    median = found and found[0]
     if use_median or median is None:
         return median
     counts = np.zeros(bins)

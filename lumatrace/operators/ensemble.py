@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumatrace.functions import seq
+from lumatrace.functions import ranks, seq
 from lumatrace.operators import fits
 from lumatrace.operators.dwell import to_dwells
 from lumatrace.schema import KEYS
@@ -44,7 +44,7 @@ def mean_fret_by_frame(points: DataFrame, low: float = 0.175, high: float = 1.2,
 
 
 def median_fret(points: DataFrame, low: float = 0.2, frames: int = 100) -> DataFrame:
-    return points.filter((F.col("fret") > low) & (F.col("frame") <= frames)).groupBy("dataset").agg(F.percentile("fret", 0.5).alias("median_fret"))
+    return ranks.percentile(points.filter((F.col("fret") > low) & (F.col("frame") <= frames)), ["dataset"], "fret", 0.5, "median_fret")
 
 
 def fret_stoichiometry(points: DataFrame, low: float = -0.1, step: float = 0.03, bins: int = 43) -> DataFrame:

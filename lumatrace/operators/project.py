@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumatrace.functions import seq
+from lumatrace.functions import ranks, seq
 from lumatrace.schema import KEYS
 
 
@@ -134,7 +134,8 @@ def clipped(points: DataFrame, channel: str, low: float, high: float) -> DataFra
 def with_ids(traces: DataFrame, path: Column | str) -> DataFrame:
     """ids: the recording's path and the trace's number in it."""
     where = F.lit(path) if isinstance(path, str) else path
-    return traces.withColumn("ids", F.concat(where, F.lit("#"), F.row_number().over(Window.partitionBy("dataset").orderBy("trace_id"))))
+    rows = ranks.numbered(traces, ["dataset"], "trace_id", "__n")
+    return rows.withColumn("ids", F.concat(where, F.lit("#"), F.col("__n"))).drop("__n")
 
 
 def live_frames(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:

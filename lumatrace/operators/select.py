@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumatrace.functions import seq
+from lumatrace.functions import ranks, seq
 from lumatrace.schema import KEYS
 
 
@@ -117,8 +117,8 @@ def by_class_frames(idl: DataFrame, least: dict[int, int]) -> DataFrame:
 def by_state_means(idl: DataFrame, separation: float = 0.12, frames: int = 1000) -> DataFrame:
     """Keys of traces whose states' mean fret all lie within `separation` of the states' medians over traces."""
     m = idl.filter((F.col("frame") <= frames) & (F.col("state") > 0)).groupBy(*KEYS, "state").agg(F.avg("fret").alias("m"))
-    mid = m.groupBy("dataset", "state").agg(F.percentile("m", 0.5).alias("mid"))
-    return m.join(F.broadcast(mid), ["dataset", "state"]).groupBy(*KEYS).agg(F.bool_and(F.abs(F.col("m") - F.col("mid")) <= separation).alias("ok")).filter("ok").select(*KEYS)
+    mid = ranks.percentile(m, ["dataset", "state"], "m", 0.5, "mid")
+    return m.join(mid, ["dataset", "state"]).groupBy(*KEYS).agg(F.bool_and(F.abs(F.col("m") - F.col("mid")) <= separation).alias("ok")).filter("ok").select(*KEYS)
 
 
 def productive(dwells: DataFrame, state: int, least: int) -> DataFrame:
@@ -128,7 +128,7 @@ def productive(dwells: DataFrame, state: int, least: int) -> DataFrame:
 
 def representative(stats: DataFrame) -> DataFrame:
     """Traces like the average: t within 0.2 standard deviations, donorlife within a tenth, background under twice the median, no overlap."""
-    d = stats.groupBy("dataset").agg(F.avg("t").alias("__mt"), F.stddev_samp("t").alias("__st"), F.avg("donorlife").alias("__ml"), F.percentile("bg", 0.5).alias("__mb"))
+    d = stats.groupBy("dataset").agg(F.avg("t").alias("__mt"), F.stddev_samp("t").alias("__st"), F.avg("donorlife").alias("__ml")).join(ranks.percentile(stats, ["dataset"], "bg", 0.5, "__mb"), "dataset")
     ok = (F.abs(F.col("t") - F.col("__mt")) < 0.2 * F.col("__st")) & (F.abs(F.col("donorlife") - F.col("__ml")) < 0.1 * F.col("__ml")) & (F.col("bg") < 2 * F.col("__mb")) & (F.col("overlap") == 0)
     return stats.join(F.broadcast(d), "dataset").filter(ok).drop("__mt", "__st", "__ml", "__mb")
 
@@ -186,8 +186,8 @@ def not_done(inputs: DataFrame, done: DataFrame, key: str = "dataset") -> DataFr
 
 def below_order_statistic(stats: DataFrame, column: str, share: float = 0.99) -> DataFrame:
     """Rows whose statistic is below the dataset's sorted value at `share` of its length."""
-    ranked = stats.groupBy("dataset").agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").alias("__lim"))
-    return stats.join(F.broadcast(ranked), "dataset").filter(F.col(column) < F.col("__lim")).drop("__lim")
+    ranked = ranks.percentile(stats, ["dataset"], column, share, "__lim", discrete=True)
+    return stats.join(ranked, "dataset").filter(F.col(column) < F.col("__lim")).drop("__lim")
 
 
 def dye_filter(stats: DataFrame, events: DataFrame, most_background: float, least_snr: float = 10.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""State assignment of whole corpora: kernels run trace by trace on the executors, joint fits loop over aggregates."""
+"""State assignment of whole corpora: kernels run over batches of traces on the executors, joint fits loop over aggregates."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
-from lumatrace.operators.kernels import Model, forward_backward, segmental_kmeans, viterbi
+from lumatrace.operators.kernels import Model, forward_backward_all, segmental_kmeans_all, viterbi_all
 from lumatrace.schema import KEYS
 
 
@@ -25,10 +25,10 @@ def _long(paths: DataFrame) -> DataFrame:
     return paths.select(*KEYS, F.posexplode("states").alias("at", "state")).select(*KEYS, (F.col("at") + 1).alias("frame"), F.col("state").cast("int"))
 
 
-def _each(fit: Callable[[np.ndarray], list]):
+def _each(fit: Callable[[list[np.ndarray]], list[list]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [fit(np.asarray(x, float)) for x in f["x"]]
+            out = fit([np.asarray(x, float) for x in f["x"]])
             yield pd.DataFrame({**{k: f[k] for k in KEYS}, **{n: [o[i] for o in out] for i, n in enumerate(("states", "ll", "mu", "sigma"))}})
 
     return run
@@ -40,9 +40,8 @@ _FIT = "dataset string, trace_id long, states array<int>, ll double, mu array<do
 def assign(points: DataFrame, model: Model, channel: str = "fret") -> DataFrame:
     """Viterbi states of every trace for one model: (keys, frame, state)."""
 
-    def fit(x: np.ndarray) -> list:
-        s, ll = viterbi(x, model)
-        return [s.tolist(), ll, model.mu.tolist(), model.sigma.tolist()]
+    def fit(xs: list[np.ndarray]) -> list[list]:
+        return [[s.tolist(), ll, model.mu.tolist(), model.sigma.tolist()] for s, ll in viterbi_all(xs, model)]
 
     return _long(wide(points, channel).mapInPandas(_each(fit), _FIT))
 
@@ -50,9 +49,8 @@ def assign(points: DataFrame, model: Model, channel: str = "fret") -> DataFrame:
 def fit_each(points: DataFrame, model: Model, channel: str = "fret", clip: tuple[float, float] = (-1.0, 10.0)) -> DataFrame:
     """Segmental k-means of every trace by itself: keys, states, ll, mu, sigma."""
 
-    def fit(x: np.ndarray) -> list:
-        s, m, ll = segmental_kmeans(np.clip(x, *clip), model)
-        return [s.tolist(), ll, m.mu.tolist(), m.sigma.tolist()]
+    def fit(xs: list[np.ndarray]) -> list[list]:
+        return [[s.tolist(), ll, m.mu.tolist(), m.sigma.tolist()] for s, m, ll in segmental_kmeans_all([np.clip(x, *clip) for x in xs], model)]
 
     return wide(points, channel).mapInPandas(_each(fit), _FIT)
 
@@ -77,16 +75,11 @@ def fit_jointly(points: DataFrame, model: Model, channel: str = "fret", rounds:
         for _ in range(rounds):
             m = model
 
-            def path(x: np.ndarray, m=m) -> list:
-                s, ll = viterbi(x, m)
-                return [s.tolist(), ll, [], []]
-
             def stats(frames: Iterator[pd.DataFrame], m=m) -> Iterator[pd.DataFrame]:
                 total = np.zeros(1 + 1 + k + k * k + 3 * k)
                 for f in frames:
-                    for x in f["x"]:
-                        x = np.asarray(x, float)
-                        s, ll = viterbi(x, m)
+                    xs = [np.asarray(x, float) for x in f["x"]]
+                    for x, (s, ll) in zip(xs, viterbi_all(xs, m), strict=True):
                         n = int((s > 0).sum())
                         if n < 2:
                             continue
@@ -129,11 +122,10 @@ def baum_welch(points: DataFrame, model: Model, channel: str = "fret", rounds: i
             def stats(frames: Iterator[pd.DataFrame], m=m) -> Iterator[pd.DataFrame]:
                 total = np.zeros(2 + k + k * k + 3 * k)
                 for f in frames:
-                    for x in f["x"]:
-                        total[1] += 1
-                        r = forward_backward(np.clip(np.asarray(x, float), -0.5, 1.5), m)
-                        if r is not None:
-                            total += np.concatenate([[r["ll"], 0], r["g1"], r["xi"].ravel(), r["g"], r["gx"] - m.mu * r["g"], r["gxx"] - 2 * m.mu * r["gx"] + m.mu**2 * r["g"]])
+                    total[1] += len(f)
+                    r = forward_backward_all([np.clip(np.asarray(x, float), -0.5, 1.5) for x in f["x"]], m)
+                    if r is not None:
+                        total += np.concatenate([[r["ll"], 0], r["g1"], r["xi"].ravel(), r["g"], r["gx"] - m.mu * r["g"], r["gxx"] - 2 * m.mu * r["gx"] + m.mu**2 * r["g"]])
                 yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
             v = np.zeros(2 + k + k * k + 3 * k)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumatrace.functions import ranks
 from lumatrace.schema import KEYS
 
 # Fixed values of the binary trace format: magic, version, numeric type codes and the separator of packed strings.
@@ -92,8 +93,16 @@ def size_catalog(spark: SparkSession, path: str, glob: str = "*.{traces,rawtrace
     return files.select("path", F.substring("content", 1, 65_536).alias("head")).mapInPandas(run, "path string, n_traces int, n_frames int, channels array<string>")
 
 
-def export_traces(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
-    """(dataset, content): each dataset as the bytes of one binary file, traces in order. Traces must be equally long."""
+def _filed(df: DataFrame, most: int) -> DataFrame:
+    """df (keys, ...) with `segment`, its trace's number in its file: files hold at most `most` traces, the next are dataset-2, dataset-3, ..."""
+    n = ranks.numbered(df.select(*KEYS).distinct(), ["dataset"], "trace_id", "__n")
+    part, name = F.floor((F.col("__n") - 1) / most), F.col("dataset")
+    n = n.select(*KEYS, F.when(part == 0, name).otherwise(F.concat(name, F.lit("-"), (part + 1).cast("string"))).alias("__file"), (F.pmod(F.col("__n") - 1, F.lit(most)) + 1).cast("int").alias("segment"))
+    return df.join(n, KEYS).withColumn("dataset", F.col("__file")).drop("__file")
+
+
+def export_traces(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor", "fret"), most: int = 5000) -> DataFrame:
+    """(dataset, content): each dataset as the bytes of binary files of at most `most` traces, in order. Traces must be equally long."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["trace_id", "frame"])
@@ -104,7 +113,8 @@ def export_traces(points: DataFrame, channels: tuple[str, ...] = ("donor", "acce
         data = encode_traces(f["time_ms"].to_numpy()[:m], {c: f[c].to_numpy(float).reshape(n, m) for c in channels})
         return pd.DataFrame({"dataset": [f["dataset"].iloc[0]], "content": [data]})
 
-    return points.select(*KEYS, "frame", "time_ms", *channels).groupBy("dataset").applyInPandas(run, "dataset string, content binary")
+    filed = _filed(points.select(*KEYS, "frame", "time_ms", *channels), most)
+    return filed.groupBy("dataset").applyInPandas(run, "dataset string, content binary")
 
 
 def read_legacy_text(spark: SparkSession, path: str) -> DataFrame:
@@ -131,14 +141,14 @@ def read_dwells(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("dwell_no", F.row_number().over(Window.partitionBy("dataset", "segment").orderBy("n"))).drop("n")
 
 
-def dwell_text(dwells: DataFrame, model: list[tuple[float, float]], sampling_ms: float) -> DataFrame:
-    """(dataset, value): each dataset's dwells as the text of one dwell-time file."""
+def dwell_text(dwells: DataFrame, model: list[tuple[float, float]], sampling_ms: float, most: int = 5000) -> DataFrame:
+    """(dataset, value): each dataset's dwells as the text of dwell-time files of at most `most` segments, named as export_traces() names them."""
     if any(b[0] <= a[0] for a, b in zip(model, model[1:], strict=False)):
         warnings.warn("the model's means don't increase: state numbers may not follow fret", stacklevel=2)
     tail = " ".join(f"{m:g} {s:g}" for m, s in model)
-    each = dwells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dwell_no", "state", "start_frame", "n_frames"))).alias("d"))
+    each = _filed(dwells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dwell_no", "state", "start_frame", "n_frames"))).alias("d")), most)
     line = lambda r: F.format_string("%d\t%d", r["state"] - 1, F.round(r["n_frames"] * sampling_ms).cast("long"))
-    text = F.concat(F.format_string(f"Segment: %d Dwells: %d Sampling(ms): {sampling_ms:g} Start(ms): %d ClassCount: {len(model)} {tail}\n", F.row_number().over(Window.partitionBy("dataset").orderBy("trace_id")), F.size("d"), ((F.col("d")[0]["start_frame"] - 1) * sampling_ms).cast("long")), F.array_join(F.transform("d", line), "\n"), F.lit("\n"))
+    text = F.concat(F.format_string(f"Segment: %d Dwells: %d Sampling(ms): {sampling_ms:g} Start(ms): %d ClassCount: {len(model)} {tail}\n", F.col("segment"), F.size("d"), ((F.col("d")[0]["start_frame"] - 1) * sampling_ms).cast("long")), F.array_join(F.transform("d", line), "\n"), F.lit("\n"))
     seg = each.withColumn("text", text)
     return seg.groupBy("dataset").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trace_id", "text"))), lambda r: r["text"]), "").alias("value"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumatrace.functions import seq
-from lumatrace.operators import combine, correct, dwell, fits, pixels, project, select, states, stats
+from lumatrace.operators import combine, correct, dwell, fits, kernels, pixels, project, select, states, stats
 from lumatrace.operators.kernels import Model, forward_backward, segmental_kmeans, usable, viterbi
 from lumatrace.plans import pipelines, registry
 from lumatrace.schema import KEYS
@@ -431,3 +431,54 @@ def test_donor_alive_and_ensemble_model(spark):
     two = points(spark, {i: [0.2] * 40 + [0.7] * 40 for i in range(3)}).withColumn("fret", F.col("fret") + F.rand(1) * 0.02 - 0.01)
     model = {r.state: r.mu for r in states.ensemble_model(states.fit_each(two, Model.of([0.3, 0.6], 0.1))).collect()}
     assert abs(model[1] - 0.2) < 0.01 and abs(model[2] - 0.7) < 0.01
+
+
+def test_kernels_over_many_traces():
+    """Batches of traces of all lengths give what each gives alone; joint sums are the sums of each."""
+    rng = np.random.default_rng(11)
+    xs = [np.where(rng.random(n) < 0.5, 0.2, 0.7) + rng.normal(0, 0.1, n) for n in (0, 1, 2, 5, 6, 40, 40, 300)] + [np.zeros(9)]
+    xs.append(np.concatenate([xs[5], np.zeros(7)]))
+    m = Model.of([0.0, 0.3, 0.7], 0.1)
+    for (many, ll), x in zip(kernels.viterbi_all(xs, m), xs, strict=True):
+        alone, own = kernels.viterbi(x, m)
+        assert (many == alone).all() and (ll == own or (np.isnan(ll) and np.isnan(own)))
+    for (many, model, ll), x in zip(kernels.segmental_kmeans_all(xs, m), xs, strict=True):
+        alone, own, best = kernels.segmental_kmeans(x, m)
+        assert (many == alone).all() and np.allclose(model.mu, own.mu) and np.allclose(model.a, own.a) and (ll == best or np.isnan(best))
+    each = [r for r in (kernels.forward_backward(x, m) for x in xs) if r is not None]
+    total = kernels.forward_backward_all(xs, m)
+    assert len(each) == 5 and all(np.allclose(total[k], sum(r[k] for r in each)) for k in total)
+    assert kernels.forward_backward_all([], m) is None and kernels.viterbi_all([], m) == []
+
+
+def test_ranks(spark, monkeypatch):
+    """Percentiles equal Spark's in small and large groups, null, empty and tied ones; numbers run through blocks."""
+    from lumatrace.functions import ranks
+
+    monkeypatch.setattr(ranks, "ACCURACY", 500)
+    monkeypatch.setattr(ranks, "BLOCK", 100)
+    v = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 5 == 0, 7.5).otherwise(F.round(F.randn(3) * 50, 2))
+    df = spark.range(0, 20_000, 1, 4).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), v.alias("v"))
+    df = df.unionByName(spark.createDataFrame([("one", 5.0), ("none", None), (None, 1.0), (None, 2.0)], "g string, v double")).persist()
+    for q in (0.0, 0.05, 0.5, 0.75, 0.99, 1.0):
+        want = {r.g: r[1:] for r in df.groupBy("g").agg(F.percentile("v", q), F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)")).collect()}
+        got = {r.g: r.x for r in ranks.percentile(df, ["g"], "v", q, "x").collect()}
+        first = {r.g: r.x for r in ranks.percentile(df, ["g"], "v", q, "x", discrete=True).collect()}
+        assert got.keys() == want.keys() and first == {g: w[1] for g, w in want.items()}
+        assert all(got[g] == pytest.approx(w[0], abs=1e-9) for g, w in want.items() if w[0] is not None) and got["none"] is None
+    assert ranks.percentile(df, [], "v", 0.5, "x").first().x == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])
+    assert ranks.percentile(df.filter("false"), ["g"], "v", 0.5, "x").collect() == []
+    ids = spark.range(0, 3000).select(F.lit("d").alias("dataset"), (F.col("id") * 7 - 500).alias("trace_id")).union(spark.createDataFrame([("e", None), ("e", 4), (None, 9)], "dataset string, trace_id long"))
+    n = ranks.numbered(ids, ["dataset"], "trace_id", "n")
+    assert n.columns == ["dataset", "trace_id", "n"] and n.filter("dataset = 'd'").filter("n = (trace_id + 500) / 7 + 1").count() == 3000
+    assert {(r.dataset, r.trace_id, r.n) for r in n.filter("dataset is null or dataset = 'e'").collect()} == {("e", None, 1), ("e", 4, 2), (None, 9, 1)}
+
+
+def test_files_of_bounded_size(spark, tmp_path):
+    rows = [("d", t, f, 40.0 * (f - 1), 1.0 * t, 2.0, 0.5) for t in (3, 5, 9, 11, 20) for f in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "dataset string, trace_id long, frame int, time_ms double, donor double, acceptor double, fret double")
+    parts = {r.dataset: files.decode_traces(bytes(r.content))[1]["donor"][:, 0].tolist() for r in files.export_traces(df, most=2).collect()}
+    assert parts == {"d": [3, 5], "d-2": [9, 11], "d-3": [20]}
+    d = dwell.to_dwells(idl(spark, {1: [1, 1, 2], 2: [3, 1], 7: [2]}))
+    text = {r.dataset: r.value for r in files.dwell_text(d, [(0.0, 0.1), (0.4, 0.1), (0.7, 0.1)], 40.0, most=2).collect()}
+    assert len(text) == 2 and [t.count("Segment: 1 ") for t in text.values()] == [1, 1] and sorted(t.count("Segment:") for t in text.values()) == [1, 2]
