@@ -11,13 +11,18 @@ from lumatrace.operators.dwell import to_dwells
 from lumatrace.schema import KEYS
 
 
+def contour_counts(points: DataFrame, low: float = -0.1, step: float = 0.03, bins: int = 44, offset: int = 0) -> DataFrame:
+    """Traces in each fret bin by frame, no fret counting as 0: (dataset, frame, bin, n)."""
+    fret = F.round(F.coalesce("fret", F.lit(0.0)), 6)
+    return points.filter(F.col("frame") > offset).groupBy("dataset", (F.col("frame") - offset).alias("frame"), seq.bin_of(fret, low, step, bins).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def contour(points: DataFrame, low: float = -0.1, step: float = 0.03, bins: int = 44, offset: int = 0, remove_bleached: bool = False) -> DataFrame:
     """Share of traces in each fret bin by frame: (dataset, frame, bin, share); bins without traces have no row.
 
     remove_bleached: bins up to fret 0.15 are left out and each frame sums to 1.
     """
-    part = points.filter(F.col("frame") > offset)
-    n = part.groupBy("dataset", (F.col("frame") - offset).alias("frame"), seq.bin_of(F.round(F.coalesce("fret", F.lit(0.0)), 6), low, step, bins).alias("bin")).agg(F.count("*").alias("n"))
+    n = contour_counts(points, low, step, bins, offset)
     if remove_bleached:
         n = n.filter(F.round(low + (F.col("bin") - 1) * step, 9) > 0.15)
         return n.select("dataset", "frame", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("dataset", "frame"))).alias("share"))
@@ -32,10 +37,16 @@ def display_contour(c: DataFrame, length: int) -> DataFrame:
     return c.filter(whole).groupBy("dataset", (F.floor((F.col("frame") - 1) / f) + 1).cast("int").alias("group"), "bin").agg((F.sum("share") / f).alias("share"))
 
 
+def histogram_counts(points: DataFrame, by: list[str] | None = None, frames: int = 50, low: float = -0.2, step: float = 0.03, bins: int = 47) -> DataFrame:
+    """First frames with fret in each fret bin: (by, bin, n)."""
+    part = points.filter((F.col("frame") <= frames) & (F.col("fret") != 0))
+    return part.groupBy(*(by or ["dataset"]), seq.bin_of(F.round("fret", 6), low, step, bins).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def fret_histogram(points: DataFrame, by: list[str] | None = None, frames: int = 50, low: float = -0.2, step: float = 0.03, bins: int = 47) -> DataFrame:
     """fret of frames with fret, first frames only, in percent: (by, bin, percent)."""
     by = by or ["dataset"]
-    n = points.filter((F.col("frame") <= frames) & (F.col("fret") != 0)).groupBy(*by, seq.bin_of(F.round("fret", 6), low, step, bins).alias("bin")).agg(F.count("*").alias("n"))
+    n = histogram_counts(points, by, frames, low, step, bins)
     return n.select(*by, "bin", (100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by))).alias("percent"))
 
 

@@ -147,10 +147,18 @@ def printed_spots(places: DataFrame, nx: float, ny: float, k: float = 1.9) -> Da
     return df.join(F.broadcast(m), ["dataset", "quadrant"]).filter(far < k**2).drop("mx", "my", "sx", "sy")
 
 
-def in_circles(places: DataFrame, circles: DataFrame) -> DataFrame:
-    """Places within a circle (quadrant, cx, cy, r); circles are one or a few for each quadrant."""
+def in_circles(places: DataFrame, circles: DataFrame, cell: float = 256.0) -> DataFrame:
+    """Places within a circle (quadrant, cx, cy, r), or only those of its dataset if circles name it.
+
+    They meet through grid cells: a circle is sent to those that it may reach, a place to its own.
+    """
+    by = ["dataset"] if "dataset" in circles.columns else []
+    at = lambda x: F.floor(x / cell).cast("long")
+    reach = lambda c: F.explode(F.sequence(at(F.col(c) - F.col("r")), at(F.col(c) + F.col("r"))))
+    spread = circles.withColumn("__gx", reach("cx")).withColumn("__gy", reach("cy"))
     hit = F.hypot(F.col("donor_x") - F.col("cx"), F.col("donor_y") - F.col("cy")) <= F.col("r")
-    return places.join(F.broadcast(circles), hit).drop("cx", "cy", "r")
+    own = places.withColumn("__gx", at(F.col("donor_x"))).withColumn("__gy", at(F.col("donor_y")))
+    return own.join(spread, [*by, "__gx", "__gy"]).filter(hit).drop("cx", "cy", "r", "__gx", "__gy")
 
 
 def without(traces: DataFrame, picked: DataFrame) -> DataFrame:

@@ -482,3 +482,31 @@ def test_files_of_bounded_size(spark, tmp_path):
     d = dwell.to_dwells(idl(spark, {1: [1, 1, 2], 2: [3, 1], 7: [2]}))
     text = {r.dataset: r.value for r in files.dwell_text(d, [(0.0, 0.1), (0.4, 0.1), (0.7, 0.1)], 40.0, most=2).collect()}
     assert len(text) == 2 and [t.count("Segment: 1 ") for t in text.values()] == [1, 1] and sorted(t.count("Segment:") for t in text.values()) == [1, 2]
+
+
+def test_streamed_summary_adds_up_over_batches(spark, tmp_path):
+    """A dataset in three files, taken one file a batch, gives the contour and histogram of the whole."""
+    from lumatrace.operators import ensemble
+
+    rows = [("d" if t < 7 else "e", t, f, 0.1 * ((t + f) % 9)) for t in range(10) for f in range(1, 6)]
+    df = spark.createDataFrame(rows, "dataset string, trace_id long, frame int, fret double")
+    for i in range(3):
+        df.filter(F.col("trace_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    ingest.auto_summary(spark, str(tmp_path / "in"), df.schema, out, str(tmp_path / "ck"), None, files_a_batch=1).awaitTermination(120)
+    got = ingest.summary_so_far(spark, out)
+    for name, want in (("contour", ensemble.contour(df)), ("histogram", ensemble.fret_histogram(df))):
+        rounded = [{tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()} for t in (got[name], want)]
+        assert rounded[0] == rounded[1] and rounded[0]
+    assert spark.read.parquet(f"{out}/traces").select("batch").distinct().count() == 3
+
+
+def test_in_circles(spark):
+    places = spark.createDataFrame([("d", 1, 10.0, 10.0), ("d", 2, 300.0, 10.0), ("e", 1, -40.0, 5.0), ("d", 3, 900.0, 900.0), ("d", 4, None, 1.0)], "dataset string, trace_id long, donor_x double, donor_y double")
+    circles = [("A", 0.0, 0.0, 290.0), ("B", 290.0, 0.0, 300.0)]
+    shape = "quadrant string, cx double, cy double, r double"
+    got = select.in_circles(places, spark.createDataFrame(circles, shape))
+    assert got.columns == ["dataset", "trace_id", "donor_x", "donor_y", "quadrant"]
+    assert {(r.dataset, r.trace_id, r.quadrant) for r in got.collect()} == {("d", 1, "A"), ("e", 1, "A"), ("d", 1, "B"), ("d", 2, "B")}
+    own = select.in_circles(places, spark.createDataFrame([("e", *circles[0])], "dataset string, " + shape))
+    assert [(r.dataset, r.trace_id) for r in own.collect()] == [("e", 1)]
