@@ -510,3 +510,33 @@ def test_in_circles(spark):
     assert {(r.dataset, r.trace_id, r.quadrant) for r in got.collect()} == {("d", 1, "A"), ("e", 1, "A"), ("d", 1, "B"), ("d", 2, "B")}
     own = select.in_circles(places, spark.createDataFrame([("e", *circles[0])], "dataset string, " + shape))
     assert [(r.dataset, r.trace_id) for r in own.collect()] == [("e", 1)]
+
+
+def test_streamed_extraction_equals_a_batch_one(spark, tmp_path):
+    """Two movies, a file each: streaming writes what extraction gives for each movie; a second run adds nothing."""
+    shape = "movie string, frame int, channel int, y int, x int, intensity double"
+    whole = []
+    for name, peak in (("m", 100.0), ("k", 70.0)):
+        lit = {(4, 4): lambda f, p=peak: p if f < 40 else 10.0, (13, 4): lambda f: 60.0 if f < 30 else 10.0}
+        rows = [(name, f, 1 if x < 9 else 2, y, x, float(lit[x, y](f)) if (x, y) in lit else 10.0 + (x + y + f) % 2) for f in range(1, 61) for y in range(9) for x in range(18)]
+        whole.append(spark.createDataFrame(rows, shape))
+        whole[-1].coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        ingest.auto_extract(spark, str(tmp_path / "in"), whole[0].schema, out, str(tmp_path / "ck"), 50.0, None).awaitTermination(120)
+    want = pipelines.extract_traces(whole[0].union(whole[1]), 50.0)
+    got = spark.read.parquet(out).select(*want.columns)
+    assert want.select(*KEYS).distinct().count() == 2 and want.count() == got.count()
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_dye_diagnostics(spark):
+    """Five of six traces lie in the field's middle; each is lit for 120 of 200 frames of 40 ms."""
+    df = _bright(spark)
+    places = spark.createDataFrame([("d", i, *((1000.0, 1000.0) if i == 0 else (500.0, 450.0))) for i in range(6)], "dataset string, trace_id long, donor_x double, donor_y double")
+    got = pipelines.dye_diagnostics(df, places, 40.0).collect()
+    assert len(got) == 1
+    r = got[0]
+    lit = df.filter("trace_id > 0 and frame <= 120").agg(F.sum(F.col("donor") + F.col("acceptor"))).first()[0] / 5
+    assert r.mean_on == pytest.approx(4.8, rel=0.02) and r.total_on == pytest.approx(4.8, rel=0.02) and r.mean_off == pytest.approx(3.2, rel=0.03)
+    assert r.percent_on == pytest.approx(60, rel=0.02) and r.photons == pytest.approx(lit, rel=0.02)
