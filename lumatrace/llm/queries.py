@@ -17,8 +17,11 @@ from lumatrace.llm.minhash import near_duplicates
 from lumatrace.llm.packing import pack
 from lumatrace.llm.pii import surrogate_text
 from lumatrace.llm.quality import score_quality
+from lumatrace.llm.secret_scan import BASE, TOKENS, secret_digests
+from lumatrace.llm.token_align import alignment_digests
 from lumatrace.llm.token_counts import count_tokens
 from lumatrace.llm.url_filter import judge_urls
+from lumatrace.llm.whitening import whiten
 
 #: Stands in for a secret that a real run reads from its own key store.
 PII_KEY = b"example key: replace in production"
@@ -67,12 +70,45 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _secret_sql() -> str:
+    """Places of matches are lengths of what lies before: the parts between matches, and the matches themselves."""
+    rules = [(i, rule) for i, rule in enumerate((*BASE.rules, *TOKENS.rules))]
+    parts = []
+    for i, rule in rules:
+        pattern = rule.pattern.replace("[0-9a-f]+", "[0-9a-f]{16,}").replace("'", "''")  # short runs of hex digits hide no others
+        parts.append(f"""SELECT r, {i} AS k, '{rule.kind}' AS kind, m, list_transform(s, lambda x: length(x)) AS gaps, {rule.least} AS least, list_transform(m, lambda x: length(regexp_extract(x, '{pattern}', {rule.group}))) AS sizes
+            FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS s FROM d) WHERE len(m) > 0""")
+    told = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), hit AS ({' UNION ALL '.join(parts)}),
+            each AS (SELECT r, k, kind, gaps, m, sizes, least, unnest(range(1, len(m) + 1)) AS i FROM hit),
+            span AS (SELECT r, k, kind, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM each WHERE sizes[i] >= least),
+            f AS (SELECT r, k, kind, a, a + n AS b FROM span),
+            doc AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                    coalesce({told} FILTER (k < {len(BASE.rules)}), '') AS base, {told} AS spans FROM f GROUP BY r)
+            SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+            FROM d LEFT JOIN doc USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_lm_scores, op6_url_filter, op7_embedding_near_dedup, op8_pii_surrogates, op9_quality_votes, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_lm_scores, op6_url_filter, op7_embedding_near_dedup, op8_pii_surrogates, op9_quality_votes, op10_minhash_near_dedup, op11_secret_ledger, op12_embedding_whitening, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_secret_ledger": _secret_sql(),
         "op4_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
