@@ -367,13 +367,14 @@ def _audit(reps: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
     return truth, truth.count()
 
 
-def _descent(reps: DataFrame, means: Means, recall: float) -> tuple[DataFrame, float]:
-    """Pairs (u, w), u < w, of balls that may hold a link, by NN-descent, and the share of the audit's pairs among them.
+def _descent(reps: DataFrame, means: Means, recall: float) -> tuple[DataFrame, float | None]:
+    """Pairs (u, w), u < w, of balls that may hold a link, by NN-descent, and the share of the audit's pairs among them: None where
+    that is no measure, as pairs were still gained when rounds ended, or the audit saw none.
 
     Buckets of random planes give every ball a first list of neighbours. In each round the neighbours of every ball, in
     either direction, meet there and enter each other's lists where they are closer than what those hold. A list is
     saturated when all its entries may link: it then grows to hold all that may. Rounds end when the audit is content and
-    nothing is gained any more, after MOST_ROUNDS, or once there are more than DENSE pairs a ball that may link.
+    nothing is gained any more; after MOST_ROUNDS, or once there are more than DENSE pairs a ball that may link, they end unsettled.
     """
     spark, n = reps.sparkSession, reps.count()
     bits, shards = max(1, min(39, _bits(n) - 1)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 2000)
@@ -385,7 +386,7 @@ def _descent(reps: DataFrame, means: Means, recall: float) -> tuple[DataFrame, f
         keyed = nodes.mapInArrow(_deal(tables, bits, means), "key long, rep long, reach double, v binary")
         return keyed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards * 4))).groupBy("shard").applyInArrow(_blocks, _EDGE)
 
-    graph, last, found = materialize(_best(dealt(list(range(1, TABLES + 1)))), "graph"), -1, 0
+    graph, last, found, settled = materialize(_best(dealt(list(range(1, TABLES + 1)))), "graph"), -1, 0, False
     for number in range(MOST_ROUNDS):
         more = graph.select("u", "w", "c", "near").union(_round(graph, short, number, shards))
         if number > 1:  # the audit was not content with descent alone: new tables
@@ -394,11 +395,14 @@ def _descent(reps: DataFrame, means: Means, recall: float) -> tuple[DataFrame, f
         pairs = graph.filter("near").select("u", "w")
         now = pairs.count()
         found = truth.join(pairs.union(pairs.select("w", "u")).distinct(), ["u", "w"], "left_semi").count()
-        if (found >= recall * wanted and now <= 1.001 * last + 2) or now > DENSE * n:
+        settled = found >= recall * wanted and now <= last
+        if settled or now > DENSE * n:
             break
         last = now
     pairs = pairs.union(truth).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
-    return materialize(pairs, "descent"), found / wanted if wanted else 1.0
+    if n <= AUDIT_ROWS:  # the audit has compared every ball with all others: its pairs are whole
+        return materialize(pairs, "descent"), 1.0
+    return materialize(pairs, "descent"), found / wanted if settled and wanted else None
 
 
 def _exhaustive(reps: DataFrame) -> DataFrame:
@@ -456,9 +460,9 @@ def _exact(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 
 def _search(reps: DataFrame, means: Means, recall: float) -> DataFrame:
-    """The pairs that descent finds; if it misses more of the audit's than `recall` allows, those that all cells hold."""
+    """The pairs that descent finds; if it misses more of the audit's than `recall` allows, or that is not known, those that all cells hold."""
     pairs, share = _descent(reps, means, recall)
-    return pairs if share >= recall else _exhaustive(reps)
+    return pairs if share is not None and share >= recall else _exhaustive(reps)
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 1.0) -> DataFrame:

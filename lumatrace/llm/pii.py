@@ -8,6 +8,7 @@ import hmac
 import re
 import sys
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ NAMES = {
 }
 TITLES = {"f": "Mrs Ms Miss Frau Señora Madame Mme Sra".split(), "m": "Mr Herr Señor Monsieur Sr".split(), "": "Dr Prof".split()}
 
+#: Originals whose surrogates are made anew after an audit, and passes over the texts, at most.
+MOST_FAULTS, MOST_PASSES = 10_000, 3
+
 #: Kind -> pattern; where two overlap the earlier kind wins. A group named v marks the part that is replaced.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
@@ -32,14 +36,14 @@ PATTERNS = {
     "token": r"(?<![A-Za-z0-9_])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|pk_live_|npm_|hf_|AIza)(?P<v>[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])",
     "jwt": r"(?<![A-Za-z0-9_.-])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])",
     "secret": r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9_\-./+]{8,})",
-    "email": r"(?<![\w.+-])(?P<v>[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w-])",
+    "email": r"(?<![\w.+-])(?P<v>[\w.+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?<![\w.])(?P<v>[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3})(?![\w])",
     "ssn": r"(?<![\w-])(?P<v>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])",
-    "phone": r"(?<![\w.])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![-/])[2-9][0-9]{2}(?P<gap>[-. ])[0-9]{3}(?P=gap)[0-9]{4}(?!-))(?![\w])",
-    "ipv4": r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?![\w]|\.[0-9])",
+    "phone": r"(?<![\w.])(?P<v>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![-/])[2-9][0-9]{2}(?P<gap>[-. ])[0-9]{3}(?P=gap)[0-9]{4}(?!-)|(?<![-/])0[1-9](?P<two>[-. ]?)[0-9]{2}(?P=two)[0-9]{2}(?P=two)[0-9]{2}(?P=two)[0-9]{2}(?!-)|(?<![-/])0[0-9]{2,4}[ /-][0-9]{5,8}(?!-))(?![\w])",
+    "ipv4": r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9]))(?![\w]|\.[0-9])",
     "ipv6": r"(?<![\w:.])(?P<v>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.[0-9])",
-    "name": r"(?<!\w)(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.? (?P<v>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)(?!\w)",
+    "name": r"(?<!\w)(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.? (?P<v>{0}(?: {0})?)(?!\w)".replace("{0}", r"[^\W\d_a-zа-я](?:[^\W\d_]|[-'’](?=[^\W\d_]))+"),
 }
 _FINDERS = [(kind, re.compile(p)) for kind, p in PATTERNS.items()]
 #: A text without any of these holds nothing that the patterns find.
@@ -84,7 +88,7 @@ def _checks(digits: str) -> bool:
 def _mentions(text: str, taken: list[tuple[int, int, str]]) -> list[str]:
     """Names found after titles, and their parts of two letters or more, longest first: what a bare mention may look like."""
     names = {text[a:b] for a, b, kind in taken if kind == "name"}
-    parts = {p for n in names for p in n.split(" ") if len(p) > 1}
+    parts = {p for n in names for p in re.split("[ -]", n) if len(p) > 1} | {p for n in names for p in n.split(" ") if len(p) > 1}
     return sorted(names | parts, key=lambda v: (-len(v), v))
 
 
@@ -93,6 +97,8 @@ _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _HEX_OF = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
 _GROUP_OF = {c: a for a in ("abcdef", "ABCDEF") for c in a}
 _OF = {c: a for a in _ALPHABETS for c in a}
+#: Names keep vowels and consonants apart, so that they stay speakable.
+_NAME_OF = {c: a for a in ("aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ") for c in a}
 #: Common letters of further scripts and languages, so that surrogates of usual words are made of usual letters.
 _COMMON = [
     "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏΪΫ", "ąćęłńśźżčďěňřšťůžğışőűășțāēģīķļņūėįųľĺŕđðþøæœß", "ĄĆĘŁŃŚŹŻČĎĚŇŘŠŤŮŽĞİŞŐŰĂȘȚĀĒĢĪĶĻŅŪĖĮŲĽĹŔĐÐÞØÆŒẞŸ", "ёіїєґў", "ЁІЇЄҐЎ",
@@ -128,8 +134,9 @@ _LISTED = {n: names for names in NAMES.values() for n in names}
 class Surrogates:
     """Keyed permutations: within one kind and format, different originals always get different surrogates."""
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, again: int = 0):
+        """again: how often an original's surrogate has been found at fault; each time has permutations of its own."""
+        self.key, self.again = key, f"~{again}" if again else ""
 
     def _stream(self, label: str, width: int) -> int:
         """`width` keyed pseudo-random bytes as a number: as many as a half needs, however long the value is."""
@@ -154,14 +161,14 @@ class Surrogates:
 
     def shaped(self, value: str, label: str) -> str:
         """Every letter and digit is replaced within its own alphabet; everything else, and the length, stays."""
-        own = {"hex": _HEX_OF, "ipv6": _GROUP_OF}.get(label, {})
+        own = {"hex": _HEX_OF, "ipv6": _GROUP_OF, "name": _NAME_OF}.get(label.split("~")[0], {})
         alphabets = [own.get(c) or _alphabet(c) for c in value]
         n, size = 0, 1
         for c, a in zip(value, alphabets, strict=True):
             if a:
                 n, size = n * len(a) + a.index(c), size * len(a)
         shape = "".join("." if not a else _SHAPES.get(a) or f"[{a[0]}]" for a in alphabets)
-        n = self._moved(n, size, f"{label}:{shape}")
+        n = self._moved(n, size, f"{label}{self.again}:{shape}")
         out = []
         for c, a in zip(reversed(value), reversed(alphabets), strict=True):
             if a:
@@ -198,12 +205,35 @@ class Surrogates:
 
     def name(self, value: str) -> str:
         """Each part by itself, so that a part alone gets the same surrogate: listed names in their list, others outside all lists."""
-        return " ".join(self._part(part) for part in value.split(" "))
+        return "".join(part if part in (" ", "-") else self._part(part) for part in re.split("([ -])", value))
+
+    def ipv4(self, value: str) -> str:
+        """Octets with zeros before them keep their width and theirs: addresses of one spelling are moved among themselves."""
+        octets = value.split(".")
+        if all(str(int(o)) == o for o in octets):
+            n = self._moved(int.from_bytes(bytes(map(int, octets)), "big"), 1 << 32, "ipv4" + self.again)
+            return ".".join(map(str, n.to_bytes(4, "big")))
+        # Two digits after a zero, one digit after a zero, or any plain octet.
+        sizes = [256 if str(int(o)) == o else 10 ** (len(o) - 1) for o in octets]
+        n = functools.reduce(lambda n, x: n * x[0] + int(x[1]), zip(sizes, octets, strict=True), 0)
+        shape = ".".join(str(len(o)) if size < 256 else "0" for o, size in zip(octets, sizes, strict=True))
+        n, out = self._moved(n, functools.reduce(lambda a, b: a * b, sizes), f"ipv4/{shape}{self.again}"), []
+        for o, size in zip(reversed(octets), reversed(sizes), strict=True):
+            n, k = divmod(n, size)
+            out.append(str(k) if size == 256 else str(k).zfill(len(o)))
+        return ".".join(reversed(out))
+
+    def outside_hex(self, value: str, label: str) -> str:
+        """Mixed secrets are walked on until they don't look like one of lower-case hex digits, whose surrogates stay such."""
+        out = self.shaped(value, label)
+        while re.fullmatch(r"[0-9a-f]+", out):
+            out = self.shaped(out, label)
+        return out
 
     def _part(self, part: str) -> str:
         if part in _LISTED:
             names = _LISTED[part]
-            return names[self._moved(names.index(part), len(names), "name" + names[0])]
+            return names[self._moved(names.index(part), len(names), "name" + names[0] + self.again)]
         out = self.shaped(part, "name")
         while out in _LISTED:  # walked on until outside the lists, which keeps the map a bijection
             out = self.shaped(out, "name")
@@ -215,8 +245,7 @@ class Surrogates:
             user, _, host = value.partition("@")
             return f"{self.shaped(user, 'email@' + host.lower())}@{host}"
         if kind == "ipv4":
-            n = self._moved(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, kind)
-            return ".".join(map(str, n.to_bytes(4, "big")))
+            return self.ipv4(value)
         if kind == "card":
             new = iter(self.card(re.sub(r"\D", "", value)))
             return "".join(next(new) if c.isdigit() else c for c in value)
@@ -228,8 +257,8 @@ class Surrogates:
         if kind == "private_key":
             head, foot = value.index("\n") if "\n" in value else value.index("-----", 5) + 5, value.rindex("-----END")
             return value[:head] + self.shaped(value[head:foot], kind) + value[foot:]
-        if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
-            return self.shaped(value, "hex")
+        if kind == "secret":
+            return self.shaped(value, "hex") if re.fullmatch(r"[0-9a-f]+", value) else self.outside_hex(value, kind)
         if kind == "jwt":  # the first letters of head and body say what it is: they stay
             return ".".join(p[:3] + self.shaped(p[3:], f"jwt{i}") if i < 2 else self.shaped(p, "jwt2") for i, p in enumerate(value.split(".")))
         return self.shaped(value, kind)
@@ -238,11 +267,14 @@ class Surrogates:
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
 
 
-def _replace(names: list[str], column: str, key: bytes):
-    """Rows with their texts replaced, the entities found (count, distinct triples) and whether the text differs."""
+def _replace(names: list[str], column: str, key: bytes, again: dict[tuple[str, str], int]):
+    """Rows with their texts replaced, the entities found (count, distinct triples) and whether the text differs.
+
+    again: (kind, original) -> which set of permutations it takes instead of the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key)
+        sets = {k: Surrogates(key, k) for k in {0, *again.values()}}
         for batch in batches:
             texts, counts, changed, entities = [], [], [], []
             for text in batch.column(column):
@@ -250,8 +282,9 @@ def _replace(names: list[str], column: str, key: bytes):
                 found = find(body) if body else []
                 out, at, own = [], 0, set()
                 for a, b, kind in found:
-                    new = made.of(kind, body[a:b])
-                    own.add(("name" if kind == "mention" else kind, body[a:b], new))
+                    named = "name" if kind == "mention" else kind
+                    new = sets[again.get((named, body[a:b]), 0)].of(kind, body[a:b])
+                    own.add((named, body[a:b], new))
                     out += [body[at:a], new]
                     at = b
                 texts.append("".join([*out, body[at:]]) if found else body)
@@ -264,12 +297,12 @@ def _replace(names: list[str], column: str, key: bytes):
     return run
 
 
-def _replaced(docs: DataFrame, key: bytes, column: str) -> DataFrame:
+def _replaced(docs: DataFrame, key: bytes, column: str, again: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """docs with columns c0, c1, ..., their text replaced, and __found, __changed, __entities."""
     inner = [f"c{i}" for i in range(len(docs.columns))]
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(inner, docs.schema.fields, strict=True))
     added = "__found long, __changed boolean, __entities array<struct<kind: string, original: string, surrogate: string>>"
-    return docs.toDF(*inner).mapInArrow(_replace(inner, inner[docs.columns.index(column)], key), f"{kinds}, {added}")
+    return docs.toDF(*inner).mapInArrow(_replace(inner, inner[docs.columns.index(column)], key, again or {}), f"{kinds}, {added}")
 
 
 def _distinct(replaced: DataFrame) -> DataFrame:
@@ -301,14 +334,22 @@ def surrogate_text(docs: DataFrame, key: bytes, column: str = "text", count: str
     by itself. Distinctness
     holds by construction, each kind and format being mapped by a permutation; with `check`, the replaced texts and what
     was found in them are written to the shared folder by one pass, and the distinct entities of the corpus are audited
-    by two aggregations: a collision, an entity left as it was or one with two surrogates raises ValueError. Nothing is
-    gathered but the first fault found.
+    by two aggregations. Originals at fault (two that share a surrogate, or one left as it was) take other permutations in
+    another pass, MOST_FAULTS at most and MOST_PASSES times; what faults are left then is warned of, never raised: texts
+    are replaced all the same. Nothing is gathered but such originals.
     """
-    out = _replaced(docs, key, column)
-    if check:
+    out, again = _replaced(docs, key, column), {}
+    for turn in range(1, MOST_PASSES + 1 if check else 1):
         out = materialize(out, "surrogates")
-        fault = collisions(_distinct(out)).limit(1).collect()
-        if fault:
-            raise ValueError(f"surrogates collide: {fault[0].asDict()}")
+        every = _distinct(out)
+        faults = collisions(every)
+        if faults.isEmpty():
+            break
+        at_fault = every.join(faults.select("kind", "surrogate").distinct(), ["kind", "surrogate"], "left_semi").select("kind", "original").distinct().limit(MOST_FAULTS).collect()
+        if turn == MOST_PASSES:
+            warnings.warn(f"surrogates of {len(at_fault)} originals or more are not distinct", stacklevel=2)
+            break
+        again |= {(r.kind, r.original): turn for r in at_fault}
+        out = _replaced(docs, key, column, again)
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return out.select(*kept, *([F.col("__found").alias(count)] if count else []), *([F.col("__changed").alias(changed)] if changed else []))
