@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,14 @@ def _same(a: list[Column], b: list[Column]) -> Column:
 def numbered(df: DataFrame, by: list[str], number: str, name: str) -> DataFrame:
     """df with `name`: 1, 2, ... by ascending `number` (whole numbers, one row each) within each group; null comes first.
 
-    A task numbers the ids of one stretch of BLOCK; what comes before a stretch is summed up over counts of stretches.
+    A task numbers the ids of one stretch; what comes before a stretch is summed up over counts of stretches. A group's
+    range of ids is cut evenly into as many stretches as it has BLOCKs of rows, so running and hashed ids fare alike.
     """
-    df = df.withColumn("__block", F.coalesce(F.floor(F.col(number) / BLOCK).cast("long"), F.lit(-(2**62))))
+    reach = df.groupBy(*by).agg(F.min(number).cast("double").alias("__low"), F.max(number).cast("double").alias("__high"), F.ceil(F.count("*") / BLOCK).alias("__parts"))
+    reach = reach.select(*[F.col(c).alias(f"__r_{c}") for c in by], "__low", F.greatest(F.lit(1.0), (F.col("__high") - F.col("__low")) / F.col("__parts")).alias("__width"))
+    df = df.join(reach, _same([F.col(c) for c in by], [F.col(f"__r_{c}") for c in by]))
+    stretch = F.floor((F.col(number).cast("double") - F.col("__low")) / F.col("__width")).cast("long")
+    df = df.withColumn("__block", F.coalesce(stretch, F.lit(-1))).drop("__low", "__width", *[f"__r_{c}" for c in by])
     counts = df.groupBy(*by, "__block").agg(F.count("*").alias("__many"))
     before = F.sum("__many").over(Window.partitionBy(*by).orderBy("__block")) - F.col("__many")
     starts = counts.select(*[F.col(c).alias(f"__s_{c}") for c in by], F.col("__block").alias("__s"), before.alias("__before"))
@@ -31,10 +37,11 @@ def numbered(df: DataFrame, by: list[str], number: str, name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) + F.col("__before")).drop("__block", "__s", "__before", *[f"__s_{c}" for c in by])
 
 
-def percentile(df: DataFrame, by: list[str], column: str, share: float, name: str, discrete: bool = False) -> DataFrame:
+def percentile(df: DataFrame, by: list[str], column: str, share: float, name: str, discrete: bool = False, rank: Callable[[Column], Column] | None = None) -> DataFrame:
     """(by, name): the exact percentile of each group's values that are not null, as F.percentile() gives it.
 
-    discrete: the first value with at least that share of the group at or below it. A mergeable sketch brackets the
+    discrete: the first value with at least that share of the group at or below it. rank: from the number of values the
+    place (from 0) of the value in order, which must be near share times it; null gives null. A mergeable sketch brackets the
     value; what is below the bracket is only counted, what is inside is counted by value, so that a window sees some
     8 / ACCURACY of a large group. Groups without a value get null; an empty table gives no rows.
     """
@@ -51,9 +58,9 @@ def percentile(df: DataFrame, by: list[str], column: str, share: float, name: st
     counts = inside.groupBy(*by, "__n", value.alias("__v")).agg(F.count(F.col("__v")).alias("__k"))
     upto = F.sum("__k").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("__v")))
     ranked = counts.withColumn("__upto", upto)
-    at = F.greatest(F.lit(1), F.ceil(F.round(F.col("__n") * share, 9))) - 1 if discrete else (F.col("__n") - 1) * share
+    at = rank(F.col("__n")) if rank else F.greatest(F.lit(1), F.ceil(F.round(F.col("__n") * share, 9))) - 1 if discrete else (F.col("__n") - 1) * share
     first = lambda rank: F.min(F.when(F.col("__v").isNotNull() & (F.col("__upto") > rank), F.col("__v")))
     found = ranked.groupBy(*by, "__n").agg(first(F.floor(at)).alias("__a"), first(F.ceil(at)).alias("__c"))
     part = at - F.floor(at)
     exact = F.when(F.col("__a").isNotNull() & F.col("__c").isNotNull(), F.when(F.col("__a") == F.col("__c"), F.col("__a")).otherwise((1 - part) * F.col("__a") + part * F.col("__c")))
-    return found.select(*by, F.when(F.col("__n") > 0, F.coalesce(exact, F.raise_error(F.lit("percentile: the sketch missed its bracket")).cast("double"))).alias(name))
+    return found.select(*by, F.when(F.col("__n") > 0, F.when(at.isNotNull(), F.coalesce(exact, F.raise_error(F.lit("percentile: the sketch missed its bracket")).cast("double")))).alias(name))

@@ -104,23 +104,37 @@ def sampling(df: DataFrame) -> DataFrame:
     return df.groupBy("dataset").agg((at(2) - at(1)).alias("sampling_ms"))
 
 
+def _lagged_sums(df: DataFrame, order: str, lags: int, **sums: Column) -> DataFrame:
+    """keys, n, the named sums and products: array over lags 0 .. lags of the sum of __b at i times __a at i + lag.
+
+    All lags are neighbours in one ordering of each trace: one exchange, no row is multiplied.
+    """
+    w = Window.partitionBy(*KEYS).orderBy(order)
+    wide = df.select("*", *(F.lead("__a", lag).over(w).alias(f"__a{lag}") for lag in range(1, lags + 1))).withColumn("__a0", F.col("__a"))
+    products = F.array(*(F.sum(F.col("__b") * F.col(f"__a{lag}")) for lag in range(lags + 1)))
+    return wide.groupBy(*KEYS).agg(F.count("*").alias("__n"), *(v.alias(k) for k, v in sums.items()), products.alias("products"))
+
+
+def _by_lag(sums: DataFrame, lags: int, norm: Column) -> DataFrame:
+    """(keys, lag, value): lags as far as each trace is long."""
+    reach = F.least(F.col("__n"), F.lit(lags + 1)).cast("int")
+    each = sums.select(*KEYS, norm.alias("__norm"), F.posexplode(F.slice("products", F.lit(1), reach)).alias("lag", "__s"))
+    return each.select(*KEYS, "lag", F.try_divide(F.col("__s"), F.col("__norm")).alias("value"))
+
+
 def autocovariance(df: DataFrame, order: str, c: str, lags: int) -> DataFrame:
-    """Biased autocovariance of each trace's sequence, divided by that at lag 0: (keys, lag, value)."""
-    centred = df.select(*KEYS, order, (F.col(c) - F.avg(c).over(whole())).alias("__x"))
-    shifted = centred.select(*KEYS, F.col(order).alias("__o"), F.col("__x").alias("__y"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")).withColumn(order, F.col("__o") - F.col("lag"))
-    sums = centred.join(shifted, [*KEYS, order]).groupBy(*KEYS, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("s"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(whole())
-    return sums.select(*KEYS, "lag", F.try_divide(F.col("s"), zero).alias("value"))
+    """Biased autocovariance of each trace's sequence (`order` counts it off), divided by that at lag 0: (keys, lag, value)."""
+    x = (F.col(c) - F.avg(c).over(whole())).alias("__a")
+    sums = _lagged_sums(df.select(*KEYS, order, x).withColumn("__b", F.col("__a")), order, lags)
+    return _by_lag(sums, lags, F.col("products")[0])
 
 
 def cross_correlation(df: DataFrame, a: str, b: str, lags: int) -> DataFrame:
-    """Correlation of a at i + lag with b at i over each trace's frames renumbered, for lags from 0: (keys, lag, value)."""
+    """Correlation of a at i + lag with b at i over each trace's frames in order, for lags from 0: (keys, lag, value)."""
     t = whole()
-    c = df.withColumn("__i", F.row_number().over(by_frame())).select(*KEYS, "__i", (F.col(a) - F.avg(a).over(t)).alias("__a"), (F.col(b) - F.avg(b).over(t)).alias("__b"))
-    norm = c.groupBy(*KEYS).agg(F.sqrt(F.sum(F.col("__a") ** 2) * F.sum(F.col("__b") ** 2)).alias("__norm"))
-    shifted = c.select(*KEYS, "__a", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), F.col("__i").alias("__j")).withColumn("__i", F.col("__j") - F.col("lag"))
-    sums = c.select(*KEYS, "__i", "__b").join(shifted, [*KEYS, "__i"]).groupBy(*KEYS, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("s"))
-    return sums.join(norm, KEYS).select(*KEYS, "lag", F.try_divide(F.col("s"), F.col("__norm")).alias("value"))
+    centred = df.select(*KEYS, "frame", (F.col(a) - F.avg(a).over(t)).alias("__a"), (F.col(b) - F.avg(b).over(t)).alias("__b"))
+    sums = _lagged_sums(centred, "frame", lags, aa=F.sum(F.col("__a") ** 2), bb=F.sum(F.col("__b") ** 2))
+    return _by_lag(sums, lags, F.sqrt(F.col("aa") * F.col("bb")))
 
 
 def nonlinear_filter(df: DataFrame, widths: tuple[int, ...] = (4, 8, 16, 32, 64), m: int = 10, p: int = 5) -> DataFrame:

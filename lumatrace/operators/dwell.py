@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,10 +164,21 @@ def autocovariance(dwells: DataFrame, state: int, lags: int = 49, least: int = 2
     return out.filter("n >= 3")
 
 
-def autocovariance_fit(curve: DataFrame) -> dict[str, tuple[float, float, float]]:
-    """dataset -> y0, a, k of y0 + a exp(-k (lag - 1)) through autocovariance()'s means, lag 0 aside; at most `lags` rows a dataset."""
-    rows = curve.filter("lag > 0").select("dataset", "lag", "mean").toPandas().sort_values("lag")
-    return {d: fits.decay_to_offset(g["lag"].to_numpy(float) - 1, g["mean"].to_numpy(float)) for d, g in rows.groupby("dataset")}
+def autocovariance_fit(curve: DataFrame, lags: int = 49) -> dict[str, tuple[float, float, float]]:
+    """dataset -> y0, a, k of y0 + a exp(-k lag) through autocovariance()'s means at lags 1 .. lags; at most `lags` rows a dataset.
+
+    Lags from the first that too few traces reach count as 0.
+    """
+    rows, out = curve.filter(F.col("lag").between(0, lags)).select("dataset", "lag", "mean").toPandas(), {}
+    for d, g in rows.groupby("dataset"):
+        known = dict(zip(g["lag"], g["mean"], strict=True))
+        y, open_ = np.zeros(lags), True
+        for lag in range(lags + 1):
+            open_ = open_ and lag in known
+            if open_ and lag:
+                y[lag - 1] = known[lag]
+        out[d] = fits.decay_to_offset(np.arange(1.0, lags + 1), y)
+    return out
 
 
 def transition_counts(idl: DataFrame, by: list[str]) -> DataFrame:
@@ -283,6 +295,62 @@ def time_to_state(dwells: DataFrame, n_traces: DataFrame, state: int = 3, second
     return n.select("dataset", "start_frame", (F.sum("k").over(Window.partitionBy("dataset").orderBy("start_frame")) / F.col("n_traces")).alias("reached"))
 
 
+def time_to_state_curve(dwells: DataFrame, n_traces: DataFrame, state: int = 3, seconds: float = 1.0, sampling_ms: float = 40.0, until: float = 120.0) -> DataFrame:
+    """time_to_state() on a grid: (dataset, frame, seconds, reached) for every frame from 0 to `until` seconds.
+
+    frame 0 is the recording's first. Starts beyond the grid count at its last place, as a histogram's end bin has it; datasets
+    in which no trace reaches the state have zeros.
+    """
+    last = int(round(until * 1000 / sampling_ms))
+    first = dwells.filter((F.col("state") == state) & (F.col("n_frames") * sampling_ms / 1000 >= seconds)).groupBy(*KEYS).agg(F.min("start_frame").alias("start_frame"))
+    n = first.groupBy("dataset", F.least(F.lit(last), F.col("start_frame") - 1).cast("int").alias("frame")).agg(F.count("*").alias("k"))
+    grid = n_traces.select("dataset", "n_traces", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("frame"))
+    so_far = F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy("dataset").orderBy("frame"))
+    return grid.join(n, ["dataset", "frame"], "left").select("dataset", "frame", (F.col("frame") * sampling_ms / 1000).alias("seconds"), (so_far / F.col("n_traces")).alias("reached"))
+
+
+def log_rate_histogram(dwells: DataFrame, sampling_ms: float, least: int = 4, low: float = -3.0, step: float = 0.3, bins: int = 27) -> DataFrame:
+    """Natural logarithms of per-trace rates of each transition, as shares: (dataset, src, dst, bin, center, share, n_traces).
+
+    Bins are centred on low, low + step, ...; the end bins take what lies beyond. Traces with fewer than `least` transitions of
+    the kind are left out.
+    """
+    w = Window.partitionBy(*KEYS).orderBy("dwell_no")
+    n = dwells.withColumn("dst", F.lead("state").over(w)).filter("dst is not null").groupBy(*KEYS, F.col("state").alias("src"), "dst").agg(F.count("*").alias("m"))
+    own = rates(dwells, sampling_ms, KEYS).join(n, [*KEYS, "src", "dst"]).filter((F.col("m") >= least) & (F.col("k") > 0))
+    counted = own.groupBy("dataset", "src", "dst", seq.bin_of(F.round(F.log("k"), 9), low, step, bins).alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("dataset", "src", "dst"))
+    return counted.select("dataset", "src", "dst", "bin", F.round(low + step * (F.col("bin") - 1), 9).alias("center"), (F.col("n") / total).alias("share"), total.alias("n_traces"))
+
+
+def rate_peaks(histogram: DataFrame, low: float = -3.0, step: float = 0.3, bins: int = 27) -> DataFrame:
+    """Peak of each log-rate histogram by a Gaussian fitted to it: (dataset, src, dst, k, spread, n_traces).
+
+    k = exp(centre), spread = exp(width); empty bins count as zeros. All histograms are fitted by the tasks that hold them.
+    """
+    by = ["dataset", "src", "dst"]
+    peaks = fits.gaussian_fits(histogram, by, "bin", "share", low, step, bins)
+    n = histogram.groupBy(*by).agg(F.max("n_traces").alias("n_traces"))
+    return peaks.join(n, by).select(*by, F.exp("center").alias("k"), F.exp("width").alias("spread"), "n_traces")
+
+
+def waiting_curve(dwells: DataFrame, frames: int = 100) -> DataFrame:
+    """Of each kind of transition, how many of the dwells before it last longer than 0, 1, ... frames: (dataset, src, dst, frame, left)."""
+    by = ["dataset", "src", "dst"]
+    w = Window.partitionBy(*KEYS).orderBy("dwell_no")
+    d = dwells.withColumn("dst", F.lead("state").over(w)).filter("dst is not null").withColumnRenamed("state", "src")
+    n = d.groupBy(*by, F.least(F.col("n_frames"), F.lit(frames)).alias("frame")).agg(F.count("*").alias("k"))
+    grid = n.groupBy(*by).agg(F.sum("k").alias("total")).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
+    ended = F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy(*by).orderBy("frame"))
+    return grid.join(n, [*by, "frame"], "left").select(*by, "frame", (F.col("total") - ended).alias("left"))
+
+
+def waiting_fits(curve: DataFrame, sampling_ms: float) -> DataFrame:
+    """waiting_curve() as a exp(-k t), t in seconds: (dataset, src, dst, a, k, r2)."""
+    fitted = fits.exponential_fits(curve.withColumn("__t", F.col("frame") * sampling_ms / 1000), ["dataset", "src", "dst"], "__t", "left")
+    return fitted.select("dataset", "src", "dst", "a", F.try_divide(F.lit(1.0), F.col("tau")).alias("k"), "r2")
+
+
 def energy_landscape(rates: DataFrame, kelvin: float = 298.0) -> DataFrame:
     """Barrier of each transition in kJ/mol from its rate in 1/s: (dataset, src, dst, barrier)."""
     gas, planck, boltzmann = _PHYSICS

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.functions import ranks, seq
-from lumatrace.operators import fits
+from lumatrace.operators import dwell, fits
 from lumatrace.operators.dwell import to_dwells
 from lumatrace.schema import KEYS
 
@@ -50,6 +50,28 @@ def fret_histogram(points: DataFrame, by: list[str] | None = None, frames: int =
     return n.select(*by, "bin", (100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by))).alias("percent"))
 
 
+def live_frames(points: DataFrame, idl: DataFrame, dark: int = 1) -> DataFrame:
+    """points with fret 0 where a state assignment has the dark state or none, as histograms leave such frames out."""
+    lit = points.join(idl.filter((F.col("state") > 0) & (F.col("state") != dark)).select(*KEYS, "frame", F.lit(True).alias("__lit")), [*KEYS, "frame"], "left")
+    return lit.withColumn("fret", F.when(F.col("__lit"), F.col("fret")).otherwise(0.0)).drop("__lit")
+
+
+def fret_histogram_with_errors(points: DataFrame, resamples: int = 100, frames: int = 50, low: float = -0.2, step: float = 0.03, bins: int = 47) -> DataFrame:
+    """fret_histogram() of each dataset with the standard deviation of each bin over resampled traces: (dataset, bin, percent, se).
+
+    Traces are drawn with replacement by dwell.bootstrap_draws(): each trace's own histogram is counted once and weighted, so
+    frames are not multiplied. Bins that a resample leaves empty count as 0 there.
+    """
+    own = histogram_counts(points, KEYS, frames, low, step, bins)
+    draws = dwell.bootstrap_draws(points.select(*KEYS).distinct(), resamples)
+    weighted = draws.select(*KEYS, "b", "w").join(own, KEYS).groupBy("dataset", "b", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("x"))
+    shares = weighted.select("dataset", "bin", "b", (100 * F.col("x") / F.sum("x").over(Window.partitionBy("dataset", "b"))).alias("p"))
+    # Resamples without the bin are zeros: the spread follows from sums and the number of resamples.
+    spread = shares.groupBy("dataset", "bin").agg(F.sum("p").alias("s1"), F.sum(F.col("p") ** 2).alias("s2"))
+    se = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") ** 2 / resamples) / (resamples - 1)))
+    return fret_histogram(points, ["dataset"], frames, low, step, bins).join(spread.select("dataset", "bin", se.alias("se")), ["dataset", "bin"], "left").withColumn("se", F.coalesce("se", F.lit(0.0)))
+
+
 def mean_fret_by_frame(points: DataFrame, low: float = 0.175, high: float = 1.2, frames: int = 300) -> DataFrame:
     return points.filter((F.col("fret") >= low) & (F.col("fret") < high) & (F.col("frame") <= frames)).groupBy("dataset", "frame").agg(F.avg("fret").alias("mean_fret"))
 

@@ -81,3 +81,56 @@ def exponential_fits(curve: DataFrame, by: list[str], x: str, y: str) -> DataFra
 
     points = curve.select(*names, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).filter("__x is not null and __y is not null")
     return points.groupBy(*names).applyInArrow(fit, schema)
+
+
+def gaussian(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
+    """a, b and c > 0 of the least-squares a exp(-((x - b) / c) ** 2), by damped Gauss-Newton steps from the curve's moments.
+
+    Steps that do not lower the loss are damped more; fewer than three values above zero fix no curve (nan).
+    """
+    total = y.sum()
+    if (y > 0).sum() < 3 or total <= 0:
+        return np.nan, np.nan, np.nan
+    b = float(x @ y / total)
+    at = np.array([y.max(), b, max(np.sqrt(2 * ((x - b) ** 2 @ y) / total), np.abs(np.diff(x)).min() / 2)])
+    value = lambda p: p[0] * np.exp(-(((x - p[1]) / p[2]) ** 2))
+    loss, damp = float(((y - value(at)) ** 2).sum()), 1e-3
+    for _ in range(rounds):
+        e = np.exp(-(((x - at[1]) / at[2]) ** 2))
+        jac = np.stack([e, at[0] * e * 2 * (x - at[1]) / at[2] ** 2, at[0] * e * 2 * (x - at[1]) ** 2 / at[2] ** 3], axis=1)
+        normal, right = jac.T @ jac, jac.T @ (y - at[0] * e)
+        while damp < 1e12:
+            step = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-300), right, rcond=None)[0]
+            new = at + step
+            new_loss = float(((y - value(new)) ** 2).sum()) if new[2] > 0 else np.inf
+            if new_loss <= loss:
+                break
+            damp *= 10
+        else:
+            break
+        done = np.abs(step).max() <= 1e-12 * np.abs(at).max()
+        at, loss, damp = new, new_loss, max(damp / 10, 1e-12)
+        if done:
+            break
+    return float(at[0]), float(at[1]), float(at[2])
+
+
+def gaussian_fits(histogram: DataFrame, by: list[str], bin: str, y: str, low: float, step: float, bins: int) -> DataFrame:
+    """Height, center and width of the Gaussian through each group's histogram (by, bin from 1, y): all groups at once.
+
+    Bins without a row count as zero. A group is one histogram: `bins` rows at most, never raw data. Groups whose histogram
+    has fewer than three filled bins get nulls.
+    """
+    fields = [f for f in histogram.schema.fields if f.name in by]
+    names = [f.name for f in fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", height double, center double, width double"
+    x = low + step * np.arange(bins)
+
+    def fit(table: pa.Table) -> pa.Table:
+        full = np.zeros(bins)
+        full[table.column("__bin").to_numpy() - 1] = table.column("__y").to_numpy()
+        values = [None if np.isnan(v) else v for v in gaussian(x, full)]
+        return pa.table([table.column(n).slice(0, 1) for n in names] + [pa.array([v], pa.float64()) for v in values], names=[*names, "height", "center", "width"])
+
+    points = histogram.select(*names, F.col(bin).cast("int").alias("__bin"), F.col(y).cast("double").alias("__y")).filter(F.col("__bin").between(1, bins) & F.col("__y").isNotNull())
+    return points.groupBy(*names).applyInArrow(fit, schema)

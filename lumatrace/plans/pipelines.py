@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumatrace.operators import combine, correct, dwell, ensemble, pixels, project, select, states, stats
+from lumatrace.operators import combine, correct, dwell, dyes, ensemble, fields, pixels, project, select, states, stats
 from lumatrace.operators.kernels import Model
 from lumatrace.schema import CRITERIA, KEYS
+from lumatrace.session import settle
 
 
 def select_traces(parts: list[DataFrame], criteria: dict[str, float | None] | None = None, name: str = "picked") -> tuple[DataFrame, DataFrame]:
@@ -50,6 +51,53 @@ def extract_traces(movies: DataFrame, threshold: float, crosstalk: float = 0.0,
     return project.fret_two(correct.rescale(clean, {("donor", "acceptor"): crosstalk}, {"acceptor": scale}))
 
 
+def extract_movies(movies: DataFrame, crosstalk: float = 0.0, scale: float = 1.0, frame_ms: float = 40.0, **how) -> dict[str, DataFrame]:
+    """Movies to corrected traces and their metadata, in one chain: `points`, `traces`, `quality`, `overlap`.
+
+    fields.extraction() (its parameters pass through), then the baseline after bleaching, crosstalk, scale and fret.
+    traces: dataset, trace_id, ids (`movie#molecule`), donor_x, donor_y, crosstalk, scale.
+    """
+    got = fields.extraction(movies, **how)
+    by_channel = lambda k: F.sum(F.when(F.col("channel") == k, F.col("value")))
+    raw = got["values"].groupBy(F.col("movie").alias("dataset"), F.col("mol_id").alias("trace_id"), "frame").agg(by_channel(1).alias("donor"), by_channel(2).alias("acceptor"))
+    raw = project.fret_two(raw.withColumn("time_ms", frame_ms * (F.col("frame") - 1)))
+    points = project.fret_two(correct.rescale(correct.subtract_background(raw), {("donor", "acceptor"): crosstalk}, {"acceptor": scale}))
+    kept = got["molecules"].filter("not rejected")
+    traces = kept.select(F.col("movie").alias("dataset"), F.col("mol_id").alias("trace_id"), F.concat_ws("#", "movie", "mol_id").alias("ids"), F.col("x").cast("double").alias("donor_x"), F.col("y").cast("double").alias("donor_y"), F.lit(crosstalk).alias("crosstalk"), F.lit(scale).alias("scale"))
+    return {"points": points, "traces": traces, "quality": got["quality"], "overlap": got["overlap"]}
+
+
+def dye_report(points: DataFrame, places: DataFrame, conditions: DataFrame, sampling_ms: float, model: Model | None = None, least_snr: float = 10.0) -> dict[str, DataFrame]:
+    """Dyes of each condition: `report` (condition, name, value, sd, files), `dwells` (condition, mean_on, mean_off), `light` (condition, frame, photons).
+
+    conditions: dataset, condition. Traces in the middle of their field, single dyes by dyes.single_dyes(), states of the total
+    over the condition's intensity by a two-state segmental k-means, steady ones only, the last dark dwell taken off. report
+    has intensity and snr (means over files of medians), total_on and photons (of means), each with its spread over files.
+    """
+    model = model or Model.of([0.0, 1.0], 0.2)
+    own = points.join(conditions.select("dataset", "condition"), "dataset")
+    inside = project.subset(own, select.center_quadrant(places))
+    every = stats.trace_stats(inside.drop("condition")).join(conditions.select("dataset", "condition"), "dataset")
+    chosen = settle(dyes.single_dyes(every, least_snr))
+    intensity = dyes.over_files(chosen.withColumn("x", F.col("t")), "median")
+    snr = dyes.over_files(chosen.withColumn("x", F.col("snr_s")), "median")
+    part = project.subset(inside, chosen).withColumn("total", F.col("donor") + F.col("acceptor"))
+    scaled = part.join(intensity.select("condition", F.col("value").alias("__level")), "condition").withColumn("x", F.try_divide("total", "__level")).drop("__level")
+    idl = states.states_of(states.fit_each(scaled, model, "x"))
+    runs = settle(dwell.to_dwells(idl))
+    switching = dyes.steady(dyes.transitions_of(runs).join(chosen.select("condition", *KEYS), KEYS))
+    kept = dyes.less_final_dark(runs.join(switching.select(*KEYS), KEYS, "left_semi"))
+    shine, light = dyes.shining(part.join(switching.select(*KEYS), KEYS, "left_semi"), kept, sampling_ms)
+    named = [("intensity", intensity), ("snr", snr), ("total_on", dyes.over_files(shine.withColumn("x", F.col("total_on")))), ("photons", dyes.over_files(shine.withColumn("x", F.col("photons"))))]
+    report = None
+    for name, df in named:
+        df = df.select("condition", F.lit(name).alias("name"), "value", "sd", "files")
+        report = df if report is None else report.unionByName(df)
+    seconds = F.col("n_frames") * sampling_ms / 1000
+    times = kept.join(conditions.select("dataset", "condition"), "dataset").groupBy("condition").agg(F.avg(F.when(F.col("state") == 2, seconds)).alias("mean_on"), F.avg(F.when(F.col("state") == 1, seconds)).alias("mean_off"))
+    return {"report": report, "dwells": times, "light": light}
+
+
 def delivery(points: DataFrame, criteria: dict[str, float | None], model: Model | None = None, threshold: float = 0.3, state: int = 2, least: int = 3, total: int = 50, sampling_ms: float = 40.0) -> dict[str, DataFrame]:
     """Pick, synchronise on the first fret, assign states, part productive from rejected events, and report both."""
     model = model or Model.of([0.0, 0.4, 0.7], 0.1)

@@ -739,3 +739,5 @@ def picked_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _bl(spark, sf_dir)
     picked = select.pick(stats.trace_stats(points), LOOSE)
     return rounded(ensemble.fret_histogram(points.join(picked.select(*KEYS), KEYS, "left_semi")))
+
+from lumatrace.plans import registry_analyses, registry_movies  # noqa: E402, F401  (they register their queries)

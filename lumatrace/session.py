@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -32,3 +32,10 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _SHIPPED.add(app)
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage: df written to a new folder that all executors share, and read again."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(f"{path}/t")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/t")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import uuid
@@ -25,12 +24,12 @@ POINTS = "dataset string, trace_id long, frame int, time_ms double, donor double
 _CHANNELS = {"donor": "donor", "acceptor": "acceptor", "acceptor2": "acceptor2", "acceptorDirect": "acceptor_direct", "factor": "factor", "fret": "fret", "fret2": "fret2", "stoichiometry": "stoichiometry"}
 
 
-def encode_traces(time: np.ndarray, channels: dict[str, np.ndarray]) -> bytes:
-    """One file: header, channel names, time axis, then each channel traces-first, single precision; no metadata page."""
+def encode_traces(time: np.ndarray, channels: dict[str, np.ndarray], page: bytes = b"\0") -> bytes:
+    """One file: header, channel names, time axis, then each channel traces-first, single precision, and the metadata page."""
     n, m = next(iter(channels.values())).shape
     names = SEPARATOR.join(channels).encode()
     head = struct.pack("<I4sHBBII", 0, MAGIC, VERSION, SINGLE, len(channels), n, m) + struct.pack("<I", len(names)) + names
-    return head + time.astype("<f4").tobytes() + b"".join(c.astype("<f4").tobytes(order="F") for c in channels.values()) + struct.pack("<B", 0)
+    return head + time.astype("<f4").tobytes() + b"".join(c.astype("<f4").tobytes(order="F") for c in channels.values()) + page
 
 
 def header(data: bytes) -> dict:
@@ -46,6 +45,11 @@ def header(data: bytes) -> dict:
 
 
 def decode_traces(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    return decode_all(data)[:2]
+
+
+def decode_all(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray], int]:
+    """Time axis, channels, and the place where the metadata page begins."""
     h = header(data)
     kind, n, m, at = np.dtype(h["type"]), h["n_traces"], h["n_frames"], h["at"]
     time = np.frombuffer(data, kind, m, at).astype(float)
@@ -54,10 +58,10 @@ def decode_traces(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     for name in h["channels"]:
         channels[name] = np.frombuffer(data, kind, n * m, at).reshape((n, m), order="F").astype(float)
         at += n * m * kind.itemsize
-    return time, channels
+    return time, channels, at
 
 
-def _point_rows(path: str, time: np.ndarray, channels: dict[str, np.ndarray], only: set[int] | None) -> Iterator[pd.DataFrame]:
+def point_rows(path: str, time: np.ndarray, channels: dict[str, np.ndarray], only: set[int] | None) -> Iterator[pd.DataFrame]:
     n, m = next(iter(channels.values())).shape
     for i in range(n):
         if only is None or i + 1 in only:
@@ -75,7 +79,7 @@ def read_traces(spark: SparkSession, path: str, only: list[int] | None = None, g
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, data in zip(f["path"], f["content"], strict=True):
-                yield from _point_rows(name, *decode_traces(bytes(data)), wanted)
+                yield from point_rows(name, *decode_traces(bytes(data)), wanted)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select("path", "content").mapInPandas(run, POINTS)
@@ -93,7 +97,7 @@ def size_catalog(spark: SparkSession, path: str, glob: str = "*.{traces,rawtrace
     return files.select("path", F.substring("content", 1, 65_536).alias("head")).mapInPandas(run, "path string, n_traces int, n_frames int, channels array<string>")
 
 
-def _filed(df: DataFrame, most: int) -> DataFrame:
+def filed(df: DataFrame, most: int) -> DataFrame:
     """df (keys, ...) with `segment`, its trace's number in its file: files hold at most `most` traces, the next are dataset-2, dataset-3, ..."""
     n = ranks.numbered(df.select(*KEYS).distinct(), ["dataset"], "trace_id", "__n")
     part, name = F.floor((F.col("__n") - 1) / most), F.col("dataset")
@@ -113,8 +117,8 @@ def export_traces(points: DataFrame, channels: tuple[str, ...] = ("donor", "acce
         data = encode_traces(f["time_ms"].to_numpy()[:m], {c: f[c].to_numpy(float).reshape(n, m) for c in channels})
         return pd.DataFrame({"dataset": [f["dataset"].iloc[0]], "content": [data]})
 
-    filed = _filed(points.select(*KEYS, "frame", "time_ms", *channels), most)
-    return filed.groupBy("dataset").applyInPandas(run, "dataset string, content binary")
+    parted = filed(points.select(*KEYS, "frame", "time_ms", *channels), most)
+    return parted.groupBy("dataset").applyInPandas(run, "dataset string, content binary")
 
 
 def read_legacy_text(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +130,7 @@ def read_legacy_text(spark: SparkSession, path: str) -> DataFrame:
     time = lines.filter("line = 0").select("dataset", F.col("x").alias("time"))
     kind = F.element_at(F.array(F.lit("donor"), F.lit("acceptor"), F.lit("fret")), ((F.col("line") - 1) % 3 + 1).cast("int"))
     rows = lines.filter("line > 0").select("dataset", (F.floor((F.col("line") - 1) / 3) + 1).cast("long").alias("trace_id"), kind.alias("kind"), "x")
-    wide = rows.groupBy(*KEYS).agg(*[F.max(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("donor", "acceptor", "fret")]).join(F.broadcast(time), "dataset")
+    wide = rows.groupBy(*KEYS).agg(*[F.max(F.when(F.col("kind") == k, F.col("x"))).alias(k) for k in ("donor", "acceptor", "fret")]).join(time, "dataset")
     zipped = F.arrays_zip("time", "donor", "acceptor", "fret")
     return wide.select(*KEYS, F.posexplode(zipped).alias("at", "v")).select(*KEYS, (F.col("at") + 1).alias("frame"), F.col("v.time").alias("time_ms"), "v.donor", "v.acceptor", "v.fret")
 
@@ -146,7 +150,7 @@ def dwell_text(dwells: DataFrame, model: list[tuple[float, float]], sampling_ms:
     if any(b[0] <= a[0] for a, b in zip(model, model[1:], strict=False)):
         warnings.warn("the model's means don't increase: state numbers may not follow fret", stacklevel=2)
     tail = " ".join(f"{m:g} {s:g}" for m, s in model)
-    each = _filed(dwells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dwell_no", "state", "start_frame", "n_frames"))).alias("d")), most)
+    each = filed(dwells.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("dwell_no", "state", "start_frame", "n_frames"))).alias("d")), most)
     line = lambda r: F.format_string("%d\t%d", r["state"] - 1, F.round(r["n_frames"] * sampling_ms).cast("long"))
     text = F.concat(F.format_string(f"Segment: %d Dwells: %d Sampling(ms): {sampling_ms:g} Start(ms): %d ClassCount: {len(model)} {tail}\n", F.col("segment"), F.size("d"), ((F.col("d")[0]["start_frame"] - 1) * sampling_ms).cast("long")), F.array_join(F.transform("d", line), "\n"), F.lit("\n"))
     seg = each.withColumn("text", text)
@@ -228,27 +232,27 @@ def write_plot_data(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def save_files(named: DataFrame, folder: str, extension: str) -> None:
-    """(dataset, content) -> one file each, written by the tasks into a folder that all executors mount."""
-    folder = re.sub("^file:(//)?", "", folder)
+    """(dataset, content) -> one file each, written by the tasks into a folder that all executors see.
+
+    The folder may be on any store that Arrow's file systems open by its scheme (hdfs, viewfs, s3, gs, ...; s3a counts as s3);
+    others are refused. Without a scheme, or with file:, it must be a folder that all executors mount.
+    """
 
     def put(rows: Iterator) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder)) if re.match("[a-z0-9]+:", folder) else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
         for r in rows:
-            target = os.path.join(folder, "".join(c if c.isalnum() or c in "-_." else "_" for c in r["dataset"]) + extension)
+            target = f"{root.rstrip('/')}/" + "".join(c if c.isalnum() or c in "-_." else "_" for c in r["dataset"]) + extension
             temporary = f"{target}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as f:
+            with store.open_output_stream(temporary) as f:
                 f.write(bytes(r["content"]))
-            os.replace(temporary, target)  # a task that runs twice leaves one whole file
+            store.move(temporary, target)  # a task that runs twice leaves one whole file
 
     named.select("dataset", "content").foreachPartition(put)
 
 
-def wide_text(points: DataFrame, columns: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
-    """One row for each frame, a column for each trace and channel, for one dataset of few traces."""
-    wide = points.groupBy("frame").pivot("trace_id").agg(*[F.first(c).alias(c) for c in columns])
-    return wide.orderBy("frame")
-
-
 def wide_blocks(points: DataFrame, block: int = 100, columns: tuple[str, ...] = ("donor", "acceptor", "fret")) -> DataFrame:
     """Wide text of any number of traces: a row for each range of `block` trace ids (part) and frame, a column for each of its traces.
 
