@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatrace.operators import combine, pixels
+from lumatrace.session import settle
 
 FIELD = ["movie", "channel"]
 
@@ -185,18 +186,21 @@ def extraction(movies: DataFrame, first: int = 10, size: int = 6, n_noise: float
     sums by frame less the background. With `baseline` each frame's own level is taken off, and of the background image only
     what differs from its mean.
     """
-    image = top_image(movies, first, size)
+    # An image and what is found in it are small beside the movie; each is read several times below, so each is made once.
+    image = settle(top_image(movies, first, size))
     limits = end_noise(movies).select("movie", (n_noise * F.col("noise")).alias("threshold")) if threshold is None else threshold
-    molecules = find_molecules(image, limits, half, edge, apart)
+    molecules = settle(find_molecules(image, limits, half, edge, apart))
     everywhere = in_channels(molecules, image)
-    peaks = everywhere.join(molecules.filter("not rejected").select("movie", "mol_id"), ["movie", "mol_id"], "left_semi").select("movie", "channel", "mol_id", "x", "y")
-    mask = background_mask(image, pixels.integration_windows(image, everywhere, half, n))
+    kept = molecules.filter("not rejected").select("movie", "mol_id")
+    windows = settle(pixels.integration_windows(image, everywhere, half, n))
+    mask = background_mask(image, windows)
     level = image.filter("background is not null").select(*FIELD, "y", "x", "background")
     if baseline:  # its level is in the frames' baselines already
         mean = level.join(mask, [*FIELD, "y", "x"], "left_semi").groupBy(*FIELD).agg(F.avg("background").alias("__mean"))
         level = level.join(mean, FIELD, "left").select(*FIELD, "y", "x", (F.col("background") - F.coalesce("__mean", F.lit(0.0))).alias("background"))
-    values = integrate_frames(movies, pixels.integration_windows(image, peaks, half, n), level, frame_baseline(movies, mask) if baseline else None, photons)
-    return {"values": values, "molecules": molecules, "quality": window_quality(image, peaks, half, n), "overlap": overlap_fraction(molecules), "mask": mask}
+    values = integrate_frames(movies, windows.join(kept, ["movie", "mol_id"], "left_semi"), level, frame_baseline(movies, mask) if baseline else None, photons)
+    quality = window_quality(image, everywhere.join(kept, ["movie", "mol_id"], "left_semi"), half, n)
+    return {"values": values, "molecules": molecules, "quality": quality, "overlap": overlap_fraction(molecules), "mask": mask}
 
 
 # --- regions and contrast -------------------------------------------------------------------------------------------

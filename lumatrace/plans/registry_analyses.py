@@ -128,13 +128,13 @@ def _with_metadata(s: SparkSession, d: str) -> DataFrame:
     path = f"{work_dir(s)}/traces"
     files.save_files(metadata.export_traces(points, _metadata_of(points)), path, ".traces")
     got = metadata.read_metadata(s, path)
-    return got.select(F.regexp_extract("dataset", r"([^/]+)\.traces$", 1).alias("dataset"), "scope", "trace_id", "field", "type", F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"), F.array_join(F.transform("numbers", lambda x: F.format_string("%.2f", x)), ",").alias("numbers"), "text")
+    return got.select(F.regexp_extract("dataset", r"([^/]+)\.traces$", 1).alias("dataset"), "scope", F.coalesce("trace_id", F.lit(0)).alias("trace_id"), "field", "type", F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"), F.array_join(F.transform("numbers", lambda x: F.format_string("%.2f", x)), ",").alias("numbers"), "text")
 
 
 register("a5_file_metadata", q(EXPORTED, """SELECT dataset, 'trace' AS scope, k AS trace_id, 'ids' AS field, 'char' AS type, '1x' || (length(CAST(trace_id AS VARCHAR)) + 1) AS dims, NULL AS numbers, 't' || trace_id AS text FROM ex WHERE frame = 1
 UNION ALL SELECT dataset, 'trace', k, 'donor_x', 'double', '1x1', printf('%.2f', trace_id * 0.5), NULL FROM ex WHERE frame = 1
 UNION ALL SELECT dataset, 'trace', k, 'fit.crosstalk', 'single', '2x2', '0.00,' || printf('%.2f', (trace_id % 4) * 0.25) || ',0.50,1.00', NULL FROM ex WHERE frame = 1
-UNION ALL SELECT DISTINCT dataset, 'file', NULL, 'wavelengths', 'uint16', '1x2', '532.00,640.00', NULL FROM ex"""))(_with_metadata)
+UNION ALL SELECT DISTINCT dataset, 'file', 0, 'wavelengths', 'uint16', '1x2', '532.00,640.00', NULL FROM ex"""))(_with_metadata)
 
 
 def _old_files(s: SparkSession, d: str) -> DataFrame:

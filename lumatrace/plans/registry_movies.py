@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumatrace.operators import alignment, fields, pixels, rings, select
 from lumatrace.plans.registry import IMG, register, rounded
 from lumatrace.plans.sql import EV, POS, q
+from lumatrace.session import settle
 from lumatrace.sources import adapters as A
 
 # The movies of the test tables have fields of 4 x 8 pixels: blocks of 2, surroundings of 3 x 3, windows of 4.
@@ -57,21 +58,28 @@ def _top(s: SparkSession, d: str) -> DataFrame:
     return fields.top_image(_movies(s, d), 10, SIZE)
 
 
-def _limits(s: SparkSession, d: str) -> DataFrame:
-    return fields.end_noise(_movies(s, d)).select("movie", (N_NOISE * F.col("noise")).alias("threshold"))
+def _found(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The image and its molecules, each made once."""
+    image = settle(_top(s, d))
+    limits = fields.end_noise(_movies(s, d)).select("movie", (N_NOISE * F.col("noise")).alias("threshold"))
+    return image, settle(fields.find_molecules(image, limits, HALF, 0, APART))
 
 
 def _molecules(s: SparkSession, d: str) -> DataFrame:
-    return fields.find_molecules(_top(s, d), _limits(s, d), HALF, 0, APART)
+    return _found(s, d)[1]
 
 
-def _good(s: SparkSession, d: str) -> DataFrame:
-    return fields.in_channels(_molecules(s, d).filter("not rejected"), _top(s, d))
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    image, molecules = _found(s, d)
+    return fields.window_quality(image, fields.in_channels(molecules.filter("not rejected"), image), HALF, N)
+
+
+def _mask_of(image: DataFrame, molecules: DataFrame) -> DataFrame:
+    return settle(fields.background_mask(image, pixels.integration_windows(image, fields.in_channels(molecules, image), HALF, N)))
 
 
 def _mask(s: SparkSession, d: str) -> DataFrame:
-    image = _top(s, d)
-    return fields.background_mask(image, pixels.integration_windows(image, fields.in_channels(_molecules(s, d), image), HALF, N))
+    return _mask_of(*_found(s, d))
 
 
 register("k3_background", q(TOP, "SELECT movie, channel, y, x, round(background, 4) AS background FROM bgd"))(lambda s, d: rounded(fields.background(pixels.stack_average(_movies(s, d)), SIZE), 4))
@@ -87,7 +95,7 @@ rt AS (SELECT movie, max(molecules) AS molecules, max(shared / molecules / {N})
 li0 AS (SELECT movie, mol_id, k, sum(v) AS v FROM g GROUP BY ALL), li1 AS (SELECT *, v - min(v) OVER (PARTITION BY movie, mol_id) AS u FROM li0),
 li2 AS (SELECT *, sum(u) OVER (PARTITION BY movie, mol_id ORDER BY k) / nullif(sum(u) OVER (PARTITION BY movie, mol_id), 0) AS f FROM li1),
 ea AS (SELECT movie, mol_id, max(f) FILTER (k = {N}) AS held, count(*) FILTER (f < 0.7) + 1 AS width FROM li2 GROUP BY ALL)
-SELECT movie, molecules, round(max(reused), 6) AS reused, round(max(saturated), 6) AS saturated, round(100 * avg(held), 6) AS efficiency, round(avg(width), 6) AS psf_width FROM rt JOIN ea USING (movie) GROUP BY movie, molecules""")(lambda s, d: fields.window_quality(_top(s, d), _good(s, d), HALF, N))
+SELECT movie, molecules, round(max(reused), 6) AS reused, round(max(saturated), 6) AS saturated, round(100 * avg(held), 6) AS efficiency, round(avg(width), 6) AS psf_width FROM rt JOIN ea USING (movie) GROUP BY movie, molecules""")(_quality)
 
 BASE = """sm AS (SELECT *, row_number() OVER (PARTITION BY movie, channel ORDER BY x, y) AS k FROM msk),
 bs AS (SELECT movie, channel, frame, avg(intensity) AS baseline FROM px JOIN sm USING (movie, channel, y, x) WHERE (k - 1) % 10 = 0 GROUP BY ALL)"""
@@ -98,9 +106,9 @@ register("k14_baseline_every_tenth_frame", q(MOL + ", " + BASE, "SELECT p.movie,
 
 
 def _values(s: SparkSession, d: str) -> DataFrame:
-    image, movies = _top(s, d), _movies(s, d)
-    windows = pixels.integration_windows(image, _good(s, d), HALF, N)
-    return fields.integrate_frames(movies, windows, image.select("movie", "channel", "y", "x", "background"), fields.frame_baseline(movies, _mask(s, d)), {1: 2.0, 2: 0.5})
+    movies, (image, molecules) = _movies(s, d), _found(s, d)
+    windows = pixels.integration_windows(image, fields.in_channels(molecules.filter("not rejected"), image), HALF, N)
+    return fields.integrate_frames(movies, windows, image.select("movie", "channel", "y", "x", "background"), fields.frame_baseline(movies, _mask_of(image, molecules)), {1: 2.0, 2: 0.5})
 
 
 register("k14_integrate_frames", "WITH " + MOL + ", " + BASE + f""", su AS (SELECT p.movie, p.channel, mol_id, p.frame, sum(intensity - coalesce(baseline, 0) - background) AS v FROM px p JOIN hd ON hd.movie = p.movie AND hd.channel = p.channel AND hd.x = p.x AND hd.y = p.y AND k <= {N} AND NOT rejected
@@ -132,7 +140,7 @@ def _shifted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 register("k9_align_movies", q(EV, """SELECT CAST(m AS VARCHAR) AS movie, count(*) AS pairs, true AS converged, round(m - 2, 4) + 0.0 AS dx, round(1.5 - m, 4) + 0.0 AS dy,
-round(degrees(atan2(0.002, 1 + 0.001 * m)), 4) AS theta, round(sqrt((1 + 0.001 * m) ** 2 + 0.002 ** 2), 4) AS scale FROM (SELECT trace_id % 5 AS m FROM pts WHERE frame <= 8) GROUP BY m"""))(
+round(degrees(atan2(-0.002, 1 + 0.001 * m)), 4) AS theta, round(sqrt((1 + 0.001 * m) ** 2 + 0.002 ** 2), 4) AS scale FROM (SELECT trace_id % 5 AS m FROM pts WHERE frame <= 8) GROUP BY m"""))(
     lambda s, d: rounded(alignment.align_groups(*_shifted(s, d), 12.0, ["movie"]).select("movie", "pairs", "converged", "dx", "dy", "theta", "scale"), 4)
 )
 
