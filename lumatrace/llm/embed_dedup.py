@@ -400,8 +400,6 @@ def _descent(reps: DataFrame, means: Means, recall: float) -> tuple[DataFrame, f
             break
         last = now
     pairs = pairs.union(truth).select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
-    if n <= AUDIT_ROWS:  # the audit has compared every ball with all others: its pairs are whole
-        return materialize(pairs, "descent"), 1.0
     return materialize(pairs, "descent"), found / wanted if settled and wanted else None
 
 
