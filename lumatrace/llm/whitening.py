@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +22,19 @@ _VECTORS = "vec_id long, dim int, x binary"
 
 def _integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, dims, out = [], [], []
-        for i, e in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-            if e is None or any(c is None for c in e):
-                continue
-            v = np.floor(SCALE * np.array(e, np.float64))
-            if not (np.abs(v) < _LARGEST).all():  # also not a number, and infinite
-                continue
-            ids.append(i)
-            dims.append(len(v))
-            out.append((v.astype(np.int64) + SHIFT).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "x"])
+        column = batch.column("embedding")
+        size = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+        flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))  # null entries become nan
+        good = np.abs(flat) < _LARGEST  # neither nan nor infinite
+        whole = np.where(good, flat, 0).astype(np.int64) + SHIFT
+        at = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        for d in np.unique(size[size >= 0]):
+            rows = np.flatnonzero(size == d)
+            places = at[rows][:, None] + np.arange(d)
+            rows, places = rows[good[places].all(axis=1)], places[good[places].all(axis=1)]
+            body = whole[places].tobytes()
+            x = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * (8 * int(d))).tobytes()), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), pa.array(np.full(len(rows), d, np.int32)), x], names=["vec_id", "dim", "x"])
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -43,8 +46,13 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind, rows: np.ndarray | None = None) -> np.ndarray:
-    values = column.to_pylist() if rows is None else column.take(pa.array(rows)).to_pylist()
-    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    own = own if rows is None or len(rows) == len(own) else own.take(pa.array(rows))
+    if own.type == pa.large_binary():
+        own = own.cast(pa.binary())
+    _, ends, body = own.buffers()
+    at = np.frombuffer(ends, np.int32)[own.offset : own.offset + len(own) + 1]
+    return np.frombuffer(body, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(own), -1)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -65,7 +73,8 @@ def moments(x: DataFrame) -> Moments:
             for rows in _by_dim(batch):
                 v = _matrix(batch.column("x"), np.int64, rows)
                 n, s = total.get(v.shape[1], (0, 0))
-                total[v.shape[1]] = n + len(v), s + v.astype(object).sum(axis=0)
+                halves = (v >> 26).sum(axis=0), (v & ((1 << 26) - 1)).sum(axis=0)  # neither sum of a batch leaves a long
+                total[v.shape[1]] = n + len(v), s + halves[0].astype(object) * (1 << 26) + halves[1]
         rows = [(d, j, n, str(c)) for d, (n, s) in total.items() for j, c in enumerate(s)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["dim", "j", "n", "s"])
 
