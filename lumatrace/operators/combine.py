@@ -29,6 +29,21 @@ def append(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def append_recordings(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(points, traces) of b after those of a, which must have the same channels and lengths (else ValueError).
+
+    Metadata are joined if both have the same fields; else only the keys of all traces are left of them.
+    """
+    if set(a[0].columns) != set(b[0].columns):
+        raise ValueError(f"channels differ: {sorted(set(a[0].columns) ^ set(b[0].columns))}")
+    lengths = [p.groupBy(*KEYS).agg(F.max("frame").alias("n")).agg(F.min("n"), F.max("n")).first() for p in (a[0], b[0])]
+    if len({n for pair in lengths for n in pair if n is not None}) > 1:
+        raise ValueError(f"lengths differ: {[tuple(x) for x in lengths]}")
+    same = set(a[1].columns) == set(b[1].columns)
+    traces = a[1].unionByName(b[1]) if same else a[1].select(*KEYS).unionByName(b[1].select(*KEYS))
+    return a[0].unionByName(b[0]), traces
+
+
 def with_states(points: DataFrame, idl: DataFrame) -> DataFrame:
     """Traces with their states; frames without one get 0."""
     return points.join(idl.select(*KEYS, "frame", "state"), [*KEYS, "frame"], "left").withColumn("state", F.coalesce("state", F.lit(0)))

@@ -203,6 +203,65 @@ def extraction(movies: DataFrame, first: int = 10, size: int = 6, n_noise: float
     return {"values": values, "molecules": molecules, "quality": quality, "overlap": overlap_fraction(molecules), "mask": mask}
 
 
+# --- layout and light -----------------------------------------------------------------------------------------------
+
+
+def split_fields(movies: DataFrame, geometry: list[list[int]], ny: int, nx: int) -> DataFrame:
+    """Side-by-side fields of a frame of ny x nx pixels as channels: geometry has a channel's number for each tile, 0 for none.
+
+    Places are counted from each tile's corner. Frames that tiles of equal size don't fill raise.
+    """
+    rows, columns = len(geometry), len(geometry[0])
+    if ny % rows or nx % columns or any(len(r) != columns for r in geometry):
+        raise ValueError("the frame cannot be cut into equal fields")
+    height, width = ny // rows, nx // columns
+    tile = (F.floor(F.col("y") / height) * columns + F.floor(F.col("x") / width) + 1).cast("int")
+    channel = F.element_at(F.array(*(F.lit(c) for r in geometry for c in r)), tile)
+    return movies.withColumn("channel", channel).filter("channel > 0").withColumns({"y": F.col("y") % height, "x": F.col("x") % width})
+
+
+def split_stack(movies: DataFrame, geometry: list[int]) -> DataFrame:
+    """Channels that follow each other in blocks of frames: geometry has the channel of each block, 0 for none; frames are
+    counted anew in each. A movie whose frames don't divide into so many blocks fails the job."""
+    k = len(geometry)
+    n = movies.groupBy("movie").agg(F.max("frame").alias("__n"))
+    per = F.when(F.col("__n") % k == 0, F.col("__n") / k).otherwise(F.raise_error(F.concat(F.lit("frames do not divide into blocks: "), "movie")).cast("double")).cast("int")
+    df = movies.join(n.withColumn("__per", per), "movie")
+    block = (F.floor((F.col("frame") - 1) / F.col("__per")) + 1).cast("int")
+    df = df.withColumn("channel", F.element_at(F.array(*(F.lit(c) for c in geometry)), block)).filter("channel > 0")
+    return df.withColumn("frame", ((F.col("frame") - 1) % F.col("__per") + 1).cast("int")).drop("__n", "__per")
+
+
+def one_movie(parts: DataFrame, starts: DataFrame, movie: str) -> DataFrame:
+    """Recordings joined to one, in the order in which they began: frames counted on, time_ms continuous.
+
+    starts: movie, started (sortable; of equal ones the name decides), frame_ms (null: only frames are known, time_ms is then
+    the frame's number). The first one's interval holds for all.
+    """
+    n = parts.groupBy("movie").agg(F.max("frame").alias("n")).join(starts, "movie")
+    order = Window.orderBy("started", "movie")  # a row for each recording
+    before = n.select("movie", (F.sum("n").over(order) - F.col("n")).alias("__before"), F.first("frame_ms").over(order).alias("__step"))
+    df = parts.join(before, "movie").withColumn("frame", (F.col("frame") + F.col("__before")).cast("int"))
+    return df.withColumns({"movie": F.lit(movie), "time_ms": F.coalesce((F.col("frame") - 1) * F.col("__step"), F.col("frame")).cast("double")}).drop("__before", "__step")
+
+
+def beam_profile(movies: DataFrame, width: float, height: float, frames: int = 100) -> DataFrame:
+    """(movie, cx, cy, inside, uniformity): centre of light, the share of it inside a field of width x height pixels about that
+    centre, and the root mean square deviation there over the mean.
+
+    Light: the first frames' sum, less the mean of the lowest twentieth of its pixels (at least one), as a share of the whole.
+    """
+    image = movies.filter(F.col("frame") <= frames).groupBy("movie", "y", "x").agg(F.sum("intensity").alias("v"))
+    all_ = Window.partitionBy("movie")  # one image: as many rows as it has pixels
+    ranked = image.withColumns({"__k": F.row_number().over(all_.orderBy("v", "y", "x")), "__n": F.count("*").over(all_)})
+    light = ranked.withColumn("v", F.col("v") - F.avg(F.when(F.col("__k") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 20)), F.col("v"))).over(all_))
+    light = light.withColumn("v", F.try_divide(F.col("v"), F.sum("v").over(all_)))
+    light = light.withColumns({"cx": F.sum(F.col("x") * F.col("v")).over(all_), "cy": F.sum(F.col("y") * F.col("v")).over(all_)})
+    within = lambda c, m, size: (F.col(c) + 1 >= F.floor(F.col(m) + 1 - size / 2)) & (F.col(c) + 1 <= F.floor(F.col(m) + 1 + size / 2))
+    inside = F.when(within("x", "cx", width) & within("y", "cy", height), F.col("v"))
+    return light.groupBy("movie").agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.sum(inside).alias("inside"), F.try_divide(F.stddev_pop(inside), F.avg(inside)).alias("uniformity"))
+
+
 # --- regions and contrast -------------------------------------------------------------------------------------------
 
 

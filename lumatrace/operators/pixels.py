@@ -26,12 +26,6 @@ def block_background(image: DataFrame, size: int = 6) -> DataFrame:
     return df.filter("k = want").select("movie", "channel", "by", "bx", F.col("intensity").alias("background"))
 
 
-def less_background(image: DataFrame, size: int = 6) -> DataFrame:
-    bg = block_background(image, size)
-    df = image.withColumn("by", F.floor(F.col("y") / size).cast("int")).withColumn("bx", F.floor(F.col("x") / size).cast("int"))
-    return df.join(bg, ["movie", "channel", "by", "bx"]).withColumn("intensity", F.col("intensity") - F.col("background")).drop("by", "bx", "background")
-
-
 def background_noise(pixels: DataFrame, share: float = 0.75) -> DataFrame:
     """Standard deviation of the lowest three quarters of pixels of the last frames but one, channels summed."""
     last = pixels.groupBy("movie").agg(F.max("frame").alias("__last"))

@@ -186,3 +186,38 @@ def check_traces(points: DataFrame) -> dict[str, int]:
     lengths = each.groupBy("dataset").agg((F.max("top") != F.min("top")).cast("int").alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0))).first()[0]
     row = each.agg(*[F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(k) for k, c in (("missing_keys", F.col("dataset").isNull() | F.col("trace_id").isNull() | (F.col("null_frames") > 0)), ("repeated_frames", F.col("n") > F.col("distinct")), ("gaps", F.col("top") > F.col("distinct")))]).first()
     return row.asDict() | {"unequal_lengths": lengths}
+
+
+#: Channels that traces may have, beside keys, frame and time.
+CHANNELS = ["donor", "donor2", "acceptor", "acceptor2", "acceptor_direct", "factor", "factor2", "fret", "fret2", "stoichiometry", "ch1", "ch2", "ch3", "ch4", "total"]
+
+
+def check_recordings(points: DataFrame, traces: DataFrame) -> dict[str, int]:
+    """check_traces() and what joins points to their metadata (traces: keys, ..., a row a trace): unknown and repeated channels, no
+    channel of light at all, traces without metadata, metadata without traces, traces with several rows of it."""
+    channels = [c for c in points.columns if c not in (*KEYS, "frame", "time_ms")]
+    found = check_traces(points) | {"unknown_channels": sum(c not in CHANNELS for c in channels), "repeated_channels": len(channels) - len(set(channels)), "no_light": int(not {"donor", "ch1"} & set(channels))}
+    # One row a trace on either side; counts are added up before they meet.
+    own = points.groupBy(*KEYS).agg(F.lit(1).alias("__p")).join(traces.groupBy(*KEYS).agg(F.count("*").alias("__t")), KEYS, "full")
+    counts = {"without_metadata": F.col("__t").isNull(), "without_points": F.col("__p").isNull(), "repeated_metadata": F.col("__t") > 1}
+    row = own.agg(*(F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(k) for k, c in counts.items())).first()
+    return found | row.asDict()
+
+
+def require_valid(points: DataFrame, traces: DataFrame) -> DataFrame:
+    """points, if check_recordings() finds no rule broken; else ValueError says which."""
+    if broken := {k: n for k, n in check_recordings(points, traces).items() if n}:
+        raise ValueError(f"invalid recordings: {broken}")
+    return points
+
+
+def with_defaults(traces: DataFrame) -> DataFrame:
+    """Metadata with zero_method, crosstalk and scale, those missing or null set: threshold, none, 1."""
+    defaults = {"zero_method": F.lit("threshold"), "crosstalk": F.lit(0.0), "scale": F.lit(1.0)}
+    return traces.withColumns({c: F.coalesce(F.col(c), v) if c in traces.columns else v for c, v in defaults.items()})
+
+
+def frame_span(points: DataFrame, predicate: Column) -> DataFrame:
+    """(keys, first, last): the first and last frame of each trace for which a predicate holds, null where it never does."""
+    at = F.when(predicate, F.col("frame"))
+    return points.groupBy(*KEYS).agg(F.min(at).alias("first"), F.max(at).alias("last"))

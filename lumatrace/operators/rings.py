@@ -80,3 +80,20 @@ def quadrant_rings(edges: DataFrame, by: list[str], cx: float, cy: float, **how)
     all_ = parted.select(*keys).distinct().join(rings, keys, "left")
     zero = {"circle": F.lit(1), "cx": F.lit(0.0), "cy": F.lit(0.0), "r": F.lit(0.0), "inliers": F.lit(0)}
     return all_.withColumns({c: F.coalesce(c, v) for c, v in zero.items()})
+
+
+def near_expected_rings(edges: DataFrame, nx: float, ny: float, pixel: float = 13 / 60, outer: tuple[float, float] = (160.0, 140.0), inner: tuple[float, float] = (170.0, 70.0)) -> DataFrame:
+    """Edge points (x, y) of a field of nx x ny pixels where the border of one of four printed spots may run.
+
+    outer and inner: distance between the spots' centres and diameter of a circle about each, in the unit of `pixel` (its
+    size). A point stays that lies in an outer circle and in no inner one. The centres stand about the field's middle.
+    """
+
+    def within(distance: float, diameter: float) -> Column:
+        off, radius, hit = distance / pixel / 2, diameter / pixel / 2, F.lit(False)
+        for sx in (-off, off):
+            for sy in (-off, off):
+                hit = hit | (F.hypot(F.col("x") - (nx / 2 + sx), F.col("y") - (ny / 2 + sy)) <= radius)
+        return hit
+
+    return edges.filter(within(*outer) & ~within(*inner))

@@ -98,16 +98,26 @@ def dye_report(points: DataFrame, places: DataFrame, conditions: DataFrame, samp
     return {"report": report, "dwells": times, "light": light}
 
 
-def delivery(points: DataFrame, criteria: dict[str, float | None], model: Model | None = None, threshold: float = 0.3, state: int = 2, least: int = 3, total: int = 50, sampling_ms: float = 40.0) -> dict[str, DataFrame]:
-    """Pick, synchronise on the first fret, assign states, part productive from rejected events, and report both."""
+def delivery(points: DataFrame, criteria: dict[str, float | None], model: Model | None = None, threshold: float = 0.3, state: int = 2, least: int = 3, total: int = 50, sampling_ms: float = 40.0, scale: float | None = None, first_fret: float | None = None) -> dict[str, DataFrame]:
+    """Pick, synchronise on the first fret, assign states, part productive from rejected events, and report both.
+
+    scale: a factor for the acceptor, fret anew, before anything else. first_fret: traces that begin at it or above are not
+    picked (0.2 is usual where ligands arrive during the recording). `all`, `productive` and `rejected` have summary()'s tables under
+    names with a slash: `all/contour`, `productive/transitions`, ...
+    """
     model = model or Model.of([0.0, 0.4, 0.7], 0.1)
-    picked = project.subset(points, select.pick(stats.trace_stats(points), criteria))
+    if scale is not None:
+        points = project.fret_two(correct.rescale(points, {}, {"acceptor": scale}))
+    limits = criteria if first_fret is None else {**criteria, "max_first_fret": first_fret}
+    picked = project.subset(points, select.pick(stats.trace_stats(points), limits))
     synced = ensemble.simple_post_sync(picked, threshold, total=total)
     idl = states.states_of(states.fit_each(synced, model))
     dwells = dwell.to_dwells(idl)
     split = select.productive(dwells, state, least)
     good = idl.join(split.filter("productive").select(*KEYS), KEYS, "left_semi")
-    return {"synced": synced, "states": idl, "split": split, "occupancy": dwell.occupancy_by_frame(good, total), "contour": ensemble.contour(synced), "rates": dwell.rates(dwells, sampling_ms)}
+    parts = {"all": idl, "productive": good, "rejected": idl.join(split.filter("not productive").select(*KEYS), KEYS, "left_semi")}
+    summaries = {f"{part}/{name}": df for part, own in parts.items() for name, df in summary(synced.join(own.select(*KEYS).distinct(), KEYS, "left_semi"), own, sampling_ms, total).items()}
+    return summaries | {"synced": synced, "states": idl, "split": split, "occupancy": dwell.occupancy_by_frame(good, total), "contour": ensemble.contour(synced), "rates": dwell.rates(dwells, sampling_ms)}
 
 
 def dye_diagnostics(points: DataFrame, places: DataFrame, sampling_ms: float, model: Model | None = None) -> DataFrame:

@@ -294,7 +294,7 @@ register("g6_correct_gamma", q(EV, "SELECT dataset, trace_id, frame, round(CASE
 register("g4_estimated", q(CT + ", md AS (SELECT coalesce(median(crosstalk), 0) AS k FROM ct WHERE crosstalk > -0.1 AND crosstalk < 0.25)", "SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce((acceptor - k * donor) / nullif(donor + acceptor - k * donor, 0), 0) END, 6) AS fret FROM pts, md"))(
     lambda s, d: correct.correct_crosstalk(A.event_traces(s, d), use_median=True).select(*KEYS, "frame", "fret")
 )
-register("g6_estimated", ORACLES["g5_gamma_by_trace"].rsplit("SELECT dataset, trace_id, round(gamma", 1)[0].rstrip() + """, md AS (SELECT coalesce(median(gamma), 1) AS k FROM g WHERE gamma > 0 AND gamma < 10)
+register("g6_estimated", ORACLES["g5_gamma_by_trace"].rsplit("SELECT dataset, trace_id, round(gamma", 1)[0].rstrip().replace("gf AS (", "gf AS MATERIALIZED (") + """, md AS MATERIALIZED (SELECT coalesce(median(gamma), 1) AS k FROM g WHERE gamma > 0 AND gamma < 10)
 SELECT dataset, trace_id, frame, round(CASE WHEN fret = 0 THEN 0 ELSE coalesce(k * acceptor / nullif(donor + k * acceptor, 0), 0) END, 6) AS fret FROM gf, md""")(lambda s, d: correct.correct_gamma(_acceptor_bleached(s, d), use_median=True).select(*KEYS, "frame", "fret"))
 register("g8_direct_excitation", "WITH " + EV + """, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY frame DESC) AS k FROM pts WHERE fret <> 0),
 m AS (SELECT trace_id, avg(fret) AS m, count(*) AS n FROM k WHERE k <= 6 GROUP BY trace_id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumatrace.operators import alignment, fields, pixels, rings, select
 from lumatrace.plans.registry import IMG, register, rounded
-from lumatrace.plans.sql import EV, POS, q
+from lumatrace.plans.sql import EV, PIX, POS, q
 from lumatrace.session import settle
 from lumatrace.sources import adapters as A
 
@@ -189,3 +189,21 @@ SELECT k.dataset, k.quadrant, 1 AS circle, coalesce(round(cx, 4), 0) AS cx, coal
 # The second takes any circle through three points of the sparse test tables.
 register("c18_quadrant_rings", _rings_sql(10, 205.0, 280.0))(lambda s, d: rounded(rings.quadrant_rings(_edges(s, d), ["dataset"], 576.0, 576.0), 4))
 register("c18_small_rings", _rings_sql(3, 60.0, 280.0))(lambda s, d: rounded(rings.quadrant_rings(_edges(s, d), ["dataset"], 576.0, 576.0, least=3, radius=(60.0, 280.0)), 4))
+register("c18_near_expected_rings", "WITH " + POS + """, p AS (SELECT trace_id AS id, donor_x AS x, donor_y AS y FROM pos), c AS (SELECT a.s AS sx, b.s AS sy FROM (VALUES (-1), (1)) a(s), (VALUES (-1), (1)) b(s))
+SELECT id, x, y FROM p WHERE EXISTS (SELECT 1 FROM c WHERE sqrt((x - 576 - sx * 160 / (13 / 60.0) / 2) ** 2 + (y - 576 - sy * 160 / (13 / 60.0) / 2) ** 2) <= 140 / (13 / 60.0) / 2)
+AND NOT EXISTS (SELECT 1 FROM c WHERE sqrt((x - 576 - sx * 170 / (13 / 60.0) / 2) ** 2 + (y - 576 - sy * 170 / (13 / 60.0) / 2) ** 2) <= 70 / (13 / 60.0) / 2)""")(
+    lambda s, d: rings.near_expected_rings(A.positioned(A.event_traces(s, d)).select(F.col("trace_id").alias("id"), F.col("donor_x").alias("x"), F.col("donor_y").alias("y")), 1152.0, 1152.0)
+)
+register("k1_geometry", "WITH " + PIX + """, t AS (SELECT movie, frame, [2, 0, 1, 3][y // 4 * 2 + x // 4 + 1] AS channel, y % 4 AS y, x % 4 AS x, intensity FROM px)
+SELECT movie, channel, y, x, round(avg(intensity), 4) AS v FROM t WHERE channel > 0 GROUP BY ALL""")(
+    lambda s, d: rounded(fields.split_fields(_movies(s, d), [[2, 0], [1, 3]], 8, 8).groupBy("movie", "channel", "y", "x").agg(F.avg("intensity").alias("v")), 4)
+)
+register("k19_beam_profile", "WITH " + PIX + """, i AS (SELECT movie, y, x, sum(intensity) AS v FROM px WHERE frame <= 100 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY movie ORDER BY v, y, x) AS k, count(*) OVER (PARTITION BY movie) AS n FROM i),
+l AS (SELECT movie, y, x, v - avg(v) FILTER (k <= greatest(1, n // 20)) OVER (PARTITION BY movie) AS v FROM r), u AS (SELECT movie, y, x, v / sum(v) OVER (PARTITION BY movie) AS v FROM l),
+c AS (SELECT movie, sum(x * v) AS cx, sum(y * v) AS cy FROM u GROUP BY movie), f AS (SELECT u.*, cx, cy FROM u JOIN c USING (movie)),
+g AS (SELECT * FROM f WHERE x + 1 BETWEEN floor(cx + 1 - 2) AND floor(cx + 1 + 2) AND y + 1 BETWEEN floor(cy + 1 - 1.5) AND floor(cy + 1 + 1.5))
+SELECT movie, round(max(cx), 6) AS cx, round(max(cy), 6) AS cy, round(sum(v), 6) AS inside, round(stddev_pop(v) / avg(v), 6) AS uniformity FROM g GROUP BY movie""")(lambda s, d: fields.beam_profile(_movies(s, d), 4, 3))
+register("a21_one_movie", "WITH " + PIX + """, n AS (SELECT movie, max(frame) AS n, 1000 - CAST(movie AS INTEGER) AS started FROM px GROUP BY movie), b AS (SELECT movie, sum(n) OVER (ORDER BY started) - n AS before, 20.0 + first_value(CAST(movie AS INTEGER)) OVER (ORDER BY started) AS step FROM n)
+SELECT CAST(frame + before AS INTEGER) AS frame, round((frame + before - 1) * step, 3) AS time_ms, round(sum(intensity), 2) AS light FROM px JOIN b USING (movie) GROUP BY ALL""")(
+    lambda s, d: rounded(fields.one_movie(_movies(s, d), _movies(s, d).select("movie").distinct().select("movie", (1000 - F.col("movie").cast("int")).alias("started"), (20.0 + F.col("movie").cast("int")).alias("frame_ms")), "all").groupBy("frame", "time_ms").agg(F.sum("intensity").alias("light")), 2)
+)

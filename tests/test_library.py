@@ -365,7 +365,7 @@ def test_dwell_autocovariance_of_one_state(spark):
     got = {r.lag: (r.mean, r.n) for r in dwell.autocovariance(df, 2).collect()}
     assert sorted(got) == list(range(25)) and all(abs(got[lag][0] - np.mean([w[lag] for w in want])) < 1e-9 and got[lag][1] == 3 for lag in got)
     assert dwell.autocovariance(df, 2, least=24).count() == 0
-    y0, a, k = dwell.autocovariance_fit(spark.createDataFrame([("d", lag, 0.005 + 0.4 * float(np.exp(-0.3 * (lag - 1)))) for lag in range(50)], "dataset string, lag int, mean double"))["d"]
+    y0, a, k = dwell.autocovariance_fit(spark.createDataFrame([("d", lag, 0.005 + 0.4 * float(np.exp(-0.3 * lag))) for lag in range(50)], "dataset string, lag int, mean double"))["d"]
     assert abs(y0 - 0.005) < 1e-6 and abs(a - 0.4) < 1e-6 and abs(k - 0.3) < 1e-6
 
 

@@ -210,3 +210,33 @@ def test_several_rings_in_one_field(spark):
     got = sorted(rings.fit_rings(edges, ["dataset"], circles=4, samples=400).collect(), key=lambda r: r.circle)
     assert [round(r.r) for r in got] == [210, 260] and [r.circle for r in got] == [1, 2]
     assert rings.fit_rings(edges.limit(2), ["dataset"]).isEmpty()
+
+
+def test_stacked_channels_and_their_frames(spark):
+    movies = spark.createDataFrame([("m", f, 1, 0, 0, float(f)) for f in range(1, 7)], PIXELS)
+    got = sorted((r.channel, r.frame, r.intensity) for r in fields.split_stack(movies, [2, 0, 1]).collect())
+    assert got == [(1, 1, 5), (1, 2, 6), (2, 1, 1), (2, 2, 2)]
+    with pytest.raises(Exception, match="do not divide"):
+        fields.split_stack(movies, [1, 2, 3, 4]).collect()
+    with pytest.raises(ValueError, match="equal fields"):
+        fields.split_fields(movies, [[1, 2]], 8, 7)
+
+
+def test_recordings_without_times_count_frames(spark):
+    movies = spark.createDataFrame([(m, f, 1, 0, 0, 1.0) for m in ("b", "a") for f in (1, 2)], PIXELS)
+    starts = spark.createDataFrame([("a", 5, None), ("b", 3, None)], "movie string, started int, frame_ms double")
+    got = sorted((r.frame, r.time_ms) for r in fields.one_movie(movies, starts, "x").collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_delivery_with_scale_first_fret_and_summaries(spark):
+    from lumatrace.plans import pipelines
+    from tests.test_library import _bright
+
+    df = _bright(spark, 4)
+    low, first = df.filter("frame = 1").agg(F.min("fret"), F.max("fret")).first()
+    assert pipelines.delivery(df, {"min_snr": 8}, first_fret=low)["synced"].isEmpty()
+    out = pipelines.delivery(df, {"min_snr": 8}, scale=1.0, first_fret=first + 0.01)
+    assert out["split"].filter("productive").count() == 4 and out["rejected/contour"].isEmpty()
+    assert {p.split("/")[0] for p in out if "/" in p} == {"all", "productive", "rejected"}
+    assert out["productive/transitions"].collect() == out["all/transitions"].collect()
