@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -198,6 +199,34 @@ def test_index_of_live_digests(spark):
     assert {bytes(r.digest): r.n for r in index.collect()} == want
 
 
+def test_index_compares_contents(spark):
+    index, pack = exact_dedup.CuckooIndex(1), lambda t: exact_dedup._packed(t.encode())
+    one = hashlib.sha256(b"").digest()
+    numbers = {t: index.insert(one, pack(t)) for t in map(str, range(40))}  # forty texts under one digest
+    assert sorted(numbers.values()) == list(range(40)) and all(index.find(one, pack(t)) == r for t, r in numbers.items())
+    assert index.delete(one, pack("0")) == 0 and index.delete(one, pack("0")) == -1 and index.find(one, pack("7")) == numbers["7"]
+    assert index.insert(one, pack("7")) == numbers["7"] and len(index) == 39
+    texts = ["ab", "ac", "ab", "b", "ac", "ad", None, ""]
+    weak = lambda c: F.unhex(F.sha2(F.substring(c, 1, 1), 256))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs(spark, texts), weak).collect()}
+    assert got == {0: (2, 2), 2: (2, 2), 1: (4, 2), 4: (4, 2), 3: (3, 1), 5: (5, 1), 6: (7, 2), 7: (7, 2)}
+    a = exact_dedup.update_index(None, added=exact_dedup.digests(docs(spark, ["ab", "ac", "ac", "b"]), weak))
+    a = exact_dedup.update_index(a, removed=exact_dedup.digests(docs(spark, ["ac", "b"]), weak))
+    assert sorted((exact_dedup._unpacked(r.content), r.n) for r in a.collect()) == [(b"ab", 1), (b"ac", 1)]
+
+
+def test_local_index_deletes_what_is_old(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LOCAL_KEYS", 8)
+    texts = [str(i % 30) if i % 3 else "hot" for i in range(300)] + ["x" * 200_000, "y"]
+    rows = pa.record_batch([pa.array([hashlib.sha256(t.encode()).digest() for t in texts]), pa.array([0] * len(texts), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts])], ["digest", "mark", "doc_id", "content"])
+    out = [r for b in exact_dedup._local(iter([rows])) for r in b.to_pylist()]
+    sums = collections.Counter()
+    for r in out:
+        sums[exact_dedup._unpacked(r["content"]).decode()] += r["n"]
+    assert sums == collections.Counter(texts)
+    assert sum(r["content"] == exact_dedup._packed(b"hot") for r in out) == 1 and len(out) > len(sums)
+
+
 def test_exact_duplicates_without_ids_and_hot_texts(spark):
     rows = [(None, "a"), (None, "a"), (None, "b"), (5, "b"), (6, "c"), (6, "c")]
     got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
