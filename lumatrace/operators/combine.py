@@ -19,7 +19,7 @@ def combine(parts: list[DataFrame], name: str, mode: str = "truncate") -> DataFr
     ids = both.select("__part", "dataset", "trace_id").distinct()
     counts = ids.groupBy("__part", "dataset").agg(F.count("*").alias("n"))  # a row for each dataset
     start = counts.select("__part", "dataset", (F.sum("n").over(Window.orderBy("__part", "dataset")) - F.col("n")).alias("__start"))
-    ids = ranks.numbered(ids, ["__part", "dataset"], "trace_id", "__k").join(F.broadcast(start), ["__part", "dataset"]).select("__part", "dataset", "trace_id", (F.col("__start") + F.col("__k")).alias("__id"))
+    ids = ranks.numbered(ids, ["__part", "dataset"], "trace_id", "__k").join(start, ["__part", "dataset"]).select("__part", "dataset", "trace_id", (F.col("__start") + F.col("__k")).alias("__id"))
     out = both.join(ids, ["__part", "dataset", "trace_id"]).withColumn("dataset", F.lit(name)).withColumn("trace_id", F.col("__id")).drop("__part", "__id")
     return project.resize(out, "min" if mode == "truncate" else "max").select(*common)
 
@@ -111,6 +111,6 @@ def largest_dataset(points: DataFrame) -> DataFrame:
 def nearest_state(own: DataFrame, ensemble: DataFrame) -> DataFrame:
     """own (keys, state, mean) relabelled by the ensemble (ens_state, ens_mean) with the closest mean; the first on ties."""
     best = F.min(F.struct(F.round(F.abs(F.col("mean") - F.col("ens_mean")), 9).alias("d"), "ens_state"))
-    # The ensemble has a row for each state (and dataset, if it names them).
-    both = own.join(F.broadcast(ensemble), "dataset") if "dataset" in ensemble.columns else own.crossJoin(F.broadcast(ensemble))
+    # Without datasets, the ensemble has one row for each state of a model: a few.
+    both = own.join(ensemble, "dataset") if "dataset" in ensemble.columns else own.crossJoin(F.broadcast(ensemble))
     return both.groupBy(*KEYS, "state").agg(best.alias("b")).select(*KEYS, "state", F.col("b.ens_state").alias("new_state"))

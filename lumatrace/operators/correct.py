@@ -132,7 +132,7 @@ def flat_field(points: DataFrame, places: DataFrame) -> list[float]:
     """
     first = points.filter("frame <= 25").groupBy(*KEYS).agg(F.avg("acceptor").alias("a"), F.avg("donor").alias("d"), F.bool_and((F.col("fret") > 0.3) & (F.col("fret") < 0.7)).alias("ok")).filter("ok")
     z = first.join(places, KEYS).select("dataset", (F.col("donor_x") / 1000).alias("x"), (F.col("donor_y") / 1000).alias("y"), F.try_divide(F.col("a"), F.col("d")).alias("r"))
-    z = z.join(F.broadcast(z.groupBy("dataset").agg(F.avg("r").alias("m"))), "dataset").withColumn("z", F.col("r") / F.col("m"))
+    z = z.join(z.groupBy("dataset").agg(F.avg("r").alias("m")), "dataset").withColumn("z", F.col("r") / F.col("m"))
     x, y = F.col("x"), F.col("y")
     terms = [F.lit(1.0), x, y, x * x, x * y, y * y]
     sums = z.agg(*[F.sum(a * b) for i, a in enumerate(terms) for b in terms[i:]], *[F.sum(a * F.col("z")) for a in terms]).first()

@@ -27,7 +27,7 @@ def contour(points: DataFrame, low: float = -0.1, step: float = 0.03, bins: int
         n = n.filter(F.round(low + (F.col("bin") - 1) * step, 9) > 0.15)
         return n.select("dataset", "frame", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("dataset", "frame"))).alias("share"))
     traces = points.groupBy("dataset").agg(F.countDistinct("trace_id").alias("traces"))
-    return n.join(F.broadcast(traces), "dataset").select("dataset", "frame", "bin", (F.col("n") / F.col("traces")).alias("share"))
+    return n.join(traces, "dataset").select("dataset", "frame", "bin", (F.col("n") / F.col("traces")).alias("share"))
 
 
 def display_contour(c: DataFrame, length: int) -> DataFrame:

@@ -29,10 +29,10 @@ def block_background(image: DataFrame, size: int = 6) -> DataFrame:
 def background_noise(pixels: DataFrame, share: float = 0.75) -> DataFrame:
     """Standard deviation of the lowest three quarters of pixels of the last frames but one, channels summed."""
     last = pixels.groupBy("movie").agg(F.max("frame").alias("__last"))
-    part = pixels.join(F.broadcast(last), "movie").filter(F.col("frame").between(F.col("__last") - 11, F.col("__last") - 1))
+    part = pixels.join(last, "movie").filter(F.col("frame").between(F.col("__last") - 11, F.col("__last") - 1))
     image = part.groupBy("movie", "y", "x").agg((F.sum("intensity") / F.countDistinct("frame")).alias("v"))
     limit = image.groupBy("movie").agg(F.percentile("v", share).alias("lim"))
-    return image.join(F.broadcast(limit), "movie").filter("v <= lim").groupBy("movie").agg(F.stddev_samp("v").alias("noise"))
+    return image.join(limit, "movie").filter("v <= lim").groupBy("movie").agg(F.stddev_samp("v").alias("noise"))
 
 
 def pick_peaks(image: DataFrame, threshold: float, edge: int = 3) -> DataFrame:
@@ -47,7 +47,7 @@ def pick_peaks(image: DataFrame, threshold: float, edge: int = 3) -> DataFrame:
     top = (v > threshold) & F.coalesce(v > F.col("__0"), F.lit(True)) & F.coalesce(v > F.col("__1"), F.lit(True)) & F.coalesce(v >= F.col("__2"), F.lit(True)) & F.coalesce(v >= F.col("__3"), F.lit(True))
     size = image.groupBy("movie", "channel").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
     inside = (F.col("x") >= edge) & (F.col("y") >= edge) & (F.col("x") <= F.col("mx") - edge) & (F.col("y") <= F.col("my") - edge)
-    return df.filter(top).join(F.broadcast(size), ["movie", "channel"]).filter(inside).select("movie", "channel", "x", "y", "intensity")
+    return df.filter(top).join(size, ["movie", "channel"]).filter(inside).select("movie", "channel", "x", "y", "intensity")
 
 
 def neighbourhood(image: DataFrame, peaks: DataFrame, half: int) -> DataFrame:
@@ -159,7 +159,7 @@ def extract(pixels: DataFrame, threshold: float, half: int = 1, n: int = 4, edge
     found = pick_peaks(image.filter("channel = 1"), threshold, edge)
     found = found.withColumn("mol_id", F.row_number().over(Window.partitionBy("movie").orderBy("y", "x")))
     width = image.groupBy("movie").agg((F.min(F.when(F.col("channel") == 2, F.col("x"))) - F.min(F.when(F.col("channel") == 1, F.col("x")))).alias("shift"))
-    other = found.join(F.broadcast(width), "movie").select("movie", F.lit(2).alias("channel"), "mol_id", (F.col("x") + F.col("shift")).alias("x"), "y")
+    other = found.join(width, "movie").select("movie", F.lit(2).alias("channel"), "mol_id", (F.col("x") + F.col("shift")).alias("x"), "y")
     peaks = found.select("movie", "channel", "mol_id", "x", "y").unionByName(other)
     values = integrate(pixels, integration_windows(image, peaks, half, n))
     wide = values.groupBy(F.col("movie").alias("dataset"), F.col("mol_id").alias("trace_id"), "frame").agg(F.sum(F.when(F.col("channel") == 1, F.col("value"))).alias("donor"), F.sum(F.when(F.col("channel") == 2, F.col("value"))).alias("acceptor"))
@@ -187,6 +187,6 @@ def beam_statistics(pixels: DataFrame, frames: int = 100) -> DataFrame:
     """Of the mean image less the mean of its lowest twentieth: centre of mass and relative spread, by movie."""
     image = pixels.filter(F.col("frame") <= frames).groupBy("movie", "y", "x").agg(F.avg("intensity").alias("v"))
     low = image.groupBy("movie").agg(F.percentile("v", 0.05).alias("lim"))
-    base = image.join(F.broadcast(low), "movie").filter("v <= lim").groupBy("movie").agg(F.avg("v").alias("b"))
+    base = image.join(low, "movie").filter("v <= lim").groupBy("movie").agg(F.avg("v").alias("b"))
     w = F.col("v") - F.col("b")
-    return image.join(F.broadcast(base), "movie").groupBy("movie").agg(F.try_divide(F.sum(w * F.col("x")), F.sum(w)).alias("cx"), F.try_divide(F.sum(w * F.col("y")), F.sum(w)).alias("cy"), F.try_divide(F.stddev_samp(w), F.avg(w)).alias("spread"))
+    return image.join(base, "movie").groupBy("movie").agg(F.try_divide(F.sum(w * F.col("x")), F.sum(w)).alias("cx"), F.try_divide(F.sum(w * F.col("y")), F.sum(w)).alias("cy"), F.try_divide(F.stddev_samp(w), F.avg(w)).alias("spread"))

@@ -86,7 +86,7 @@ def center_quadrant(places: DataFrame) -> DataFrame:
     """Strictly within one and three quarters of the greatest x and y of the dataset."""
     top = places.groupBy("dataset").agg(F.max("donor_x").alias("mx"), F.max("donor_y").alias("my"))
     x, y = F.col("donor_x"), F.col("donor_y")
-    return places.join(F.broadcast(top), "dataset").filter((x > F.col("mx") / 4) & (x < 3 * F.col("mx") / 4) & (y > F.col("my") / 4) & (y < 3 * F.col("my") / 4)).drop("mx", "my")
+    return places.join(top, "dataset").filter((x > F.col("mx") / 4) & (x < 3 * F.col("mx") / 4) & (y > F.col("my") / 4) & (y < 3 * F.col("my") / 4)).drop("mx", "my")
 
 
 def rectangle(places: DataFrame, nx: float, ny: float, margin: float = 0.25) -> DataFrame:
@@ -130,7 +130,7 @@ def representative(stats: DataFrame) -> DataFrame:
     """Traces like the average: t within 0.2 standard deviations, donorlife within a tenth, background under twice the median, no overlap."""
     d = stats.groupBy("dataset").agg(F.avg("t").alias("__mt"), F.stddev_samp("t").alias("__st"), F.avg("donorlife").alias("__ml")).join(ranks.percentile(stats, ["dataset"], "bg", 0.5, "__mb"), "dataset")
     ok = (F.abs(F.col("t") - F.col("__mt")) < 0.2 * F.col("__st")) & (F.abs(F.col("donorlife") - F.col("__ml")) < 0.1 * F.col("__ml")) & (F.col("bg") < 2 * F.col("__mb")) & (F.col("overlap") == 0)
-    return stats.join(F.broadcast(d), "dataset").filter(ok).drop("__mt", "__st", "__ml", "__mb")
+    return stats.join(d, "dataset").filter(ok).drop("__mt", "__st", "__ml", "__mb")
 
 
 def by_day(places: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def printed_spots(places: DataFrame, nx: float, ny: float, k: float = 1.9) -> Da
     df = places.withColumn("quadrant", F.when(left & low, "A").when(~left & low, "B").when(left, "C").otherwise("D"))
     m = df.groupBy("dataset", "quadrant").agg(*[f(c).alias(n) for c, a, b in (("donor_x", "mx", "sx"), ("donor_y", "my", "sy")) for f, n in ((F.avg, a), (F.stddev_samp, b))])
     far = ((F.col("donor_x") - F.col("mx")) / F.col("sx")) ** 2 + ((F.col("donor_y") - F.col("my")) / F.col("sy")) ** 2
-    return df.join(F.broadcast(m), ["dataset", "quadrant"]).filter(far < k**2).drop("mx", "my", "sx", "sy")
+    return df.join(m, ["dataset", "quadrant"]).filter(far < k**2).drop("mx", "my", "sx", "sy")
 
 
 def in_circles(places: DataFrame, circles: DataFrame, cell: float = 256.0) -> DataFrame:
@@ -204,7 +204,7 @@ def dye_filter(stats: DataFrame, events: DataFrame, most_background: float, leas
     calm = below_order_statistic(below_order_statistic(stats.filter((F.col("bg") < most_background) & (F.col("overlap") == 0)), "t"), "snr_s").filter(F.col("snr") > least_snr)
     df = calm.join(events.select(*KEYS, "events"), KEYS)
     m = df.groupBy("dataset").agg((F.avg("events") + 2 * F.stddev_samp("events")).alias("__lim"))
-    return df.join(F.broadcast(m), "dataset").filter((F.col("events") > 0) & (F.col("events") < F.col("__lim"))).drop("__lim")
+    return df.join(m, "dataset").filter((F.col("events") > 0) & (F.col("events") < F.col("__lim"))).drop("__lim")
 
 
 def fit_circles(edges: DataFrame, by: list[str], samples: int = 200, within: float = 12.0, least: int = 10, radius: tuple[float, float] = (205.0, 280.0)) -> DataFrame:

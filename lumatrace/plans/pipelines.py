@@ -129,7 +129,7 @@ def dye_diagnostics(points: DataFrame, places: DataFrame, sampling_ms: float, mo
     part = project.subset(inside, good)
     total = F.col("donor") + F.col("acceptor")
     level = part.filter("frame <= 10").groupBy("dataset").agg(F.avg(total).alias("level"))
-    scaled = part.join(F.broadcast(level), "dataset").withColumn("x", F.try_divide(total, F.col("level"))).drop("level")
+    scaled = part.join(level, "dataset").withColumn("x", F.try_divide(total, F.col("level"))).drop("level")
     idl = states.states_of(states.fit_each(scaled, model, "x"))
     on = dwell.blinking(dwell.to_dwells(idl), len(model.mu), sampling_ms)
     photons = scaled.join(idl, [*KEYS, "frame"]).filter(F.col("state") == len(model.mu)).groupBy(*KEYS).agg(F.sum(total).alias("p")).groupBy("dataset").agg(F.avg("p").alias("photons"))

@@ -195,7 +195,7 @@ def concatenated(pixels: DataFrame, movie: str) -> DataFrame:
     """Movies as one, in order of their names, frames counted on."""
     n = pixels.groupBy("movie").agg(F.max("frame").alias("n"))
     start = n.select("movie", (F.sum("n").over(Window.orderBy("movie")) - F.col("n")).alias("start"))  # a row for each movie
-    return pixels.join(F.broadcast(start), "movie").select(F.lit(movie).alias("movie"), (F.col("frame") + F.col("start")).cast("int").alias("frame"), "channel", "y", "x", "intensity")
+    return pixels.join(start, "movie").select(F.lit(movie).alias("movie"), (F.col("frame") + F.col("start")).cast("int").alias("frame"), "channel", "y", "x", "intensity")
 
 
 def selection_list(spark: SparkSession, path: str) -> DataFrame:
