@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,23 @@ def wide(points: DataFrame, channel: str = "fret") -> DataFrame:
     return points.groupBy(*KEYS).agg(F.transform(rows, lambda r: r["v"]).alias("x"))
 
 
+def _blocks(points: DataFrame, channel: str, clip: tuple[float, float] = (-np.inf, np.inf), cells: int = 1_000_000) -> RDD:
+    """Traces as lists of arrays of some `cells` frames, packed once, for fits that pass over them many times."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            xs = [np.clip(np.asarray(x, float), *clip) for x in f["x"]]
+            part = np.cumsum([len(x) for x in xs]) // cells
+            for p in np.unique(part):
+                own = [xs[i] for i in np.flatnonzero(part == p)]
+                yield pd.DataFrame({"x": [np.concatenate(own).tobytes()], "n": [np.array([len(x) for x in own], np.int64).tobytes()]})
+
+    def views(row) -> list[np.ndarray]:
+        return np.split(np.frombuffer(row.x), np.cumsum(np.frombuffer(row.n, np.int64))[:-1])
+
+    return wide(points, channel).mapInPandas(pack, "x binary, n binary").rdd.map(views).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _long(paths: DataFrame) -> DataFrame:
     return paths.select(*KEYS, F.posexplode("states").alias("at", "state")).select(*KEYS, (F.col("at") + 1).alias("frame"), F.col("state").cast("int"))
 
@@ -69,16 +87,15 @@ def ensemble_model(fits: DataFrame) -> DataFrame:
 
 def fit_jointly(points: DataFrame, model: Model, channel: str = "fret", rounds: int = 20, tolerance: float = 1e-4) -> tuple[Model, DataFrame]:
     """Segmental k-means with one model for all traces: each round is one Viterbi pass and one aggregation."""
-    base = wide(points, channel).persist()
+    base, size = _blocks(points, channel), 2 + len(model.mu) * (len(model.mu) + 4)
     last, k = -np.inf, len(model.mu)
     try:
         for _ in range(rounds):
             m = model
 
-            def stats(frames: Iterator[pd.DataFrame], m=m) -> Iterator[pd.DataFrame]:
-                total = np.zeros(1 + 1 + k + k * k + 3 * k)
-                for f in frames:
-                    xs = [np.asarray(x, float) for x in f["x"]]
+            def stats(blocks: Iterator[list[np.ndarray]], m=m) -> Iterator[np.ndarray]:
+                total = np.zeros(size)
+                for xs in blocks:
                     for x, (s, ll) in zip(xs, viterbi_all(xs, m), strict=True):
                         n = int((s > 0).sum())
                         if n < 2:
@@ -88,12 +105,9 @@ def fit_jointly(points: DataFrame, model: Model, channel: str = "fret", rounds:
                         np.add.at(a, (s[:-1], s[1:]), 1)
                         d = x - m.mu[s]
                         total += np.concatenate([[ll * n, n], np.eye(k)[s[0]], a.ravel(), np.bincount(s, minlength=k), np.bincount(s, d, k), np.bincount(s, d * d, k)])
-                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+                yield total
 
-            sums = base.mapInPandas(stats, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # a few numbers
-            v = np.zeros(1 + 1 + k + k * k + 3 * k)
-            for r in sums:
-                v[r.i] = r.v
+            v = base.mapPartitions(stats).fold(np.zeros(size), np.add)  # a few numbers from each task
             if not v[1]:
                 break
             ll = v[0] / v[1]
@@ -114,23 +128,22 @@ def fit_jointly(points: DataFrame, model: Model, channel: str = "fret", rounds:
 
 def baum_welch(points: DataFrame, model: Model, channel: str = "fret", rounds: int = 200, tolerance: float = 1e-5) -> tuple[Model, list[float]]:
     """Maximum likelihood model of all traces; log likelihood (by trace) of each round. Executors send sums, not traces."""
-    base, k, history = wide(points, channel).persist(), len(model.mu), []
+    base, k, history = _blocks(points, channel, (-0.5, 1.5)), len(model.mu), []
+    size = 2 + k + k * k + 3 * k
     try:
         for _ in range(rounds):
             m = model
 
-            def stats(frames: Iterator[pd.DataFrame], m=m) -> Iterator[pd.DataFrame]:
-                total = np.zeros(2 + k + k * k + 3 * k)
-                for f in frames:
-                    total[1] += len(f)
-                    r = forward_backward_all([np.clip(np.asarray(x, float), -0.5, 1.5) for x in f["x"]], m)
+            def stats(blocks: Iterator[list[np.ndarray]], m=m) -> Iterator[np.ndarray]:
+                total = np.zeros(size)
+                for xs in blocks:
+                    total[1] += len(xs)
+                    r = forward_backward_all(xs, m)
                     if r is not None:
                         total += np.concatenate([[r["ll"], 0], r["g1"], r["xi"].ravel(), r["g"], r["gx"] - m.mu * r["g"], r["gxx"] - 2 * m.mu * r["gx"] + m.mu**2 * r["g"]])
-                yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+                yield total
 
-            v = np.zeros(2 + k + k * k + 3 * k)
-            for r in base.mapInPandas(stats, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-                v[r.i] = r.v
+            v = base.mapPartitions(stats).fold(np.zeros(size), np.add)  # a few numbers from each task
             if not v[1]:
                 break
             history.append(v[0] / v[1])
