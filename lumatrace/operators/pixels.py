@@ -174,13 +174,17 @@ def particles_by_frame(pixels: DataFrame, threshold: float, edge: int = 0) -> Da
 
 
 def in_polygon(points: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
-    """Points inside a polygon, by the parity of the edges to their right."""
-    crossings = F.lit(0)
+    """Points inside a polygon, by the parity of the edges to their right; points on its edges are outside."""
+    crossings, on = F.lit(0), F.lit(False)
+    x, y = F.col("x"), F.col("y")
     for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
         if y1 != y2:
-            hit = ((F.col("y") < y1) != (F.col("y") < y2)) & (F.col("x") < x1 + (F.col("y") - y1) * (x2 - x1) / (y2 - y1))
-            crossings = crossings + hit.cast("int")
-    return points.filter(crossings % 2 == 1)
+            at = x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+            crossings = crossings + (((y < y1) != (y < y2)) & (x < at)).cast("int")
+            on = on | (y.between(min(y1, y2), max(y1, y2)) & (x == at))
+        else:
+            on = on | ((y == y1) & x.between(min(x1, x2), max(x1, x2)))
+    return points.filter((crossings % 2 == 1) & ~on)
 
 
 def beam_statistics(pixels: DataFrame, frames: int = 100) -> DataFrame:
