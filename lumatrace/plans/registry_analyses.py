@@ -127,8 +127,10 @@ def _with_metadata(s: SparkSession, d: str) -> DataFrame:
     points = A.vector_traces(s, d)
     path = f"{work_dir(s)}/traces"
     files.save_files(metadata.export_traces(points, _metadata_of(points)), path, ".traces")
-    got = metadata.read_metadata(s, path)
-    return got.select(F.regexp_extract("dataset", r"([^/]+)\.traces$", 1).alias("dataset"), "scope", F.coalesce("trace_id", F.lit(0)).alias("trace_id"), "field", "type", F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"), F.array_join(F.transform("numbers", lambda x: F.format_string("%.2f", x)), ",").alias("numbers"), "text")
+    got = metadata.read_metadata(s, path).withColumn("dataset", F.regexp_extract("dataset", r"([^/]+)\.traces$", 1))
+    got = files.whole(got, points, "trace_id")
+    got = got.filter("scope = 'trace'").unionByName(got.filter("scope = 'file'").distinct())  # each file of a dataset holds its values
+    return got.select("dataset", "scope", F.coalesce("trace_id", F.lit(0)).alias("trace_id"), "field", "type", F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"), F.array_join(F.transform("numbers", lambda x: F.format_string("%.2f", x)), ",").alias("numbers"), "text")
 
 
 register("a5_file_metadata", q(EXPORTED, """SELECT dataset, 'trace' AS scope, k AS trace_id, 'ids' AS field, 'char' AS type, '1x' || (length(CAST(trace_id AS VARCHAR)) + 1) AS dims, NULL AS numbers, 't' || trace_id AS text FROM ex WHERE frame = 1

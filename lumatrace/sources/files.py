@@ -105,6 +105,20 @@ def filed(df: DataFrame, most: int) -> DataFrame:
     return df.join(n, KEYS).withColumn("dataset", F.col("__file")).drop("__file")
 
 
+def whole(df: DataFrame, names: DataFrame, number: str, most: int = 5000) -> DataFrame:
+    """df of files as filed() cuts them (dataset, `number` ...), under the datasets' own names again, numbers counted on over each one's files.
+
+    names: the datasets (dataset), by which `a-2`, the second file of `a`, is told from a dataset of that name.
+    """
+    cut = r"^(.*)-([0-9]+)$"
+    own = names.select(F.col("dataset").alias("__own")).distinct()
+    df = df.join(own, F.col("dataset") == F.col("__own"), "left").withColumn("__next", F.col("__own").isNull() & F.col("dataset").rlike(cut)).drop("__own")
+    before = F.when(F.col("__next"), (F.regexp_extract("dataset", cut, 2).cast("long") - 1) * most).otherwise(0)
+    of = F.when(F.col("__next"), F.regexp_extract("dataset", cut, 1)).otherwise(F.col("dataset"))
+    kind = df.schema[number].dataType
+    return df.withColumns({number: (F.col(number) + before).cast(kind), "dataset": of}).drop("__next")
+
+
 def export_traces(points: DataFrame, channels: tuple[str, ...] = ("donor", "acceptor", "fret"), most: int = 5000) -> DataFrame:
     """(dataset, content): each dataset as the bytes of binary files of at most `most` traces, in order. Traces must be equally long."""
 
