@@ -9,6 +9,7 @@ from lumatrace.functions import ranks, seq
 from lumatrace.operators import dwell, fits
 from lumatrace.operators.dwell import to_dwells
 from lumatrace.schema import KEYS
+from lumatrace.session import settle
 
 
 def contour_counts(points: DataFrame, low: float = -0.1, step: float = 0.03, bins: int = 44, offset: int = 0) -> DataFrame:
@@ -73,7 +74,9 @@ def fret_histogram_with_errors(points: DataFrame, resamples: int = 100, frames:
 
 
 def mean_fret_by_frame(points: DataFrame, low: float = 0.175, high: float = 1.2, frames: int = 300) -> DataFrame:
-    return points.filter((F.col("fret") >= low) & (F.col("fret") < high) & (F.col("frame") <= frames)).groupBy("dataset", "frame").agg(F.avg("fret").alias("mean_fret"))
+    """Mean fret of the frames within [low, high), from an exact sum (in units of 2^-55), so that no order of the rows shows in it."""
+    exact = F.sum((F.col("fret") * 2.0**55).cast("long").cast("decimal(19,0)")).cast("double") / 2.0**55
+    return points.filter((F.col("fret") >= low) & (F.col("fret") < high) & (F.col("frame") <= frames)).groupBy("dataset", "frame").agg((exact / F.count("*")).alias("mean_fret"))
 
 
 def median_fret(points: DataFrame, low: float = 0.2, frames: int = 100) -> DataFrame:
@@ -130,6 +133,7 @@ def over_datasets(values: DataFrame, column: str) -> DataFrame:
 
 def photobleaching(stats: DataFrame, bins: int = 40) -> dict[str, DataFrame]:
     """curves: lifetime_curves() of donor and acceptor (kind); summary: mean intensity t, and each curve's time constant in bins."""
+    stats = settle(stats)
     curves = lifetime_curves(stats, "donorlife", bins).withColumn("kind", F.lit("donor")).unionByName(lifetime_curves(stats, "acclife", bins).withColumn("kind", F.lit("acceptor")))
     taus = fits.exponential_fits(curves, ["dataset", "kind"], "bin", "left").groupBy("dataset").agg(*[F.max(F.when(F.col("kind") == k, F.col("tau"))).alias(f"{k}_tau") for k in ("donor", "acceptor")])
     return {"curves": curves, "summary": stats.groupBy("dataset").agg(F.avg("t").alias("mean_t")).join(taus, "dataset")}
@@ -137,6 +141,7 @@ def photobleaching(stats: DataFrame, bins: int = 40) -> dict[str, DataFrame]:
 
 def lifetime_curves(stats: DataFrame, column: str, bins: int = 40) -> DataFrame:
     """One less the cumulative share of traces by a statistic, on `bins` bins up to its greatest value: (dataset, bin, left)."""
+    stats = settle(stats.select("dataset", column))
     top = stats.agg(F.max(column).alias("top"))
     at = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil(F.round(F.coalesce(F.try_divide(F.col(column) * bins, F.col("top")), F.lit(0.0)), 6)))).cast("int")
     n = stats.crossJoin(F.broadcast(top)).groupBy("dataset", at.alias("bin")).agg(F.count("*").alias("n"))
