@@ -270,14 +270,19 @@ def in_regions(points: DataFrame, corners: DataFrame, by: list[str], cell: float
 
     A region is a polygon of any shape, its corners numbered in order. Its bounding box is cut into grid rows as high as
     `cell`; a point meets only the edges of its own rows, and is inside where an odd number of them lie to its right.
+    Points of one place and regions of one shape are compared once and meet their copies afterwards.
     """
+    shapes = corners.groupBy(*by, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("__shape"))
+    like = shapes.join(shapes.groupBy(*by, "__shape").agg(F.min("region").alias("__like")), [*by, "__shape"]).select(*by, "region", "__like")
+    corners = corners.join(like.select(*by, F.col("__like").alias("region")).distinct(), [*by, "region"], "left_semi")
     order = Window.partitionBy(*by, "region").orderBy("corner")
     ring = corners.withColumns({"x2": F.coalesce(F.lead("x").over(order), F.first("x").over(order)), "y2": F.coalesce(F.lead("y").over(order), F.first("y").over(order))}).withColumnsRenamed({"x": "x1", "y": "y1"}).filter("y1 <> y2")
     row = lambda c: F.floor(c / cell)
     edges = ring.withColumn("__row", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2"))))).select(*by, "region", "__row", "x1", "y1", "x2", "y2")
     crossed = ((F.col("y") < F.col("y1")) != (F.col("y") < F.col("y2"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    met = points.select(*by, "id", "x", "y").withColumn("__row", row(F.col("y"))).join(edges, [*by, "__row"]).filter(crossed)
-    return met.groupBy(*by, "id", "region").agg(F.count("*").alias("n")).filter("n % 2 = 1").select(*by, "id", "region")
+    met = points.select(*by, "x", "y").distinct().withColumn("__row", row(F.col("y"))).join(edges, [*by, "__row"]).filter(crossed)
+    inside = met.groupBy(*by, "x", "y", "region").agg(F.count("*").alias("n")).filter("n % 2 = 1").select(*by, "x", "y", F.col("region").alias("__like"))
+    return inside.join(points.select(*by, "id", "x", "y").distinct(), [*by, "x", "y"]).join(like, [*by, "__like"]).select(*by, "id", "region")
 
 
 def shuffled(image: DataFrame, key: int) -> DataFrame:
