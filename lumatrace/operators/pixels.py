@@ -99,7 +99,8 @@ def closest(points: DataFrame, target: DataFrame, distance: float, by: list[str]
     """Each point with its closest target within a distance, through grid cells: points' columns, tx, ty, the target's `carry`, d."""
     cell = lambda c: F.floor(F.col(c) / distance)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = target.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), *carry, cell("x").alias("cx"), cell("y").alias("cy"), F.explode(steps).alias("s"))
+    places = target.select(*by, "x", "y", *carry).distinct()  # copies of a target are one
+    spread = places.select(*by, F.col("x").alias("tx"), F.col("y").alias("ty"), *carry, cell("x").alias("cx"), cell("y").alias("cy"), F.explode(steps).alias("s"))
     spread = spread.select(*by, "tx", "ty", *carry, (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
     near = points.withColumn("cx", cell("x")).withColumn("cy", cell("y")).join(spread, [*by, "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= distance)
