@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def by_trace(rows: DataFrame, key: str, most: int = 150_000) -> DataFrame:
+    """rows in as many partitions of whole traces as they have `most` rows, so that a task's windows don't grow with the table."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // most)), key)
+
+
 def event_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace for each user: donor is the event's value, acceptor the number in its properties."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -33,7 +39,7 @@ def vector_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trace for each supplier, by ship date."""
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = _read(spark, sf_dir, "lineitem").withColumn("frame", F.row_number().over(order))
+    rows = by_trace(_read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"), "l_suppkey").withColumn("frame", F.row_number().over(order))
     points = rows.select(F.lit("lineitem").alias("dataset"), F.col("l_suppkey").alias("trace_id"), "frame", (40.0 * (F.col("frame") - 1)).alias("time_ms"), F.col("l_quantity").alias("donor"), (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("acceptor"))
     return with_fret(points)
 
