@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumatrace.functions import ranks, seq
 from lumatrace.operators import dwell, fits
 from lumatrace.schema import KEYS
+from lumatrace.session import settle
 
 
 def background_histogram(stats: DataFrame, top: int = 300) -> DataFrame:
@@ -27,6 +28,7 @@ def background_limits(stats: DataFrame, widths: float = 4.0, top: int = 300) ->
 
 def extreme_limits(stats: DataFrame) -> DataFrame:
     """(condition, t_max, snr_max): the sorted t and snr_s at place floor(0.99 n) - 1, counted from 1; null where there is none."""
+    stats = settle(stats.select("condition", "t", "snr_s"))
     place = lambda n: F.when(F.floor(n * 0.99) >= 2, F.floor(n * 0.99) - 2)
     filled = stats.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("t", "snr_s")})
     a, b = (ranks.percentile(filled, ["condition"], c, 0.99, name, rank=place) for c, name in (("t", "t_max"), ("snr_s", "snr_max")))
@@ -36,6 +38,7 @@ def extreme_limits(stats: DataFrame) -> DataFrame:
 def single_dyes(stats: DataFrame, least_snr: float = 10.0, remove_high_background: bool = True) -> DataFrame:
     """Rows of stats that look like one dye: snr above the least, no overlap, t and snr_s above 0 and below extreme_limits(),
     background below background_limits() (no limit where no Gaussian fits). Comparisons are strict; null statistics reject."""
+    stats = settle(stats)
     df = stats.join(extreme_limits(stats), "condition").filter((F.col("snr") > least_snr) & (F.col("overlap") == 0))
     df = df.filter((F.col("t") > 0) & (F.col("snr_s") > 0) & F.coalesce(F.col("t") < F.col("t_max"), F.lit(True)) & F.coalesce(F.col("snr_s") < F.col("snr_max"), F.lit(True)))
     if remove_high_background:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumatrace.functions import ranks, seq
 from lumatrace.schema import KEYS
+from lumatrace.session import settle
 
 
 def criteria_predicate(criteria: dict[str, float | None]) -> Column:
@@ -53,6 +54,7 @@ def within_sigma(stats: DataFrame, k: float, column: str = "t", bins: int = 51)
 
     The histogram holds values above 0 in bins centred on 0 to the greatest value; any trace may then be picked.
     """
+    stats = settle(stats)
     top = stats.agg(F.max(column)).first()[0]
     if top is None or top <= 0:
         return stats.limit(0)
@@ -128,6 +130,7 @@ def productive(dwells: DataFrame, state: int, least: int) -> DataFrame:
 
 def representative(stats: DataFrame) -> DataFrame:
     """Traces like the average: t within 0.2 standard deviations, donorlife within a tenth, background under twice the median, no overlap."""
+    stats = settle(stats)
     d = stats.groupBy("dataset").agg(F.avg("t").alias("__mt"), F.stddev_samp("t").alias("__st"), F.avg("donorlife").alias("__ml")).join(ranks.percentile(stats, ["dataset"], "bg", 0.5, "__mb"), "dataset")
     ok = (F.abs(F.col("t") - F.col("__mt")) < 0.2 * F.col("__st")) & (F.abs(F.col("donorlife") - F.col("__ml")) < 0.1 * F.col("__ml")) & (F.col("bg") < 2 * F.col("__mb")) & (F.col("overlap") == 0)
     return stats.join(d, "dataset").filter(ok).drop("__mt", "__st", "__ml", "__mb")
@@ -194,6 +197,7 @@ def not_done(inputs: DataFrame, done: DataFrame, key: str = "dataset") -> DataFr
 
 def below_order_statistic(stats: DataFrame, column: str, share: float = 0.99) -> DataFrame:
     """Rows whose statistic is below the dataset's sorted value at `share` of its length."""
+    stats = settle(stats)
     ranked = ranks.percentile(stats, ["dataset"], column, share, "__lim", discrete=True)
     return stats.join(ranked, "dataset").filter(F.col(column) < F.col("__lim")).drop("__lim")
 
@@ -202,7 +206,7 @@ def dye_filter(stats: DataFrame, events: DataFrame, most_background: float, leas
     """Single dyes: low background, intensity and noise ratio below their 99th percentiles, no overlap, and a number of
     transitions (events: keys, events) above 0 and below mean plus two standard deviations."""
     calm = below_order_statistic(below_order_statistic(stats.filter((F.col("bg") < most_background) & (F.col("overlap") == 0)), "t"), "snr_s").filter(F.col("snr") > least_snr)
-    df = calm.join(events.select(*KEYS, "events"), KEYS)
+    df = settle(calm.join(events.select(*KEYS, "events"), KEYS))
     m = df.groupBy("dataset").agg((F.avg("events") + 2 * F.stddev_samp("events")).alias("__lim"))
     return df.join(m, "dataset").filter((F.col("events") > 0) & (F.col("events") < F.col("__lim"))).drop("__lim")
 
