@@ -146,16 +146,17 @@ def _old_files(s: SparkSession, d: str) -> DataFrame:
 
     def write(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["trace_id", "frame"])
-        n, m, part = f["trace_id"].nunique(), f["frame"].nunique(), int(f["dataset"].iloc[0]) % 3
+        n, m, part = f["trace_id"].nunique(), f["frame"].nunique(), int(f["dataset"].iloc[0].split("-")[0]) % 3
         time, c = f["time_ms"].to_numpy()[:m], {k: f[k].to_numpy(float).reshape(n, m) for k in ("donor", "acceptor", "fret")}
         ids = [f"v{i}" for i in f["trace_id"].unique()]
         data = legacy.encode_counts(time, np.rint(c["donor"]), np.rint(c["acceptor"]), ids) if part == 2 else legacy.encode_paged(time, c, ids, 3 + part)
         return pd.DataFrame({"dataset": [f["dataset"].iloc[0]], "content": [data]})
 
     path = f"{work_dir(s)}/old"
-    files.save_files(A.vector_traces(s, d).groupBy("dataset").applyInPandas(write, "dataset string, content binary"), path, ".traces")
-    got = legacy.read_recordings(s, path)
-    return got.select(F.regexp_extract("dataset", r"([^/]+)\.traces$", 1).alias("dataset"), "trace_id", "frame", "time_ms", "donor", F.round("acceptor", 3).alias("acceptor"), F.round("fret", 4).alias("fret"))
+    points = A.vector_traces(s, d)
+    files.save_files(files.filed(points, 5000).groupBy("dataset").applyInPandas(write, "dataset string, content binary"), path, ".traces")
+    got = legacy.read_recordings(s, path).withColumn("dataset", F.regexp_extract("dataset", r"([^/]+)\.traces$", 1))
+    return files.whole(got, points, "trace_id").select("dataset", "trace_id", "frame", "time_ms", "donor", F.round("acceptor", 3).alias("acceptor"), F.round("fret", 4).alias("fret"))
 
 
 # The 16-bit traces don't bleach (no frames after their lifetime, which is their length), so no baseline is taken off them.

@@ -63,13 +63,15 @@ def decode_all(data: bytes) -> tuple[np.ndarray, dict[str, np.ndarray], int]:
 
 def point_rows(path: str, time: np.ndarray, channels: dict[str, np.ndarray], only: set[int] | None) -> Iterator[pd.DataFrame]:
     n, m = next(iter(channels.values())).shape
-    for i in range(n):
-        if only is None or i + 1 in only:
-            rows = {"dataset": path, "trace_id": i + 1, "frame": np.arange(1, m + 1, dtype=np.int32), "time_ms": time}
-            for name, column in _CHANNELS.items():
-                rows[column] = channels[name][i] if name in channels else None
-            out = pd.DataFrame(rows)
-            yield out.astype({c: "float64" for c in _CHANNELS.values()})
+    own = np.arange(n) if only is None else np.array([i for i in range(n) if i + 1 in only], np.int64)
+    many = max(1, 20_000 // max(1, m))  # traces of one frame of rows
+    for at in range(0, len(own), many):
+        part = own[at : at + many]
+        rows = {"dataset": path, "trace_id": np.repeat(part + 1, m), "frame": np.tile(np.arange(1, m + 1, dtype=np.int32), len(part)), "time_ms": np.tile(time, len(part))}
+        for name, column in _CHANNELS.items():
+            rows[column] = channels[name][part].ravel() if name in channels else None
+        out = pd.DataFrame(rows)
+        yield out.astype({c: "float64" for c in _CHANNELS.values()})
 
 
 def read_traces(spark: SparkSession, path: str, only: list[int] | None = None, glob: str = "*.{traces,rawtraces}") -> DataFrame:
