@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumatrace.functions import seq
 from lumatrace.operators.kernels import Model, forward_backward_all, segmental_kmeans_all, viterbi_all
 from lumatrace.schema import KEYS
+from lumatrace.session import settle
 
 
 def wide(points: DataFrame, channel: str = "fret") -> DataFrame:
@@ -174,6 +175,7 @@ def donor_alive(points: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or Model.of([0.0, 0.5, 1.0], 0.15)
     df = seq.with_donor_alive(points.withColumn("total", F.col("donor") + F.col("acceptor")))
     for _ in range(2):
+        df = settle(df)  # both the fit and the join below read it
         level = F.avg(F.when(F.col("alive"), F.col("total"))).over(seq.whole())
         scaled = df.withColumn("__x", F.coalesce(F.try_divide(F.col("total"), level), F.lit(0.0)))
         idl = states_of(fit_each(scaled, model, "__x"))
