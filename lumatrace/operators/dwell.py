@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -378,14 +380,36 @@ def energy_path(rates: DataFrame, percent: DataFrame, order: list[int], kelvin:
     return path.select("dataset", "step", "src", "dst", "well", ((F.col("__b1") - F.col("well") + F.col("__b2") - F.col("__w2")) / 2).alias("peak"))
 
 
-def bootstrap_draws(traces: DataFrame, resamples: int) -> DataFrame:
-    """(keys, b, w): how often resample b draws a trace, by Poisson(1) from a hash of both; draws of 0 are left out."""
-    draws = traces.select(*KEYS).distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    # The first 32 bits of a digest, which SQL twins can draw as well.
-    u = F.conv(F.substring(F.md5(F.concat_ws("#", *KEYS, "b")), 1, 8), 16, 10).cast("long") / 4_294_967_296.0
+def _weighted(rows: DataFrame, resamples: int) -> DataFrame:
+    """rows of traces with b and w: how often resample b draws the row's trace, by Poisson(1) from a hash of both; 0 too."""
     limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in limits), F.lit(0))
-    return draws.withColumn("w", weight).filter("w > 0")
+    # A digest's first 32 bits, which SQL twins can draw as well. Digits compare as the number does, so a draw costs one digest.
+    draws = rows.withColumn("__k", F.concat_ws("#", *KEYS, F.lit(""))).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__u", F.md5(F.concat("__k", F.col("b").cast("string"))))
+    w = F.lit(len(limits))
+    for n, x in reversed(list(enumerate(limits))):
+        w = F.when(F.col("__u") < f"{math.ceil(x * 2**32):08x}", n).otherwise(w)
+    return draws.withColumn("w", w).drop("__k", "__u")
+
+
+def bootstrap_draws(rows: DataFrame, resamples: int) -> DataFrame:
+    """rows of traces with b and w: how often resample b draws the row's trace, by Poisson(1) from a hash of both; draws of 0 and rows without keys are left out."""
+    return _weighted(rows.dropna(subset=KEYS), resamples).filter("w > 0")
+
+
+def bootstrap_sums(rows: DataFrame, by: list[str], columns: list[str], resamples: int) -> DataFrame:
+    """(dataset, by, b, columns): sums of each resample over traces, rows weighted as bootstrap_draws() draws their traces.
+
+    A trace is drawn beside its rows, so nothing is joined, and tasks add their traces up before they send anything. Rows of
+    traces are dealt anew, as the few that traces come in would leave most cores idle. What no drawn trace holds is left out.
+    """
+    rows = rows.select(*KEYS, *by, *columns).dropna(subset=KEYS)
+    if by:
+        rows = rows.groupBy(*KEYS).agg(F.collect_list(F.struct(*by, *columns)).alias("__rows"))
+    drawn = _weighted(rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *KEYS), resamples)
+    if by:
+        drawn = drawn.filter("w > 0").select("dataset", "b", "w", F.inline("__rows"))
+    sums = [F.sum(F.when(F.col("w") > 0, F.col("w") * F.col(c))).alias(c) for c in columns]
+    return drawn.groupBy("dataset", *by, "b").agg(*sums, F.max("w").alias("__w")).filter("__w > 0").drop("__w")
 
 
 def bootstrap_se(each: DataFrame, statistic: Column, resamples: int = 1000) -> DataFrame:
@@ -393,14 +417,12 @@ def bootstrap_se(each: DataFrame, statistic: Column, resamples: int = 1000) -> D
 
     each: keys and columns to sum; statistic: an expression of those columns' (weighted) sums, such as F.col("events") / F.col("seconds").
     """
-    columns = [c for c in each.columns if c not in KEYS]
-    sums = bootstrap_draws(each, resamples).join(each, KEYS).groupBy("dataset", "b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+    sums = bootstrap_sums(each, [], [c for c in each.columns if c not in KEYS], resamples)
     return sums.select("dataset", statistic.alias("__s")).groupBy("dataset").agg(F.stddev_samp("__s").alias("se"))
 
 
 def bootstrap_percent(idl: DataFrame, resamples: int = 1000, hide_dark: bool = True) -> DataFrame:
     """Standard error of percent_time() over traces, by bootstrap_draws()."""
-    n = state_frames(_counted(idl, hide_dark))
-    w = bootstrap_draws(n, resamples).join(n, KEYS).groupBy("dataset", "b", "state").agg(F.sum(F.col("w") * F.col("n_frames")).alias("x"))
-    p = w.select("dataset", "state", "b", (100 * F.col("x") / F.sum("x").over(Window.partitionBy("dataset", "b"))).alias("percent"))
+    w = bootstrap_sums(state_frames(_counted(idl, hide_dark)), ["state"], ["n_frames"], resamples)
+    p = w.select("dataset", "state", "b", (100 * F.col("n_frames") / F.sum("n_frames").over(Window.partitionBy("dataset", "b"))).alias("percent"))
     return p.groupBy("dataset", "state").agg(F.stddev_samp("percent").alias("se"))

@@ -75,7 +75,7 @@ def over_files(values: DataFrame, statistic: str = "mean", resamples: int = 100)
         each = ranks.percentile(values, ["condition", "dataset"], "x", 0.5, "v")
     files = each.groupBy("condition").agg(F.avg("v").alias("value"), F.stddev_samp("v").alias("sd"), F.count("*").alias("files"))
     alone = values.join(files.filter("files = 1").select("condition"), "condition", "left_semi").filter("x is not null")
-    draws = dwell.bootstrap_draws(alone.select(*KEYS), resamples).join(alone, KEYS)
+    draws = dwell.bootstrap_draws(alone, resamples)
     own = F.sum(F.col("w") * F.col("x")) / F.sum("w") if statistic == "mean" else F.percentile("x", F.lit(0.5), F.col("w"))
     spread = draws.groupBy("condition", "b").agg(own.alias("v")).groupBy("condition").agg(F.stddev_samp("v").alias("__sd"))
     return files.join(spread, "condition", "left").select("condition", "value", F.coalesce("sd", "__sd").alias("sd"), "files")

@@ -60,13 +60,12 @@ def live_frames(points: DataFrame, idl: DataFrame, dark: int = 1) -> DataFrame:
 def fret_histogram_with_errors(points: DataFrame, resamples: int = 100, frames: int = 50, low: float = -0.2, step: float = 0.03, bins: int = 47) -> DataFrame:
     """fret_histogram() of each dataset with the standard deviation of each bin over resampled traces: (dataset, bin, percent, se).
 
-    Traces are drawn with replacement by dwell.bootstrap_draws(): each trace's own histogram is counted once and weighted, so
+    Traces are drawn with replacement by dwell.bootstrap_sums(): each trace's own histogram is counted once and weighted, so
     frames are not multiplied. Bins that a resample leaves empty count as 0 there.
     """
     own = histogram_counts(points, KEYS, frames, low, step, bins)
-    draws = dwell.bootstrap_draws(points.select(*KEYS).distinct(), resamples)
-    weighted = draws.select(*KEYS, "b", "w").join(own, KEYS).groupBy("dataset", "b", "bin").agg(F.sum(F.col("w") * F.col("n")).alias("x"))
-    shares = weighted.select("dataset", "bin", "b", (100 * F.col("x") / F.sum("x").over(Window.partitionBy("dataset", "b"))).alias("p"))
+    weighted = dwell.bootstrap_sums(own, ["bin"], ["n"], resamples)
+    shares = weighted.select("dataset", "bin", "b", (100 * F.col("n") / F.sum("n").over(Window.partitionBy("dataset", "b"))).alias("p"))
     # Resamples without the bin are zeros: the spread follows from sums and the number of resamples.
     spread = shares.groupBy("dataset", "bin").agg(F.sum("p").alias("s1"), F.sum(F.col("p") ** 2).alias("s2"))
     se = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") ** 2 / resamples) / (resamples - 1)))
