@@ -26,17 +26,15 @@ def _half_step(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (src, dst) -> (node, component): the smallest id that each linked node can reach. Nodes without links are absent.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder, so lineage stays short.
-    A node with very many links only takes part in a minimum (combined before the shuffle) and in a join that
+    Alternating large-star and small-star rounds, until each node has one label (stars, which a round would leave as they
+    are; edges that are stars from the start take no round). Each round is written to the shared folder, so lineage stays
+    short. A node with very many links only takes part in a minimum (combined before the shuffle) and in a join that
     adaptive execution can split.
     """
-    edges = materialize(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "cc")
-    mark = None
+    edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    edges = materialize(edges.filter(F.col("src") != F.col("dst")).distinct(), "cc")
     while True:
+        labels = edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(edges.select("dst", "dst"))
+        if not labels.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").limit(1).count():
+            return labels.distinct()
         edges = materialize(_half_step(_half_step(edges, small=False), small=True), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1_000_003), F.sum(F.xxhash64("dst", "src") % 999_983)).first()
-        if now == mark:
-            break
-        mark = now
-    labels = edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    return labels.union(edges.select("dst", "dst")).distinct()

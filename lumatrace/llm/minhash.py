@@ -180,6 +180,11 @@ def _ordered(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
+def _with_stars(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """New links beside those found before, which count as one link from each node to its component."""
+    return links.union(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+
+
 def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, rep, part, n) of the keys whose n members are in more than one component."""
     placed = materialize(members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "placed")
@@ -223,12 +228,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     sets = keep_by_id(texts, wanted, "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles binary")
     whole = materialize(sets.join(first.select("rep", "odd"), "rep"), "sets")
 
-    parts = members.sparkSession.createDataFrame([], "node long, component long")
-    links, placed = None, members.select("key", "rep", F.col("rep").alias("part"))
+    parts, placed = None, members.select("key", "rep", F.col("rep").alias("part"))
     for turn in range(HUB_TURNS):
         new = materialize(_verify(_offers(placed, turn), whole, percent), "links")
-        links = new if links is None else links.union(new)
-        parts = connected_components(links)
+        parts = connected_components(new if parts is None else _with_stars(new, parts))
         placed = materialize(_placed(members, parts), "placed")
 
     small = placed.filter(F.col("n") <= SMALL_KEY)
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         more = more.union(_large_keys(large, whole, percent))
     more = materialize(more, "links")
     if more.limit(1).count():
-        parts = connected_components(links.union(more))
+        parts = connected_components(_with_stars(more, parts))
 
     rep_part = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", F.coalesce("component", "rep").alias("part"))
     out = signed.join(rep_part, "set_digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("part", "doc_id")).alias("component_id"))

@@ -14,6 +14,8 @@ from lumatrace.llm.common import keep_by_id, materialize, utf8
 #: Hashed byte pairs, byte classes' pairs and lengths that describe a text.
 TERMS, CLASSES = 2048, 8
 WIDTH = TERMS + CLASSES * CLASSES * CLASSES + 24
+#: Term weights are mostly zeros: the sample travels packed.
+_CODEC = pa.Codec("zstd", compression_level=1)
 #: Classes of bytes: lower, upper, digit, space, line end, full stop and comma, other punctuation, beyond ASCII.
 _CLASS = np.array([7 if b > 127 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b == 32 else 4 if b in (10, 13) else 5 if b in (44, 46) else 6 for b in range(256)], np.int64)
 
@@ -41,12 +43,17 @@ def terms(text: bytes) -> np.ndarray:
 
 
 class LatentModel:
-    """Mean and leading right singular vectors of the sample's term weights; vectors are unit length (zero if undefined)."""
+    """Mean and leading right singular vectors of the sample's term weights; vectors are unit length (zero if undefined).
+
+    The fit centres and scales the given weights in place, so that the sample is held once.
+    """
 
     def __init__(self, weights: np.ndarray, rank: int):
         self.mean = weights.mean(axis=0) if len(weights) else np.zeros(WIDTH)
-        self.idf = 1 / (0.05 + weights.std(axis=0)) if len(weights) else np.ones(WIDTH)
-        x = (weights - self.mean) * self.idf
+        self.idf = 1 / (0.05 + np.concatenate([weights[:, i : i + 256].std(axis=0) for i in range(0, WIDTH, 256)])) if len(weights) else np.ones(WIDTH)
+        x = weights
+        x -= self.mean
+        x *= self.idf
         # Randomised subspace iteration with a fixed seed: the leading axes without a full decomposition.
         basis = np.linalg.qr(np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH))))[0]
         for _ in range(6):
@@ -55,7 +62,10 @@ class LatentModel:
         self.axes = basis @ v[:rank][s[:rank] > 1e-9].T
 
     def vectors(self, weights: np.ndarray) -> np.ndarray:
-        x = ((weights - self.mean) * self.idf) @ self.axes
+        return self.project((weights - self.mean) * self.idf)
+
+    def project(self, scaled: np.ndarray) -> np.ndarray:
+        x = scaled @ self.axes
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
 
@@ -78,10 +88,26 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        w = pa.array([terms(t.as_py()).astype(np.float32).tobytes() for t in batch.column("body")], pa.binary())
+        w = pa.array([_CODEC.compress(terms(t.as_py()).astype(np.float32).tobytes(), asbytes=True) for t in batch.column("body")], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("quality"), w], names=["quality", "weights"])
 
 
+def _unpacked(weights: bytes) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(weights, 4 * WIDTH, asbytes=True), np.float32)
+
+
+def _fit(read: pa.Table, rank: int) -> tuple[LatentModel, np.ndarray, np.ndarray]:
+    """The sample's packed rows -> the model, their vectors and labels. Rows stay packed beside the one matrix they fill."""
+    packed, marks = read.column("weights").to_pylist(), np.array(read.column("quality").to_pylist(), float)
+    lead = np.array([_unpacked(w)[:8] for w in packed], np.float32).reshape(-1, 8)
+    order = np.lexsort((marks, *lead.T))
+    weights = np.empty((len(packed), WIDTH))
+    for i, at in enumerate(order):
+        weights[i] = _unpacked(packed[at])
+    model = LatentModel(weights, rank)
+    return model, model.project(weights), marks[order]
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows that labels are never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -102,15 +128,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, r
     sample = own.filter("quality = 0").orderBy(order).limit(sample_rows // 2).union(own.filter("quality = 1").orderBy(order).limit(sample_rows // 2))
     sample = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)  # bounded by sample_rows
     texts = docs.filter("doc_id is not null").select("doc_id", utf8("text").alias("body"))
-    read = texts.join(F.broadcast(sample), "doc_id").select("quality", "body").mapInArrow(_weights, "quality int, weights binary").distinct().toPandas()
-    weights = np.stack([np.frombuffer(w, np.float32) for w in read.weights]).astype(float) if len(read) else np.zeros((0, WIDTH))
-    marks = read.quality.to_numpy(float)
-    order_of = np.lexsort((marks, *weights[:, :8].T)) if len(read) else []
-    weights, marks = weights[order_of], marks[order_of]
-    model = LatentModel(weights, rank)
+    read = texts.join(F.broadcast(sample), "doc_id").select("quality", "body").mapInArrow(_weights, "quality int, weights binary").distinct()
+    model, known, marks = _fit(read.toArrow(), rank)
     share = own.agg(F.avg("quality")).first()[0]
     prior = 0.5 if share is None else float(share)
-    known = model.vectors(weights)
     sent = docs.sparkSession.sparkContext.broadcast((model, known, marks, prior))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
