@@ -26,8 +26,21 @@ def to_dwells(idl: DataFrame, *means: str) -> DataFrame:
 
 def to_states(dwells: DataFrame, frames: DataFrame) -> DataFrame:
     """Back to a state for each of `frames` (keys, frame); gaps get 0."""
-    long = dwells.select(*KEYS, "state", F.explode(F.sequence("start_frame", F.col("start_frame") + F.col("n_frames") - 1)).alias("frame"))
-    return frames.select(*KEYS, "frame").join(long, [*KEYS, "frame"], "left").withColumn("state", F.coalesce("state", F.lit(0)))
+    return on_frames(dwells, frames.select(*KEYS, "frame"))
+
+
+def on_frames(dwells: DataFrame, points: DataFrame) -> DataFrame:
+    """points with `state`: that of the dwell a frame lies in, 0 in gaps. Dwells of a trace do not overlap.
+
+    Starts of dwells are sorted in among the frames and carried on. Dwells spread out to their frames would be joined by the size
+    they have before: a table small enough to broadcast, with millions of frames in it.
+    """
+    starts = dwells.dropna(subset=[*KEYS, "start_frame", "n_frames"]).select(*KEYS, F.col("start_frame").cast(points.schema["frame"].dataType).alias("frame"), F.struct("start_frame", "n_frames", "state").alias("__dwell"))
+    both = points.unionByName(starts, allowMissingColumns=True)
+    so_far = Window.partitionBy(*KEYS).orderBy("frame", F.col("__dwell").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    df = both.withColumn("__last", F.last("__dwell", ignorenulls=True).over(so_far)).filter("__dwell is null")
+    own = F.when(F.col("frame") < F.col("__last.start_frame") + F.col("__last.n_frames"), F.col("__last.state"))
+    return df.withColumn("state", F.coalesce(own, F.lit(0))).drop("__dwell", "__last")
 
 
 def with_empty(dwells: DataFrame, traces: DataFrame) -> DataFrame:

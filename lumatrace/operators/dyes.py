@@ -86,7 +86,6 @@ def shining(points: DataFrame, dwells: DataFrame, sampling_ms: float, on: int =
 
     points: condition, keys, frame, total; dwells: of the same traces. Traces without an on dwell count as 0.
     """
-    lit = dwell.to_states(dwells.filter(F.col("state") == on), points.select(*KEYS, "frame")).filter("state > 0")
-    seen = points.join(lit.select(*KEYS, "frame", F.lit(1).alias("__on")), [*KEYS, "frame"], "left").withColumn("__v", F.when(F.col("__on") == 1, F.col("total")).otherwise(0.0))
-    each = seen.groupBy("condition", *KEYS).agg((F.count("__on") * sampling_ms / 1000).alias("total_on"), F.sum("__v").alias("photons"))
+    seen = dwell.on_frames(dwells.filter(F.col("state") == on), points).withColumn("__v", F.when(F.col("state") > 0, F.col("total")).otherwise(0.0))
+    each = seen.groupBy("condition", *KEYS).agg((F.count_if(F.col("state") > 0) * sampling_ms / 1000).alias("total_on"), F.sum("__v").alias("photons"))
     return each, seen.groupBy("condition", "frame").agg(F.avg("__v").alias("photons"))

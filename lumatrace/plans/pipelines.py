@@ -9,6 +9,7 @@ from lumatrace.operators import combine, correct, dwell, dyes, ensemble, fields,
 from lumatrace.operators.kernels import Model
 from lumatrace.schema import CRITERIA, KEYS
 from lumatrace.session import settle
+from lumatrace.sources.adapters import by_trace
 
 
 def select_traces(parts: list[DataFrame], criteria: dict[str, float | None] | None = None, name: str = "picked") -> tuple[DataFrame, DataFrame]:
@@ -75,26 +76,30 @@ def dye_report(points: DataFrame, places: DataFrame, conditions: DataFrame, samp
     has intensity and snr (means over files of medians), total_on and photons (of means), each with its spread over files.
     """
     model = model or Model.of([0.0, 1.0], 0.2)
-    own = points.join(conditions.select("dataset", "condition"), "dataset")
-    inside = project.subset(own, select.center_quadrant(places))
-    every = stats.trace_stats(inside.drop("condition")).join(conditions.select("dataset", "condition"), "dataset")
+    conditions = settle(conditions.select("dataset", "condition"))
+    middle = settle(select.center_quadrant(places).select(*KEYS))
+    columns = [*KEYS, "frame", "donor", "acceptor", "fret", *(c for c in ("acceptor2", "fret2", "stoichiometry") if c in points.columns)]
+    # The points are read once and each step's rows are written: a plan that holds the steps before it several times over, with all their tasks, fills the driver.
+    inside = settle(project.subset(points.select(*columns).join(conditions, "dataset"), middle))
+    every = stats.trace_stats(by_trace(inside.drop("condition"), KEYS)).join(conditions, "dataset")
     chosen = settle(dyes.single_dyes(every, least_snr))
-    intensity = dyes.over_files(chosen.withColumn("x", F.col("t")), "median")
-    snr = dyes.over_files(chosen.withColumn("x", F.col("snr_s")), "median")
-    part = project.subset(inside, chosen).withColumn("total", F.col("donor") + F.col("acceptor"))
+    intensity = settle(dyes.over_files(chosen.withColumn("x", F.col("t")), "median"))
+    snr = settle(dyes.over_files(chosen.withColumn("x", F.col("snr_s")), "median"))
+    part = settle(project.subset(inside, chosen).select("condition", *KEYS, "frame", (F.col("donor") + F.col("acceptor")).alias("total")))
     scaled = part.join(intensity.select("condition", F.col("value").alias("__level")), "condition").withColumn("x", F.try_divide("total", "__level")).drop("__level")
     idl = states.states_of(states.fit_each(scaled, model, "x"))
     runs = settle(dwell.to_dwells(idl))
-    switching = dyes.steady(dyes.transitions_of(runs).join(chosen.select("condition", *KEYS), KEYS))
-    kept = dyes.less_final_dark(runs.join(switching.select(*KEYS), KEYS, "left_semi"))
-    shine, light = dyes.shining(part.join(switching.select(*KEYS), KEYS, "left_semi"), kept, sampling_ms)
+    switching = settle(dyes.steady(dyes.transitions_of(runs).join(chosen.select("condition", *KEYS), KEYS)).select(*KEYS))
+    kept = dyes.less_final_dark(runs.join(switching, KEYS, "left_semi"))
+    shine, light = dyes.shining(part.join(switching, KEYS, "left_semi"), kept, sampling_ms)
+    shine = settle(shine)
     named = [("intensity", intensity), ("snr", snr), ("total_on", dyes.over_files(shine.withColumn("x", F.col("total_on")))), ("photons", dyes.over_files(shine.withColumn("x", F.col("photons"))))]
     report = None
     for name, df in named:
         df = df.select("condition", F.lit(name).alias("name"), "value", "sd", "files")
         report = df if report is None else report.unionByName(df)
     seconds = F.col("n_frames") * sampling_ms / 1000
-    times = kept.join(conditions.select("dataset", "condition"), "dataset").groupBy("condition").agg(F.avg(F.when(F.col("state") == 2, seconds)).alias("mean_on"), F.avg(F.when(F.col("state") == 1, seconds)).alias("mean_off"))
+    times = kept.join(conditions, "dataset").groupBy("condition").agg(F.avg(F.when(F.col("state") == 2, seconds)).alias("mean_on"), F.avg(F.when(F.col("state") == 1, seconds)).alias("mean_off"))
     return {"report": report, "dwells": times, "light": light}
 
 

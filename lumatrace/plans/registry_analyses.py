@@ -10,7 +10,7 @@ from lumatrace.plans import pipelines
 from lumatrace.plans.registry import EXPORTED, HB, RATES, _bl, _dw, register, rounded
 from lumatrace.plans.sql import DW, EMB, EV, POS, STATS, q
 from lumatrace.schema import KEYS
-from lumatrace.session import work_dir
+from lumatrace.session import settle, work_dir
 from lumatrace.sources import adapters as A
 from lumatrace.sources import files, legacy, metadata
 
@@ -73,8 +73,9 @@ register("j14_dye_report")(lambda s, d: _dye_report(s, d))
 def _dye_report(s: SparkSession, d: str) -> DataFrame:
     """The lineitem traces as two files of one condition."""
     points = _bl(s, d).withColumn("dataset", F.concat(F.lit("file"), F.col("trace_id") % 2))
-    places = points.select(*KEYS).distinct().withColumns({"donor_x": (F.col("trace_id") * 37 % 100).cast("double"), "donor_y": (F.col("trace_id") * 91 % 100).cast("double")})
-    conditions = points.select("dataset").distinct().withColumn("condition", F.lit("dye"))
+    traces = settle(points.select(*KEYS).distinct())
+    places = traces.withColumns({"donor_x": (F.col("trace_id") * 37 % 100).cast("double"), "donor_y": (F.col("trace_id") * 91 % 100).cast("double")})
+    conditions = traces.select("dataset").distinct().withColumn("condition", F.lit("dye"))
     return pipelines.dye_report(points, places, conditions, 40.0, least_snr=1.0)["report"]
 
 

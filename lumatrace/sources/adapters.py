@@ -10,7 +10,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def by_trace(rows: DataFrame, key: str, most: int = 150_000) -> DataFrame:
+def by_trace(rows: DataFrame, key: str | list[str], most: int = 150_000) -> DataFrame:
     """rows in as many partitions of whole traces as they have `most` rows, so that a task's windows don't grow with the table."""
     spark = rows.sparkSession
     return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // most)), key)
